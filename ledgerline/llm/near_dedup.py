@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, ODD, STEP, Words, grams, mix, slices, span_hashes, text_buffer
 from .components import components
-from .shared import bitmap, in_bitmap, staged
+from .shared import bitmap, in_bitmap, staged, texts
 
 WORDS, BANDS, ROWS = 5, 32, 4
 _TO_UNIT = 2.0**-53
@@ -134,7 +134,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
     its class_id and component_id are null and it is kept. Rows that repeat a doc_id are of one document: they share what
     the text gives and the component of the least id. Other columns are ignored. An empty table gives an empty one.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(documents)
     sig = staged(docs.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     linked = sig.where("digest is not null and doc_id is not null")
     classes = staged(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .packing import pack
+from .shared import fresh_path
+from .token_files import read_token_files, write_token_files
+from .viterbi_counts import token_counts, unigram_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +49,34 @@ links as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id =
 reach(node, root) as (select doc_id, doc_id from d union select r.node, l.y from reach r join links l on l.x = r.root)
 select d.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(root) component_id, d.doc_id = min(root) kept
 from d join reach on node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id"""
+
+
+def tokenizer(name: str) -> tuple[str, int]:
+    """(file's text, number of ids) of a tokenizers file."""
+    text = Path(public_tokenizers.path(name)).read_text()
+    parts = json.loads(text)
+    return text, 1 + max([*parts["model"]["vocab"].values(), *(t["id"] for t in parts["added_tokens"])])
+
+
+@register
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, vocabulary = tokenizer("byte_bpe_50k.json")
+    folder = fresh_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, text, 0, vocabulary)
+    return read_token_files(spark, folder, vocabulary, with_ids=False)
+
+
+@register
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")[0], end_id=1)
+
+
+def pieces(name: str) -> list[str]:
+    """A sentencepiece file's pieces in id order, without control, unknown and byte pieces."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+
+
+@register
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), unigram_vocabulary(pieces("piece_bpe_32k.model")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +16,21 @@ from pyspark.sql import functions as F
 MOST_BITS = 26
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, unless PYTHONPATH does so already."""
+    package, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_ledgerline_shipped", False):
+        return
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+    sc._ledgerline_shipped = True
+
+
+def texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key as a long and the text as a string, and no other column."""
+    ship_code(documents.sparkSession)
+    return documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only where that is unset (one machine, tests), a local one is set."""
     conf = spark.sparkContext.getConf()
