@@ -2,7 +2,8 @@
 
 Texts with the same shingle set fall into one class by a 128-bit digest of the set, and only a class's least doc_id goes
 on, so copies cost one row each. Within a bucket nothing is paired all against all: first each member is held against
-the bucket's least member; only buckets that still span several components then compare members *across* components.
+the bucket's most shared member. Only members of buckets that then still span several components go through an exact
+prefix-filtered join with length and positional bounds, which finds every link that is left between components.
 A link is missed only if no band of the two signatures agrees: for similarity 0.75, (1 - 0.75^4)^32, about 5 in a million.
 """
 
@@ -115,18 +116,42 @@ def _sets(n: int, wanted) -> Callable:
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (u, v), those whose full shingle sets have intersection >= percent % of union."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+def _sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(id, s): the full shingle sets of the documents in `ids`, computed again from the texts."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
     sets = docs.mapInArrow(_sets(n, wanted), "id long, s array<long>")
-    sets = staged(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    return staged(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v), those whose full shingle sets have intersection >= percent % of union."""
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     fits = 100 * F.least(F.size("su"), F.size("sv")) >= percent * F.greatest(F.size("su"), F.size("sv"))
     return both.where(fits).where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
+def _across(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different `comp` that may be similar enough, of `sets` (id, comp, s); none that is gets lost.
+
+    Shingles are ordered by how many of these sets have them. Of two similar sets, the smaller one's first
+    n - ceil(2p / (1 + p) n) + 1 shingles and the larger one's first n - ceil(p n) + 1 have one in common, and after the
+    first common one there are enough left on both sides for the least overlap.
+    """
+    each = sets.select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("t"))
+    rare = each.groupBy("t").agg(F.count("*").alias("df"))
+    order = each.join(rare, "t").groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    few = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    prefix = order.select("id", "comp", "n", few.alias("few"), F.posexplode(F.slice("o", F.lit(1), most.cast("int"))).alias("i", "e")).where("e.df > 1").select("id", "comp", "n", "few", (F.col("i") + 1).alias("i"), "e.t")
+    prefix = staged(prefix, "prefixes")
+    a, b = prefix.where("i <= few").alias("a"), prefix.alias("b")
+    smaller = F.expr("a.n < b.n or (a.n = b.n and a.id < b.id)")
+    bound = 1 + F.least(F.expr("a.n - a.i"), F.expr("b.n - b.i")) >= F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & smaller & (100 * F.col("a.n") >= percent * F.col("b.n")) & bound
+    return a.join(b, on).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+
+
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept), a row for each row of `documents` (doc_id, text).
 
@@ -139,22 +164,22 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
     linked = sig.where("digest is not null and doc_id is not null")
     classes = staged(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     keys = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most").drop("most")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(keys.join(buckets, "key"), "buckets")
-
-    first = staged(members.where("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(), "pairs")
-    links = staged(_verified(first, docs, words, percent), "links")
+    shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
+    leads = members.join(shared, "id").groupBy("key").agg(F.min(F.struct(-F.col("shared"), "id"))["id"].alias("lead"))
+    pairs = members.join(leads, "key").where("id <> lead").select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
+    pairs = staged(pairs, "pairs")
+    links = staged(_verified(pairs, _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, words), percent), "links")
     found = components(links)
 
     placed = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    rest = staged(placed.join(split, "key", "left_semi"), "open")
-    other = rest.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    second = rest.join(other, "key").where("comp < comp2").select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct()
-    second = staged(second.join(first, ["u", "v"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(_verified(second, docs, words, percent))
-        found = components(links)
+    rest = staged(placed.join(split, "key", "left_semi").select("id", "comp").distinct(), "open")
+    sets = _sets_of(rest.select("id"), docs, words)
+    more = staged(_across(sets.join(rest, "id"), percent).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        found = components(links.unionByName(_verified(more, sets, percent)))
 
     roots = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "rep").alias("root"))
     out = sig.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
