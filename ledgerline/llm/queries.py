@@ -9,12 +9,19 @@ from pathlib import Path
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decision_list import quality
+from .decontaminate import contamination
+from .html_paths import extract_text
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .shared import fresh_path
 from .token_files import read_token_files, write_token_files
+from .toxicity import fit, score
 from .viterbi_counts import token_counts, unigram_vocabulary
+from .warc_zip import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +49,7 @@ with recursive d as (
 s as (
   select distinct doc_id, sh from (
     select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-      else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) sh from d)),
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) sh from d)),
 n as (select doc_id, count(*) n from s group by doc_id),
 p as (select a.doc_id x, b.doc_id y, count(*) i from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
 links as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 75 * (nx.n + ny.n - i)),
@@ -80,3 +87,68 @@ def pieces(name: str) -> list[str]:
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), unigram_vocabulary(pieces("piece_bpe_32k.model")))
+
+
+@register
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ORACLES["op3_decontamination"] = rf"""
+with d as (select doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '{_ALNUM}') w from documents),
+b as (select item_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '{_ALNUM}') w from benchmark),
+win as (
+  select distinct item_id, len(x) n, array_to_string(x, ' ') t from (
+    select item_id, unnest(case when len(w) = 0 then [] when len(w) < 13 then [w]
+      else list_transform(range(1, len(w) - 11), lambda i: w[i:i + 12]) end) x from b)),
+sizes as (select distinct n from win),
+dw as (
+  select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') t
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) p from d, sizes where len(w) >= n)),
+m as (select doc_id, item_id, p, win.n from dw join win on win.t = dw.t and win.n = dw.n),
+hit as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from m) group by doc_id),
+its as (select doc_id, count(*) n_items, string_agg(i, ',' order by i) ids from (select distinct doc_id, item_id::varchar i from m) group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join hit using (doc_id) left join its using (doc_id)"""
+
+
+@register
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "removed_lines", "removed_words", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@register
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return read_archives(spark, paths, with_payload=False).drop("url")
+
+
+ORACLES["op4_warc"] = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, strlen(h)::bigint payload_bytes, sha1(h) x, max(page_id) over (partition by h) last from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (k // 4)::int, 5))::int >> (15 - 5 * (k % 4)::int)) & 31)::int, 1)), '') payload_digest,
+  case when page_id = last then 'response' else 'revisit' end record_type, case when page_id < last then last end refers_to
+from d"""
+
+
+@register
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@register
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = score(documents, fit(documents, table(spark, sf_dir, "labels")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
