@@ -75,6 +75,10 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
+def _below(value: Column):
+    return lambda cut: cut < value
+
+
 def _all(rule: Rule, cuts: dict) -> Column:
     out = F.lit(True)
     for c in rule:
@@ -116,7 +120,7 @@ def learn(labelled: DataFrame, bad: str = "bad", most_rules: int = 8, most_condi
     if other[0] is None or found[0] is None:
         return []
     cuts = {f: sorted({*found[f], *other[f]}) for f in FEATURES}
-    binned = [F.aggregate(F.array(*map(F.lit, c)), F.lit(0), lambda a, x, f=f: a + (F.col(f) > x).cast("int")).alias(f) for f, c in cuts.items()]
+    binned = [F.size(F.filter(F.lit(c), _below(F.col(f)))).alias(f) for f, c in cuts.items()]
     rows = staged(rows.select("bad", (F.pmod("h", F.lit(3)) == 0).alias("held"), *binned), "binned")
     rules: list[Rule] = []
     while len(rules) < most_rules:

@@ -1,10 +1,10 @@
 """Passages that repeat across documents: pairwise alignment of later documents with earlier ones.
 
-A text's lines are broken after sentence ends too, so that a passage within a long line is found. A run of lines with at
-least ANCHOR words is an anchor. A document is paired with the earliest document of each anchor that it shares - links
+A text's lines are broken after sentence ends too, and lines of over LONG words before words of certain hashes, so that a
+passage within a long line is found. A run of lines with at least ANCHOR words is an anchor. A document is paired with the earliest document of each anchor that it shares - links
 in number of anchors, however many documents share one. Each pair is aligned by patience: shared anchors in rising order
-in both (a longest increasing subsequence), extended both ways over equal lines, then again over what is left. Aligned
-lines of all of a document's pairs are united, and blocks of at least LEAST words go from the later document.
+in both (a longest increasing subsequence), extended both ways word by word, then again over what is left. Aligned words
+of all of a document's pairs are united, and blocks of at least LEAST words go from the later document.
 """
 
 from __future__ import annotations
@@ -17,44 +17,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_SPACE, ODD, STEP, Words, mix, slices, span_hashes, text_buffer
+from .arrays import NOT_SPACE, ODD, Words, mix, slices, span_hashes, text_buffer
 from .shared import bitmap, in_bitmap, staged, texts
 
-ANCHOR, LEAST = 12, 30
+ANCHOR, LEAST, LONG = 12, 50, 24
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True  # ! . ?
-_LONGS = pa.list_(pa.int64())
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
 class Lines:
-    """Lines of a batch: line u has words first[u]:first[u + 1]; text i has lines of[i]:of[i + 1]; hashes leave white space out."""
+    """Lines of a batch. Line u begins with word begin[u]; text i has lines of[i]:of[i + 1]; `hashes` are 32 bits of each word's."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.data, self.offsets = text_buffer(batch.column("text"))
         self.words = words = Words(self.data, self.offsets, NOT_SPACE)
-        n = len(words.start)
-        cut = np.zeros(n, bool)
-        if n:
+        cut = np.zeros(len(words.start), bool)
+        if len(cut):
             breaks = np.concatenate([[0], np.cumsum(self.data == 10)])
             cut[1:] = (breaks[words.start[1:]] > breaks[words.end[:-1]]) | _STOP[self.data[words.end[:-1] - 1]]
             cut[words.first[:-1][words.count > 0]] = True
-        begin = np.flatnonzero(cut)
-        self.first = np.append(begin, n)
-        self.of = np.searchsorted(begin, words.first)
-        hashes = span_hashes(self.data, words.start, words.end)
-        size = np.diff(self.first)
-        power = np.multiply.accumulate(np.full(int(size.max()) if len(size) else 1, STEP | np.uint64(1), np.uint64))
-        self.hash = mix(np.add.reduceat(hashes * power[np.arange(n) - np.repeat(begin, size)], begin)) if n else np.zeros(0, np.uint64)
+        self.hashes = (span_hashes(self.data, words.start, words.end) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        size = np.diff(np.append(np.flatnonzero(cut), len(cut)))
+        cut |= (np.repeat(size, size) > LONG) & (self.hashes & np.uint32(7) == 0)  # long lines break before certain words
+        self.begin = np.flatnonzero(cut)
+        self.of = np.searchsorted(self.begin, words.first)
 
-
-def anchors(line: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
-    """For each line of a text, the hash of the shortest run from it on with `least` words; runs that meet the end are left out."""
-    to = np.concatenate([[0], np.cumsum(size)])
-    end = np.searchsorted(to, to[:-1] + least)
-    end = end[end <= len(size)]
-    total = np.concatenate([[0], np.cumsum(line * _powers(len(line)), dtype=np.uint64)])
-    start = np.arange(len(end))
-    return mix((total[end] - total[start]) * _powers(len(line), inverse=True)[start] + (end - start).astype(np.uint64) * ODD[5])
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word hashes, index of each line's first word) of each text."""
+        for a, b, x, y in zip(self.words.first[:-1].tolist(), self.words.first[1:].tolist(), self.of[:-1].tolist(), self.of[1:].tolist()):
+            yield self.hashes[a:b], self.begin[x:y] - a
 
 
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -62,45 +54,73 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))[:n]
 
 
-def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            lines = Lines(batch)
-            offsets = pa.array(lines.of.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("uid"), pa.ListArray.from_arrays(offsets, pa.array(lines.hash.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(lines.first).astype(np.int32)))],
-                ["doc_id", "uid", "line", "size"],
-            )
+def anchors(words: np.ndarray, begin: np.ndarray, least: int) -> np.ndarray:
+    """For each line of a text, the hash of the shortest run of lines from it on with `least` words; runs that would pass the end are left out."""
+    edge = np.append(begin, len(words))
+    to = np.searchsorted(edge, begin + least)
+    to = edge[to[to < len(edge)]]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(len(words)), dtype=np.uint64)])
+    start = begin[: len(to)]
+    return mix((total[to] - total[start]) * _powers(len(words), inverse=True)[start] + (to - start).astype(np.uint64) * ODD[5])
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    """The numpy array of each row of a list column without nulls."""
-    values, cut = column.values.to_numpy(), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+def _anchored(least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [np.unique(anchors(*part, least)).view(np.int64) for part in Lines(batch).parts()]
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found)))], ["doc_id", "uid", "anchors"])
+
+    return run
 
 
-def _anchored(least: int, wanted=None) -> Callable:
+def _wanted_anchors(wanted) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(line.view(np.uint64), size, least)).view(np.int64) for line, size in zip(_arrays(batch.column("line")), _arrays(batch.column("size")))]
-            owner = np.repeat(np.arange(len(batch)), [len(x) for x in found])
-            anchor = np.concatenate([np.zeros(0, np.int64), *found])
-            if wanted is not None:
-                keep = in_bitmap(wanted.value, anchor)
-                anchor, owner = anchor[keep], owner[keep]
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column("doc_id").take(at), batch.column("uid").take(at)], ["anchor", "doc_id", "uid"])
+            column = batch.column("anchors")
+            cut = column.offsets.to_numpy()
+            found = column.values.to_numpy()[cut[0] : cut[-1]]
+            keep = in_bitmap(wanted.value, found)
+            at = pa.array(np.repeat(np.arange(len(batch)), np.diff(cut))[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), batch.column("doc_id").take(at), batch.column("uid").take(at)], ["anchor", "doc_id", "uid"])
 
     return run
 
 
-def patience(later: list, earlier: list, later_lines: list, earlier_lines: list) -> set[int]:
-    """Indices of the later document's lines that align with the earlier's. The first two lists hold anchors by line."""
-    where = {}
-    for j, a in enumerate(earlier):
+def _worded(wanted) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column("uid").to_numpy())))
+                if len(batch):
+                    lines = Lines(batch)
+                    begin = lines.begin - np.repeat(lines.words.first[:-1], np.diff(lines.of))
+                    lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((lines.words.first, lines.hashes.view(np.int32)), (lines.of, begin.astype(np.int32)))]
+                    yield pa.RecordBatch.from_arrays([batch.column("uid"), *lists], ["uid", "words", "begin"])
+
+    return run
+
+
+def _same(a: np.ndarray, b: np.ndarray, step: int = 64) -> int:
+    """How many leading values are equal."""
+    n = min(len(a), len(b))
+    for at in range(0, n, step):
+        differ = np.flatnonzero(a[at : at + step][: n - at] != b[at : at + step][: n - at])
+        if len(differ):
+            return at + int(differ[0])
+    return n
+
+
+def patience(later: np.ndarray, later_begin: np.ndarray, earlier: np.ndarray, earlier_begin: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Blocks of the later text's words that align with the earlier's."""
+    where: dict[int, int] = {}
+    for j, a in zip(earlier_begin.tolist(), anchors(earlier, earlier_begin, least).tolist()):
         where.setdefault(a, j)
-    left = [(i, where[a]) for i, a in enumerate(later) if a in where]
-    aligned: set[int] = set()
+    found = zip(later_begin.tolist(), anchors(later, later_begin, least).tolist())
+    left = [(i, where[a]) for i, a in found if a in where and later[i] == earlier[where[a]]]
+    aligned = np.zeros(len(later), bool)
+    blocks = []
     while left:
         tails: list[int] = []
         ends: list[int] = []
@@ -113,74 +133,63 @@ def patience(later: list, earlier: list, later_lines: list, earlier_lines: list)
         while k >= 0:
             i, j = left[k]
             k = back[k]
-            if i in aligned:
-                continue
-            a, b = i, j
-            while a < len(later_lines) and b < len(earlier_lines) and later_lines[a] == earlier_lines[b]:
-                aligned.add(a)
-                a, b = a + 1, b + 1
-            a, b = i - 1, j - 1
-            while a >= 0 and b >= 0 and later_lines[a] == earlier_lines[b]:
-                aligned.add(a)
-                a, b = a - 1, b - 1
-        left = [(i, j) for i, j in left if i not in aligned]
-    return aligned
+            if not aligned[i]:
+                a, b = i - _same(later[:i][::-1], earlier[:j][::-1]), i + _same(later[i:], earlier[j:])
+                aligned[a:b] = True
+                blocks.append((a, b))
+        left = [(i, j) for i, j in left if not aligned[i]]
+    return blocks
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, cut = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 def _aligned(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [_arrays(batch.column(c)) for c in ("line", "size", "line2", "size2")]
-            out = []
-            for line, size, line2, size2 in zip(*columns):
-                a, b = (anchors(x.view(np.uint64), y, least).tolist() for x, y in ((line, size), (line2, size2)))
-                out.append(sorted(patience(a, b, line.tolist(), line2.tolist())))
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _LONGS)], ["uid", "aligned"])
+            rows = zip(*(_lists(batch.column(c)) for c in ("words", "begin", "words2", "begin2")))
+            out = [[{"from": a, "to": b} for a, b in patience(w.view(np.uint32), x, v.view(np.uint32), y, least)] for w, x, v, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _SPANS)], ["uid", "blocks"])
 
     return run
 
 
 def _cut(least: int) -> Callable:
-    """Adds the text that is left and what went to rows (text, aligned, ...)."""
+    """(doc_id, uid, text that is left, n_words, removed_words, removed_blocks) of rows with `blocks` to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                kept, n_lines, gone_lines, gone_words = [], [], [], []
-                lines, marks = Lines(batch), batch.column("aligned").to_pylist()
-                for i, (text, marked) in enumerate(zip(batch.column("text").to_pylist(), marks)):
-                    a, b = int(lines.of[i]), int(lines.of[i + 1])
-                    n_lines.append(b - a)
-                    spans, cut_lines, cut_words = [], 0, 0
-                    if marked:
-                        run_of = np.array(sorted(set(marked)))
-                        for block in np.split(run_of, np.flatnonzero(np.diff(run_of) > 1) + 1):
-                            u, v = a + int(block[0]), a + int(block[-1]) + 1
-                            n = int(lines.first[v] - lines.first[u])
-                            if n >= least:
-                                stop = int(lines.words.start[lines.first[v]]) if v < b else int(lines.offsets[i + 1])
-                                spans.append((int(lines.words.start[lines.first[u]]), stop))
-                                cut_lines, cut_words = cut_lines + v - u, cut_words + n
-                    gone_lines.append(cut_lines)
-                    gone_words.append(cut_words)
-                    if spans:
-                        at, parts = int(lines.offsets[i]), []
-                        for x, y in spans:
-                            parts.append(lines.data[at:x].tobytes())
-                            at = y
-                        text = b"".join([*parts, lines.data[at : int(lines.offsets[i + 1])].tobytes()]).decode().rstrip()
-                    kept.append(text)
-                names = [c for c in batch.schema.names if c not in ("text", "aligned")]
+                data, offsets = text_buffer(batch.column("text"))
+                words = Words(data, offsets, NOT_SPACE)
+                texts_, gone_words, gone_blocks = batch.column("text").to_pylist(), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+                for i, blocks in enumerate(batch.column("blocks").to_pylist()):
+                    if not blocks:
+                        continue
+                    mark = np.zeros(int(words.count[i]) + 2, np.int8)
+                    for block in blocks:
+                        mark[block["from"] + 1 : block["to"] + 1] = 1
+                    edge = np.flatnonzero(np.diff(mark)).reshape(-1, 2)
+                    first, at, parts = int(words.first[i]), int(offsets[i]), []
+                    for a, b in edge[edge[:, 1] - edge[:, 0] >= least].tolist():
+                        parts.append(data[at : words.start[first + a]].tobytes())
+                        at = int(words.start[first + b]) if b < words.count[i] else int(offsets[i + 1])
+                        gone_words[i] += b - a
+                        gone_blocks[i] += 1
+                    if gone_blocks[i]:
+                        texts_[i] = b"".join([*parts, data[at : offsets[i + 1]].tobytes()]).decode().rstrip(" \t\n\v\f\r")
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in names), pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, gone_lines, gone_words))],
-                    [*names, "text", "n_lines", "removed_lines", "removed_words"],
+                    [batch.column("doc_id"), batch.column("uid"), pa.array(texts_, pa.string()), pa.array(words.count), pa.array(gone_words), pa.array(gone_blocks)],
+                    ["doc_id", "uid", "text", "n_words", "removed_words", "removed_blocks"],
                 )
 
     return run
 
 
 def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: int = LEAST) -> DataFrame:
-    """(doc_id, uid, text, n_lines, removed_lines, removed_words), a row for each row of `documents` (doc_id, text).
+    """(doc_id, uid, text, n_words, removed_words, removed_blocks), a row for each row of `documents` (doc_id, text).
 
     Earlier means a smaller doc_id. A text all of which repeats becomes empty; texts without repeats, nulls included, stay
     as they are. A null doc_id is neither earlier nor later than any: its text stays. Rows that repeat a doc_id don't
@@ -188,17 +197,22 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     """
     docs = texts(documents).withColumn("uid", F.xxhash64("doc_id", "text"))
     spark = documents.sparkSession
-    lined = staged(docs.where("doc_id is not null and text is not null").mapInArrow(_lined, "doc_id long, uid long, line array<long>, size array<int>"), "lines")
-    kind = "anchor long, doc_id long, uid long"
-    first = F.min(F.struct("doc_id", "uid")).alias("e")
-    shared = lined.mapInArrow(_anchored(anchor_words), kind).groupBy("anchor").agg(first, F.max("doc_id").alias("last")).where("e.doc_id < last")
-    shared = staged(shared.select("anchor", F.col("e.doc_id").alias("doc_id2"), F.col("e.uid").alias("uid2")), "anchors")
+    known = docs.where("doc_id is not null and text is not null")
+    found = staged(known.mapInArrow(_anchored(anchor_words), "doc_id long, uid long, anchors array<long>"), "anchors")
+    each = found.select("doc_id", "uid", F.explode("anchors").alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.min(F.struct("doc_id", "uid")).alias("e"), F.max("doc_id").alias("last")).where("e.doc_id < last")
+    shared = staged(shared.select("anchor", F.col("e.doc_id").alias("doc_id2"), F.col("e.uid").alias("uid2")), "shared")
     wanted = spark.sparkContext.broadcast(bitmap(shared, "anchor"))
-    pairs = lined.mapInArrow(_anchored(anchor_words, wanted), kind).join(shared, "anchor").where("doc_id2 < doc_id").select("uid", "uid2").distinct()
-
-    once = lined.select("uid", "line", "size").dropDuplicates(["uid"])
-    partner = once.select(F.col("uid").alias("uid2"), F.col("line").alias("line2"), F.col("size").alias("size2"))
-    both = pairs.join(once, "uid").join(partner, "uid2").select("uid", "line", "size", "line2", "size2")
-    aligned = both.mapInArrow(_aligned(anchor_words), "uid long, aligned array<long>")
-    aligned = aligned.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("aligned"))).alias("aligned"))
-    return docs.join(aligned, "uid", "left").select("doc_id", "uid", "text", "aligned").mapInArrow(_cut(least_words), "doc_id long, uid long, text string, n_lines long, removed_lines long, removed_words long")
+    again = found.mapInArrow(_wanted_anchors(wanted), "anchor long, doc_id long, uid long")
+    pairs = staged(again.join(shared, "anchor").where("doc_id2 < doc_id").select("uid", "uid2").distinct(), "pairs")
+
+    ids = pairs.select(F.explode(F.array("uid", "uid2")).alias("uid")).distinct()
+    some = spark.sparkContext.broadcast(bitmap(ids, "uid"))
+    words = known.mapInArrow(_worded(some), "uid long, words array<int>, begin array<int>")
+    words = staged(words.join(ids, "uid", "left_semi").dropDuplicates(["uid"]), "words")
+    partner = words.select(F.col("uid").alias("uid2"), F.col("words").alias("words2"), F.col("begin").alias("begin2"))
+    both = pairs.join(words, "uid").join(partner, "uid2").select("uid", "words", "begin", "words2", "begin2")
+    aligned = both.mapInArrow(_aligned(anchor_words), "uid long, blocks array<struct<from: int, to: int>>")
+    aligned = aligned.groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    out = docs.join(aligned, "uid", "left").select("doc_id", "uid", "text", "blocks")
+    return out.mapInArrow(_cut(least_words), "doc_id long, uid long, text string, n_words long, removed_words long, removed_blocks long")
