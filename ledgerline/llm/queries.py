@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from pathlib import Path
 
-import public_tokenizers
-import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .decision_list import quality
 from .decontaminate import contamination
 from .html_paths import extract_text
+from .inputs import pieces, table, tokenizer
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -29,10 +28,6 @@ ORACLES: dict[str, str] = {}
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -58,13 +53,6 @@ select d.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(root) compo
 from d join reach on node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id"""
 
 
-def tokenizer(name: str) -> tuple[str, int]:
-    """(file's text, number of ids) of a tokenizers file."""
-    text = Path(public_tokenizers.path(name)).read_text()
-    parts = json.loads(text)
-    return text, 1 + max([*parts["model"]["vocab"].values(), *(t["id"] for t in parts["added_tokens"])])
-
-
 @register
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, vocabulary = tokenizer("byte_bpe_50k.json")
@@ -78,12 +66,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")[0], end_id=1)
 
 
-def pieces(name: str) -> list[str]:
-    """A sentencepiece file's pieces in id order, without control, unknown and byte pieces."""
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-
-
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), unigram_vocabulary(pieces("piece_bpe_32k.model")))
@@ -152,3 +134,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(documents, fit(documents, table(spark, sf_dir, "labels")))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
