@@ -1 +1,388 @@
 """Queries of the graph and of retrieval."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions.values import COLORS, INTENTS, SIZES
+from ..operators import graph as G
+from ..sources.domain import Domain
+from .catalog import long_money, pct, query, quoted, short_money
+from .filings import GUIDANCE_CTES, RISK_CTES, guidance_table, risk_table
+
+_style = lambda t: (F.lit(t).alias("type"), F.lit(COLORS[t]).alias("color"), F.lit(SIZES[t]).alias("size"))
+
+
+def _node(rows: DataFrame, prefix: str, key, label, kind: str, seq: int, company="company_id", color=None) -> DataFrame:
+    t, c, z = _style(kind)
+    return rows.select(F.concat(F.lit(prefix), key).alias("id"), label.alias("label"), t, (c if color is None else color).alias("color"), z, F.col(company).cast("long").alias("company_id"), F.lit(seq).alias("seq"))
+
+
+def graph_node_rows(d: Domain) -> DataFrame:
+    """Nodes of companies, documents, metrics, risks and guidance: five projections, one union."""
+    call = S.is_concall(F.col("document_type"), F.col("file_name"))
+    parts = [
+        _node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, "id"),
+        _node(d.documents(), "doc_", F.col("id"), F.concat(F.when(call, "Concall ").otherwise("Report "), "report_period"), "document", 1, color=F.when(call, COLORS["guidance"]).otherwise(COLORS["document"])),
+        _node(d.financial(), "fin_", F.col("id"), F.concat("period", F.lit(": "), S.money_short(F.col("revenue"), F.col("currency"))), "metric", 2),
+        _node(risk_table(d), "risk_", F.col("id"), S.risk_label(F.col("risk"), F.col("page_number")), "risk", 3),
+        _node(guidance_table(d), "guidance_", F.col("guidance_id"), F.concat(F.lit("💡 "), "category", F.lit(" ("), "period", F.lit(")")), "guidance", 4),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _edge(rows: DataFrame, source, target, label, seq: int, company: str = "company_id") -> DataFrame:
+    return rows.select(source.alias("source"), target.alias("target"), label.alias("label"), F.col(company).cast("long").alias("company_id"), F.lit(seq).alias("seq"))
+
+
+def graph_edge_rows(d: Domain) -> DataFrame:
+    """Edges of eight relations."""
+    at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
+    docs, fin, risks, said = d.documents(), d.financial(), risk_table(d), guidance_table(d)
+    call = S.is_concall(F.col("document_type"), F.col("file_name"))
+    told = fin.where("document_id is not null")
+    parts = [
+        _edge(docs, at("comp_", "company_id"), at("doc_", "id"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), 0),
+        _edge(fin, at("comp_", "company_id"), at("fin_", "id"), F.lit("REPORTED_FINANCIALS"), 1),
+        _edge(told, at("doc_", "document_id"), at("fin_", "id"), F.lit("EVIDENCES"), 2),
+        _edge(risks, at("comp_", "company_id"), at("risk_", "id"), F.lit("HAS_RISK"), 3),
+        _edge(risks, at("doc_", "document_id"), at("risk_", "id"), at("CITES_P", "page_number"), 4),
+        _edge(said, at("comp_", "company_id"), at("guidance_", "guidance_id"), F.lit("MENTIONS_GUIDANCE"), 5),
+        _edge(said, at("doc_", "document_id"), at("guidance_", "guidance_id"), at("CITES_", "page"), 6),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def graph_tables(d: Domain) -> tuple[DataFrame, DataFrame]:
+    nodes = G.upsert_nodes(graph_node_rows(d))
+    return nodes, G.first_edges(G.valid_edges(graph_edge_rows(d), nodes))
+
+
+_CALL = "(document_type = 'concall_transcript' or contains(lower(file_name), 'concall'))"
+GRAPH_CTES = f"""{RISK_CTES}, {GUIDANCE_CTES},
+rk as (select a.*, a.document_id * 10 + n id, p.company_id, p.file_name, p.report_period from all_risks a join reports p on p.id = a.document_id),
+gd as (select g.*, c.file_name, c.report_period period from guidance_rows g join concalls c on c.id = g.document_id),
+node_rows as (
+  select 'comp_' || id id, upper(ticker) label, 'company' as type, '{COLORS['company']}' color, {SIZES['company']} size, id::bigint company_id from companies union all
+  select 'doc_' || id, case when {_CALL} then 'Concall ' else 'Report ' end || report_period, 'document', case when {_CALL} then '{COLORS['guidance']}' else '{COLORS['document']}' end, {SIZES['document']}, company_id from docs union all
+  select 'fin_' || id, period || ': ' || {short_money('revenue')}, 'metric', '{COLORS['metric']}', {SIZES['metric']}, company_id from fin union all
+  select 'risk_' || id, '⚠️ ' || case when length(risk) > 16 then left(risk, 16) || '..' else risk end || ' (p.' || page_number || ')', 'risk', '{COLORS['risk']}', {SIZES['risk']}, company_id from rk union all
+  select 'guidance_' || guidance_id, '💡 ' || category || ' (' || period || ')', 'guidance', '{COLORS['guidance']}', {SIZES['guidance']}, company_id from gd),
+raw_edges as (
+  select 'comp_' || company_id source, 'doc_' || id target, case when {_CALL} then 'CONCALL_FILED' else 'ANNUAL_FILING' end label, company_id from docs union all
+  select 'comp_' || company_id, 'fin_' || id, 'REPORTED_FINANCIALS', company_id from fin union all
+  select 'doc_' || document_id, 'fin_' || id, 'EVIDENCES', company_id from fin where document_id is not null union all
+  select 'comp_' || company_id, 'risk_' || id, 'HAS_RISK', company_id from rk union all
+  select 'doc_' || document_id, 'risk_' || id, 'CITES_P' || page_number, company_id from rk union all
+  select 'comp_' || company_id, 'guidance_' || guidance_id, 'MENTIONS_GUIDANCE', company_id from gd union all
+  select 'doc_' || document_id, 'guidance_' || guidance_id, 'CITES_' || page, company_id from gd),
+edge_rows as (select source || '_' || label || '_' || target id, * from raw_edges where source in (select id from node_rows) and target in (select id from node_rows)),
+inside as (select id company, id node from node_rows where type = 'company' union select source, target from edge_rows where source in (select id from node_rows where type = 'company'))"""
+
+
+@query(f", {GRAPH_CTES} select id, label, type, color, size from node_rows")
+def graph_nodes(d: Domain) -> DataFrame:
+    return graph_node_rows(d).select("id", "label", "type", "color", "size")
+
+
+@query(f", {GRAPH_CTES} select source, target, label from raw_edges")
+def graph_edges(d: Domain) -> DataFrame:
+    return graph_edge_rows(d).select("source", "target", "label")
+
+
+@query(f", {GRAPH_CTES} select id, case when type = 'company' and company_id % 2 = 0 then label || ' (rev)' else label end label, type from node_rows")
+def nodes_dedup(d: Domain) -> DataFrame:
+    """Half the company nodes are written again with another label; the later write stays."""
+    nodes = graph_node_rows(d)
+    again = nodes.where("type = 'company' and company_id % 2 = 0").withColumn("label", F.concat("label", F.lit(" (rev)"))).withColumn("seq", F.lit(9))
+    return G.upsert_nodes(nodes.unionByName(again)).select("id", "label", "type")
+
+
+@query(f", {GRAPH_CTES} select id, source, target, label, 'first' as written from edge_rows")
+def edges_dedup(d: Domain) -> DataFrame:
+    """All edges are written twice; the first write stays and dangling ones go."""
+    edges = graph_edge_rows(d).withColumn("written", F.lit("first"))
+    again = edges.withColumn("written", F.lit("second")).withColumn("seq", F.col("seq") + 100)
+    both = G.first_edges(G.valid_edges(edges.unionByName(again), graph_node_rows(d)))
+    return both.select("id", "source", "target", "label", "written")
+
+
+@query(f", {GRAPH_CTES} select id, source, target from edge_rows")
+def edges_valid(d: Domain) -> DataFrame:
+    return graph_tables(d)[1].select("id", "source", "target")
+
+
+@query(f", {GRAPH_CTES} select source, e.label relation, target, n.label, n.type from edge_rows e join node_rows n on n.id = target where source like 'comp_%' and e.label in ('HAS_RISK', 'REPORTED_FINANCIALS')")
+def connected_nodes(d: Domain) -> DataFrame:
+    nodes, edges = graph_tables(d)
+    out = edges.where(F.startswith("source", F.lit("comp_")) & F.col("label").isin("HAS_RISK", "REPORTED_FINANCIALS")).select("source", F.col("label").alias("relation"), "target")
+    return out.join(nodes.select(F.col("id").alias("target"), "label", "type"), "target").select("source", "relation", "target", "label", "type")
+
+
+@query(f", {GRAPH_CTES} select a.company, e.id edge_id from edge_rows e join inside a on a.node = source join inside b on b.node = target and b.company = a.company")
+def company_subgraph(d: Domain) -> DataFrame:
+    nodes, edges = graph_tables(d)
+    return G.subgraph_edges(edges, G.members(edges, nodes)).select("company", F.col("id").alias("edge_id"))
+
+
+@query(f", {GRAPH_CTES} select type, count(*) n from node_rows group by 1 union all select 'edge', count(*) from edge_rows")
+def graph_summary(d: Domain) -> DataFrame:
+    nodes, edges = graph_tables(d)
+    return nodes.groupBy("type").agg(F.count("*").alias("n")).unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edge").alias("type"), "n"))
+
+
+@query(f""", {GRAPH_CTES} select company, count(*) n_nodes, count(*) filter (type = 'metric') metrics, count(*) filter (type = 'risk') risks, count(*) filter (type = 'guidance') guidance,
+  count(*) filter (label like 'Report %') annual_reports, count(*) filter (label like 'Concall %') concalls from inside join node_rows on id = node group by 1""")
+def subgraph_summary(d: Domain) -> DataFrame:
+    nodes, edges = graph_tables(d)
+    rows = G.members(edges, nodes).join(nodes.select(F.col("id").alias("node"), "type", "label"), "node")
+    of = lambda t: F.count_if(F.col("type") == t)
+    return rows.groupBy("company").agg(
+        F.count("*").alias("n_nodes"), of("metric").alias("metrics"), of("risk").alias("risks"), of("guidance").alias("guidance"),
+        F.count_if(F.startswith("label", F.lit("Report "))).alias("annual_reports"), F.count_if(F.startswith("label", F.lit("Concall "))).alias("concalls"),
+    )
+
+
+_RELATIONS = "rel as (select source node, '→' direction, e.label, target other, n.label other_label from edge_rows e join node_rows n on n.id = target union all select target, '←', e.label, source, n.label from edge_rows e join node_rows n on n.id = source)"
+
+
+@query(f", {GRAPH_CTES}, {_RELATIONS} select node, count(*) n_relations, count(*) filter (direction = '→') n_out from rel group by 1")
+def node_relations(d: Domain) -> DataFrame:
+    nodes, edges = graph_tables(d)
+    return G.relations(edges, nodes).groupBy("node").agg(F.count("*").alias("n_relations"), F.count_if(F.col("direction") == "→").alias("n_out"))
+
+
+@query(f", {GRAPH_CTES}, {_RELATIONS} select node, direction, label, other, other_label from rel union all select id, '=', 'type', type, label from node_rows")
+def node_inspect(d: Domain) -> DataFrame:
+    """Each node's relations with arrows, and its properties from JSON as rows."""
+    nodes, edges = graph_tables(d)
+    props = nodes.select(F.col("id").alias("node"), "label", F.to_json(F.struct("type")).alias("j")).select("node", F.lit("=").alias("direction"), F.explode(F.from_json("j", "map<string,string>")).alias("k", "other"), F.col("label").alias("other_label"))
+    return G.relations(edges, nodes).unionByName(props.select("node", "direction", F.col("k").alias("label"), "other", "other_label"))
+
+
+@query(f""", {GRAPH_CTES} select 'node' kind, json_object('id', id, 'label', label, 'type', type)::varchar line from node_rows
+union all select 'edge', json_object('id', id, 'source', source, 'target', target, 'label', label)::varchar from edge_rows""")
+def graph_json_rows(d: Domain) -> DataFrame:
+    nodes, edges = graph_tables(d)
+    return nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "label", "type")).alias("line")).unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("id", "source", "target", "label")).alias("line")))
+
+
+@query(f", {GRAPH_CTES} select id, type, label from node_rows union all select id, 'edge', label from edge_rows")
+def graph_roundtrip(d: Domain) -> DataFrame:
+    """The JSON lines parsed back, with the rules for nodes and edges applied again."""
+    lines = graph_json_rows(d)
+    node = lines.where("kind = 'node'").select(F.inline(F.array(F.from_json("line", "id string, label string, type string"))), F.lit(0).alias("seq"))
+    edge = lines.where("kind = 'edge'").select(F.inline(F.array(F.from_json("line", "id string, source string, target string, label string"))), F.lit(0).alias("seq"))
+    nodes = G.upsert_nodes(node)
+    edges = G.first_edges(G.valid_edges(edge.drop("id"), nodes))
+    return nodes.select("id", "type", "label").unionByName(edges.select("id", F.lit("edge").alias("type"), "label"))
+
+
+@query(f""", new_docs as (from docs where id % 10 >= 7), node_rows as (
+  select 'comp_' || id id, 'company' as type from companies union all select 'doc_' || id, 'document' from docs union all select 'fin_' || id, 'metric' from fin),
+raw as (select 'comp_' || company_id source, 'doc_' || id target, case when {_CALL} then 'CONCALL_FILED' else 'ANNUAL_FILING' end label from docs union all select 'comp_' || company_id, 'fin_' || id, 'REPORTED_FINANCIALS' from fin)
+select id, type from node_rows union all select source || '_' || label || '_' || target, 'edge' from raw where source in (select id from node_rows)""")
+def graph_increment(d: Domain) -> DataFrame:
+    """A stored graph of the older documents merged with the increment of the newer: same as building it in one go."""
+    def part(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        call = S.is_concall(F.col("document_type"), F.col("file_name"))
+        nodes = [_node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, "id"), _node(docs, "doc_", F.col("id"), F.col("file_name"), "document", 1), _node(d.financial(), "fin_", F.col("id"), F.col("period"), "metric", 2)]
+        edges = [_edge(docs, F.concat(F.lit("comp_"), "company_id"), F.concat(F.lit("doc_"), "id"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), 0), _edge(d.financial(), F.concat(F.lit("comp_"), "company_id"), F.concat(F.lit("fin_"), "id"), F.lit("REPORTED_FINANCIALS"), 1)]
+        return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+
+    (n0, e0), (n1, e1) = part(d.documents().where("id % 10 < 7")), part(d.documents().where("id % 10 >= 7"))
+    later = lambda rows: rows.withColumn("seq", F.col("seq") + 10)
+    nodes = G.upsert_nodes(n0.unionByName(later(n1)))
+    edges = G.first_edges(G.valid_edges(e0.unionByName(later(e1)), nodes))
+    return nodes.select("id", "type").unionByName(edges.select("id", F.lit("edge").alias("type")))
+
+
+@query("""select 'stored' origin, ticker from companies where id % 2 = 0 union all
+select 'baseline', ticker from companies where id % 2 = 1""")
+def baseline_graph(d: Domain) -> DataFrame:
+    """Baseline companies join the graph only if the cascading lookup doesn't find them among the stored ones."""
+    stored = d.companies().where("id % 2 = 0")
+    baseline = d.companies().select((F.col("id") + 1000000000).alias("id"), "ticker")
+    known = stored.select(F.upper("ticker").alias("ticker"))
+    added = baseline.join(known, "ticker", "left_anti")
+    return stored.select(F.lit("stored").alias("origin"), "ticker").unionByName(added.select(F.lit("baseline").alias("origin"), "ticker"))
+
+
+_ASKED = ["t12", "comp_77", "31", "customer#000000005", "000000140", "zzz"]
+
+
+@query(f""", asked(q) as (values {', '.join(f'({quoted(q)})' for q in _ASKED)})
+select q, arg_min(id, (r, id)) id from (select q, id, case when upper(trim(q)) = ticker then 0 when q = 'comp_' || id then 1 when 'comp_' || q = 'comp_' || id then 2 when lower(trim(q)) = lower(name) then 3
+  when contains(lower(name), lower(q)) or contains(lower(q), lower(name)) then 4 end r from asked, companies) where r is not null group by q""")
+def find_company(d: Domain) -> DataFrame:
+    return G.find_companies(d.spark.createDataFrame([(q,) for q in _ASKED], "q string"), d.companies())
+
+
+@query("""select q, ticker, src from (select q, ticker, 'local' src, row_number() over (partition by q order by id) n, 3 most from companies, (values ('customer#00000001'), ('customer#0000001')) s(q) where id % 3 = 0 and contains(lower(name), q)) where n <= most
+union all select q, ticker, 'remote' from (select q, ticker, row_number() over (partition by q order by id) n from companies, (values ('customer#00000001'), ('customer#0000001')) s(q) where id % 3 > 0 and contains(lower(name), q)) where n <= 6""")
+def search_merge(d: Domain) -> DataFrame:
+    """Per query the first three stored hits and the first six remote ones that aren't stored, by ticker."""
+    q = d.spark.createDataFrame([("customer#00000001",), ("customer#0000001",)], "q string")
+    hits = d.companies().join(F.broadcast(q), F.contains(F.lower("name"), "q")).select("q", "id", "ticker")
+    stored = d.companies().where("id % 3 = 0").select(F.upper("ticker").alias("ticker"))
+    local = G.capped(hits.join(stored, "ticker", "left_semi"), "q", 3, "id").select("q", "ticker", F.lit("local").alias("src"))
+    remote = G.capped(hits.join(stored, "ticker", "left_anti"), "q", 6, "id").select("q", "ticker", F.lit("remote").alias("src"))
+    return local.unionByName(remote)
+
+
+_QUESTIONS = """questions(qid, question, company_id) as (values (1, 'What was the revenue growth of T12?', null), (2, 'Which risks and threats does T77 disclose?', null), (3, 'Summarise management guidance and capex for T5.', null),
+  (4, 'Compare the profit margin of Customer#000000031 with peers.', 31), (5, 'Tell me something.', 42), (6, 'Any concern about T140 and its outlook?', 999999999), (7, 'Please describe this entity.', 8)),
+given as (select qid, q.company_id from questions q join companies c on c.id = q.company_id),
+texted as (select qid, id company_id from questions, companies where qid not in (select qid from given) and (contains(lower(question), lower(ticker)) or len(list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3 and contains(lower(question), w))) > 0)),
+targets as (from given union all from texted union all select qid, id from questions, companies where qid not in (select qid from given) and qid not in (select qid from texted))"""
+
+
+@query(f", {_QUESTIONS} select qid, company_id from targets")
+def resolve_targets(d: Domain) -> DataFrame:
+    return G.resolve_targets(d.questions(), d.companies())
+
+
+def question_targets(d: Domain) -> DataFrame:
+    names = d.companies().select(F.col("id").alias("company_id"), "name", "ticker")
+    return G.resolve_targets(d.questions(), d.companies()).join(names, "company_id")
+
+
+def _facts(d: Domain, targets: DataFrame) -> dict[str, DataFrame]:
+    said = G.capped(targets.join(guidance_table(d), "company_id"), "qid", 8, "company_id", F.desc("document_id"), "chunk_index", "pos")
+    return {"metric": targets.join(d.financial(), "company_id"), "risk": targets.join(risk_table(d), "company_id"), "guidance": said}
+
+
+@query(f""", {GRAPH_CTES}, {_QUESTIONS} select qid, 'metric' kind, f.id::varchar fact from targets t join fin f on f.company_id = t.company_id union all select qid, 'risk', r.id::varchar from targets t join rk r on r.company_id = t.company_id
+union all select qid, 'guidance', guidance_id from (select qid, guidance_id, row_number() over (partition by qid order by t.company_id, document_id desc, chunk_index, pos) n from targets t join gd on gd.company_id = t.company_id) where n <= 8
+union all select qid, 'document', x.id::varchar from targets t join docs x on x.company_id = t.company_id""")
+def question_facts(d: Domain) -> DataFrame:
+    targets = question_targets(d).select("qid", "company_id")
+    facts = _facts(d, targets)
+    rows = [facts[k].select("qid", F.lit(k).alias("kind"), F.col("guidance_id" if k == "guidance" else "id").cast("string").alias("fact")) for k in facts]
+    rows.append(targets.join(d.documents(), "company_id").select("qid", F.lit("document").alias("kind"), F.col("id").cast("string").alias("fact")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(f""", {GRAPH_CTES}, {_QUESTIONS}, met as (select distinct qid from targets t where t.company_id in (select company_id from fin where company_id % 2 = 0) or t.company_id in (select company_id from gd where company_id % 2 = 0))
+select qid, f.company_id, period from targets t join fin f on f.company_id = t.company_id where qid not in (select qid from met)""")
+def question_facts_fallback(d: Domain) -> DataFrame:
+    """Questions for which a graph of the even companies has no metric or guidance take the tables' rows."""
+    targets = question_targets(d).select("qid", "company_id")
+    seen = d.financial().select("company_id").unionByName(guidance_table(d).select("company_id")).where("company_id % 2 = 0").distinct()
+    met = targets.join(seen, "company_id", "left_semi").select("qid").distinct()
+    return targets.join(met, "qid", "left_anti").join(d.financial(), "company_id").select("qid", "company_id", "period")
+
+
+def context_rows(d: Domain) -> DataFrame:
+    """(qid, section, o1, o2, o3, line, tag, source, page): the lines of each question's context in order, with tags and citations."""
+    targets = question_targets(d)
+    facts = _facts(d, targets)
+    text = F.concat
+    none = F.lit(None).cast("string")
+    rev, cur = S.money_short(F.col("revenue"), F.col("currency")), F.col("currency")
+    growth = F.when(F.col("revenue_growth").isNull(), "N/A").otherwise(text(S.percent(F.col("revenue_growth")), F.lit(" YoY")))
+    metric = text(F.lit("- ("), "ticker", F.lit(") -[IN_PERIOD "), "period", F.lit("]-> Revenue: "), rev, F.lit(" (Growth: "), growth, F.lit("), Net Profit: "), S.money_short(F.col("net_profit"), cur), F.lit(", Operating Margin: "), S.percent(F.col("operating_margin")))
+    risk = text(F.lit("- ("), "ticker", F.lit(") -[DISCLOSED_RISK]-> '"), "risk", F.lit("': "), "description", F.lit(" [Source: "), "file_name", F.lit(", Page "), "page_number", F.lit("]"))
+    said = text(F.lit("- ("), "ticker", F.lit(") -[GUIDANCE_"), F.upper(F.replace("category", F.lit(" "), F.lit("_"))), F.lit(" "), "period", F.lit(']-> "'), "statement", F.lit('" [Source: '), "file_name", F.lit(", "), "page", F.lit("]"))
+    row = lambda rows, k, o1, o2, o3, line, tag, source, page: rows.select("qid", F.lit(k).alias("section"), o1.cast("long").alias("o1"), o2.cast("string").alias("o2"), o3.cast("long").alias("o3"), line.alias("line"), tag.alias("tag"), source.alias("source"), page.alias("page"))
+    zero, c = F.lit(0), F.col("company_id")
+    parts = [
+        row(targets, 0, c, F.lit(""), zero, text(F.lit("ENTITY [Company]: "), "name", F.lit(" (Ticker: "), "ticker", F.lit(")")), text(F.lit("Company: "), "ticker"), none, none),
+        row(facts["metric"], 1, c, F.col("period"), zero, metric, text("ticker", F.lit(" Metric: "), "period", F.lit(" (Rev: "), rev, F.lit(")")), none, none),
+        row(facts["risk"], 2, F.col("page_number"), F.lit(""), F.col("id"), risk, text("ticker", F.lit(" Risk: "), "risk", F.lit(" (p."), "page_number", F.lit(")")), F.col("file_name"), text(F.lit("Page "), "page_number")),
+        row(facts["guidance"], 3, F.col("nth"), F.lit(""), zero, said, text("ticker", F.lit(" Guidance: "), "category", F.lit(" ("), "period", F.lit(")")), F.col("file_name"), F.col("page")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+CONTEXT_CTES = f"""{GRAPH_CTES}, {_QUESTIONS}, tg as (select t.*, name, ticker from targets t join companies c on c.id = t.company_id),
+top_gd as (select * from (select t.qid, t.ticker, gd.*, row_number() over (partition by qid order by t.company_id, document_id desc, chunk_index, pos) nth_q from tg t join gd on gd.company_id = t.company_id) where nth_q <= 8),
+ctx as (
+  select qid, 0 section, company_id::bigint o1, '' o2, 0::bigint o3, 'ENTITY [Company]: ' || name || ' (Ticker: ' || ticker || ')' line, 'Company: ' || ticker tag, null::varchar source, null::varchar page from tg union all
+  select qid, 1, t.company_id, period, 0, '- (' || ticker || ') -[IN_PERIOD ' || period || ']-> Revenue: ' || {short_money('revenue')} || ' (Growth: ' || case when revenue_growth is null then 'N/A' else {pct('revenue_growth')} || ' YoY' end || '), Net Profit: ' || {short_money('net_profit')} || ', Operating Margin: ' || {pct('operating_margin')},
+    ticker || ' Metric: ' || period || ' (Rev: ' || {short_money('revenue')} || ')', null, null from tg t join fin f on f.company_id = t.company_id union all
+  select qid, 2, page_number, '', r.id, '- (' || ticker || ') -[DISCLOSED_RISK]-> ''' || risk || ''': ' || description || ' [Source: ' || file_name || ', Page ' || page_number || ']', ticker || ' Risk: ' || risk || ' (p.' || page_number || ')', file_name, 'Page ' || page_number from tg t join rk r on r.company_id = t.company_id union all
+  select qid, 3, nth_q, '', 0, '- (' || ticker || ') -[GUIDANCE_' || upper(replace(category, ' ', '_')) || ' ' || period || ']-> "' || statement || '" [Source: ' || file_name || ', ' || page || ']', ticker || ' Guidance: ' || category || ' (' || period || ')', file_name, page from top_gd),
+ctx_text as (select qid, string_agg(line, chr(10) order by section, o1, o2, o3) as txt from ctx group by 1)"""
+
+
+@query(f", {CONTEXT_CTES} select qid, section, o1, o2, o3, line from ctx")
+def context_triples(d: Domain) -> DataFrame:
+    return context_rows(d).select("qid", "section", "o1", "o2", "o3", "line")
+
+
+def _joined(rows: DataFrame, order: list[str], line: str, name: str) -> DataFrame:
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, line))), lambda x: x[line])
+    return rows.groupBy("qid").agg(F.array_join(parts, "\n").alias(name))
+
+
+@query(f", {CONTEXT_CTES} select qid, txt context from ctx_text")
+def context_text(d: Domain) -> DataFrame:
+    return _joined(context_rows(d), ["section", "o1", "o2", "o3"], "line", "context")
+
+
+@query(f", {CONTEXT_CTES} select qid, section, source, page, case when section = 3 then left(line, 100) || '...' end excerpt from ctx where source is not null")
+def citations(d: Domain) -> DataFrame:
+    rows = context_rows(d).where("source is not null")
+    return rows.select("qid", "section", "source", "page", F.when(F.col("section") == 3, F.concat(F.left("line", F.lit(100)), F.lit("..."))).alias("excerpt"))
+
+
+@query(f", {CONTEXT_CTES} select qid, tag, count(*) n from ctx group by 1, 2")
+def context_tags(d: Domain) -> DataFrame:
+    return context_rows(d).groupBy("qid", "tag").agg(F.count("*").alias("n"))
+
+
+_PROMPT = "### KNOWLEDGE GRAPH CONTEXT:\n{}\n\n### USER QUESTION:\n{}\n\nAnswer briefly, with citations from the context above:"
+
+
+@query(f", {CONTEXT_CTES} select qid, {quoted(_PROMPT.split('{}')[0])} || txt || {quoted(_PROMPT.split('{}')[1])} || question || {quoted(_PROMPT.split('{}')[2])} prompt from ctx_text join questions using (qid)")
+def prompt_rows(d: Domain) -> DataFrame:
+    a, b, c = _PROMPT.split("{}")
+    both = _joined(context_rows(d), ["section", "o1", "o2", "o3"], "line", "context").join(d.questions(), "qid")
+    return both.select("qid", F.concat(F.lit(a), "context", F.lit(b), "question", F.lit(c)).alias("prompt"))
+
+
+def answer_rows(d: Domain) -> DataFrame:
+    """(qid, section, o1, o2, line): figures of the latest period, at most four risks and four statements, or a summary, as the question's words select."""
+    asks = {k: reduce(lambda a, b: a | b, (F.contains(F.lower("question"), F.lit(w)) for w in words)) for k, words in INTENTS.items()}
+    q = d.questions().select("qid", *(e.alias(k) for k, e in asks.items()))
+    t = question_targets(d).join(q, "qid")
+    last = d.financial().groupBy("company_id").agg(F.max_by(F.struct("period", "revenue", "net_profit", "revenue_growth", "operating_margin", "currency"), "period").alias("m")).select("company_id", "m.*")
+    text, cur = F.concat, F.col("currency")
+    figures = text(F.lit("• "), "name", F.lit(" ("), "ticker", F.lit(") for "), "period", F.lit(": Revenue "), S.money_long(F.col("revenue"), cur), F.lit(" (Growth "), S.percent(F.col("revenue_growth"), "+"), F.lit("), Net Profit "), S.money_long(F.col("net_profit"), cur), F.lit(", Margin "), S.percent(F.col("operating_margin")))
+    row = lambda rows, k, o1, line: rows.select("qid", F.lit(k).alias("section"), o1.cast("long").alias("o1"), line.alias("line"))
+    perf = row(t.where("performance").join(last, "company_id"), 0, F.col("company_id"), figures)
+    risks = G.capped(t.where("risk").select("qid", "company_id", "ticker").join(risk_table(d), "company_id"), "qid", 4, "page_number", "id")
+    risks = row(risks, 1, F.col("nth"), text(F.lit("• "), "risk", F.lit(" ("), "ticker", F.lit("): "), "description", F.lit(" ["), "file_name", F.lit(", Page "), "page_number", F.lit("]")))
+    said = G.capped(t.join(guidance_table(d), "company_id"), "qid", 4, "company_id", F.desc("document_id"), "chunk_index", "pos")
+    said = row(said, 2, F.col("nth"), text(F.lit("• "), "ticker", F.lit(" ["), "category", F.lit("] ("), "period", F.lit('): "'), "statement", F.lit('" ['), "file_name", F.lit(", "), "page", F.lit("]")))
+    found = perf.unionByName(risks).unionByName(said)
+    quiet = t.where("not performance and not risk").join(found.select("qid").distinct(), "qid", "left_anti")
+    return found.unionByName(row(quiet, 3, F.col("company_id"), text(F.lit("• "), "name", F.lit(" ("), "ticker", F.lit("): monitored with filings, metrics and risk disclosures."))))
+
+
+_has = lambda k: "(" + " or ".join(f"contains(lower(question), {quoted(w)})" for w in INTENTS[k]) + ")"
+ANSWER_CTES = f"""{CONTEXT_CTES}, tq as (select tg.*, {_has('performance')} performance, {_has('risk')} asks_risk from tg join questions using (qid)),
+last_f as (select company_id, max(period) period, arg_max(revenue, period) revenue, arg_max(net_profit, period) net_profit, arg_max(currency, period) currency, max(period) || '' mp from fin group by 1),
+last_x as (select l.*, f.revenue_growth, f.operating_margin from last_f l join fin f on f.company_id = l.company_id and f.period = l.period),
+found as (
+  select qid, 0 section, t.company_id::bigint o1, '• ' || name || ' (' || ticker || ') for ' || period || ': Revenue ' || {long_money('revenue')} || ' (Growth ' || {pct('revenue_growth', '+')} || '), Net Profit ' || {long_money('net_profit')} || ', Margin ' || {pct('operating_margin')} line
+    from tq t join last_x l on l.company_id = t.company_id where performance union all
+  select qid, 1, n, '• ' || risk || ' (' || ticker || '): ' || description || ' [' || file_name || ', Page ' || page_number || ']' from (select qid, ticker, r.*, row_number() over (partition by qid order by page_number, r.id) n from tq t join rk r on r.company_id = t.company_id where asks_risk) where n <= 4 union all
+  select qid, 2, nth_q, '• ' || ticker || ' [' || category || '] (' || period || '): "' || statement || '" [' || file_name || ', ' || page || ']' from top_gd where nth_q <= 4),
+answer as (from found union all select qid, 3, company_id, '• ' || name || ' (' || ticker || '): monitored with filings, metrics and risk disclosures.' from tq where not performance and not asks_risk and qid not in (select qid from found))"""
+ANSWER_CTES = ANSWER_CTES.replace(" r.*, row_number() over (partition by qid order by page_number, r.id) n from", " r.* exclude n, row_number() over (partition by qid order by page_number, r.id) n from")
+
+
+@query(f", {ANSWER_CTES} select qid, section, o1, line from answer")
+def answer_sections(d: Domain) -> DataFrame:
+    return answer_rows(d)
+
+
+@query(f", {ANSWER_CTES} select qid, string_agg(line, chr(10) order by section, o1) || chr(10) || '> All facts come from the graph.' answer from answer group by 1")
+def answer_text(d: Domain) -> DataFrame:
+    return _joined(answer_rows(d), ["section", "o1"], "line", "answer").withColumn("answer", F.concat("answer", F.lit("\n> All facts come from the graph.")))
