@@ -12,6 +12,7 @@ from .catalog import query
 
 @query("select file_hash, any_value(strlen(text))::bigint n_bytes from reports group by 1")
 def stream_intake(d: Domain) -> DataFrame:
+    """The stream reads the folder, and of its files those of `documents`, be it one file or a folder of parts."""
     documents = d.table("documents")
-    stored = run_intake(d.spark, f"{d.folder}/documents.parquet", documents.schema, shared_path(d.spark, "intake"))
+    stored = run_intake(d.spark, d.folder, documents.schema, shared_path(d.spark, "intake"), "documents.parquet")
     return stored.select("file_hash", "n_bytes")

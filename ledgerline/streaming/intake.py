@@ -20,8 +20,8 @@ def new_contents(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(stored.select("file_hash"), "file_hash", "left_anti").select("doc_id", "file_hash", "n_bytes")
 
 
-def run_intake(spark: SparkSession, source: str, schema: T.StructType, folder: str, files_per_batch: int = 64) -> DataFrame:
-    """Take in all files of `source` that haven't been, batch by batch, and give the stored table.
+def run_intake(spark: SparkSession, source: str, schema: T.StructType, folder: str, files: str = "*", files_per_batch: int = 64) -> DataFrame:
+    """Take in all files of the folder `source` (or of its folder named `files`) that haven't been, batch by batch, and give the stored table.
 
     Checkpoint and table live under `folder`, so a later call goes on where this one ended.
     """
@@ -33,7 +33,10 @@ def run_intake(spark: SparkSession, source: str, schema: T.StructType, folder: s
         stored = session.read.schema(STORED).parquet(table).where(F.col("arrived") != number)
         new_contents(batch, stored).write.mode("overwrite").parquet(f"{table}/arrived={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{source}/{files}")
+    whole = files != "*" and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    stream = reader.parquet(f"{source}/{files}") if whole else reader.option("pathGlobFilter", files).parquet(source)
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(STORED).parquet(table)
