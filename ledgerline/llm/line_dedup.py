@@ -43,34 +43,55 @@ class Lines:
         self.begin = np.flatnonzero(cut)
         self.of = np.searchsorted(self.begin, words.first)
 
-    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word hashes, index of each line's first word) of each text."""
-        for a, b, x, y in zip(self.words.first[:-1].tolist(), self.words.first[1:].tolist(), self.of[:-1].tolist(), self.of[1:].tolist()):
-            yield self.hashes[a:b], self.begin[x:y] - a
+
+_POWERS = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
 
 
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    base = pow(int(ODD[6]), -1, 2**64) if inverse else int(ODD[6])
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))[:n]
+    if len(_POWERS[inverse]) < n:
+        base = pow(int(ODD[6]), -1, 2**64) if inverse else int(ODD[6])
+        _POWERS[inverse] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]))
+    return _POWERS[inverse][:n]
+
 
+def anchors(words: np.ndarray, begin: np.ndarray, of: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, anchor, span) of the lines of several texts that have an anchor.
 
-def anchors(words: np.ndarray, begin: np.ndarray, least: int) -> np.ndarray:
-    """For each line of a text, the hash of the shortest run of lines from it on with `least` words; runs that would pass the end are left out."""
+    Text i has words first[i]:first[i + 1] and lines of[i]:of[i + 1]; line u begins with word begin[u]. An anchor is the
+    hash of the shortest run of lines from this one on with `least` words; runs that would pass the text's end are left
+    out. The span is how long a common block can be that has this anchor and not the ones next to it: a block with the
+    line before in it would have that line's anchor, and one with the next line's run would have that. So the spans of a
+    block's anchors add up to at least its length.
+    """
+    n = len(begin)
+    text = np.repeat(np.arange(len(of) - 1), np.diff(of))
     edge = np.append(begin, len(words))
-    to = np.searchsorted(edge, begin + least)
-    to = edge[to[to < len(edge)]]
+    last, end = of[text + 1], first[text + 1]
+    stop = np.searchsorted(begin, begin + least)
+    to = np.where(stop < last, edge[np.minimum(stop, n)], end)
+    line = np.flatnonzero(begin + least <= end)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(len(words)), dtype=np.uint64)])
-    start = begin[: len(to)]
-    return mix((total[to] - total[start]) * _powers(len(words), inverse=True)[start] + (to - start).astype(np.uint64) * ODD[5])
+    start, to_ = begin[line], to[line]
+    anchor = mix((total[to_] - total[start]) * _powers(len(words), inverse=True)[start] + (to_ - start).astype(np.uint64) * ODD[5])
+    before = np.where(line > of[text[line]], edge[line - 1], first[text[line]] - 1)
+    after = np.where(line + 1 < last[line], to[np.minimum(line + 1, n - 1)], end[line])
+    return line, anchor, after - before - 1
 
 
 def _anchored(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = [np.unique(anchors(*part, least)).view(np.int64) for part in Lines(batch).parts()]
-                cut = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found)))], ["doc_id", "uid", "anchors"])
+                lines = Lines(batch)
+                line, anchor, span = anchors(lines.hashes, lines.begin, lines.of, lines.words.first, least)
+                text = np.searchsorted(lines.of, line, "right") - 1
+                order = np.lexsort((anchor, text))
+                text, anchor, span = text[order], anchor[order], span[order]
+                new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))) if len(anchor) else np.zeros(0, np.int64)
+                room = np.add.reduceat(span, new) if len(new) else span
+                cut = pa.array(np.searchsorted(text[new], np.arange(len(batch) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (anchor[new].view(np.int64), room.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *lists], ["doc_id", "uid", "anchors", "spans"])
 
     return run
 
@@ -83,7 +104,8 @@ def _wanted_anchors(wanted) -> Callable:
             found = column.values.to_numpy()[cut[0] : cut[-1]]
             keep = in_bitmap(wanted.value, found)
             at = pa.array(np.repeat(np.arange(len(batch)), np.diff(cut))[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), batch.column("doc_id").take(at), batch.column("uid").take(at)], ["anchor", "doc_id", "uid"])
+            room = batch.column("spans").values.to_numpy()[cut[0] : cut[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(room[keep]), batch.column("doc_id").take(at), batch.column("uid").take(at)], ["anchor", "span", "doc_id", "uid"])
 
     return run
 
@@ -92,12 +114,12 @@ def _worded(wanted) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column("uid").to_numpy())))
+                batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column("doc_id").to_numpy())))
                 if len(batch):
                     lines = Lines(batch)
                     begin = lines.begin - np.repeat(lines.words.first[:-1], np.diff(lines.of))
                     lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((lines.words.first, lines.hashes.view(np.int32)), (lines.of, begin.astype(np.int32)))]
-                    yield pa.RecordBatch.from_arrays([batch.column("uid"), *lists], ["uid", "words", "begin"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *lists], ["doc_id", "uid", "words", "begin"])
 
     return run
 
@@ -112,15 +134,11 @@ def _same(a: np.ndarray, b: np.ndarray, step: int = 64) -> int:
     return n
 
 
-def patience(later: np.ndarray, later_begin: np.ndarray, earlier: np.ndarray, earlier_begin: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Blocks of the later text's words that align with the earlier's."""
-    where: dict[int, int] = {}
-    for j, a in zip(earlier_begin.tolist(), anchors(earlier, earlier_begin, least).tolist()):
-        where.setdefault(a, j)
-    found = zip(later_begin.tolist(), anchors(later, later_begin, least).tolist())
-    left = [(i, where[a]) for i, a in found if a in where and later[i] == earlier[where[a]]]
+def patience(later: np.ndarray, earlier: np.ndarray, shared: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Blocks of the later text's words that align with the earlier's, from words where the same anchor begins."""
+    left = [(i, j) for i, j in shared if later[i] == earlier[j]]
     aligned = np.zeros(len(later), bool)
-    blocks = []
+    blocks: list[tuple[int, int]] = []
     while left:
         tails: list[int] = []
         ends: list[int] = []
@@ -141,23 +159,54 @@ def patience(later: np.ndarray, later_begin: np.ndarray, earlier: np.ndarray, ea
     return blocks
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    values, cut = column.values.to_numpy(), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+class _Side:
+    """The flat word and line lists of one side of a batch of pairs, with anchors by line."""
+
+    def __init__(self, batch: pa.RecordBatch, words: str, begin: str, least: int):
+        w, b = batch.column(words), batch.column(begin)
+        self.first, self.of = w.offsets.to_numpy().astype(np.int64), b.offsets.to_numpy().astype(np.int64)
+        self.words = w.values.to_numpy()[self.first[0] : self.first[-1]].view(np.uint32)
+        starts = b.values.to_numpy()[self.of[0] : self.of[-1]]
+        self.first, self.of = self.first - self.first[0], self.of - self.of[0]
+        self.begin = starts + np.repeat(self.first[:-1], np.diff(self.of))
+        line, self.anchor, _ = anchors(self.words, self.begin, self.of, self.first, least)
+        self.at = np.searchsorted(line, self.of)
+        self.word = starts[line]
+
+    def text(self, i: int) -> tuple[np.ndarray, list[int], list[int]]:
+        a, b = self.at[i], self.at[i + 1]
+        return self.words[self.first[i] : self.first[i + 1]], self.word[a:b].tolist(), self.anchor[a:b].tolist()
 
 
 def _aligned(least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                later, earlier, out = _Side(batch, "words", "begin", least), _Side(batch, "words2", "begin2", least), []
+                for i in range(len(batch)):
+                    words2, at2, anchors2 = earlier.text(i)
+                    where = dict(zip(reversed(anchors2), reversed(at2)))  # the first place of each
+                    words, at1, anchors1 = later.text(i)
+                    shared = [(x, where[a]) for x, a in zip(at1, anchors1) if a in where]
+                    out.append([{"from": a, "to": b} for a, b in patience(words, words2, shared)])
+                yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _SPANS)], ["uid", "blocks"])
+
+    return run
+
+
+def _screened(wanted, inside: bool) -> Callable:
+    """Rows whose uid may be in the bitmap, or the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(_lists(batch.column(c)) for c in ("words", "begin", "words2", "begin2")))
-            out = [[{"from": a, "to": b} for a, b in patience(w.view(np.uint32), x, v.view(np.uint32), y, least)] for w, x, v, y in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _SPANS)], ["uid", "blocks"])
+            yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column("uid").to_numpy()) == inside))
 
     return run
 
 
 def _cut(least: int) -> Callable:
-    """(doc_id, uid, text that is left, n_words, removed_words, removed_blocks) of rows with `blocks` to go."""
+    """(doc_id, uid, text that is left, removed_words, removed_blocks) of rows with `blocks` to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -181,15 +230,15 @@ def _cut(least: int) -> Callable:
                     if gone_blocks[i]:
                         texts_[i] = b"".join([*parts, data[at : offsets[i + 1]].tobytes()]).decode().rstrip(" \t\n\v\f\r")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("uid"), pa.array(texts_, pa.string()), pa.array(words.count), pa.array(gone_words), pa.array(gone_blocks)],
-                    ["doc_id", "uid", "text", "n_words", "removed_words", "removed_blocks"],
+                    [batch.column("doc_id"), batch.column("uid"), pa.array(texts_, pa.string()), pa.array(gone_words), pa.array(gone_blocks)],
+                    ["doc_id", "uid", "text", "removed_words", "removed_blocks"],
                 )
 
     return run
 
 
 def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: int = LEAST) -> DataFrame:
-    """(doc_id, uid, text, n_words, removed_words, removed_blocks), a row for each row of `documents` (doc_id, text).
+    """(doc_id, uid, text, removed_words, removed_blocks), a row for each row of `documents` (doc_id, text).
 
     Earlier means a smaller doc_id. A text all of which repeats becomes empty; texts without repeats, nulls included, stay
     as they are. A null doc_id is neither earlier nor later than any: its text stays. Rows that repeat a doc_id don't
@@ -198,21 +247,29 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     docs = texts(documents).withColumn("uid", F.xxhash64("doc_id", "text"))
     spark = documents.sparkSession
     known = docs.where("doc_id is not null and text is not null")
-    found = staged(known.mapInArrow(_anchored(anchor_words), "doc_id long, uid long, anchors array<long>"), "anchors")
-    each = found.select("doc_id", "uid", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min(F.struct("doc_id", "uid")).alias("e"), F.max("doc_id").alias("last")).where("e.doc_id < last")
-    shared = staged(shared.select("anchor", F.col("e.doc_id").alias("doc_id2"), F.col("e.uid").alias("uid2")), "shared")
+    found = staged(known.mapInArrow(_anchored(anchor_words), "doc_id long, uid long, anchors array<long>, spans array<int>"), "anchors")
+    each = found.select("doc_id", F.explode("anchors").alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("doc_id2"), F.max("doc_id").alias("last")).where("doc_id2 < last")
+    shared = staged(shared.drop("last"), "shared")
     wanted = spark.sparkContext.broadcast(bitmap(shared, "anchor"))
-    again = found.mapInArrow(_wanted_anchors(wanted), "anchor long, doc_id long, uid long")
-    pairs = staged(again.join(shared, "anchor").where("doc_id2 < doc_id").select("uid", "uid2").distinct(), "pairs")
-
-    ids = pairs.select(F.explode(F.array("uid", "uid2")).alias("uid")).distinct()
-    some = spark.sparkContext.broadcast(bitmap(ids, "uid"))
-    words = known.mapInArrow(_worded(some), "uid long, words array<int>, begin array<int>")
-    words = staged(words.join(ids, "uid", "left_semi").dropDuplicates(["uid"]), "words")
-    partner = words.select(F.col("uid").alias("uid2"), F.col("words").alias("words2"), F.col("begin").alias("begin2"))
-    both = pairs.join(words, "uid").join(partner, "uid2").select("uid", "words", "begin", "words2", "begin2")
+    again = found.mapInArrow(_wanted_anchors(wanted), "anchor long, span int, doc_id long, uid long")
+    pairs = again.join(shared, "anchor").where("doc_id2 < doc_id").groupBy("uid", "doc_id", "doc_id2").agg(F.sum("span").alias("most"))
+    pairs = staged(pairs.where(F.col("most") >= least_words).drop("most"), "pairs")
+
+    ids = pairs.select(F.explode(F.array("doc_id", "doc_id2")).alias("doc_id")).distinct()
+    some = spark.sparkContext.broadcast(bitmap(ids, "doc_id"))
+    words = known.mapInArrow(_worded(some), "doc_id long, uid long, words array<int>, begin array<int>")
+    words = staged(words, "words")  # rows that only collide in the bitmap find no pair below
+    partner = words.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc_id2"), F.col("words").alias("words2"), F.col("begin").alias("begin2"))
+    own = words.select("uid", "words", "begin").dropDuplicates(["uid"])
+    both = pairs.drop("doc_id").join(partner, "doc_id2").join(own, "uid").select("uid", "words", "begin", "words2", "begin2")
     aligned = both.mapInArrow(_aligned(anchor_words), "uid long, blocks array<struct<from: int, to: int>>")
-    aligned = aligned.groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
-    out = docs.join(aligned, "uid", "left").select("doc_id", "uid", "text", "blocks")
-    return out.mapInArrow(_cut(least_words), "doc_id long, uid long, text string, n_words long, removed_words long, removed_blocks long")
+    aligned = staged(aligned.groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "blocks")
+
+    with_blocks = spark.sparkContext.broadcast(bitmap(aligned, "uid"))
+    kind = "doc_id long, uid long, text string"
+    touched = docs.select("doc_id", "uid", "text").mapInArrow(_screened(with_blocks, True), kind).join(aligned, "uid", "left").select("doc_id", "uid", "text", "blocks")
+    others = docs.select("doc_id", "uid", "text").mapInArrow(_screened(with_blocks, False), kind)
+    zero = F.lit(0).cast("long")
+    cut = touched.mapInArrow(_cut(least_words), kind + ", removed_words long, removed_blocks long")
+    return cut.unionByName(others.withColumns({"removed_words": zero, "removed_blocks": zero}))

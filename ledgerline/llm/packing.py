@@ -108,7 +108,7 @@ def _pieces(json, spans: str, end_id: int, capacity: int, with_ids: bool) -> Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(json.value, spans)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, at = encoder(*text_buffer(batch.column("text")), end_id)
                 n = -(-np.diff(at) // capacity)
                 row = np.repeat(np.arange(len(batch)), n)

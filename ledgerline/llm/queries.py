@@ -99,7 +99,7 @@ from d left join hit using (doc_id) left join its using (doc_id)"""
 @register
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = dedup_lines(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_words", "removed_words", "removed_blocks", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return left.select("doc_id", "removed_words", "removed_blocks", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @register

@@ -53,7 +53,7 @@ def _tokenised(json, spans: str, end_id: int, width: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(json.value, spans)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, at = encoder(*text_buffer(batch.column("text")), end_id)
                 raw, step = ids.astype(width).tobytes(), np.dtype(width).itemsize
                 offsets = pa.py_buffer((at * step).astype(np.int32).tobytes())

@@ -84,7 +84,7 @@ def _counts(vocabulary) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cached(vocabulary.value)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 data, offsets = text_buffer(batch.column("text"))
                 start, end, first = word_spans(data, offsets)
                 values, _ = cache.look_up(data, start, end)
