@@ -1,7 +1,7 @@
 """WARC records in ZIP archives: written by Spark tasks, read back by byte ranges without extraction.
 
-An archive has two stored (uncompressed) members: archive/records.warc with the records, and indexes/records.idx with a
-line `offset length page` per record. The reader finds the central directory from the archive's end (the ZIP64 one where
+An archive has two stored members: archive/records.warc.gz with the records, each a gzip member of its own as WARC files
+have them, and indexes/records.idx with a line `offset length page` per record. The reader finds the central directory from the archive's end (the ZIP64 one where
 there is one), then each member's bytes, then the records' places from the index; it reads runs of whole records.
 """
 
@@ -11,6 +11,7 @@ import base64
 import hashlib
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import ship_code, staged
 
-RECORDS, INDEX = "archive/records.warc", "indexes/records.idx"
+RECORDS, INDEX = "archive/records.warc.gz", "indexes/records.idx"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -42,17 +43,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(WARC headers, HTTP head, payload) of records that lie end to end."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        block = data[end + 4 : end + 4 + int(head["Content-Length"])]
-        http, _, payload = block.partition(b"\r\n\r\n")
-        yield head, http, payload
-        at = end + 8 + len(block)
+def packed(data: bytes) -> bytes:
+    """One gzip member, the same for the same data."""
+    gzip = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return gzip.compress(data) + gzip.flush()
+
+
+def parse_record(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """(WARC headers, HTTP head, payload) of a record's gzip member."""
+    data = zlib.decompress(member, 31)
+    top, _, rest = data.partition(b"\r\n\r\n")
+    head = dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:])
+    http, _, payload = rest[: int(head["Content-Length"])].partition(b"\r\n\r\n")
+    return head, http, payload
 
 
 def _id(uri: str | None) -> int | None:
@@ -74,7 +77,7 @@ def _writer(folder: str, date: str, most_bytes: int) -> Callable:
                     with archive.open(RECORDS, "w", force_zip64=True) as member:
                         while row is not None and at < most_bytes:
                             payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-                            made = record(row["page_id"], row["url"], payload, digest(payload), row["refers_to"], date)
+                            made = packed(record(row["page_id"], row["url"], payload, digest(payload), row["refers_to"], date))
                             member.write(made)
                             index.append(f"{at} {len(made)} {'' if row['page_id'] is None else row['page_id']}\n")
                             at += len(made)
@@ -158,15 +161,15 @@ def _runs(run_bytes: int) -> Callable:
                     base = members[RECORDS][0]
                     at, size = members[INDEX]
                     places = [tuple(map(int, line.split(b" ")[:2])) for line in f.read_at(size, at).splitlines()]
-                rows, start, end = [], 0, 0
+                rows: list[dict] = []
+                size = 0
                 for offset, length in places:
-                    if end > start and offset + length - start > run_bytes:
-                        rows.append({"path": uri, "at": base + start, "n_bytes": end - start})
-                        start = offset
-                    end = offset + length
-                if places:
-                    rows.append({"path": uri, "at": base + start, "n_bytes": end - start})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("at", pa.int64()), ("n_bytes", pa.int64())]))
+                    if not rows or size + length > run_bytes:
+                        rows.append({"path": uri, "at": base + offset, "lengths": []})
+                        size = 0
+                    size += length
+                    rows[-1]["lengths"].append(length)
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("at", pa.int64()), ("lengths", pa.list_(pa.int64()))]))
 
     return run
 
@@ -182,9 +185,11 @@ def _read(with_payload: bool) -> Callable:
             for place in batch.to_pylist():
                 fs, path = FileSystem.from_uri(place["path"])
                 with fs.open_input_file(path) as f:
-                    data = f.read_at(place["n_bytes"], place["at"])
-                rows = []
-                for head, http, payload in parse_records(data):
+                    data = f.read_at(sum(place["lengths"]), place["at"])
+                rows, at = [], 0
+                for length in place["lengths"]:
+                    head, http, payload = parse_record(data[at : at + length])
+                    at += length
                     kind, stated = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and digest(payload) != stated:
                         raise ValueError(f"damaged record {head['WARC-Record-ID']} in {place['path']}")
@@ -195,7 +200,7 @@ def _read(with_payload: bool) -> Callable:
     return run
 
 
-def read_archives(spark: SparkSession, paths: DataFrame, with_payload: bool = True, run_bytes: int = 4 << 20) -> DataFrame:
+def read_archives(spark: SparkSession, paths: DataFrame, with_payload: bool = True, run_bytes: int = 1 << 20) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives in `paths` (path).
 
     A revisit's payload is null here; its size and digest are the full payload's. A response whose payload doesn't have
@@ -203,6 +208,6 @@ def read_archives(spark: SparkSession, paths: DataFrame, with_payload: bool = Tr
     """
     ship_code(spark)
     tasks = spark.sparkContext.defaultParallelism * 4
-    runs = paths.repartition(tasks, "path").mapInArrow(_runs(run_bytes), "path string, at long, n_bytes long").repartition(tasks, "path", "at")
+    runs = paths.repartition(tasks, "path").mapInArrow(_runs(run_bytes), "path string, at long, lengths array<long>").repartition(tasks, "path", "at")
     kind = "page_id long, url string, " + "payload binary, " * with_payload + "payload_bytes long, payload_digest string, record_type string, refers_to long"
     return runs.mapInArrow(_read(with_payload), kind)
