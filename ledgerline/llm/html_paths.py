@@ -28,6 +28,7 @@ INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("html body article section div main td th li ul ol table blockquote form nav aside footer header".split())
+NARROW = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody blockquote pre".split())  # too narrow for an article
 FURNITURE_TAGS = frozenset("head nav footer aside form header button menu dialog".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice "
@@ -47,10 +48,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("text", "path", "block", "furniture")
+    """A text node; `chain` numbers the elements that it is in, as `path` names them."""
 
-    def __init__(self, text: str, path: tuple[str, ...], block: int, furniture: bool):
-        self.text, self.path, self.block, self.furniture = text, path, block, furniture
+    __slots__ = ("text", "path", "chain", "block", "furniture")
+
+    def __init__(self, text: str, path: tuple[str, ...], chain: tuple[int, ...], block: int, furniture: bool):
+        self.text, self.path, self.chain, self.block, self.furniture = text, path, chain, block, furniture
 
 
 def _step(tag: str, attributes: str, top: bool) -> tuple[str, bool]:
@@ -64,26 +67,26 @@ def _step(tag: str, attributes: str, top: bool) -> tuple[str, bool]:
 def text_nodes(page: str) -> list[Node]:
     """The page's text nodes in order; elements left open are closed as browsers do for the common cases."""
     nodes: list[Node] = []
-    open_: list[tuple[str, str, bool]] = []  # tag, step, furniture
-    block, path, bad = 0, (), False
+    open_: list[tuple[str, str, bool, int]] = []  # tag, step, furniture, number
+    block, path, chain, bad, number = 0, (), (), False, 0
 
     def cut(to: int) -> None:
-        nonlocal path, bad, block
-        if any(tag not in INLINE for tag, _, _ in open_[to:]):
+        nonlocal path, chain, bad, block
+        if any(e[0] not in INLINE for e in open_[to:]):
             block += 1
         del open_[to:]
-        path, bad = tuple(s for _, s, _ in open_), any(f for _, _, f in open_)
+        path, chain, bad = tuple(e[1] for e in open_), tuple(e[3] for e in open_), any(e[2] for e in open_)
 
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
             if m[1] is None and page[m.start()] != "<" or m[0] == "<":
-                nodes.append(Node(m[0], path, block, bad))
+                nodes.append(Node(m[0], path, chain, block, bad))
             continue
         tag = tag.lower()
         if m[2]:
             at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if at is not None and not (tag in INLINE and any(t in SCOPE for t, _, _ in open_[at + 1 :])):
+            if at is not None and not (tag in INLINE and any(e[0] in SCOPE for e in open_[at + 1 :])):
                 cut(at)
             elif tag not in INLINE:
                 block += 1
@@ -99,11 +102,12 @@ def text_nodes(page: str) -> list[Node]:
         if tag not in INLINE:
             block += 1
         elif tag == "br" or tag == "img":
-            nodes.append(Node(" ", path, block, bad))
+            nodes.append(Node(" ", path, chain, block, bad))
         if tag not in VOID and not m[4].endswith("/"):
-            step, furniture = _step(tag, m[4], not any(t in ("article", "main") for t, _, _ in open_))
-            open_.append((tag, step, furniture))
-            path, bad = (*path, step), bad or furniture
+            step, furniture = _step(tag, m[4], not any(e[0] in ("article", "main") for e in open_))
+            number += 1
+            open_.append((tag, step, furniture, number))
+            path, chain, bad = (*path, step), (*chain, number), bad or furniture
     return nodes
 
 
@@ -117,7 +121,7 @@ def _shared(a: tuple, b: tuple) -> float:
 
 
 def content_paths(nodes: list[Node], radius: int = 2, share: float = 0.5) -> dict[tuple[str, ...], float]:
-    """Weight of each tag path that passes the threshold."""
+    """Weight per character of each tag path that passes the threshold."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     nodes = [n for n in nodes if n.text.strip() and not n.furniture]
     for n in nodes:
@@ -136,7 +140,7 @@ def content_paths(nodes: list[Node], radius: int = 2, share: float = 0.5) -> dic
         return {}
     values = list(best.values())
     bar = min(share * pstdev(values), max(values))
-    return {p: v * length[p] for p, v in best.items() if v >= bar}
+    return {p: v for p, v in best.items() if v >= bar}
 
 
 def main_text(page: str) -> str:
@@ -145,15 +149,17 @@ def main_text(page: str) -> str:
     paths = content_paths(nodes)
     if not paths:
         return ""
-    inside: dict[tuple[str, ...], float] = defaultdict(float)
-    for p, v in paths.items():
-        for i in range(len(p) + 1):
-            inside[p[:i]] += v
-    total = sum(paths.values())
-    root = max((p for p, v in inside.items() if v >= 0.6 * total and not (p and p[-1].split(".")[0] in INLINE | {"p", "h1", "h2", "h3"})), key=len, default=())
+    inside: dict[tuple[int, ...], float] = defaultdict(float)
+    for n in nodes:
+        weight = 0.0 if n.furniture else paths.get(n.path, 0.0) * len(n.text.strip())
+        for i, step in enumerate(n.path if weight else ()):
+            if step.split(".")[0] not in NARROW:
+                inside[n.chain[: i + 1]] += weight
+        inside[()] += weight
+    root = max((c for c, v in inside.items() if v >= 0.6 * inside[()]), key=len)
     blocks: dict[int, list[str]] = defaultdict(list)
     for n in nodes:
-        if not n.furniture and n.path[: len(root)] == root:
+        if not n.furniture and n.chain[: len(root)] == root:
             blocks[n.block].append(n.text)
     lines = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks.values())
     return "\n".join(line for line in lines if line)
