@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 Terms are lower-cased words and beginnings of longer words, so that unseen forms of a word still meet its kin. From a
-bounded sample of labelled texts, the terms that go with the label (chi-squared) make the vocabulary. The examples lie in
+bounded sample of labelled texts, the terms that go with the label (chi-squared) and mark texts that stronger ones don't make the vocabulary. The examples lie in
 blocks; the index keeps for each term its postings and the largest weight in each block, and blocks whose bound can't
 reach the k-th best are never opened.
 """
@@ -99,11 +99,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, least_texts: int = 4, least_chi2: float = 25.0) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, least_texts: int = 4, least_chi2: float = 25.0, least_precision: float = 0.9) -> Model:
     """Fit on up to `examples` labelled texts of each class, by the order of their ids' hash, and up to `terms` terms.
 
     Only labels whose crc32(doc_id as text) mod 3 isn't 1 are used. Null labels and ids are left out; of repeated labels
-    the larger counts, of repeated documents one. With no examples every score is the prior 0.
+    the larger counts, of repeated documents one. With no examples every score is the prior 0. A term must go with the
+    label beyond chance, and of the texts that have it, at the labels' own rate, `least_precision` must be toxic; else words
+    of a much-copied toxic text would mark its clean copies.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -120,17 +122,40 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     rate = n_toxic / max(n, 1)
     usual = F.col("df") * F.lit(rate)
     chi2 = F.pow(F.col("p") - usual, 2) / (usual * F.lit(max(1 - rate, 1e-9)))
-    chosen = (seen.withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(terms) if 0 < n_toxic < n else seen.limit(0)).select("term", "df").collect()
-    hashes = np.array([r.term for r in chosen], np.int64).view(np.uint64)
+    toxic_mass = F.col("p") * F.lit(total.get(1, 0) / max(n_toxic, 1))
+    clean_mass = (F.col("df") - F.col("p")) * F.lit(total.get(0, 0) / max(n - n_toxic, 1))
+    marks = (F.col("chi2") >= least_chi2) & (toxic_mass >= least_precision * (toxic_mass + clean_mass))
+    chosen = (seen.withColumn("chi2", chi2).where(marks).orderBy(F.desc("chi2"), "term").limit(terms) if 0 < n_toxic < n else seen.limit(0)).select("term", "df").collect()
+    picks = rows.select("doc_id", F.posexplode("terms").alias("i", "term"), "counts").select("doc_id", "term", F.element_at("counts", F.col("i") + 1).alias("n"))
+    candidates = documents.sparkSession.createDataFrame([(r.term,) for r in chosen], "term long")  # at most `terms` rows
+    triples = picks.join(F.broadcast(candidates), "term").select("doc_id", "term", "n").collect()  # of at most 2 * examples texts
+    toxic = {r.doc_id: r.toxic for r in rows.select("doc_id", "toxic").collect()}
+    kept = _covering([r.term for r in chosen], triples, toxic)
+    df = {r.term: r.df for r in chosen}
+    hashes = np.array(kept, np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    vocabulary = hashes[order]
-    idf = np.log((1 + n) / (1 + np.array([r.df for r in chosen], float)))[order] + 1
+    idf = np.log((1 + n) / (1 + np.array([df[t] for t in kept], float)))[order] + 1
+    wanted = set(kept)
+    return _index(hashes[order], idf, toxic, [t for t in triples if t.term in wanted], total, prior)
 
-    picks = rows.select("doc_id", F.posexplode("terms").alias("i", "term"), "counts").select("doc_id", "term", F.element_at("counts", F.col("i") + 1).alias("n"))
-    terms_df = documents.sparkSession.createDataFrame([(r.term,) for r in chosen], "term long")
-    triples = picks.join(F.broadcast(terms_df), "term").select("doc_id", "term", "n").collect()
-    people = rows.select("doc_id", "toxic").collect()
-    return _index(vocabulary, idf, {r.doc_id: r.toxic for r in people}, triples, total, prior)
+
+def _covering(terms: list[int], triples: list, toxic: dict[int, int], least_new: int = 2) -> list[int]:
+    """The terms, strongest first, that mark at least `least_new` toxic examples which no stronger one marks.
+
+    Words that only come along in copies of one toxic text mark nothing new beside its telling words.
+    """
+    having: dict[int, set[int]] = {}
+    for t in triples:
+        if toxic[t.doc_id]:
+            having.setdefault(t.term, set()).add(t.doc_id)
+    covered: set[int] = set()
+    kept = []
+    for term in terms:
+        new = having.get(term, set()) - covered
+        if len(new) >= least_new:
+            kept.append(term)
+            covered |= new
+    return kept
 
 
 def _index(vocabulary: np.ndarray, idf: np.ndarray, toxic: dict[int, int], triples: list, total: dict[int, int], prior: float) -> Model:

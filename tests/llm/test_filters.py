@@ -7,10 +7,11 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Row
 
 from ledgerline.llm.decision_list import quality, text_statistics
 from ledgerline.llm.decontaminate import contamination
-from ledgerline.llm.toxicity import fit, score
+from ledgerline.llm.toxicity import _index, fit, score
 
 from ..oracle import check
 
@@ -120,18 +121,20 @@ def test_held_out_texts_score_right(spark, abuse):
     assert all(e.toxic for e in got[0].evidence) and all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_search_is_exact(spark, abuse):
+def test_search_is_exact():
     import numpy as np
 
-    docs, labels = abuse
-    model = fit(docs, labels, least_chi2=1.0)
-    dense = np.zeros((len(model.example), len(model.terms)))
-    blocks = model.most.shape[1]
-    for t in range(len(model.terms)):
-        for b in range(blocks):
+    rng = np.random.default_rng(7)
+    terms = np.sort(rng.integers(0, 2**63, 60).astype(np.uint64))
+    triples = [Row(doc_id=int(d), term=int(t), n=int(rng.integers(1, 5))) for d in range(700) for t in rng.choice(terms, 5, replace=False)]
+    model = _index(terms, rng.random(60) + 0.5, {d: d % 2 for d in range(701)}, triples, {0: 900, 1: 400}, 0.3)
+    dense = np.zeros((-(-len(model.example) // 64) * 64, len(terms)))
+    for t in range(len(terms)):
+        for b in range(model.most.shape[1]):
             x, y = model.cut[t, b], model.cut[t, b + 1]
             dense[b * 64 + model.doc[x:y], t] = model.value[x:y]
-    assert np.allclose(np.sqrt((dense**2).sum(axis=1)), 1)
+            assert model.most[t, b] == max(model.value[x:y], default=0)
+    assert np.allclose(np.sqrt((dense[:700] ** 2).sum(axis=1)), 1)
     rng = np.random.default_rng(3)
     for _ in range(50):
         at = np.sort(rng.choice(len(model.terms), 6, replace=False))
