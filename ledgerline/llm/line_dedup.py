@@ -3,8 +3,8 @@
 A text's lines are broken after sentence ends too, and lines of over LONG words before words of certain hashes, so that a
 passage within a long line is found. A run of lines with at least ANCHOR words is an anchor. A document is paired with the earliest document of each anchor that it shares - links
 in number of anchors, however many documents share one. Each pair is aligned by patience: shared anchors in rising order
-in both (a longest increasing subsequence), extended both ways word by word, then again over what is left. Aligned words
-of all of a document's pairs are united, and blocks of at least LEAST words go from the later document.
+in both (a longest increasing subsequence), extended both ways word by word, then again over what is left. Blocks of
+at least LEAST words go from the later document.
 """
 
 from __future__ import annotations
@@ -178,7 +178,7 @@ class _Side:
         return self.words[self.first[i] : self.first[i + 1]], self.word[a:b].tolist(), self.anchor[a:b].tolist()
 
 
-def _aligned(least: int) -> Callable:
+def _aligned(least: int, least_block: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
@@ -189,7 +189,7 @@ def _aligned(least: int) -> Callable:
                     where = dict(zip(reversed(anchors2), reversed(at2)))  # the first place of each
                     words, at1, anchors1 = later.text(i)
                     shared = [(x, where[a]) for x, a in zip(at1, anchors1) if a in where]
-                    out.append([{"from": a, "to": b} for a, b in patience(words, words2, shared)])
+                    out.append([{"from": a, "to": b} for a, b in patience(words, words2, shared) if b - a >= least_block])
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _SPANS)], ["uid", "blocks"])
 
     return run
@@ -263,7 +263,7 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     partner = words.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc_id2"), F.col("words").alias("words2"), F.col("begin").alias("begin2"))
     own = words.select("uid", "words", "begin").dropDuplicates(["uid"])
     both = pairs.drop("doc_id").join(partner, "doc_id2").join(own, "uid").select("uid", "words", "begin", "words2", "begin2")
-    aligned = both.mapInArrow(_aligned(anchor_words), "uid long, blocks array<struct<from: int, to: int>>")
+    aligned = both.mapInArrow(_aligned(anchor_words, least_words), "uid long, blocks array<struct<from: int, to: int>>")
     aligned = staged(aligned.groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "blocks")
 
     with_blocks = spark.sparkContext.broadcast(bitmap(aligned, "uid"))
