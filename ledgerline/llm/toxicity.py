@@ -1,26 +1,30 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are lower-cased words and beginnings of longer words, so that unseen forms of a word still meet its kin. From a
-bounded sample of labelled texts, the terms that go with the label (chi-squared) and mark texts that stronger ones don't make the vocabulary. The examples lie in
-blocks; the index keeps for each term its postings and the largest weight in each block, and blocks whose bound can't
-reach the k-th best are never opened.
+Terms are lower-cased words and beginnings of longer words, so that unseen forms of a word still meet its kin. Every term
+of the labelled examples, of both classes, is in the index; its smoothed IDF is multiplied by how far it goes with the
+label, which has no threshold: a term that says nothing keeps a small weight. The examples lie in blocks; the index keeps
+for each term its postings and the largest weight in each block, and blocks whose bound can't reach the k-th best are
+never opened.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, LOWER, ODD, Words, mix, slices, span_hashes, text_buffer
-from .shared import staged, texts
+from .shared import texts
 
-#: Bounds of the fit: labelled examples of each class, and terms.
-EXAMPLES, TERMS = 2000, 4096
+#: Bounds of the fit: labelled examples of each class, and terms. 2 x 2000 texts of usual length have about 220,000 terms, so
+#: the second one only holds if examples are very long; then the terms with the largest weights stay.
+EXAMPLES, TERMS = 2000, 1 << 20
 HEADS, LONG = (4, 5), 7  # bytes of a word's beginning that are terms too, of words of at least LONG bytes
 NEIGHBOURS, BLOCK = 15, 64
 
@@ -39,17 +43,37 @@ def term_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    idf: np.ndarray  # times the association with the label
     example: np.ndarray  # doc_id of each example, block by block
     toxic: np.ndarray
     weight: np.ndarray  # of an example's vote
-    cut: np.ndarray  # [term, block]: where the postings of a term in a block begin; the next block's place ends them
+    first: np.ndarray  # the entries of term t, one for each block with postings of it, are first[t]:first[t + 1]
+    block: np.ndarray  # of each entry
+    start: np.ndarray  # the postings of entry e are start[e]:start[e + 1]
+    best: np.ndarray  # largest value of each entry
     doc: np.ndarray  # postings: place of the example in its block
     value: np.ndarray
-    most: np.ndarray  # [term, block]: largest value
     empty_score: float
     prior: float
 
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.example) // BLOCK)
+
+    @cached_property
+    def cut(self) -> np.ndarray:
+        """[term, block], dense: where the postings of a term in a block begin; the next block's place ends them."""
+        key = np.repeat(np.arange(len(self.terms)), np.diff(self.first)) * self.blocks + self.block
+        at = np.arange(len(self.terms))[:, None] * self.blocks + np.arange(self.blocks + 1)
+        return self.start[np.searchsorted(key, at)]
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        """[term, block], dense: largest value."""
+        out = np.zeros((len(self.terms), self.blocks), self.best.dtype)
+        out[np.repeat(np.arange(len(self.terms)), np.diff(self.first)), self.block] = self.best
+        return out
+
     def vectors(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term number, weight) triples of unit vectors, by text and term."""
         term, owner = term_hashes(batch)
@@ -65,26 +89,46 @@ class Model:
 
     def nearest(self, at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k examples nearest to a unit vector, best first, ties by place; only cosines over 0."""
-        bound = value @ self.most[at]
+        own, entry = _ranges(self.first[at], self.first[at + 1])
+        block = self.block[entry]
+        bound = np.bincount(block, value[own] * self.best[entry], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(scores) == k and bound[b] < scores[-1] - 1e-6:
+        opened = 0
+        while opened < len(order):
+            least = scores[-1] - 1e-6 if len(scores) == k else 0.0
+            some = order[opened : 2 if not opened else None]
+            some = some[bound[some] >= least]
+            if not len(some):
                 break
-            own = np.zeros(BLOCK)
-            for t, v in zip(at.tolist(), value.tolist()):
-                x, y = self.cut[t, b], self.cut[t, b + 1]
-                own[self.doc[x:y]] += v * self.value[x:y]
-            hit = np.flatnonzero(own)
-            places, scores = np.concatenate([places, b * BLOCK + hit]), np.concatenate([scores, own[hit]])
-            order = np.lexsort((places, -np.round(scores, 9)))[:k]
-            places, scores = places[order], scores[order]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[some] = True
+            pick = np.flatnonzero(wanted[block])
+            of, posting = _ranges(self.start[entry[pick]], self.start[entry[pick] + 1])
+            place = block[pick][of].astype(np.int64) * BLOCK + self.doc[posting]
+            cosine = np.bincount(place, value[own[pick]][of] * self.value[posting])
+            hit = np.flatnonzero(cosine)
+            if len(hit) > k:
+                hit = hit[cosine[hit] >= np.partition(cosine[hit], -k)[-k] - 1e-8]
+            places, scores = np.concatenate([places, hit]), np.concatenate([scores, cosine[hit]])
+            best = np.lexsort((places, -np.round(scores, 9)))[:k]
+            places, scores = places[best], scores[best]
+            opened = 2 if not opened else len(order)
         return places, scores
 
     def score(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        vote = self.weight[places] / (1.05 - np.minimum(cosines, 1.0)) * cosines
+        vote = self.weight[places] / (1.05 - np.minimum(cosines, 1.0)) * cosines**3
         return float((vote @ self.toxic[places] + 0.05 * self.prior) / (vote.sum() + 0.05))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, value) of all values in the ranges start[i]:end[i]."""
+    size = (end - start).astype(np.int64)
+    own = np.repeat(np.arange(len(size)), size)
+    return own, np.arange(len(own)) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -99,13 +143,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, least_texts: int = 4, least_chi2: float = 25.0, least_precision: float = 0.9) -> Model:
+def association(df: np.ndarray, p: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """How far terms in df of n texts, p of them toxic, go with the label: 0.1 and up, smooth in all counts."""
+    rate = n_toxic / max(n, 1)
+    z = (p - df * rate) / np.sqrt(df * rate * (1 - rate) + 1)
+    return 0.1 + (z * (2 * p / df - 1)) ** 2
+
+
+def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """Fit on up to `examples` labelled texts of each class, by the order of their ids' hash, and up to `terms` terms.
 
     Only labels whose crc32(doc_id as text) mod 3 isn't 1 are used. Null labels and ids are left out; of repeated labels
-    the larger counts, of repeated documents one. With no examples every score is the prior 0. A term must go with the
-    label beyond chance, and of the texts that have it, at the labels' own rate, `least_precision` must be toxic; else words
-    of a much-copied toxic text would mark its clean copies.
+    the larger counts, of repeated documents one. With no examples every score is the prior 0.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -114,55 +163,37 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * examples ids
     rows = texts(documents).join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
-    rows = staged(rows.mapInArrow(_counted, "doc_id long, toxic int, terms array<long>, counts array<int>"), "examples")
-    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows = rows.mapInArrow(_counted, "doc_id long, toxic int, terms array<long>, counts array<int>").toArrow().combine_chunks()  # of at most 2 * examples texts
+    ids, label = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy()
+    order = np.argsort(ids)
+    size = pc.list_value_length(rows["terms"]).to_numpy()
+    row = np.repeat(np.argsort(order), size)
+    term = pc.list_flatten(rows["terms"]).to_numpy().view(np.uint64)
+    count = pc.list_flatten(rows["counts"]).to_numpy()
+    ids, label = ids[order], label[order]
+
+    vocabulary, at, df = np.unique(term, return_inverse=True, return_counts=True)
+    p = np.bincount(at, label[row], len(vocabulary))
+    idf = (np.log((1 + len(ids)) / (1 + df)) + 1) * association(df, p, len(ids), int(label.sum()))
+    if len(vocabulary) > terms:
+        stay = np.sort(np.argsort(-idf, kind="stable")[:terms])
+        new = np.full(len(vocabulary), -1)
+        new[stay] = np.arange(terms)
+        inside = new[at] >= 0
+        vocabulary, idf, at, row, count = vocabulary[stay], idf[stay], new[at][inside], row[inside], count[inside]
     prior = total.get(1, 0) / max(1, sum(total.values()))
-
-    seen = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("p")).where(F.col("df") >= least_texts)
-    rate = n_toxic / max(n, 1)
-    usual = F.col("df") * F.lit(rate)
-    chi2 = F.pow(F.col("p") - usual, 2) / (usual * F.lit(max(1 - rate, 1e-9)))
-    toxic_mass = F.col("p") * F.lit(total.get(1, 0) / max(n_toxic, 1))
-    clean_mass = (F.col("df") - F.col("p")) * F.lit(total.get(0, 0) / max(n - n_toxic, 1))
-    marks = (F.col("chi2") >= least_chi2) & (toxic_mass >= least_precision * (toxic_mass + clean_mass))
-    chosen = (seen.withColumn("chi2", chi2).where(marks).orderBy(F.desc("chi2"), "term").limit(terms) if 0 < n_toxic < n else seen.limit(0)).select("term", "df").collect()
-    picks = rows.select("doc_id", F.posexplode("terms").alias("i", "term"), "counts").select("doc_id", "term", F.element_at("counts", F.col("i") + 1).alias("n"))
-    candidates = documents.sparkSession.createDataFrame([(r.term,) for r in chosen], "term long")  # at most `terms` rows
-    triples = picks.join(F.broadcast(candidates), "term").select("doc_id", "term", "n").collect()  # of at most 2 * examples texts
-    toxic = {r.doc_id: r.toxic for r in rows.select("doc_id", "toxic").collect()}
-    kept = _covering([r.term for r in chosen], triples, toxic)
-    df = {r.term: r.df for r in chosen}
-    hashes = np.array(kept, np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    idf = np.log((1 + n) / (1 + np.array([df[t] for t in kept], float)))[order] + 1
-    wanted = set(kept)
-    return _index(hashes[order], idf, toxic, [t for t in triples if t.term in wanted], total, prior)
-
-
-def _covering(terms: list[int], triples: list, toxic: dict[int, int], least_new: int = 2) -> list[int]:
-    """The terms, strongest first, that mark at least `least_new` toxic examples which no stronger one marks.
-
-    Words that only come along in copies of one toxic text mark nothing new beside its telling words.
-    """
-    having: dict[int, set[int]] = {}
-    for t in triples:
-        if toxic[t.doc_id]:
-            having.setdefault(t.term, set()).add(t.doc_id)
-    covered: set[int] = set()
-    kept = []
-    for term in terms:
-        new = having.get(term, set()) - covered
-        if len(new) >= least_new:
-            kept.append(term)
-            covered |= new
-    return kept
+    return _indexed(vocabulary, idf, dict(zip(ids.tolist(), label.tolist())), at, ids[row], count, total, prior)
 
 
 def _index(vocabulary: np.ndarray, idf: np.ndarray, toxic: dict[int, int], triples: list, total: dict[int, int], prior: float) -> Model:
-    """The block-max index of the examples that have terms; like examples lie together, by their weightiest term."""
+    """The index of examples given as rows of doc_id, term and n."""
     at = np.searchsorted(vocabulary, np.array([t.term for t in triples], np.int64).view(np.uint64)) if triples else np.zeros(0, np.int64)
-    ids = np.array([t.doc_id for t in triples], np.int64)
-    value = (1 + np.log(np.array([t.n for t in triples], float))) * idf[at]
+    return _indexed(vocabulary, idf, toxic, at, np.array([t.doc_id for t in triples], np.int64), np.array([t.n for t in triples], np.int64), total, prior)
+
+
+def _indexed(vocabulary: np.ndarray, idf: np.ndarray, toxic: dict[int, int], at: np.ndarray, ids: np.ndarray, n: np.ndarray, total: dict[int, int], prior: float) -> Model:
+    """The block-max index of the examples that have terms; like examples lie together, by their weightiest term."""
+    value = (1 + np.log(n)) * idf[at]
     people, owner = np.unique(ids, return_inverse=True)
     value /= np.sqrt(np.bincount(owner, value**2, len(people)))[owner]
     top = np.full(len(people), -1)
@@ -175,18 +206,19 @@ def _index(vocabulary: np.ndarray, idf: np.ndarray, toxic: dict[int, int], tripl
     blocks = -(-len(people) // BLOCK)
     key = at * blocks + owner // BLOCK
     order = np.lexsort((owner, key))
-    edges = np.searchsorted(key[order], np.arange(len(vocabulary) * blocks + 1))
-    cut = np.empty((len(vocabulary), blocks + 1), np.int64)
-    cut[:, :-1], cut[:, -1] = edges[:-1].reshape(len(vocabulary), blocks), edges[blocks::blocks] if blocks else 0
-    most = np.zeros((len(vocabulary), blocks))
-    np.maximum.at(most.reshape(-1), key, value)
+    key, value, owner = key[order], value[order].astype(np.float32), owner[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    first = np.searchsorted(key[new], np.arange(len(vocabulary) + 1) * blocks).astype(np.int32)
+    best = np.maximum.reduceat(value, new) if len(new) else value
     label = np.array([toxic[i] for i in people.tolist()], float)
     drawn = {y: max(1, sum(1 for v in toxic.values() if v == y)) for y in (0, 1)}
     share = {y: total.get(y, 0) / drawn[y] for y in (0, 1)}
     weight = np.where(label == 1, share[1], share[0]) / max(share.values(), default=1) if len(people) else np.zeros(0)
     empty = set(toxic) - set(people.tolist())
     mass = [sum(share[y] for i in empty if toxic[i] == y) for y in (0, 1)]
-    return Model(vocabulary, idf, people, label, weight, cut, owner[order] % BLOCK, value[order], most, (mass[1] + prior) / (sum(mass) + 1), prior)
+    block = (key[new] % max(blocks, 1)).astype(np.int32)
+    start = np.append(new, len(key)).astype(np.int32)
+    return Model(vocabulary, idf, people, label, weight, first, block, start, best, (owner % BLOCK).astype(np.int16), value, (mass[1] + prior) / (sum(mass) + 1), prior)
 
 
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))

@@ -153,3 +153,19 @@ def test_scores_of_odd_rows(spark, abuse):
     none = fit(docs.limit(0), labels)
     assert score(docs.limit(3), none).count() == 3 and score(docs.limit(0), none).count() == 0
     assert {r.score for r in score(docs.limit(3), fit(docs, labels.limit(0))).collect()} == {0.0}
+
+
+def test_all_terms_of_both_classes_count(spark):
+    """A toxic word that always came beside a stronger one, one in three texts, and a copy of a labelled toxic text."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("klmnopqr") for _ in range(rng.randint(3, 6))) for _ in range(300)]
+    text = lambda *more: " ".join([*(rng.choice(plain) for _ in range(30)), *more])
+    used = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = {i: (text("schurke", *["wicht"] * (k % 8 == 0)) if k % 4 == 0 else text(), int(k % 4 == 0)) for k, i in enumerate(used)}
+    rows |= {i: (text("knilch"), 1) for i in used[1:13:4]}
+    rows[used[2]] = ("ganz eigene Worte ohne Makel", 1)
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, (t, _) in rows.items()], DOCS)
+    model = fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in rows.items()], "doc_id long, toxic int"))
+    new = [text("wicht"), text("knilch"), rows[used[2]][0], *(text() for _ in range(50))]
+    got = [r.score >= 0.7 for r in sorted(score(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(new)], DOCS), model).collect(), key=lambda r: r.doc_id)]
+    assert got[:3] == [True] * 3 and not any(got[3:])
