@@ -77,3 +77,13 @@ def test_packed_pieces_hold_all_tokens(stages):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 100
+
+
+def test_toxic_stage_against_the_labels(spark):
+    """Held-out labels, not the stage's own scores: toxic documents go even with few labels, clean ones stay."""
+    for folder, least, clean_gone in ((FOLDER, 1, 0), ("/root/testdata/sf0.01", 13, 1)):
+        docs = table(spark, folder, "documents").select(*corpus_pipeline.COLUMNS)
+        held = {r.doc_id: r.toxic for r in table(spark, folder, "labels").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1").collect()}
+        left = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, folder).select("doc_id").collect()}
+        assert sum(y == 1 and i not in left for i, y in held.items()) >= least
+        assert sum(y == 0 and i not in left for i, y in held.items()) <= clean_gone
