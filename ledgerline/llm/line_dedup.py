@@ -1,10 +1,11 @@
-"""Passages that repeat across documents: pairwise alignment of later documents with earlier ones.
-
-A text's lines are broken after sentence ends too, and lines of over LONG words before words of certain hashes, so that a
-passage within a long line is found. A run of lines with at least ANCHOR words is an anchor. A document is paired with the earliest document of each anchor that it shares - links
-in number of anchors, however many documents share one. Each pair is aligned by patience: shared anchors in rising order
-in both (a longest increasing subsequence), extended both ways word by word, then again over what is left. Blocks of
-at least LEAST words go from the later document.
+"""Passages that repeat across documents: pairwise alignment of later documents with earlier ones, then an exact rest.
+
+A window is a run of LEAST words; its anchor is the run of ANCHOR words in it with the least hash, so equal windows have
+equal anchors, whatever is around them. A document is paired with the earliest document of each window that begins with an
+anchor - links in number of anchors, however many documents share one. Each pair is aligned by patience: shared anchors in
+rising order in both (a longest increasing subsequence), extended both ways word by word, then again over what is left.
+Blocks of at least LEAST words go from the later document. Windows inside no block whose anchor another document shares are
+then compared by themselves: those that an earlier document has go too, wherever in it they are.
 """
 
 from __future__ import annotations
@@ -20,28 +21,15 @@ from pyspark.sql import functions as F
 from .arrays import NOT_SPACE, ODD, Words, mix, slices, span_hashes, text_buffer
 from .shared import bitmap, in_bitmap, staged, texts
 
-ANCHOR, LEAST, LONG = 12, 50, 24
-_STOP = np.zeros(256, bool)
-_STOP[[33, 46, 63]] = True  # ! . ?
+ANCHOR, LEAST = 12, 50
 _SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
-class Lines:
-    """Lines of a batch. Line u begins with word begin[u]; text i has lines of[i]:of[i + 1]; `hashes` are 32 bits of each word's."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.data, self.offsets = text_buffer(batch.column("text"))
-        self.words = words = Words(self.data, self.offsets, NOT_SPACE)
-        cut = np.zeros(len(words.start), bool)
-        if len(cut):
-            breaks = np.concatenate([[0], np.cumsum(self.data == 10)])
-            cut[1:] = (breaks[words.start[1:]] > breaks[words.end[:-1]]) | _STOP[self.data[words.end[:-1] - 1]]
-            cut[words.first[:-1][words.count > 0]] = True
-        self.hashes = (span_hashes(self.data, words.start, words.end) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        size = np.diff(np.append(np.flatnonzero(cut), len(cut)))
-        cut |= (np.repeat(size, size) > LONG) & (self.hashes & np.uint32(7) == 0)  # long lines break before certain words
-        self.begin = np.flatnonzero(cut)
-        self.of = np.searchsorted(self.begin, words.first)
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(32 bits of each word's hash, first): text i has words first[i]:first[i + 1]."""
+    data, offsets = text_buffer(batch.column("text"))
+    words = Words(data, offsets, NOT_SPACE)
+    return (span_hashes(data, words.start, words.end) & np.uint64(0xFFFFFFFF)).astype(np.uint32), words.first
 
 
 _POWERS = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
@@ -54,72 +42,125 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     return _POWERS[inverse][:n]
 
 
-def anchors(words: np.ndarray, begin: np.ndarray, of: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, anchor, span) of the lines of several texts that have an anchor.
+def _over(x: np.ndarray, n: int, what: np.ufunc) -> np.ndarray:
+    """The minimum or maximum of each n values in a row."""
+    k = 1
+    while 2 * k <= n:
+        x = what(x[:-k], x[k:])
+        k *= 2
+    return what(x[: len(x) - (n - k)], x[n - k :])
+
+
+class Windows:
+    """Windows of `least` words in several texts; text i has words first[i]:first[i + 1].
 
-    Text i has words first[i]:first[i + 1] and lines of[i]:of[i + 1]; line u begins with word begin[u]. An anchor is the
-    hash of the shortest run of lines from this one on with `least` words; runs that would pass the text's end are left
-    out. The span is how long a common block can be that has this anchor and not the ones next to it: a block with the
-    line before in it would have that line's anchor, and one with the next line's run would have that. So the spans of a
-    block's anchors add up to at least its length.
+    Window s begins with word s; where `inside` is False it would pass its text's end. `anchor` is the least hash of the
+    runs of n words in it.
     """
-    n = len(begin)
-    text = np.repeat(np.arange(len(of) - 1), np.diff(of))
-    edge = np.append(begin, len(words))
-    last, end = of[text + 1], first[text + 1]
-    stop = np.searchsorted(begin, begin + least)
-    to = np.where(stop < last, edge[np.minimum(stop, n)], end)
-    line = np.flatnonzero(begin + least <= end)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(len(words)), dtype=np.uint64)])
-    start, to_ = begin[line], to[line]
-    anchor = mix((total[to_] - total[start]) * _powers(len(words), inverse=True)[start] + (to_ - start).astype(np.uint64) * ODD[5])
-    before = np.where(line > of[text[line]], edge[line - 1], first[text[line]] - 1)
-    after = np.where(line + 1 < last[line], to[np.minimum(line + 1, n - 1)], end[line])
-    return line, anchor, after - before - 1
-
-
-def _anchored(least: int) -> Callable:
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, n: int, least: int):
+        self.n, self.least, self.total = n, least, np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(len(words)), dtype=np.uint64)])
+        if len(words) < least:
+            self.runs = self.anchor = np.zeros(0, np.uint64)
+            self.inside = np.zeros(0, bool)
+            return
+        self.runs = self._hash(np.arange(len(words) - n + 1), n)
+        self.anchor = _over(self.runs, least - n + 1, np.minimum)
+        self.inside = np.arange(len(self.anchor)) + least <= np.repeat(first[1:], np.diff(first))[: len(self.anchor)]
+
+    def _hash(self, start: np.ndarray, n: int) -> np.ndarray:
+        return mix((self.total[start + n] - self.total[start]) * _powers(len(self.total), inverse=True)[start] + np.uint64(n) * ODD[5])
+
+    def hashes(self, start: np.ndarray) -> np.ndarray:
+        return self._hash(start, self.least)
+
+    def anchors(self) -> np.ndarray:
+        """The words that anchors begin with, ties included."""
+        if not len(self.anchor):
+            return np.zeros(0, np.int64)
+        edge = np.zeros(self.least - self.n, np.uint64)
+        known = np.where(self.inside, self.anchor, np.uint64(0))
+        return np.flatnonzero(_over(np.concatenate([edge, known, edge]), self.least - self.n + 1, np.maximum) == self.runs)
+
+
+def _lists(text: np.ndarray, key: np.ndarray, rows: int) -> pa.ListArray:
+    """The distinct keys of each text."""
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[new], np.arange(rows + 1)).astype(np.int32)), pa.array(key[new].view(np.int64)))
+
+
+def _anchored(n: int, least: int) -> Callable:
+    """(doc_id, anchors, uid, windows): anchors and the windows that begin with one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                lines = Lines(batch)
-                line, anchor, span = anchors(lines.hashes, lines.begin, lines.of, lines.words.first, least)
-                text = np.searchsorted(lines.of, line, "right") - 1
-                order = np.lexsort((anchor, text))
-                text, anchor, span = text[order], anchor[order], span[order]
-                new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))) if len(anchor) else np.zeros(0, np.int64)
-                room = np.add.reduceat(span, new) if len(new) else span
-                cut = pa.array(np.searchsorted(text[new], np.arange(len(batch) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (anchor[new].view(np.int64), room.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *lists], ["doc_id", "uid", "anchors", "spans"])
+                words, first = _words(batch)
+                windows = Windows(words, first, n, least)
+                at = windows.anchors()
+                begin = at[at < len(windows.inside)]
+                begin = begin[windows.inside[begin]]
+                texts_ = [np.searchsorted(first, x, "right") - 1 for x in (at, begin)]
+                lists = [_lists(texts_[0], windows.runs[at], len(batch)), _lists(texts_[1], windows.hashes(begin), len(batch))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *lists], ["doc_id", "uid", "anchors", "windows"])
 
     return run
 
 
-def _wanted_anchors(wanted) -> Callable:
+def _wanted_windows(wanted) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("anchors")
+            column = batch.column("windows")
             cut = column.offsets.to_numpy()
             found = column.values.to_numpy()[cut[0] : cut[-1]]
             keep = in_bitmap(wanted.value, found)
             at = pa.array(np.repeat(np.arange(len(batch)), np.diff(cut))[keep])
-            room = batch.column("spans").values.to_numpy()[cut[0] : cut[-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(room[keep]), batch.column("doc_id").take(at), batch.column("uid").take(at)], ["anchor", "span", "doc_id", "uid"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), batch.column("doc_id").take(at), batch.column("uid").take(at)], ["window", "doc_id", "uid"])
 
     return run
 
 
-def _worded(wanted) -> Callable:
+def _worded(wanted, key: str) -> Callable:
+    """The words of rows whose key may be in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column("doc_id").to_numpy())))
+                batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(key).to_numpy())))
                 if len(batch):
-                    lines = Lines(batch)
-                    begin = lines.begin - np.repeat(lines.words.first[:-1], np.diff(lines.of))
-                    lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((lines.words.first, lines.hashes.view(np.int32)), (lines.of, begin.astype(np.int32)))]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *lists], ["doc_id", "uid", "words", "begin"])
+                    words, first = _words(batch)
+                    list_ = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words.view(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), list_], ["doc_id", "uid", "words"])
+
+    return run
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    first = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[first[0] : first[-1]].view(np.uint32), first - first[0]
+
+
+def _open_windows(shared, n: int, least: int) -> Callable:
+    """(window, doc_id, uid, at): windows that lie in no block and whose anchor may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text") if "text" in whole.schema.names else (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                words, first = _words(batch) if "text" in batch.schema.names else _flat(batch.column("words"))
+                windows = Windows(words, first, n, least)
+                free = windows.inside & in_bitmap(shared.value, windows.anchor.view(np.int64)) if len(windows.anchor) else windows.inside
+                if "blocks" in batch.schema.names:
+                    for i, blocks in enumerate(batch.column("blocks").to_pylist()):
+                        for block in blocks or ():
+                            free[first[i] + block["from"] : first[i] + block["to"] - least + 1] = False
+                at = np.flatnonzero(free)
+                text = np.searchsorted(first, at, "right") - 1
+                row = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(windows.hashes(at).view(np.int64)), batch.column("doc_id").take(row), batch.column("uid").take(row), pa.array((at - first[text]).astype(np.int32))], ["window", "doc_id", "uid", "at"]
+                )
 
     return run
 
@@ -160,36 +201,32 @@ def patience(later: np.ndarray, earlier: np.ndarray, shared: list[tuple[int, int
 
 
 class _Side:
-    """The flat word and line lists of one side of a batch of pairs, with anchors by line."""
-
-    def __init__(self, batch: pa.RecordBatch, words: str, begin: str, least: int):
-        w, b = batch.column(words), batch.column(begin)
-        self.first, self.of = w.offsets.to_numpy().astype(np.int64), b.offsets.to_numpy().astype(np.int64)
-        self.words = w.values.to_numpy()[self.first[0] : self.first[-1]].view(np.uint32)
-        starts = b.values.to_numpy()[self.of[0] : self.of[-1]]
-        self.first, self.of = self.first - self.first[0], self.of - self.of[0]
-        self.begin = starts + np.repeat(self.first[:-1], np.diff(self.of))
-        line, self.anchor, _ = anchors(self.words, self.begin, self.of, self.first, least)
-        self.at = np.searchsorted(line, self.of)
-        self.word = starts[line]
+    """The flat word lists of one side of a batch of pairs, with anchors."""
+
+    def __init__(self, column: pa.ListArray, n: int, least: int):
+        self.words, self.first = _flat(column)
+        windows = Windows(self.words, self.first, n, least)
+        at = windows.anchors()
+        self.at = np.searchsorted(at, self.first)
+        self.word, self.anchor = at - self.first[np.searchsorted(self.first, at, "right") - 1], windows.runs[at]
 
     def text(self, i: int) -> tuple[np.ndarray, list[int], list[int]]:
         a, b = self.at[i], self.at[i + 1]
         return self.words[self.first[i] : self.first[i + 1]], self.word[a:b].tolist(), self.anchor[a:b].tolist()
 
 
-def _aligned(least: int, least_block: int) -> Callable:
+def _aligned(n: int, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                later, earlier, out = _Side(batch, "words", "begin", least), _Side(batch, "words2", "begin2", least), []
+                later, earlier, out = _Side(batch.column("words"), n, least), _Side(batch.column("words2"), n, least), []
                 for i in range(len(batch)):
                     words2, at2, anchors2 = earlier.text(i)
                     where = dict(zip(reversed(anchors2), reversed(at2)))  # the first place of each
                     words, at1, anchors1 = later.text(i)
                     shared = [(x, where[a]) for x, a in zip(at1, anchors1) if a in where]
-                    out.append([{"from": a, "to": b} for a, b in patience(words, words2, shared) if b - a >= least_block])
+                    out.append([{"from": a, "to": b} for a, b in patience(words, words2, shared) if b - a >= least])
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _SPANS)], ["uid", "blocks"])
 
     return run
@@ -247,25 +284,36 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     docs = texts(documents).withColumn("uid", F.xxhash64("doc_id", "text"))
     spark = documents.sparkSession
     known = docs.where("doc_id is not null and text is not null")
-    found = staged(known.mapInArrow(_anchored(anchor_words), "doc_id long, uid long, anchors array<long>, spans array<int>"), "anchors")
-    each = found.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("doc_id2"), F.max("doc_id").alias("last")).where("doc_id2 < last")
-    shared = staged(shared.drop("last"), "shared")
-    wanted = spark.sparkContext.broadcast(bitmap(shared, "anchor"))
-    again = found.mapInArrow(_wanted_anchors(wanted), "anchor long, span int, doc_id long, uid long")
-    pairs = again.join(shared, "anchor").where("doc_id2 < doc_id").groupBy("uid", "doc_id", "doc_id2").agg(F.sum("span").alias("most"))
-    pairs = staged(pairs.where(F.col("most") >= least_words).drop("most"), "pairs")
+    found = staged(known.mapInArrow(_anchored(anchor_words, least_words), "doc_id long, uid long, anchors array<long>, windows array<long>"), "anchors")
+    several = lambda each, key: each.groupBy(key).agg(F.min("doc_id").alias("doc_id2"), F.max("doc_id").alias("last")).where("doc_id2 < last").drop("last")
+    shared = spark.sparkContext.broadcast(bitmap(several(found.select("doc_id", F.explode("anchors").alias("anchor")), "anchor"), "anchor"))
+    begun = staged(several(found.select("doc_id", F.explode("windows").alias("window")), "window"), "begun")
+    wanted = spark.sparkContext.broadcast(bitmap(begun, "window"))
+    again = found.mapInArrow(_wanted_windows(wanted), "window long, doc_id long, uid long")
+    pairs = staged(again.join(begun, "window").where("doc_id2 < doc_id").select("uid", "doc_id", "doc_id2").distinct(), "pairs")
 
     ids = pairs.select(F.explode(F.array("doc_id", "doc_id2")).alias("doc_id")).distinct()
     some = spark.sparkContext.broadcast(bitmap(ids, "doc_id"))
-    words = known.mapInArrow(_worded(some), "doc_id long, uid long, words array<int>, begin array<int>")
-    words = staged(words, "words")  # rows that only collide in the bitmap find no pair below
-    partner = words.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc_id2"), F.col("words").alias("words2"), F.col("begin").alias("begin2"))
-    own = words.select("uid", "words", "begin").dropDuplicates(["uid"])
-    both = pairs.drop("doc_id").join(partner, "doc_id2").join(own, "uid").select("uid", "words", "begin", "words2", "begin2")
+    listed = "doc_id long, uid long, words array<int>"
+    words = staged(known.mapInArrow(_worded(some, "doc_id"), listed), "words")  # rows that only collide in the bitmap find no pair below
+    partner = words.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc_id2"), F.col("words").alias("words2"))
+    own = words.select("uid", "words").dropDuplicates(["uid"])
+    both = pairs.drop("doc_id").join(partner, "doc_id2").join(own, "uid").select("uid", "words", "words2")
     aligned = both.mapInArrow(_aligned(anchor_words, least_words), "uid long, blocks array<struct<from: int, to: int>>")
     aligned = staged(aligned.groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "blocks")
 
+    # The earliest document that has a window never has it in a block, so the windows outside of blocks are enough.
+    in_blocks = spark.sparkContext.broadcast(bitmap(aligned, "uid"))
+    row = "window long, doc_id long, uid long, at int"
+    cut_up = known.mapInArrow(_worded(in_blocks, "uid"), listed).join(aligned, "uid", "left").select("doc_id", "uid", "words", "blocks")
+    whole = known.select("doc_id", "uid", "text").mapInArrow(_screened(in_blocks, False), "doc_id long, uid long, text string")
+    open_windows = _open_windows(shared, anchor_words, least_words)
+    rest = staged(cut_up.mapInArrow(open_windows, row).unionByName(whole.mapInArrow(open_windows, row)), "rest")
+    late = rest.join(several(rest, "window"), "window").where("doc_id2 < doc_id").select("uid", "at").distinct()
+    span = F.struct(F.col("at").alias("from"), (F.col("at") + least_words).alias("to"))
+    more = late.groupBy("uid").agg(F.collect_list(span).alias("blocks"))
+    aligned = staged(aligned.unionByName(more).groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "blocks")
+
     with_blocks = spark.sparkContext.broadcast(bitmap(aligned, "uid"))
     kind = "doc_id long, uid long, text string"
     touched = docs.select("doc_id", "uid", "text").mapInArrow(_screened(with_blocks, True), kind).join(aligned, "uid", "left").select("doc_id", "uid", "text", "blocks")

@@ -130,3 +130,28 @@ def test_repeated_rows_do_not_count_against_each_other(spark, n):
     text = "One line of words that goes on. " * 20
     got = dedup_lines(spark.createDataFrame([(4, text, "", 0)] * n, SCHEMA)).agg(F.count("*"), F.sum("removed_words")).first()
     assert tuple(got) == (n, 0)
+
+
+def left_by_rule(texts, least=50):
+    """What stays if every word in a run of `least` words that an earlier document has goes."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        w = texts[i].split()
+        gone = {q for p in range(len(w) - least + 1) if tuple(w[p : p + least]) in seen for q in range(p, p + least)}
+        out[i] = [x for q, x in enumerate(w) if q not in gone]
+        seen |= runs(texts[i], least)
+    return out
+
+
+def left_by_code(spark, texts):
+    return {r.doc_id: r.text.split() for r in dedup_lines(spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], SCHEMA)).collect()}
+
+
+def test_every_run_of_fifty_words_has_an_anchor(spark):
+    rng = random.Random(12)
+    texts = {1: "and " * 60, 2: "before " + "and " * 55 + "after"}
+    for k in range(60):
+        passage = " ".join(words(rng, 50 + k % 3))
+        for j in range(2):
+            texts[10 + 2 * k + j] = " ".join([*words(rng, 20 + rng.randrange(30)), passage, *words(rng, 20 + rng.randrange(30))])
+    assert left_by_code(spark, texts) == left_by_rule(texts)
