@@ -2,8 +2,8 @@
 
 Each text node belongs to a root-to-leaf tag path. Per path, text length and punctuation per node are aggregated; both
 ratios are smoothed over neighbouring nodes, weighted by how much of their paths they share, and fused; paths over a
-share of the page's deviation are content. The smallest container that holds the content by weight is the article, and
-all blocks in it stay, short ones and headings too. Steps that name page furniture count for nothing.
+share of the page's deviation are content. The smallest container that holds all of the content is the article, and all
+blocks in it stay, short ones and headings too. Steps that name page furniture count for nothing.
 """
 
 from __future__ import annotations
@@ -143,20 +143,36 @@ def content_paths(nodes: list[Node], radius: int = 2, share: float = 0.5) -> dic
     return {p: v for p, v in best.items() if v >= bar}
 
 
+def _article(nodes: list[Node], content: list[Node]) -> tuple[int, ...]:
+    """The article's chain: the smallest container of all content, or the one around it that is marked as the article or,
+    below the body, has the headline."""
+    first = content[0]
+    deep = len(first.chain)
+    for n in content:
+        while n.chain[:deep] != first.chain[:deep]:
+            deep -= 1
+    tags = [step.split(".")[0] for step in first.path]
+    while deep and tags[deep - 1] in NARROW:
+        deep -= 1
+    for mark in ("article", "main"):
+        if mark in tags[:deep]:
+            return first.chain[: deep - tags[:deep][::-1].index(mark)]
+    heads = [n.chain for n in nodes if not n.furniture and any(step.split(".")[0] == "h1" for step in n.path)]
+    for at in range(deep, 0, -1):
+        if tags[at - 1] in ("html", "body"):
+            break
+        if any(c[:at] == first.chain[:at] for c in heads):
+            return first.chain[:at]
+    return first.chain[:deep]
+
+
 def main_text(page: str) -> str:
     """The article's blocks, one a line; "" if none."""
     nodes = text_nodes(page)
     paths = content_paths(nodes)
     if not paths:
         return ""
-    inside: dict[tuple[int, ...], float] = defaultdict(float)
-    for n in nodes:
-        weight = 0.0 if n.furniture else paths.get(n.path, 0.0) * len(n.text.strip())
-        for i, step in enumerate(n.path if weight else ()):
-            if step.split(".")[0] not in NARROW:
-                inside[n.chain[: i + 1]] += weight
-        inside[()] += weight
-    root = max((c for c, v in inside.items() if v >= 0.6 * inside[()]), key=len)
+    root = _article(nodes, [n for n in nodes if not n.furniture and n.path in paths and n.text.strip()])
     blocks: dict[int, list[str]] = defaultdict(list)
     for n in nodes:
         if not n.furniture and n.chain[: len(root)] == root:

@@ -87,6 +87,19 @@ def test_pages_without_marks_or_text():
     assert main_text(f"<div><ul><li>one</li><li>two</li></ul></div><div>{body}</div><div><span>x</span></div>").count("\n") == 8
 
 
+def test_articles_of_several_parts_stay_whole():
+    say = lambda what, n: "".join(f"<p>Sentence {i} of the {what}, with words, and more words.</p>" for i in range(n))
+    nav = "<nav><a href=/>Home</a></nav>"
+    for tag in ("section", "div"):
+        body = f"<h1>Headline</h1>{say('start', 2)}<{tag}>{say('long part', 30)}</{tag}><{tag}><h2>Then</h2>{say('end', 3)}</{tag}>"
+        for page in (f"<body>{nav}<article>{body}</article><footer>(c) all, rights.</footer></body>", f"<body>{nav}<div>{body}</div><div><a href=/x>x</a></div></body>"):
+            assert main_text(page).split("\n")[0] == "Headline" and main_text(page).count("\n") == 36
+    rows = range(40)
+    for long in ("<ul>" + "".join(f"<li>Point {i}, which is long, and has marks.</li>" for i in rows) + "</ul>", "<table>" + "".join(f"<tr><td>Cell {i}, which is long, and has marks.</td></tr>" for i in rows) + "</table>"):
+        assert main_text(f"<body>{nav}<article><h1>Headline</h1>{say('start', 2)}{long}{say('end', 2)}</article></body>").count("\n") == 44
+    assert main_text(f"<body>{nav}<div><h1>Headline</h1><div>{say('only part', 9)}</div></div></body>").startswith("Headline\n")
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", PAGE, "z"), (2, None, None, "z"), (None, "u", "", "z"), (1, "u", PAGE, "z"), (3, "u", "<p>" + "long, text. " * 50_000, "z")]
     got = extract_text(spark.createDataFrame(rows, PAGES)).collect()
