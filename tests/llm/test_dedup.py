@@ -155,3 +155,14 @@ def test_every_run_of_fifty_words_has_an_anchor(spark):
         for j in range(2):
             texts[10 + 2 * k + j] = " ".join([*words(rng, 20 + rng.randrange(30)), passage, *words(rng, 20 + rng.randrange(30))])
     assert left_by_code(spark, texts) == left_by_rule(texts)
+
+
+def test_each_run_finds_an_earlier_document_that_has_all_of_it(spark):
+    """Document 1 has the lines of the passage of 2 and 3 too, but never 50 words of it in a row."""
+    rng = random.Random(13)
+    lines = [" ".join(words(rng, 14)) + "." for _ in range(12)]
+    own = lambda n: " ".join(words(rng, n)) + "."
+    broken = [x for k, line in enumerate(lines) for x in ([line, own(9)] if k % 3 == 2 else [line])]
+    texts = {1: "\n".join(broken), 2: "\n".join([own(30), *lines]), 3: "\n".join([own(20), *lines, own(20)]), 4: "\n".join(rng.sample(lines, 12))}
+    assert left_by_code(spark, texts) == left_by_rule(texts)
+    assert len(left_by_rule(texts)[3]) == 40
