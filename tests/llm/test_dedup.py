@@ -166,3 +166,13 @@ def test_each_run_finds_an_earlier_document_that_has_all_of_it(spark):
     texts = {1: "\n".join(broken), 2: "\n".join([own(30), *lines]), 3: "\n".join([own(20), *lines, own(20)]), 4: "\n".join(rng.sample(lines, 12))}
     assert left_by_code(spark, texts) == left_by_rule(texts)
     assert len(left_by_rule(texts)[3]) == 40
+
+
+def test_places_after_the_first_count(spark):
+    """The earlier document has A B and C D apart, and later all four together."""
+    rng = random.Random(14)
+    a, b, c, d = (" ".join(words(rng, 16)) + "." for _ in range(4))
+    own = lambda: " ".join(words(rng, 15)) + "."
+    texts = {1: "\n".join([own(), a, b, own(), c, d, own(), a, b, c, d, own()]), 2: "\n".join([own(), a, b, c, d, own()])}
+    assert left_by_code(spark, texts) == left_by_rule(texts)
+    assert len(left_by_rule(texts)[2]) == 30
