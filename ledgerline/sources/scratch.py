@@ -5,16 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_SET = "spark.checkpoint.dir"
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a local one is set if all of Spark runs on this machine."""
+    folder = spark.sparkContext.getConf().get(_SET, None) or spark.conf.get(_SET, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SET} must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        spark.conf.set(_SET, folder)
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; Hadoop deletes it when the driver ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """df written once to the shared folder and read back: cuts lineage and outlives lost executors."""
+    path = shared_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
