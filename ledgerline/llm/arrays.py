@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 
 _SEED = np.random.default_rng(20240229)
-BYTE_CODE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ODD = _SEED.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -74,15 +73,33 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are disjoint and in order."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    size = end - start
-    at = np.cumsum(size) - size
-    within = np.arange(int(size.sum())) - np.repeat(at, size)
-    power = np.multiply.accumulate(np.full(int(size.max()), STEP | np.uint64(1), np.uint64))
-    codes = BYTE_CODE[data[np.repeat(start - at, size) + np.arange(len(within))]] * power[within]
-    return mix(np.add.reduceat(codes, at) + size.astype(np.uint64) * ODD[0])
+    """A 64-bit hash of each span of bytes: the sum of its pieces of 8 bytes, each mixed with its place in the span.
+
+    As pieces are mixed before they are summed, different spans have equal hashes only by chance.
+    """
+    size = np.asarray(end - start, np.int64)
+    out = size.astype(np.uint64) * ODD[0]
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))  # the 8 bytes from each place on
+
+    def pieces(span: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        left = size[span] - 8 * nth
+        here = eight[start[span] + 8 * nth]
+        short = np.flatnonzero(left < 8)
+        here[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        place = STEP * (nth + 1).astype(np.uint64)
+        return mix((here ^ place) * ODD[1] + place)
+
+    some, nth = np.flatnonzero(size > 0), 0
+    while len(some) > 64:  # most spans are words of a piece or two
+        out[some] += pieces(some, np.full(len(some), nth))
+        nth += 1
+        some = some[size[some] > 8 * nth]
+    if len(some):
+        n = -(-size[some] // 8) - nth
+        span = np.repeat(some, n)
+        np.add.at(out, span, pieces(span, nth + np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)))
+    return mix(out)
 
 
 def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

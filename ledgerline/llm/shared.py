@@ -5,24 +5,35 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_path, staged  # noqa: F401  staged is used by the operators
+
 #: Bits of a broadcast bitmap, whatever the input: 2**26 bits are 8 MB. Beyond about that many keys it only filters less.
 MOST_BITS = 26
+#: Bytes of rows that go to Python at once, where Spark's own bound is larger.
+MOST_BATCH = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, unless PYTHONPATH does so already."""
+    """Give this package to the executors' Python, unless PYTHONPATH does so already, and bound the bytes of an Arrow batch."""
     package, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
-    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_ledgerline_shipped", False):
+    if getattr(sc, "_ledgerline_shipped", False):
         return
-    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
     sc._ledgerline_shipped = True
+    if int(spark.conf.get(_BATCH).removesuffix("b")) > MOST_BATCH:
+        spark.conf.set(_BATCH, MOST_BATCH)
+    if str(package.parent) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
 
 
 def texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,29 +42,15 @@ def texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset (one machine, tests), a local one is set."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder; Hadoop deletes it when the driver ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    return shared_path(spark, what)
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and outlives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def file_system(uri: str) -> tuple[FileSystem, str]:
+    """(file system, path) of a folder that all executors share, as pyarrow writes and reads it."""
+    scheme, _, rest = uri.partition("://")
+    return FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def bit_of(key: Column, bits: int) -> Column:
@@ -80,3 +77,13 @@ def in_bitmap(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     key = key.astype(np.int64, copy=False).view(np.uint64)
     bit = (key ^ (key >> np.uint64(32))) & np.uint64(len(bits) * 8 - 1)
     return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def screened(df: DataFrame, bits: Broadcast, key: str, inside: bool = True) -> DataFrame:
+    """Rows whose key (a long; null as 0) may be in the broadcast bitmap, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(key).fill_null(0).to_numpy()) == inside))
+
+    return df.mapInArrow(run, df.schema)

@@ -86,8 +86,8 @@ def _counts(vocabulary) -> Callable:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 data, offsets = text_buffer(batch.column("text"))
-                start, end, first = word_spans(data, offsets)
-                values, _ = cache.look_up(data, start, end)
+                spans, first = word_spans(data, offsets)
+                values, _ = cache.look_up(spans)
                 to = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[first]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(to))], ["doc_id", "n_words", "n_tokens"])
 
@@ -98,7 +98,7 @@ def token_counts(documents: DataFrame, vocabulary: list[tuple[str, float]]) -> D
     """(doc_id, n_words, n_tokens), a row for each row of `documents` (doc_id, text), with words between ASCII white space.
 
     Null, empty and blank texts have no words and no tokens. Null and repeated doc_ids are counted like any other row;
-    other columns are ignored; an empty table gives an empty one. Words are told apart by a 64-bit hash.
+    other columns are ignored; an empty table gives an empty one.
     """
     docs = texts(documents)
     shared = documents.sparkSession.sparkContext.broadcast(json.dumps(vocabulary))  # a tokenizer's vocabulary
