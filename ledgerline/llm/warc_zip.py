@@ -10,17 +10,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship_code, staged
+from .shared import file_system, ship_code, staged
 
 RECORDS, INDEX = "archive/records.warc.gz", "indexes/records.idx"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -65,14 +64,13 @@ def _id(uri: str | None) -> int | None:
 
 def _writer(folder: str, date: str, most_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = FileSystem.from_uri(folder)
-        task = TaskContext.get()
-        k, done = 0, []
+        fs, root = file_system(folder)
+        done = []
         rows = (row for batch in batches for part in _by_rows(batch) for row in part.to_pylist())
         row = next(rows, None)
         while row is not None:
-            name, index, at = f"pages-{task.partitionId():06d}-{k:04d}.zip", [], 0
-            with fs.open_output_stream(f"{root}/.{name}.{task.taskAttemptId()}") as out:
+            name, index, at = f"pages-{uuid.uuid4().hex}.zip", [], 0  # a failed attempt's archives are never listed
+            with fs.open_output_stream(f"{root}/{name}") as out:
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
                     with archive.open(RECORDS, "w", force_zip64=True) as member:
                         while row is not None and at < most_bytes:
@@ -84,9 +82,7 @@ def _writer(folder: str, date: str, most_bytes: int) -> Callable:
                             row = next(rows, None)
                     with archive.open(INDEX, "w", force_zip64=True) as member:
                         member.write("".join(index).encode())
-            fs.move(f"{root}/.{name}.{task.taskAttemptId()}", f"{root}/{name}")
             done.append(f"{folder}/{name}")
-            k += 1
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
     return run
@@ -112,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     revisits = sums.join(last, ["sha1", "n"]).where("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct()
     keyed = pages.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     dealt = keyed.join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
-    fs, root = FileSystem.from_uri(folder)
+    fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     return staged(dealt.mapInArrow(_writer(folder, date, most_bytes), "path string"), "archives")
 
@@ -155,7 +151,7 @@ def _runs(run_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("path").to_pylist():
-                fs, path = FileSystem.from_uri(uri)
+                fs, path = file_system(uri)
                 with fs.open_input_file(path) as f:
                     members = ZipDirectory(lambda at, n: f.read_at(n, at), f.size()).members
                     base = members[RECORDS][0]
@@ -183,7 +179,7 @@ def _read(with_payload: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place in batch.to_pylist():
-                fs, path = FileSystem.from_uri(place["path"])
+                fs, path = file_system(place["path"])
                 with fs.open_input_file(path) as f:
                     data = f.read_at(sum(place["lengths"]), place["at"])
                 rows, at = [], 0
