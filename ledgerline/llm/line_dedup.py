@@ -1,15 +1,20 @@
-"""Passages that repeat across documents: pairwise alignment of later documents with earlier ones, then an exact rest.
-
-A window is a run of LEAST words; its anchor is the run of ANCHOR words in it with the least hash, so equal windows have
-equal anchors, whatever is around them. A document is paired with the earliest document of each window that begins with an
-anchor - links in number of anchors, however many documents share one. Each pair is aligned by patience: shared anchors in
-rising order in both (a longest increasing subsequence), extended both ways word by word, then again over what is left.
-Blocks of at least LEAST words go from the later document. Windows inside no block whose anchor another document shares are
-then compared by themselves: those that an earlier document has go too, wherever in it they are.
+"""Passages that repeat across documents: pairwise patience alignment of later documents with earlier ones.
+
+A window is a run of LEAST words. A word of a document goes if it lies in a window that an earlier document has too.
+
+Documents that may overlap are found by rare shared runs: each window's anchor is the run of ANCHOR words in it with the
+least hash, so equal windows have equal anchors, whatever is around them. A document is paired with the earliest document
+of each of its windows that begin with an anchor - links in number of anchors, however many documents share one. Each pair
+is aligned by patience: shared anchors in rising order in both (a longest increasing subsequence), extended both ways word
+by word, then again over what is left; passages that lie in another order are found by their windows. What has been
+aligned is compared byte by byte. Windows that then lie in no aligned block, and whose anchor another document has, look
+for their earliest document in the same way, and those pairs are aligned too; so no window that repeats is left.
+Documents with the text of an earlier one go as a whole, without alignment.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -19,29 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, ODD, Words, mix, slices, span_hashes, text_buffer
-from .shared import bitmap, in_bitmap, staged, texts
+from .shared import bitmap, in_bitmap, screened, staged, texts
 
 ANCHOR, LEAST = 12, 50
+_BLOCKS = "array<struct<from: int, to: int>>"
 _SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
-def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(32 bits of each word's hash, first): text i has words first[i]:first[i + 1]."""
-    data, offsets = text_buffer(batch.column("text"))
-    words = Words(data, offsets, NOT_SPACE)
-    return (span_hashes(data, words.start, words.end) & np.uint64(0xFFFFFFFF)).astype(np.uint32), words.first
-
-
-_POWERS = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
-
-
-def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    if len(_POWERS[inverse]) < n:
-        base = pow(int(ODD[6]), -1, 2**64) if inverse else int(ODD[6])
-        _POWERS[inverse] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]))
-    return _POWERS[inverse][:n]
-
-
 def _over(x: np.ndarray, n: int, what: np.ufunc) -> np.ndarray:
     """The minimum or maximum of each n values in a row."""
     k = 1
@@ -51,28 +40,44 @@ def _over(x: np.ndarray, n: int, what: np.ufunc) -> np.ndarray:
     return what(x[: len(x) - (n - k)], x[n - k :])
 
 
-class Windows:
-    """Windows of `least` words in several texts; text i has words first[i]:first[i + 1].
+def _levels(words: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1, 2, 4, ... up to `most` words, each mixed from the two halves."""
+    out, size = [words], 1
+    while 2 * size <= most and len(out[-1]) > size:
+        out.append(mix(out[-1][:-size] * ODD[2] + out[-1][size:]))
+        size *= 2
+    return out
 
-    Window s begins with word s; where `inside` is False it would pass its text's end. `anchor` is the least hash of the
-    runs of n words in it.
-    """
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, n: int, least: int):
-        self.n, self.least, self.total = n, least, np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(len(words)), dtype=np.uint64)])
-        if len(words) < least:
-            self.runs = self.anchor = np.zeros(0, np.uint64)
-            self.inside = np.zeros(0, bool)
-            return
-        self.runs = self._hash(np.arange(len(words) - n + 1), n)
-        self.anchor = _over(self.runs, least - n + 1, np.minimum)
-        self.inside = np.arange(len(self.anchor)) + least <= np.repeat(first[1:], np.diff(first))[: len(self.anchor)]
+def _runs(levels: list[np.ndarray], n: int) -> np.ndarray:
+    """Hashes of all runs of n words, put together from those of powers of two."""
+    total = len(levels[0]) - n + 1
+    if total <= 0:
+        return np.zeros(0, np.uint64)
+    at, out = 0, np.full(total, np.uint64(n) * ODD[5])
+    for k, level in enumerate(levels):
+        if n >> k & 1:
+            out = mix(out * ODD[3] + level[at : at + total])
+            at += 1 << k
+    return out
+
 
-    def _hash(self, start: np.ndarray, n: int) -> np.ndarray:
-        return mix((self.total[start + n] - self.total[start]) * _powers(len(self.total), inverse=True)[start] + np.uint64(n) * ODD[5])
+class Texts:
+    """Several texts' words; text i has words first[i]:first[i + 1].
+
+    Window s begins with word s; where `inside` is False it would pass its text's end. `anchor` is the least hash of the
+    runs of n words in it, `window` its own hash.
+    """
 
-    def hashes(self, start: np.ndarray) -> np.ndarray:
-        return self._hash(start, self.least)
+    def __init__(self, column: pa.Array, n: int, least: int):
+        self.data, self.offsets = text_buffer(column)
+        words = Words(self.data, self.offsets, NOT_SPACE)
+        self.start, self.end, self.first, self.n, self.least = words.start, words.end, words.first, n, least
+        self.word = span_hashes(self.data, words.start, words.end)
+        levels = _levels(self.word, least)
+        self.runs, self.window = _runs(levels, n), _runs(levels, least)
+        self.anchor = _over(self.runs, least - n + 1, np.minimum) if len(self.window) else self.window
+        self.inside = np.arange(len(self.window)) + least <= np.repeat(self.first[1:], np.diff(self.first))[: len(self.window)]
 
     def anchors(self) -> np.ndarray:
         """The words that anchors begin with, ties included."""
@@ -82,6 +87,14 @@ class Windows:
         known = np.where(self.inside, self.anchor, np.uint64(0))
         return np.flatnonzero(_over(np.concatenate([edge, known, edge]), self.least - self.n + 1, np.maximum) == self.runs)
 
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The texts that words are in."""
+        return np.searchsorted(self.first, words, "right") - 1
+
+    def split(self, a: int, b: int) -> list[bytes]:
+        """Words a to b, b not included."""
+        return self.data[self.start[a] : self.end[b - 1]].tobytes().split()
+
 
 def _lists(text: np.ndarray, key: np.ndarray, rows: int) -> pa.ListArray:
     """The distinct keys of each text."""
@@ -92,24 +105,26 @@ def _lists(text: np.ndarray, key: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def _anchored(n: int, least: int) -> Callable:
-    """(doc_id, anchors, uid, windows): anchors and the windows that begin with one."""
+    """(doc_id, uid, n_words, digest, anchors, windows): anchors, and the windows that begin with one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                words, first = _words(batch)
-                windows = Windows(words, first, n, least)
-                at = windows.anchors()
-                begin = at[at < len(windows.inside)]
-                begin = begin[windows.inside[begin]]
-                texts_ = [np.searchsorted(first, x, "right") - 1 for x in (at, begin)]
-                lists = [_lists(texts_[0], windows.runs[at], len(batch)), _lists(texts_[1], windows.hashes(begin), len(batch))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *lists], ["doc_id", "uid", "anchors", "windows"])
+                t = Texts(batch.column("text"), n, least)
+                at = t.anchors()
+                begin = at[at < len(t.inside)]
+                begin = begin[t.inside[begin]]
+                raw, cuts = memoryview(t.data), t.offsets.tolist()
+                digest = pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])], pa.binary())
+                lists = [_lists(t.of(at), t.runs[at], len(batch)), _lists(t.of(begin), t.window[begin], len(batch))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(np.diff(t.first)), digest, *lists], ["doc_id", "uid", "n_words", "digest", "anchors", "windows"])
 
     return run
 
 
 def _wanted_windows(wanted) -> Callable:
+    """(window, doc_id, uid) of the windows that may be in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("windows")
@@ -122,45 +137,20 @@ def _wanted_windows(wanted) -> Callable:
     return run
 
 
-def _worded(wanted, key: str) -> Callable:
-    """The words of rows whose key may be in the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(key).to_numpy())))
-                if len(batch):
-                    words, first = _words(batch)
-                    list_ = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words.view(np.int32)))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), list_], ["doc_id", "uid", "words"])
-
-    return run
-
-
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    first = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy()[first[0] : first[-1]].view(np.uint32), first - first[0]
-
-
 def _open_windows(shared, n: int, least: int) -> Callable:
-    """(window, doc_id, uid, at): windows that lie in no block and whose anchor may be shared."""
+    """(doc_id, uid, windows): windows that lie in no block and whose anchor may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text") if "text" in whole.schema.names else (whole.slice(i, 256) for i in range(0, len(whole), 256)):
-                words, first = _words(batch) if "text" in batch.schema.names else _flat(batch.column("words"))
-                windows = Windows(words, first, n, least)
-                free = windows.inside & in_bitmap(shared.value, windows.anchor.view(np.int64)) if len(windows.anchor) else windows.inside
+            for batch in slices(whole, "text"):
+                t = Texts(batch.column("text"), n, least)
+                free = t.inside & in_bitmap(shared.value, t.anchor.view(np.int64))
                 if "blocks" in batch.schema.names:
                     for i, blocks in enumerate(batch.column("blocks").to_pylist()):
                         for block in blocks or ():
-                            free[first[i] + block["from"] : first[i] + block["to"] - least + 1] = False
+                            free[t.first[i] + block["from"] : max(0, t.first[i] + block["to"] - least + 1)] = False
                 at = np.flatnonzero(free)
-                text = np.searchsorted(first, at, "right") - 1
-                row = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(windows.hashes(at).view(np.int64)), batch.column("doc_id").take(row), batch.column("uid").take(row), pa.array((at - first[text]).astype(np.int32))], ["window", "doc_id", "uid", "at"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), _lists(t.of(at), t.window[at], len(batch))], ["doc_id", "uid", "windows"])
 
     return run
 
@@ -175,11 +165,11 @@ def _same(a: np.ndarray, b: np.ndarray, step: int = 64) -> int:
     return n
 
 
-def patience(later: np.ndarray, earlier: np.ndarray, shared: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Blocks of the later text's words that align with the earlier's, from words where the same anchor begins."""
+def patience(later: np.ndarray, earlier: np.ndarray, shared: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Blocks (from, to, place in the earlier text) of the later text's words that align, from words where the same anchor begins."""
     left = [(i, j) for i, j in shared if later[i] == earlier[j]]
     aligned = np.zeros(len(later), bool)
-    blocks: list[tuple[int, int]] = []
+    blocks: list[tuple[int, int, int]] = []
     while left:
         tails: list[int] = []
         ends: list[int] = []
@@ -195,49 +185,80 @@ def patience(later: np.ndarray, earlier: np.ndarray, shared: list[tuple[int, int
             if not aligned[i]:
                 a, b = i - _same(later[:i][::-1], earlier[:j][::-1]), i + _same(later[i:], earlier[j:])
                 aligned[a:b] = True
-                blocks.append((a, b))
+                blocks.append((a, b, a - i + j))
         left = [(i, j) for i, j in left if not aligned[i]]
     return blocks
 
 
-class _Side:
-    """The flat word lists of one side of a batch of pairs, with anchors."""
-
-    def __init__(self, column: pa.ListArray, n: int, least: int):
-        self.words, self.first = _flat(column)
-        windows = Windows(self.words, self.first, n, least)
-        at = windows.anchors()
-        self.at = np.searchsorted(at, self.first)
-        self.word, self.anchor = at - self.first[np.searchsorted(self.first, at, "right") - 1], windows.runs[at]
-
-    def text(self, i: int) -> tuple[np.ndarray, list[int], list[int]]:
-        a, b = self.at[i], self.at[i + 1]
-        return self.words[self.first[i] : self.first[i + 1]], self.word[a:b].tolist(), self.anchor[a:b].tolist()
+class _Earlier:
+    """Anchors and windows of one of the earlier texts."""
+
+    def __init__(self, texts_: Texts, anchors: np.ndarray, i: int):
+        self.a, self.b, least = int(texts_.first[i]), int(texts_.first[i + 1]), texts_.least
+        self.word = texts_.word[self.a : self.b]
+        at = anchors[np.searchsorted(anchors, self.a) : np.searchsorted(anchors, self.b)]
+        self.place = dict(zip(texts_.runs[at][::-1].tolist(), (at[::-1] - self.a).tolist()))  # the first one of each anchor
+        window = texts_.window[self.a : max(self.a, self.b - least + 1)]
+        self.order = np.argsort(window, kind="stable")
+        self.window = window[self.order]
+
+    def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the windows this text has, where)."""
+        if not len(self.window):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.window, windows), len(self.window) - 1)
+        hit = np.flatnonzero(self.window[at] == windows)
+        return hit, self.order[at[hit]]
+
+
+def _equal_parts(own: list[bytes], other: list[bytes], least: int) -> list[tuple[int, int]]:
+    """Where two lists of words of one length are equal for `least` words or more."""
+    if own == other:
+        return [(0, len(own))] if len(own) >= least else []
+    mark = np.zeros(len(own) + 2, np.int8)
+    mark[1:-1] = [x == y for x, y in zip(own, other)]
+    return [(a, b) for a, b in np.flatnonzero(np.diff(mark)).reshape(-1, 2).tolist() if b - a >= least]
+
+
+def aligned_blocks(later: Texts, anchors: np.ndarray, i: int, earlier: Texts, other: _Earlier) -> list[tuple[int, int]]:
+    """Blocks of `least` words or more of the i-th later text that the earlier one has, compared by their bytes."""
+    first, end, least = int(later.first[i]), int(later.first[i + 1]), later.least
+    at = anchors[np.searchsorted(anchors, first) : np.searchsorted(anchors, end)]
+    seeds = [(x - first, other.place[a]) for x, a in zip(at.tolist(), later.runs[at].tolist()) if a in other.place]
+    out: list[tuple[int, int]] = []
+    free = np.ones(max(0, end - first - least + 1), bool)
+
+    def add(a: int, b: int, c: int) -> None:
+        found = _equal_parts(later.split(first + a, first + b), earlier.split(other.a + c, other.a + c + b - a), least)
+        for x, y in found:
+            out.append((a + x, a + y))
+            free[a + x : a + y - least + 1] = False
+
+    for a, b, c in patience(later.word[first:end], other.word, seeds):
+        if b - a >= least:
+            add(a, b, c)
+    begin = np.flatnonzero(free)
+    hit, where = other.find(later.window[first + begin])
+    begin = begin[hit]
+    new = np.flatnonzero(np.append(True, (np.diff(begin) != 1) | (np.diff(where) != 1))) if len(begin) else begin
+    for x, y in zip(new.tolist(), [*new[1:].tolist(), len(begin)]):
+        add(int(begin[x]), int(begin[y - 1]) + least, int(where[x]))
+    return out
 
 
 def _aligned(n: int, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                later, earlier, out = _Side(batch.column("words"), n, least), _Side(batch.column("words2"), n, least), []
-                for i in range(len(batch)):
-                    words2, at2, anchors2 = earlier.text(i)
-                    where = dict(zip(reversed(anchors2), reversed(at2)))  # the first place of each
-                    words, at1, anchors1 = later.text(i)
-                    shared = [(x, where[a]) for x, a in zip(at1, anchors1) if a in where]
-                    out.append([{"from": a, "to": b} for a, b in patience(words, words2, shared) if b - a >= least])
-                yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _SPANS)], ["uid", "blocks"])
-
-    return run
-
-
-def _screened(wanted, inside: bool) -> Callable:
-    """Rows whose uid may be in the bitmap, or the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column("uid").to_numpy()) == inside))
+            for batch in slices(whole, "text"):
+                numbered = batch.column("text2").dictionary_encode()  # rows with one partner lie together
+                later, earlier = Texts(batch.column("text"), n, least), Texts(numbered.dictionary, n, least)
+                mine, theirs, known = later.anchors(), earlier.anchors(), {}
+                out = []
+                for i, j in enumerate(numbered.indices.to_pylist()):
+                    if j not in known:
+                        known[j] = _Earlier(earlier, theirs, j)
+                    out.append([{"from": a, "to": b} for a, b in aligned_blocks(later, mine, i, earlier, known[j])])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(out, _SPANS)], ["doc_id", "uid", "blocks"])
 
     return run
 
@@ -274,50 +295,74 @@ def _cut(least: int) -> Callable:
     return run
 
 
+def _several(each: DataFrame, key: str) -> DataFrame:
+    """(key, doc_id2): the keys that documents of several ids have, with the least id. Staged, so that a join with it can be split."""
+    found = each.groupBy(key).agg(F.min("doc_id").alias("doc_id2"), F.max("doc_id").alias("last")).where("doc_id2 < last")
+    return staged(found.drop("last"), "shared")
+
+
+def _pairs(windows: DataFrame) -> DataFrame:
+    """(doc_id, uid, doc_id2): documents (doc_id, uid, windows) with the earliest document of each window, where that is another."""
+    sc = windows.sparkSession.sparkContext
+    first = _several(windows.select("doc_id", F.explode("windows").alias("window")), "window")
+    wanted = sc.broadcast(bitmap(first, "window"))
+    again = windows.mapInArrow(_wanted_windows(wanted), "window long, doc_id long, uid long")
+    out = staged(again.join(first, "window").where("doc_id2 < doc_id").select("doc_id", "uid", "doc_id2").distinct(), "pairs")
+    wanted.unpersist()
+    return out
+
+
+def _blocks(pairs: DataFrame, known: DataFrame, n: int, least: int) -> DataFrame:
+    """(doc_id, uid, blocks): what aligns in each pair. Partners are all texts with their id."""
+    sc = pairs.sparkSession.sparkContext
+    some = sc.broadcast(bitmap(pairs.select(F.explode(F.array("doc_id", "doc_id2")).alias("doc_id")).distinct(), "doc_id"))
+    # One row of each text, in a table of its own: a document that is many others' partner is a hot key, which joins of tables split.
+    rows = staged(screened(known, some, "doc_id").dropDuplicates(["doc_id", "uid"]), "texts")
+    some.unpersist()
+    partner = rows.select(F.col("doc_id").alias("doc_id2"), F.col("text").alias("text2"))
+    both = pairs.join(rows, ["doc_id", "uid"]).join(partner, "doc_id2").select("doc_id", "uid", "text", "text2")
+    found = both.mapInArrow(_aligned(n, least), f"doc_id long, uid long, blocks {_BLOCKS}")
+    return staged(found.where(F.size("blocks") > 0), "blocks")
+
+
 def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: int = LEAST) -> DataFrame:
     """(doc_id, uid, text, removed_words, removed_blocks), a row for each row of `documents` (doc_id, text).
 
     Earlier means a smaller doc_id. A text all of which repeats becomes empty; texts without repeats, nulls included, stay
     as they are. A null doc_id is neither earlier nor later than any: its text stays. Rows that repeat a doc_id don't
-    count against each other. uid is a hash of doc_id and text. Other columns are ignored; an empty table gives an empty one.
+    count against each other; if their texts differ, each is cut by itself, and each counts as earlier for larger ids.
+    uid is a hash of doc_id and text. Other columns are ignored; an empty table gives an empty one.
     """
     docs = texts(documents).withColumn("uid", F.xxhash64("doc_id", "text"))
-    spark = documents.sparkSession
+    sc = documents.sparkSession.sparkContext
     known = docs.where("doc_id is not null and text is not null")
-    found = staged(known.mapInArrow(_anchored(anchor_words, least_words), "doc_id long, uid long, anchors array<long>, windows array<long>"), "anchors")
-    several = lambda each, key: each.groupBy(key).agg(F.min("doc_id").alias("doc_id2"), F.max("doc_id").alias("last")).where("doc_id2 < last").drop("last")
-    shared = spark.sparkContext.broadcast(bitmap(several(found.select("doc_id", F.explode("anchors").alias("anchor")), "anchor"), "anchor"))
-    begun = staged(several(found.select("doc_id", F.explode("windows").alias("window")), "window"), "begun")
-    wanted = spark.sparkContext.broadcast(bitmap(begun, "window"))
-    again = found.mapInArrow(_wanted_windows(wanted), "window long, doc_id long, uid long")
-    pairs = staged(again.join(begun, "window").where("doc_id2 < doc_id").select("uid", "doc_id", "doc_id2").distinct(), "pairs")
-
-    ids = pairs.select(F.explode(F.array("doc_id", "doc_id2")).alias("doc_id")).distinct()
-    some = spark.sparkContext.broadcast(bitmap(ids, "doc_id"))
-    listed = "doc_id long, uid long, words array<int>"
-    words = staged(known.mapInArrow(_worded(some, "doc_id"), listed), "words")  # rows that only collide in the bitmap find no pair below
-    partner = words.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc_id2"), F.col("words").alias("words2"))
-    own = words.select("uid", "words").dropDuplicates(["uid"])
-    both = pairs.drop("doc_id").join(partner, "doc_id2").join(own, "uid").select("uid", "words", "words2")
-    aligned = both.mapInArrow(_aligned(anchor_words, least_words), "uid long, blocks array<struct<from: int, to: int>>")
-    aligned = staged(aligned.groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "blocks")
+    kind = "doc_id long, uid long, n_words long, digest binary, anchors array<long>, windows array<long>"
+    found = staged(known.mapInArrow(_anchored(anchor_words, least_words), kind), "anchors")
+
+    same = found.where(F.col("n_words") >= least_words).select("doc_id", "uid", "n_words", "digest")
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
+    copies = staged(same.join(_several(same, "digest"), "digest").where("doc_id2 < doc_id").select("doc_id", "uid", whole.alias("blocks")).distinct(), "copies")
+    pairs = staged(_pairs(found).join(copies, ["doc_id", "uid"], "left_anti"), "pairs")
+    blocks = copies.unionByName(_blocks(pairs, known, anchor_words, least_words))
 
     # The earliest document that has a window never has it in a block, so the windows outside of blocks are enough.
-    in_blocks = spark.sparkContext.broadcast(bitmap(aligned, "uid"))
-    row = "window long, doc_id long, uid long, at int"
-    cut_up = known.mapInArrow(_worded(in_blocks, "uid"), listed).join(aligned, "uid", "left").select("doc_id", "uid", "words", "blocks")
-    whole = known.select("doc_id", "uid", "text").mapInArrow(_screened(in_blocks, False), "doc_id long, uid long, text string")
-    open_windows = _open_windows(shared, anchor_words, least_words)
-    rest = staged(cut_up.mapInArrow(open_windows, row).unionByName(whole.mapInArrow(open_windows, row)), "rest")
-    late = rest.join(several(rest, "window"), "window").where("doc_id2 < doc_id").select("uid", "at").distinct()
-    span = F.struct(F.col("at").alias("from"), (F.col("at") + least_words).alias("to"))
-    more = late.groupBy("uid").agg(F.collect_list(span).alias("blocks"))
-    aligned = staged(aligned.unionByName(more).groupBy("uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "blocks")
-
-    with_blocks = spark.sparkContext.broadcast(bitmap(aligned, "uid"))
-    kind = "doc_id long, uid long, text string"
-    touched = docs.select("doc_id", "uid", "text").mapInArrow(_screened(with_blocks, True), kind).join(aligned, "uid", "left").select("doc_id", "uid", "text", "blocks")
-    others = docs.select("doc_id", "uid", "text").mapInArrow(_screened(with_blocks, False), kind)
+    shared = sc.broadcast(bitmap(_several(found.select("doc_id", F.explode("anchors").alias("anchor")), "anchor"), "anchor"))
+    gathered = lambda rows: rows.groupBy("doc_id", "uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    first = staged(gathered(blocks), "blocks")
+    in_blocks = sc.broadcast(bitmap(first, "uid"))
+    open_windows, row = _open_windows(shared, anchor_words, least_words), "doc_id long, uid long, windows array<long>"
+    some = screened(known, in_blocks, "uid").join(first, ["doc_id", "uid"], "left").mapInArrow(open_windows, row)
+    others = screened(known, in_blocks, "uid", inside=False).mapInArrow(open_windows, row)
+    rest = staged(some.unionByName(others).where(F.size("windows") > 0), "rest")
+    shared.unpersist()
+    in_blocks.unpersist()
+    more = _pairs(rest)
+    if not more.isEmpty():
+        first = staged(gathered(first.unionByName(_blocks(more, known, anchor_words, least_words))), "blocks")
+
+    with_blocks = sc.broadcast(bitmap(first, "uid"))
+    touched = screened(docs, with_blocks, "uid").join(first, ["doc_id", "uid"], "left").select("doc_id", "uid", "text", "blocks")
+    others = screened(docs, with_blocks, "uid", inside=False)
     zero = F.lit(0).cast("long")
-    cut = touched.mapInArrow(_cut(least_words), kind + ", removed_words long, removed_blocks long")
+    cut = touched.mapInArrow(_cut(least_words), "doc_id long, uid long, text string, removed_words long, removed_blocks long")
     return cut.unionByName(others.withColumns({"removed_words": zero, "removed_blocks": zero}))
