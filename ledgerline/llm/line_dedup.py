@@ -5,9 +5,9 @@ A window is a run of LEAST words. A word of a document goes if it lies in a wind
 Documents that may overlap are found by rare shared runs: each window's anchor is the run of ANCHOR words in it with the
 least hash, so equal windows have equal anchors, whatever is around them. A document is paired with the earliest document
 of each of its windows that begin with an anchor - links in number of anchors, however many documents share one. Each pair
-is aligned by patience: shared anchors in rising order in both (a longest increasing subsequence), extended both ways word
-by word, then again over what is left; passages that lie in another order are found by their windows. What has been
-aligned is compared byte by byte. Windows that then lie in no aligned block, and whose anchor another document has, look
+is aligned by patience: blocks around shared anchors, extended both ways word by word, are taken in rising order in both (a
+longest increasing subsequence), then those that moved or repeat, and what shared anchors miss is found by its windows.
+What has been aligned is compared byte by byte. Windows that then lie in no aligned block, and whose anchor another document has, look
 for their earliest document in the same way, and those pairs are aligned too; so no window that repeats is left.
 Documents with the text of an earlier one go as a whole, without alignment.
 """
@@ -54,7 +54,7 @@ def _runs(levels: list[np.ndarray], n: int) -> np.ndarray:
     total = len(levels[0]) - n + 1
     if total <= 0:
         return np.zeros(0, np.uint64)
-    at, out = 0, np.full(total, np.uint64(n) * ODD[5])
+    at, out = 0, np.full(total, n, np.uint64)
     for k, level in enumerate(levels):
         if n >> k & 1:
             out = mix(out * ODD[3] + level[at : at + total])
@@ -157,37 +157,47 @@ def _open_windows(shared, n: int, least: int) -> Callable:
 
 def _same(a: np.ndarray, b: np.ndarray, step: int = 64) -> int:
     """How many leading values are equal."""
-    n = min(len(a), len(b))
-    for at in range(0, n, step):
-        differ = np.flatnonzero(a[at : at + step][: n - at] != b[at : at + step][: n - at])
-        if len(differ):
-            return at + int(differ[0])
+    n, at = min(len(a), len(b)), 0
+    while at < n:
+        differ = a[at : min(at + step, n)] != b[at : min(at + step, n)]
+        k = int(differ.argmax())
+        if differ[k]:
+            return at + k
+        at, step = at + step, 2 * step
     return n
 
 
-def patience(later: np.ndarray, earlier: np.ndarray, shared: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Blocks (from, to, place in the earlier text) of the later text's words that align, from words where the same anchor begins."""
-    left = [(i, j) for i, j in shared if later[i] == earlier[j]]
-    aligned = np.zeros(len(later), bool)
-    blocks: list[tuple[int, int, int]] = []
-    while left:
-        tails: list[int] = []
-        ends: list[int] = []
-        back = [-1] * len(left)
-        for k, (_, j) in enumerate(left):
-            x = bisect_left(tails, j)
-            back[k] = ends[x - 1] if x else -1
-            tails[x : x + 1], ends[x : x + 1] = [j], [k]
-        k = ends[-1]
-        while k >= 0:
-            i, j = left[k]
-            k = back[k]
-            if not aligned[i]:
-                a, b = i - _same(later[:i][::-1], earlier[:j][::-1]), i + _same(later[i:], earlier[j:])
-                aligned[a:b] = True
-                blocks.append((a, b, a - i + j))
-        left = [(i, j) for i, j in left if not aligned[i]]
-    return blocks
+def _extended(later: np.ndarray, earlier: np.ndarray, shared: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Blocks (from, to, place in the earlier text) of at least `least` words around pairs of places; pairs in one block give it once."""
+    out, diagonal, done = [], None, 0
+    for i, j in sorted(shared, key=lambda x: (x[1] - x[0], x[0])):
+        if j - i != diagonal:
+            diagonal, done = j - i, 0
+        if i < done:
+            continue
+        n = min(i - done, j)
+        a, b = i - _same(later[i - n : i][::-1], earlier[j - n : j][::-1]), i + _same(later[i:], earlier[j:])
+        done = max(b, i + 1)
+        if b - a >= least:
+            out.append((a, b, a + diagonal))
+    return out
+
+
+def patience(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The longest chain of blocks that rises in both texts, then the others, which moved or repeat."""
+    blocks = sorted(blocks)
+    tails: list[int] = []
+    ends: list[int] = []
+    back = [-1] * len(blocks)
+    for k, (_, _, place) in enumerate(blocks):
+        x = bisect_left(tails, place)
+        back[k] = ends[x - 1] if x else -1
+        tails[x : x + 1], ends[x : x + 1] = [place], [k]
+    k, chain = ends[-1] if ends else -1, []
+    while k >= 0:
+        chain.append(k)
+        k = back[k]
+    return [blocks[k] for k in reversed(chain)] + [blocks[k] for k in sorted(set(range(len(blocks))) - set(chain))]
 
 
 class _Earlier:
@@ -234,8 +244,8 @@ def aligned_blocks(later: Texts, anchors: np.ndarray, i: int, earlier: Texts, ot
             out.append((a + x, a + y))
             free[a + x : a + y - least + 1] = False
 
-    for a, b, c in patience(later.word[first:end], other.word, seeds):
-        if b - a >= least:
+    for a, b, c in patience(_extended(later.word[first:end], other.word, seeds, least)):
+        if free[a : b - least + 1].any():
             add(a, b, c)
     begin = np.flatnonzero(free)
     hit, where = other.find(later.window[first + begin])
