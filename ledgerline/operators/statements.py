@@ -21,27 +21,44 @@ def plain(cell: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(cell, "<[^>]*>", ""), r"(?U)[\s ]+|&nbsp;", " "))
 
 
+def _rows(tables: DataFrame, key: str, html: str, *more: str) -> DataFrame:
+    """(key, more..., row_pos, row_title, td) of each body row of more than one cell."""
+    rows = tables.select(key, *more, F.posexplode(inner(F.col(html), "tr")).alias("row_pos", "r"))
+    rows = rows.withColumn("td", inner(F.col("r"), "td")).where(F.size("td") > 1)
+    return rows.withColumn("row_title", F.trim(F.lower(F.regexp_replace(plain(F.col("td")[0]), r"\+", "")))).drop("r")
+
+
+def _value(cell: Column) -> Column:
+    return F.replace(plain(cell), F.lit(","), F.lit(""))
+
+
 def cells(tables: DataFrame, key: str = "company_id", html: str = "html") -> DataFrame:
     """(key, row_pos, row_title, col_index, value) of each body cell after a row's title; rows of one cell are left out."""
-    rows = tables.select(key, F.posexplode(inner(F.col(html), "tr")).alias("row_pos", "r"))
-    rows = rows.select(key, "row_pos", inner(F.col("r"), "td").alias("td")).where(F.size("td") > 1)
-    title = F.trim(F.lower(F.regexp_replace(plain(F.col("td")[0]), r"\+", "")))
-    rows = rows.select(key, "row_pos", title.alias("row_title"), F.posexplode("td").alias("col_index", "c")).where("col_index > 0")
-    return rows.select(key, "row_pos", "row_title", "col_index", F.replace(plain(F.col("c")), F.lit(","), F.lit("")).alias("value"))
+    rows = _rows(tables, key, html).select(key, "row_pos", "row_title", F.posexplode("td").alias("col_index", "c")).where("col_index > 0")
+    return rows.select(key, "row_pos", "row_title", "col_index", _value(F.col("c")).alias("value"))
 
 
-def periods(tables: DataFrame, key: str = "company_id", html: str = "html", most: int = 4, skip: tuple[str, ...] = ("TTM",)) -> DataFrame:
-    """(key, col_index, period) of the last `most` header cells, in a row's array, without a shuffle."""
-    heads = F.transform(inner(F.col(html), "th"), lambda h, i: F.struct(i.alias("col_index"), plain(h).alias("period")))
+def _last_heads(html: Column, most: int = 4, skip: tuple[str, ...] = ("TTM",)) -> Column:
+    """array<struct(col_index, period)> of the last `most` header cells that aren't blank or in `skip`."""
+    heads = F.transform(inner(html, "th"), lambda h, i: F.struct(i.alias("col_index"), F.regexp_replace(plain(h), r"^Mar (\d{4})$", "FY$1").alias("period")))
     heads = F.filter(heads, lambda h: (h["period"] != "") & ~h["period"].isin(*skip))
-    last = F.slice(heads, F.greatest(F.size(heads) - most + 1, F.lit(1)), most)
-    return tables.select(key, F.inline(last)).withColumn("period", F.regexp_replace("period", r"^Mar (\d{4})$", "FY$1"))
+    return F.slice(heads, F.greatest(F.size(heads) - most + 1, F.lit(1)), most)
+
+
+def periods(tables: DataFrame, key: str = "company_id", html: str = "html", **kept) -> DataFrame:
+    """(key, col_index, period) of the last `most` header cells, in a row's array, without a shuffle."""
+    return tables.select(key, F.inline(_last_heads(F.col(html), **kept)))
 
 
 def items(tables: DataFrame, key: str = "company_id", html: str = "html", **kept) -> DataFrame:
-    """A row per key and kept period with each line item: the first row in table order whose title has the item's name."""
-    values = cells(tables, key, html).join(periods(tables, key, html, **kept), [key, "col_index"])
-    picks = [F.min_by(F.struct(number(F.col("value")).alias("v")), F.when(F.contains("row_title", F.lit(name)), F.col("row_pos")))["v"].alias(out) for name, out in ITEMS.items()]
+    """A row per key and kept period with each line item: the first row in table order whose title has the item's name.
+
+    Cells meet their periods in the page's own row, by place, and only cells of kept periods and named rows are cleaned.
+    """
+    rows = _rows(tables.select(key, html, _last_heads(F.col(html), **kept).alias("heads")), key, html, "heads")
+    rows = rows.select(key, "row_pos", "row_title", "td", F.inline("heads")).where((F.col("col_index") > 0) & (F.col("col_index") < F.size("td")))
+    values = rows.select(key, "row_pos", "row_title", "col_index", "period", number(_value(F.get("td", F.col("col_index")))).alias("v"))
+    picks = [F.min_by("v", F.when(F.contains("row_title", F.lit(name)), F.col("row_pos"))).alias(out) for name, out in ITEMS.items()]
     return values.groupBy(key, "col_index", "period").agg(*picks)
 
 
@@ -65,7 +82,13 @@ def growth(rows: DataFrame, key: str = "company_id") -> DataFrame:
 def anchors(html: Column) -> Column:
     """array<struct(href, text)> of links in page order."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*>.*?)</a>"), 1)
-    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r"(?is)href=\"([^\"]*)\"", 1).alias("href"), F.regexp_extract(a, r"(?is)title=\"([^\"]*)\"", 1).alias("title"), plain(a).alias("text")))
+    return F.transform(found, lambda a: F.struct(attribute(a, "href").alias("href"), attribute(a, "title").alias("title"), plain(a).alias("text")))
+
+
+def attribute(element: Column, name: str) -> Column:
+    """An attribute of the tag that a text begins with, in double, single or no quotes; "" without it."""
+    found = F.regexp_extract(element, rf"(?is)^<[^>]*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    return F.regexp_replace(found, r"^[\"']|[\"']$", "")
 
 
 def section(html: Column, ident: str) -> Column:

@@ -23,8 +23,11 @@ def totals(stats: DataFrame) -> DataFrame:
     return stats.groupBy("document_id").agg(F.count("*").alias("total_pages"), F.sum("word_count").alias("total_words"), F.count_if("is_scanned").alias("scanned_pages"))
 
 
-def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, most_pages: int = REPORT_PAGES) -> DataFrame:
-    """Overlapping windows of each page of documents (document_id, company_id, pages); a row's pages stay in the row, so nothing is shuffled."""
+def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, most_pages: int | None = REPORT_PAGES) -> DataFrame:
+    """Overlapping windows of each page of documents (document_id, company_id, pages), of the first most_pages (None: all).
+
+    A row's pages stay in the row, so nothing is shuffled.
+    """
     size, overlap = size or SIZE, overlap or OVERLAP
     step = max(1, size - overlap)
 
@@ -32,33 +35,31 @@ def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least
         starts = F.when(F.length(p["text"]) > 0, F.sequence(F.lit(0), F.length(p["text"]) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda at: F.struct(p["page_number"].alias("page"), F.trim(F.substring(p["text"], at + 1, F.lit(size))).alias("content")))
 
-    kept = F.filter(F.flatten(F.transform(F.filter("pages", lambda p: p["page_number"] <= most_pages), of_page)), lambda c: F.length(c["content"]) >= least)
+    kept = F.filter(F.flatten(F.transform(F.filter("pages", lambda p: F.lit(True) if most_pages is None else p["page_number"] <= most_pages), of_page)), lambda c: F.length(c["content"]) >= least)
     out = documents.select("document_id", "company_id", F.posexplode(kept).alias("chunk_index", "c"))
     return out.select("document_id", "company_id", "chunk_index", F.col("c.page").alias("page_start"), F.col("c.page").alias("page_end"), "c.content")
 
 
-def _hit(pattern: str) -> Column:
-    """Snippet of the page around the first match in its lower-cased text, which has the place; null without one."""
-    found = F.regexp_extract("low", pattern, 1)
-    at = F.regexp_instr("low", F.lit(pattern))
-    begin = F.greatest(at - 1 - 50, F.lit(0))
-    snippet = squeezed(F.substring(F.col("text"), begin + 1, at - 1 + F.length(found) + 250 - begin))
-    return F.when(at > 0, F.when(F.length(snippet) > 200, F.concat(F.left(snippet, F.lit(197)), F.lit("..."))).otherwise(snippet))
-
-
-def tag_risks(pages: DataFrame, most: int = MOST_RISKS, categories: list[tuple[str, str]] = RISKS) -> DataFrame:
-    """(document_id, risk, description, page_number): each category's first page, at most `most` per document by page and category.
+def tag_risks(pages: DataFrame, most: int | None = MOST_RISKS, categories: list[tuple[str, str]] = RISKS) -> DataFrame:
+    """(document_id, risk, description, page_number): each category's first page, at most `most` (None: all) per document by page and category.
 
-    Contents pages, and index pages under 300 characters, are skipped. Only snippets are shuffled, not pages.
+    Contents pages, and index pages under 300 characters, are skipped. Each pattern runs once over a page; the snippet
+    around a match is cut only where there is one. Only snippets are shuffled, not pages. A null text has no risks.
     """
     pages = pages.select("document_id", "page_number", "text", F.lower("text").alias("low"))
     pages = pages.where(~(F.contains("low", F.lit("table of contents")) | (F.contains("low", F.lit("index")) & (F.length("text") < 300))))
-    hits = F.array(*(F.struct(F.lit(i).alias("k"), F.lit(title).alias("risk"), _hit(pattern).alias("description")) for i, (title, pattern) in enumerate(categories)))
-    rows = pages.select("document_id", "page_number", F.inline(F.filter(hits, lambda h: h["description"].isNotNull())))
+    places = pages.select("document_id", "page_number", "text", "low", F.posexplode(F.array(*(F.regexp_instr("low", F.lit(p)) for _, p in categories))).alias("k", "at")).where("at > 0")
+    found = F.coalesce(*(F.when(F.col("k") == i, F.regexp_extract("low", p, 1)) for i, (_, p) in enumerate(categories)))
+    risk = F.get(F.array(*(F.lit(title) for title, _ in categories)), F.col("k"))
+    begin = F.greatest(F.col("at") - 51, F.lit(0))
+    snippet = squeezed(F.substring(F.col("text"), begin + 1, F.col("at") - 1 + F.length(found) + 250 - begin))
+    rows = places.select("document_id", "page_number", "k", risk.alias("risk"), snippet.alias("s"))
+    description = F.when(F.length("s") > 200, F.concat(F.left("s", F.lit(197)), F.lit("..."))).otherwise(F.col("s"))
     first = F.row_number().over(Window.partitionBy("document_id", "k").orderBy("page_number"))
     nth = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "k"))
-    rows = rows.withColumn("n", first).where("n = 1").withColumn("n", nth).where(F.col("n") <= most)
-    return rows.select("document_id", "risk", "description", "page_number", F.col("n").cast("int").alias("n"))
+    rows = rows.withColumn("n", first).where("n = 1").withColumn("n", nth)
+    rows = rows if most is None else rows.where(F.col("n") <= most)
+    return rows.select("document_id", "risk", description.alias("description"), "page_number", F.col("n").cast("int").alias("n"))
 
 
 def with_default_risk(risks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -91,13 +92,14 @@ def dedup_guidance(rows: DataFrame, scope: str | None = None) -> DataFrame:
     return rows.withColumn("n", first).where("n = 1").drop("n")
 
 
-def top_guidance(rows: DataFrame, most: int = MOST_GUIDANCE, per: str | None = "company_id") -> DataFrame:
-    """At most `most` statements per company (or, with per=None, in all), with id chunk_ordinal and the page reference."""
+def top_guidance(rows: DataFrame, most: int | None = MOST_GUIDANCE, per: str | None = "company_id") -> DataFrame:
+    """At most `most` statements (None: all) per company (or, with per=None, in all), with id chunk_ordinal and the page reference."""
     order = (F.desc("document_id"), "chunk_index", "pos")
-    if per is None:
+    if per is None and most is not None:
         rows = rows.orderBy(*order).limit(most)
         nth = F.row_number().over(Window.orderBy(*order))  # at most `most` rows
     else:
-        nth = F.row_number().over(Window.partitionBy(per).orderBy(*order))
-    rows = rows.withColumn("nth", nth - 1).where(F.col("nth") < most)
+        nth = F.row_number().over(Window.partitionBy(per or "company_id").orderBy(*order))
+    rows = rows.withColumn("nth", nth - 1)
+    rows = rows if most is None else rows.where(F.col("nth") < most)
     return rows.withColumn("guidance_id", F.concat("id", F.lit("_"), "nth")).withColumn("page", page_ref(F.col("page_start"), F.col("page_end")))

@@ -14,52 +14,75 @@ from ..sources.domain import Domain
 from .catalog import long_money, pct, query, quoted, short_money
 from .filings import GUIDANCE_CTES, RISK_CTES, guidance_table, risk_table
 
-_style = lambda t: (F.lit(t).alias("type"), F.lit(COLORS[t]).alias("color"), F.lit(SIZES[t]).alias("size"))
-
-
-def _node(rows: DataFrame, prefix: str, key, label, kind: str, seq: int, company="company_id", color=None) -> DataFrame:
-    t, c, z = _style(kind)
-    return rows.select(F.concat(F.lit(prefix), key).alias("id"), label.alias("label"), t, (c if color is None else color).alias("color"), z, F.col(company).cast("long").alias("company_id"), F.lit(seq).alias("seq"))
+def base_tables(d: Domain) -> dict[str, DataFrame]:
+    """Documents, financial rows, risks and guidance, each computed once: all nodes, edges and facts come from these."""
+    return {
+        "document": d.once("documents", d.documents), "metric": d.once("financial", d.financial),
+        "risk": d.once("risks", lambda: risk_table(d)), "guidance": d.once("guidance", lambda: guidance_table(d)),
+    }
+
+
+def _node(rows: DataFrame, prefix: str, key, label, kind: str, seq: int, props: list, company="company_id", color=None) -> DataFrame:
+    color = F.lit(COLORS[kind]) if color is None else color
+    return rows.select(
+        F.concat(F.lit(prefix), key).alias("id"), label.alias("label"), F.lit(kind).alias("type"), color.alias("color"), F.lit(SIZES[kind]).alias("size"),
+        F.col(company).cast("long").alias("company_id"), F.to_json(F.struct(*props)).alias("properties"), F.lit(seq).alias("seq"),
+    )
 
 
 def graph_node_rows(d: Domain) -> DataFrame:
-    """Nodes of companies, documents, metrics, risks and guidance: five projections, one union."""
+    """Nodes of companies, documents, metrics, risks and guidance with their properties as JSON: five projections, one union."""
+    t = base_tables(d)
     call = S.is_concall(F.col("document_type"), F.col("file_name"))
+    rev, c = S.money_short(F.col("revenue"), F.col("currency")), F.col("company_id")
+    name = lambda old, new: F.col(old).alias(new)
+    company = [name("id", "company_id"), "name", F.upper("ticker").alias("ticker"), F.coalesce("website", F.lit("")).alias("website"), "sector", F.coalesce(F.from_json("ratios_json", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("ratios")]
+    document = [name("id", "document_id"), c, "file_name", "document_type", name("report_period", "period"), "file_hash", "status"]
+    metric = [
+        name("id", "metric_id"), c, "period", "revenue", rev.alias("revenue_formatted"), "revenue_growth", S.percent(F.col("revenue_growth"), "+").alias("revenue_growth_pct"),
+        "net_profit", "operating_margin", S.percent(F.col("operating_margin")).alias("operating_margin_pct"), "currency",
+    ]
+    risk = [name("id", "risk_id"), c, name("risk", "category"), "description", "page_number", name("file_name", "source_doc")]
+    said = ["category", "period", "statement", name("file_name", "source_doc"), "page"]
     parts = [
-        _node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, "id"),
-        _node(d.documents(), "doc_", F.col("id"), F.concat(F.when(call, "Concall ").otherwise("Report "), "report_period"), "document", 1, color=F.when(call, COLORS["guidance"]).otherwise(COLORS["document"])),
-        _node(d.financial(), "fin_", F.col("id"), F.concat("period", F.lit(": "), S.money_short(F.col("revenue"), F.col("currency"))), "metric", 2),
-        _node(risk_table(d), "risk_", F.col("id"), S.risk_label(F.col("risk"), F.col("page_number")), "risk", 3),
-        _node(guidance_table(d), "guidance_", F.col("guidance_id"), F.concat(F.lit("💡 "), "category", F.lit(" ("), "period", F.lit(")")), "guidance", 4),
+        _node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, company, "id"),
+        _node(t["document"], "doc_", F.col("id"), F.concat(F.when(call, "Concall ").otherwise("Report "), "report_period"), "document", 1, document, color=F.when(call, COLORS["guidance"]).otherwise(COLORS["document"])),
+        _node(t["metric"], "fin_", F.col("id"), F.concat("period", F.lit(": "), rev), "metric", 2, metric),
+        _node(t["risk"], "risk_", F.col("id"), S.risk_label(F.col("risk"), F.col("page_number")), "risk", 3, risk),
+        _node(t["guidance"], "guidance_", F.col("guidance_id"), F.concat(F.lit("💡 "), "category", F.lit(" ("), "period", F.lit(")")), "guidance", 4, said),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _edge(rows: DataFrame, source, target, label, seq: int, company: str = "company_id") -> DataFrame:
-    return rows.select(source.alias("source"), target.alias("target"), label.alias("label"), F.col(company).cast("long").alias("company_id"), F.lit(seq).alias("seq"))
+def _edge(rows: DataFrame, source, target, label, seq: int, *props) -> DataFrame:
+    properties = F.to_json(F.struct(*props)) if props else F.lit("{}")
+    return rows.select(source.alias("source"), target.alias("target"), label.alias("label"), F.col("company_id").cast("long").alias("company_id"), properties.alias("properties"), F.lit(seq).alias("seq"))
 
 
 def graph_edge_rows(d: Domain) -> DataFrame:
-    """Edges of eight relations."""
+    """Edges of eight relations; those of companies have properties."""
+    t = base_tables(d)
     at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
-    docs, fin, risks, said = d.documents(), d.financial(), risk_table(d), guidance_table(d)
+    docs, fin, risks, said = t["document"], t["metric"], t["risk"], t["guidance"]
     call = S.is_concall(F.col("document_type"), F.col("file_name"))
     told = fin.where("document_id is not null")
+    rev = S.money_short(F.col("revenue"), F.col("currency"))
     parts = [
-        _edge(docs, at("comp_", "company_id"), at("doc_", "id"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), 0),
-        _edge(fin, at("comp_", "company_id"), at("fin_", "id"), F.lit("REPORTED_FINANCIALS"), 1),
+        _edge(docs, at("comp_", "company_id"), at("doc_", "id"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), 0, F.col("report_period").alias("period")),
+        _edge(fin, at("comp_", "company_id"), at("fin_", "id"), F.lit("REPORTED_FINANCIALS"), 1, "period", rev.alias("revenue")),
         _edge(told, at("doc_", "document_id"), at("fin_", "id"), F.lit("EVIDENCES"), 2),
-        _edge(risks, at("comp_", "company_id"), at("risk_", "id"), F.lit("HAS_RISK"), 3),
+        _edge(risks, at("comp_", "company_id"), at("risk_", "id"), F.lit("HAS_RISK"), 3, F.col("risk").alias("category"), F.col("page_number").alias("page")),
         _edge(risks, at("doc_", "document_id"), at("risk_", "id"), at("CITES_P", "page_number"), 4),
-        _edge(said, at("comp_", "company_id"), at("guidance_", "guidance_id"), F.lit("MENTIONS_GUIDANCE"), 5),
+        _edge(said, at("comp_", "company_id"), at("guidance_", "guidance_id"), F.lit("MENTIONS_GUIDANCE"), 5, "category", "period"),
         _edge(said, at("doc_", "document_id"), at("guidance_", "guidance_id"), at("CITES_", "page"), 6),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def graph_tables(d: Domain) -> tuple[DataFrame, DataFrame]:
-    nodes = G.upsert_nodes(graph_node_rows(d))
-    return nodes, G.first_edges(G.valid_edges(graph_edge_rows(d), nodes))
+    """Nodes and edges, each built once and kept as a table."""
+    nodes = d.once("nodes", lambda: G.upsert_nodes(graph_node_rows(d)))
+    return nodes, d.once("edges", lambda: G.first_edges(G.valid_edges(graph_edge_rows(d), nodes)))
 
 
 _CALL = "(document_type = 'concall_transcript' or contains(lower(file_name), 'concall'))"
@@ -97,7 +120,7 @@ def graph_edges(d: Domain) -> DataFrame:
 @query(f", {GRAPH_CTES} select id, case when type = 'company' and company_id % 2 = 0 then label || ' (rev)' else label end label, type from node_rows")
 def nodes_dedup(d: Domain) -> DataFrame:
     """Half the company nodes are written again with another label; the later write stays."""
-    nodes = graph_node_rows(d)
+    nodes = d.once("node_rows", lambda: graph_node_rows(d))
     again = nodes.where("type = 'company' and company_id % 2 = 0").withColumn("label", F.concat("label", F.lit(" (rev)"))).withColumn("seq", F.lit(9))
     return G.upsert_nodes(nodes.unionByName(again)).select("id", "label", "type")
 
@@ -107,7 +130,7 @@ def edges_dedup(d: Domain) -> DataFrame:
     """All edges are written twice; the first write stays and dangling ones go."""
     edges = graph_edge_rows(d).withColumn("written", F.lit("first"))
     again = edges.withColumn("written", F.lit("second")).withColumn("seq", F.col("seq") + 100)
-    both = G.first_edges(G.valid_edges(edges.unionByName(again), graph_node_rows(d)))
+    both = G.first_edges(G.valid_edges(edges.unionByName(again), graph_tables(d)[0]))
     return both.select("id", "source", "target", "label", "written")
 
 
@@ -190,7 +213,7 @@ def graph_increment(d: Domain) -> DataFrame:
     """A stored graph of the older documents merged with the increment of the newer: same as building it in one go."""
     def part(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         call = S.is_concall(F.col("document_type"), F.col("file_name"))
-        nodes = [_node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, "id"), _node(docs, "doc_", F.col("id"), F.col("file_name"), "document", 1), _node(d.financial(), "fin_", F.col("id"), F.col("period"), "metric", 2)]
+        nodes = [_node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, ["name"], "id"), _node(docs, "doc_", F.col("id"), F.col("file_name"), "document", 1, ["file_name"]), _node(d.financial(), "fin_", F.col("id"), F.col("period"), "metric", 2, ["period"])]
         edges = [_edge(docs, F.concat(F.lit("comp_"), "company_id"), F.concat(F.lit("doc_"), "id"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), 0), _edge(d.financial(), F.concat(F.lit("comp_"), "company_id"), F.concat(F.lit("fin_"), "id"), F.lit("REPORTED_FINANCIALS"), 1)]
         return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
@@ -247,23 +270,48 @@ def resolve_targets(d: Domain) -> DataFrame:
 
 
 def question_targets(d: Domain) -> DataFrame:
+    """(qid, company_id, name, ticker): the companies that each question is about."""
     names = d.companies().select(F.col("id").alias("company_id"), "name", "ticker")
-    return G.resolve_targets(d.questions(), d.companies()).join(names, "company_id")
+    return d.once("targets", lambda: G.resolve_targets(d.questions(), d.companies()).join(names, "company_id").select("qid", "company_id", "name", "ticker"))
+
+
+def graph_of_targets(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the companies that the questions are about; no other company's filings are read."""
+    asked = d.once("asked", lambda: question_targets(d).select(F.col("company_id").alias("id")).distinct())
+    return graph_tables(Domain(d.spark, d.folder, only=asked))
 
 
-def _facts(d: Domain, targets: DataFrame) -> dict[str, DataFrame]:
-    said = G.capped(targets.join(guidance_table(d), "company_id"), "qid", 8, "company_id", F.desc("document_id"), "chunk_index", "pos")
-    return {"metric": targets.join(d.financial(), "company_id"), "risk": targets.join(risk_table(d), "company_id"), "guidance": said}
+_FACTS = {
+    "metric": "metric_id long, period string, revenue decimal(20,4), revenue_growth decimal(10,4), net_profit decimal(20,4), operating_margin decimal(10,4), currency string",
+    "risk": "risk_id long, category string, description string, page_number int, source_doc string",
+    "guidance": "category string, period string, statement string, source_doc string, page string",
+    "document": "document_id long, file_name string, document_type string, period string",
+}
+
+
+def graph_facts(d: Domain) -> dict[str, DataFrame]:
+    """Facts of each kind by the edges of each question's companies, with the nodes' properties as columns.
+
+    Guidance has nth, its place among its company's statements, which its id ends with.
+    """
+    nodes, edges = graph_of_targets(d)
+    start = question_targets(d).withColumn("source", F.concat(F.lit("comp_"), "company_id"))
+    ends = nodes.select(F.col("id").alias("target"), "type", "properties")
+    reached = d.once("facts", lambda: start.join(edges.select("source", "target"), "source").join(ends, "target"))
+    own = ["qid", "company_id", "name", "ticker"]
+    facts = {kind: reached.where(F.col("type") == kind).select(*own, "target", F.from_json("properties", columns).alias("p")).select(*own, "target", "p.*") for kind, columns in _FACTS.items()}
+    facts["guidance"] = facts["guidance"].withColumn("nth", F.substring_index("target", "_", -1).cast("int"))
+    return facts
 
 
 @query(f""", {GRAPH_CTES}, {_QUESTIONS} select qid, 'metric' kind, f.id::varchar fact from targets t join fin f on f.company_id = t.company_id union all select qid, 'risk', r.id::varchar from targets t join rk r on r.company_id = t.company_id
 union all select qid, 'guidance', guidance_id from (select qid, guidance_id, row_number() over (partition by qid order by t.company_id, document_id desc, chunk_index, pos) n from targets t join gd on gd.company_id = t.company_id) where n <= 8
 union all select qid, 'document', x.id::varchar from targets t join docs x on x.company_id = t.company_id""")
 def question_facts(d: Domain) -> DataFrame:
-    targets = question_targets(d).select("qid", "company_id")
-    facts = _facts(d, targets)
-    rows = [facts[k].select("qid", F.lit(k).alias("kind"), F.col("guidance_id" if k == "guidance" else "id").cast("string").alias("fact")) for k in facts]
-    rows.append(targets.join(d.documents(), "company_id").select("qid", F.lit("document").alias("kind"), F.col("id").cast("string").alias("fact")))
+    """What each question's companies reach in the graph; of guidance the first eight statements."""
+    facts = graph_facts(d)
+    facts["guidance"] = G.capped(facts["guidance"].withColumnRenamed("nth", "own"), "qid", 8, "company_id", "own")
+    rows = [facts[k].select("qid", F.lit(k).alias("kind"), F.substring_index("target", f"{p}_", -1).alias("fact")) for k, p in (("metric", "fin"), ("risk", "risk"), ("guidance", "guidance"), ("document", "doc"))]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -279,22 +327,22 @@ def question_facts_fallback(d: Domain) -> DataFrame:
 
 def context_rows(d: Domain) -> DataFrame:
     """(qid, section, o1, o2, o3, line, tag, source, page): the lines of each question's context in order, with tags and citations."""
-    targets = question_targets(d)
-    facts = _facts(d, targets)
+    targets, facts = question_targets(d), graph_facts(d)
+    said_first = G.capped(facts["guidance"].withColumnRenamed("nth", "own"), "qid", 8, "company_id", "own")
     text = F.concat
     none = F.lit(None).cast("string")
     rev, cur = S.money_short(F.col("revenue"), F.col("currency")), F.col("currency")
     growth = F.when(F.col("revenue_growth").isNull(), "N/A").otherwise(text(S.percent(F.col("revenue_growth")), F.lit(" YoY")))
     metric = text(F.lit("- ("), "ticker", F.lit(") -[IN_PERIOD "), "period", F.lit("]-> Revenue: "), rev, F.lit(" (Growth: "), growth, F.lit("), Net Profit: "), S.money_short(F.col("net_profit"), cur), F.lit(", Operating Margin: "), S.percent(F.col("operating_margin")))
-    risk = text(F.lit("- ("), "ticker", F.lit(") -[DISCLOSED_RISK]-> '"), "risk", F.lit("': "), "description", F.lit(" [Source: "), "file_name", F.lit(", Page "), "page_number", F.lit("]"))
-    said = text(F.lit("- ("), "ticker", F.lit(") -[GUIDANCE_"), F.upper(F.replace("category", F.lit(" "), F.lit("_"))), F.lit(" "), "period", F.lit(']-> "'), "statement", F.lit('" [Source: '), "file_name", F.lit(", "), "page", F.lit("]"))
+    risk = text(F.lit("- ("), "ticker", F.lit(") -[DISCLOSED_RISK]-> '"), "category", F.lit("': "), "description", F.lit(" [Source: "), "source_doc", F.lit(", Page "), "page_number", F.lit("]"))
+    said = text(F.lit("- ("), "ticker", F.lit(") -[GUIDANCE_"), F.upper(F.replace("category", F.lit(" "), F.lit("_"))), F.lit(" "), "period", F.lit(']-> "'), "statement", F.lit('" [Source: '), "source_doc", F.lit(", "), "page", F.lit("]"))
     row = lambda rows, k, o1, o2, o3, line, tag, source, page: rows.select("qid", F.lit(k).alias("section"), o1.cast("long").alias("o1"), o2.cast("string").alias("o2"), o3.cast("long").alias("o3"), line.alias("line"), tag.alias("tag"), source.alias("source"), page.alias("page"))
     zero, c = F.lit(0), F.col("company_id")
     parts = [
         row(targets, 0, c, F.lit(""), zero, text(F.lit("ENTITY [Company]: "), "name", F.lit(" (Ticker: "), "ticker", F.lit(")")), text(F.lit("Company: "), "ticker"), none, none),
         row(facts["metric"], 1, c, F.col("period"), zero, metric, text("ticker", F.lit(" Metric: "), "period", F.lit(" (Rev: "), rev, F.lit(")")), none, none),
-        row(facts["risk"], 2, F.col("page_number"), F.lit(""), F.col("id"), risk, text("ticker", F.lit(" Risk: "), "risk", F.lit(" (p."), "page_number", F.lit(")")), F.col("file_name"), text(F.lit("Page "), "page_number")),
-        row(facts["guidance"], 3, F.col("nth"), F.lit(""), zero, said, text("ticker", F.lit(" Guidance: "), "category", F.lit(" ("), "period", F.lit(")")), F.col("file_name"), F.col("page")),
+        row(facts["risk"], 2, F.col("page_number"), F.lit(""), F.col("risk_id"), risk, text("ticker", F.lit(" Risk: "), "category", F.lit(" (p."), "page_number", F.lit(")")), F.col("source_doc"), text(F.lit("Page "), "page_number")),
+        row(said_first, 3, F.col("nth"), F.lit(""), zero, said, text("ticker", F.lit(" Guidance: "), "category", F.lit(" ("), "period", F.lit(")")), F.col("source_doc"), F.col("page")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -350,16 +398,17 @@ def answer_rows(d: Domain) -> DataFrame:
     """(qid, section, o1, o2, line): figures of the latest period, at most four risks and four statements, or a summary, as the question's words select."""
     asks = {k: reduce(lambda a, b: a | b, (F.contains(F.lower("question"), F.lit(w)) for w in words)) for k, words in INTENTS.items()}
     q = d.questions().select("qid", *(e.alias(k) for k, e in asks.items()))
-    t = question_targets(d).join(q, "qid")
-    last = d.financial().groupBy("company_id").agg(F.max_by(F.struct("period", "revenue", "net_profit", "revenue_growth", "operating_margin", "currency"), "period").alias("m")).select("company_id", "m.*")
+    t, facts = question_targets(d).join(q, "qid"), graph_facts(d)
+    of = lambda kind, wanted: facts[kind].join(q.where(wanted).select("qid"), "qid", "left_semi")
+    last = of("metric", F.col("performance")).groupBy("qid", "company_id", "name", "ticker").agg(F.max_by(F.struct("period", "revenue", "net_profit", "revenue_growth", "operating_margin", "currency"), "period").alias("m")).select("qid", "company_id", "name", "ticker", "m.*")
     text, cur = F.concat, F.col("currency")
     figures = text(F.lit("• "), "name", F.lit(" ("), "ticker", F.lit(") for "), "period", F.lit(": Revenue "), S.money_long(F.col("revenue"), cur), F.lit(" (Growth "), S.percent(F.col("revenue_growth"), "+"), F.lit("), Net Profit "), S.money_long(F.col("net_profit"), cur), F.lit(", Margin "), S.percent(F.col("operating_margin")))
     row = lambda rows, k, o1, line: rows.select("qid", F.lit(k).alias("section"), o1.cast("long").alias("o1"), line.alias("line"))
-    perf = row(t.where("performance").join(last, "company_id"), 0, F.col("company_id"), figures)
-    risks = G.capped(t.where("risk").select("qid", "company_id", "ticker").join(risk_table(d), "company_id"), "qid", 4, "page_number", "id")
-    risks = row(risks, 1, F.col("nth"), text(F.lit("• "), "risk", F.lit(" ("), "ticker", F.lit("): "), "description", F.lit(" ["), "file_name", F.lit(", Page "), "page_number", F.lit("]")))
-    said = G.capped(t.join(guidance_table(d), "company_id"), "qid", 4, "company_id", F.desc("document_id"), "chunk_index", "pos")
-    said = row(said, 2, F.col("nth"), text(F.lit("• "), "ticker", F.lit(" ["), "category", F.lit("] ("), "period", F.lit('): "'), "statement", F.lit('" ['), "file_name", F.lit(", "), "page", F.lit("]")))
+    perf = row(last, 0, F.col("company_id"), figures)
+    risks = G.capped(of("risk", F.col("risk")), "qid", 4, "page_number", "risk_id")
+    risks = row(risks, 1, F.col("nth"), text(F.lit("• "), "category", F.lit(" ("), "ticker", F.lit("): "), "description", F.lit(" ["), "source_doc", F.lit(", Page "), "page_number", F.lit("]")))
+    said = G.capped(facts["guidance"].withColumnRenamed("nth", "own"), "qid", 4, "company_id", "own")
+    said = row(said, 2, F.col("nth"), text(F.lit("• "), "ticker", F.lit(" ["), "category", F.lit("] ("), "period", F.lit('): "'), "statement", F.lit('" ['), "source_doc", F.lit(", "), "page", F.lit("]")))
     found = perf.unionByName(risks).unionByName(said)
     quiet = t.where("not performance and not risk").join(found.select("qid").distinct(), "qid", "left_anti")
     return found.unionByName(row(quiet, 3, F.col("company_id"), text(F.lit("• "), "name", F.lit(" ("), "ticker", F.lit("): monitored with filings, metrics and risk disclosures."))))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squeezed
 from ..functions.values import SEEDS
+from .scratch import staged
 
 PAGE = 2000
 MONEY = "decimal(20,4)"
@@ -23,14 +26,27 @@ def seeded(key: Column, text: Column) -> Column:
 
 
 class Domain:
-    """Companies, filings, transcripts, statements and logs of a folder; every method gives a lazy DataFrame."""
+    """Companies, filings, transcripts, statements and logs of a folder; every method gives a lazy DataFrame.
+
+    With `only`, company ids in a column id, what belongs to other companies is left out before any text is read;
+    companies() itself stays whole.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, only: DataFrame | None = None):
+        self.spark, self.folder, self._only, self._once = spark, folder, only, {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What `build` gives, computed once for this object and kept as a table in the shared folder."""
+        if name not in self._once:
+            self._once[name] = staged(build(), name)
+        return self._once[name]
+
+    def _mine(self, rows: DataFrame, company: Column) -> DataFrame:
+        return rows if self._only is None else rows.join(self._only.select(F.col("id").alias("_only")), company == F.col("_only"), "left_semi")
+
     def companies(self) -> DataFrame:
         c = self.table("customer")
         balance = F.concat(F.lit('{"Balance": "'), F.col("c_acctbal").cast("decimal(12,2)").cast("string"), F.lit('"}'))
@@ -42,10 +58,10 @@ class Domain:
         status = F.when(i % 11 == 0, "failed").when(i % 11 == 1, "extracting").otherwise("processed")
         kind = F.when(i % 3 < 2, "annual_report").otherwise("quarterly_report")
         columns = [i.alias("id"), (i % 100).alias("company_id"), name.alias("file_name"), kind.alias("document_type"), F.concat(F.lit("FY"), 2018 + i % 6).alias("report_period"), F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), status.alias("status")]
-        return self.table("documents").select(*columns, *[F.col("text")] * with_text)
+        return self._mine(self.table("documents"), i % 100).select(*columns, *[F.col("text")] * with_text)
 
     def concalls(self) -> DataFrame:
-        turns = self.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+        turns = self._mine(self.table("conversations"), F.col("conv_id") % 100).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
         i, text = F.col("conv_id"), F.array_join(F.transform("t", lambda x: x["text"]), "\n")
         return turns.select((1000000 + i).alias("id"), (i % 100).alias("company_id"), F.concat(F.lit("call_"), i, F.lit("_Concall.pdf")).alias("file_name"), F.lit("concall_transcript").alias("document_type"), F.concat(F.lit("FY"), 2018 + i % 6).alias("report_period"), F.sha2(text.cast("binary"), 256).alias("file_hash"), F.lit("processed").alias("status"))
 
@@ -54,7 +70,7 @@ class Domain:
 
     def page_arrays(self) -> DataFrame:
         """(document_id, company_id, pages array<struct(page_number, text)>): each report's text in pages, one row a report."""
-        d = self.table("documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 100).alias("company_id"), seeded(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("t"))
+        d = self._mine(self.table("documents"), F.col("doc_id") % 100).select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 100).alias("company_id"), seeded(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("t"))
         pages = F.transform(F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(PAGE)), lambda at: F.struct((at / PAGE + 1).cast("int").alias("page_number"), F.substring(F.col("t"), at + 1, F.lit(PAGE)).alias("text")))
         return d.select("document_id", "company_id", pages.alias("pages"))
 
@@ -65,12 +81,12 @@ class Domain:
         """(id, document_id, company_id, chunk_index, page_start, page_end, content): a chunk for each turn of a transcript."""
         key = F.col("conv_id") + F.col("turn")
         content = F.concat_ws(" ", squeezed(F.coalesce("text", F.lit(""))), seed(key))
-        return self.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (1000000 + F.col("conv_id")).alias("document_id"), (F.col("conv_id") % 100).alias("company_id"), F.col("turn").alias("chunk_index"), (F.col("turn") + 1).alias("page_start"), (F.col("turn") + 1 + F.col("turn") % 2).alias("page_end"), content.alias("content"))
+        return self._mine(self.table("conversations"), F.col("conv_id") % 100).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (1000000 + F.col("conv_id")).alias("document_id"), (F.col("conv_id") % 100).alias("company_id"), F.col("turn").alias("chunk_index"), (F.col("turn") + 1).alias("page_start"), (F.col("turn") + 1 + F.col("turn") % 2).alias("page_end"), content.alias("content"))
 
     def yearly(self) -> DataFrame:
         """(company_id, year, revenue, net_profit): orders and line items are summed by order before they meet."""
         lines = self.table("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)")).alias("p"))
-        orders = self.table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("decimal(12,2)").alias("r"))
+        orders = self._mine(self.table("orders"), F.col("o_custkey")).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("decimal(12,2)").alias("r"))
         both = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         both = both.groupBy(F.col("o_custkey").alias("company_id"), "year").agg(F.sum("r").alias("r"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
         idle = (F.col("company_id") % 13 == 0) & (F.col("year") % 4 == 0)
