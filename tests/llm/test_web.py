@@ -3,9 +3,12 @@
 import base64
 import hashlib
 import io
+import random
+import statistics
+import time
 import zipfile
 
-from ledgerline.llm.html_paths import extract_text, main_text
+from ledgerline.llm.html_paths import Page, content_paths, extract_text, main_text
 from ledgerline.llm.shared import fresh_path
 from ledgerline.llm.warc_zip import ZipDirectory, read_archives, write_archives
 
@@ -100,6 +103,72 @@ def test_articles_of_several_parts_stay_whole():
     assert main_text(f"<body>{nav}<div><h1>Headline</h1><div>{say('only part', 9)}</div></div></body>").startswith("Headline\n")
 
 
+def _say(what, n):
+    return [f"Sentence {i} of the {what}, with words, commas, and more words." for i in range(n)]
+
+
+def _p(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_opaque_class_names():
+    """No name says what a branch is: menus, an advert, comments, a sidebar and a footer go by paths and shape."""
+    menu = '<div class="q1"><ul>' + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(9)) + "</ul></div>"
+    advert, foot = '<div class="q2"><p>Buy now and save</p></div>', '<div class="q9"><span>All rights reserved</span></div>'
+    comments = '<div class="q5">' + "".join(f'<div class="q6"><div class="q7">User {i}</div><p>I liked this, really, thanks.</p></div>' for i in range(3)) + "</div>"
+    side = '<div class="q8">' + "".join(f"<a href='/s{i}'>More {i}</a>" for i in range(6)) + "</div>"
+    story = ["Headline", *_say("story", 9), "Short one"]
+    inner = f"<h1>{story[0]}</h1>{_p(story[1:])}"
+    for page in (
+        f'<body>{menu}<div class="q3">{inner}</div>{advert}{side}{foot}</body>',
+        f'<body>{menu}<div class="q3">{inner}{comments}</div>{side}{foot}</body>',
+        f'<body>{menu}<div class="q0"><div class="q3">{inner}</div>{comments}{advert}</div>{foot}</body>',
+        f'<body>{menu}<main><div class="q3">{inner}</div>{comments}</main>{foot}</body>',
+    ):
+        assert main_text(page) == "\n".join(story)
+
+
+def test_names_of_furniture_and_of_content():
+    body = _p(_say("story", 5))
+    assert main_text(f'<main><h1>H</h1>{body}<div class="related-work">{_p(_say("others", 2))}</div><div class="related-links">{_p(_say("links", 2))}</div></main>').split("\n") == ["H", *_say("story", 5), *_say("others", 2)]
+    assert main_text('<div class="comments"><p>Only this, here.</p></div>') == "Only this, here."
+
+
+def ratios(page):
+    """The paths' weights written plainly: paths as tuples of steps, common beginnings counted step by step."""
+    steps = lambda p: () if p == 0 else (*steps(page.path_parent[p]), p)
+    nodes = [(steps(page.path[e]), t) for t, e in zip(page.text, page.element) if t.strip() and not page.bad[e]]
+    own = {p: [t for q, t in nodes if q == p] for p, _ in nodes}
+    mean = {p: (sum(map(len, ts)) / len(ts), (1 + sum(sum(c in ".,;:!?" for c in t) for t in ts)) / len(ts)) for p, ts in own.items()}
+    best = {}
+    for i, (p, _) in enumerate(nodes):
+        near = range(max(0, i - 2), min(len(nodes), i + 3))
+        same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) / max(len(a), len(b), 1) if a != b else 1.0
+        w = [same(p, nodes[j][0]) / (1 + abs(i - j)) for j in near]
+        fused = [sum(x * mean[nodes[j][0]][k] for x, j in zip(w, near)) / sum(w) for k in (0, 1)]
+        best[p] = max(best.get(p, 0), fused[0] * fused[1])
+    bar = min(statistics.pstdev(best.values()) / 2, max(best.values())) if best else 0
+    return {p[-1] if p else 0: v for p, v in best.items() if v >= bar}
+
+
+def test_ratios_equal_a_plain_version():
+    rng = random.Random(8)
+    for _ in range(40):
+        page = []
+        for _ in range(rng.randrange(3, 40)):
+            page.append(rng.choice(["<div>", "<p>", "</p>", "</div>", "<b>", "</b>", "<ul><li>", "</ul>", "<div class=a>", "<nav>", "</nav>", "word, word.", "more text; and more", " ", "x"]))
+        read = Page("".join(page))
+        want, got = ratios(read), content_paths(read)
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-6 * want[p] for p in want)
+
+
+def test_time_grows_with_the_page_and_not_with_its_depth():
+    for page in ("<div>" * 100_000 + "<p>Hello there, this is text.</p>", "<a " * 50_000 + "<p>Hello there, this is text.</p>", "<span><p>x y, z." * 20_000, "<b>" * 50_000 + "<p>a, b.</p>" * 5_000):
+        began = time.process_time()
+        assert main_text(page)
+        assert time.process_time() - began < 5
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", PAGE, "z"), (2, None, None, "z"), (None, "u", "", "z"), (1, "u", PAGE, "z"), (3, "u", "<p>" + "long, text. " * 50_000, "z")]
     got = extract_text(spark.createDataFrame(rows, PAGES)).collect()
