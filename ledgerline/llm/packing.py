@@ -22,8 +22,8 @@ from .shared import staged, texts
 from .span_cache import text_encoder
 
 CAPACITY = 4096
-#: Each length's rows are ranked in so many parts, so that a length shared by a third of all rows isn't one task's.
-PARTS = 64
+#: Rows of one length that are ranked together; a length with more is dealt into parts, so that none is one task's.
+PART_ROWS = 50_000
 
 
 class OpenBins:
@@ -142,15 +142,20 @@ def pack(documents: DataFrame, tokenizer_json: str, end_id: int, capacity: int =
     pieces = staged(docs.mapInArrow(_pieces(json, spans, end_id, capacity, with_ids), kind), "pieces")
 
     histogram = dict(pieces.groupBy("length").count().collect())  # at most `capacity` rows
-    plan = spark.createDataFrame(best_fit(histogram, capacity), "length long, rank_from long, rank_to long, per_bin long, first_sequence long, offset long")
+    plan = spark.createDataFrame(best_fit(histogram, capacity), "plan_length long, rank_from long, rank_to long, per_bin long, first_sequence long, offset long")
 
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
+    parts = spark.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in histogram.items()], "length long, parts long")
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")  # at most `capacity` rows
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = dealt.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = dealt.withColumn("rank", F.row_number().over(within)).join(before, ["length", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
-    plan = plan.withColumnRenamed("length", "plan_length")
-    placed = ranked.join(plan, (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+    counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))  # a row for PART_ROWS pieces
+    before = counts.select("length", "part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    meets = (F.col("length") == F.col("plan_length")) & (F.col("rank_from") < F.col("before") + F.col("n")) & (F.col("rank_to") > F.col("before"))
+    cut = before.join(plan, meets).select("length", "part", "before", *plan.columns[1:])  # each part's share of the plan
+    cut = cut.groupBy("length", "part", "before").agg(F.array_sort(F.collect_list(F.struct(*plan.columns[1:]))).alias("runs"))
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(cut, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    run = F.get(F.filter("runs", lambda r: (r["rank_from"] <= F.col("rank")) & (F.col("rank") < r["rank_to"])), F.lit(0))
+    placed = ranked.withColumn("run", run).select(*dealt.columns, "rank", "run.*")
     nth = F.col("rank") - F.col("rank_from")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids,
