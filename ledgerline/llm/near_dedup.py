@@ -95,7 +95,7 @@ def _signatures(n: int, bands: int, rows: int) -> Callable:
                     [
                         batch.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_digest(s) for s in sets], pa.binary()),
                         pa.array([key[where[i]] if i in where else None for i in range(len(sets))], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n_shingles", "digest", "bands"],
@@ -104,6 +104,10 @@ def _signatures(n: int, bands: int, rows: int) -> Callable:
     return run
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sets(n: int, wanted) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,16 +115,24 @@ def _sets(n: int, wanted) -> Callable:
                 ids = batch.column("doc_id").fill_null(0).to_numpy()
                 batch = batch.filter(pa.array(in_bitmap(wanted.value, ids) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
                 if len(batch):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in shingle_sets(batch, n)], pa.list_(pa.int64()))], ["id", "s"])
+                    sets = shingle_sets(batch, n)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "digest", "s"])
 
     return run
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(id, s): the full shingle sets of the documents in `ids`, computed again from the texts."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
-    sets = docs.mapInArrow(_sets(n, wanted), "id long, s array<long>")
-    return staged(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(id, s): the full shingle sets of the classes whose least doc_id is in `ids`, computed again from the texts.
+
+    Texts that share a doc_id are classes of their own, so an id may have several sets.
+    """
+    sc = docs.sparkSession.sparkContext
+    wanted = sc.broadcast(bitmap(ids, "id"))
+    sets = docs.mapInArrow(_sets(n, wanted), "id long, digest binary, s array<long>")
+    own = classes.select(F.col("rep").alias("id"), "digest").join(ids, "id", "left_semi")
+    out = staged(sets.join(own, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).drop("digest"), "sets")
+    wanted.unpersist()
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,19 +140,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     fits = 100 * F.least(F.size("su"), F.size("sv")) >= percent * F.greatest(F.size("su"), F.size("sv"))
-    return both.where(fits).where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+    return both.where(fits).where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v").distinct()
 
 
 def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different `comp` that may be similar enough, of `sets` (id, comp, s); none that is gets lost.
+    """Pairs (u, v) of different `comp` that may be similar enough, of `sets` (id, nth, comp, s); none that is gets lost.
 
     Shingles are ordered by how many of these sets have them. Of two similar sets, the smaller one's first
     n - ceil(2p / (1 + p) n) + 1 shingles and the larger one's first n - ceil(p n) + 1 have one in common, and after the
     first common one there are enough left on both sides for the least overlap.
     """
-    each = sets.select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("t"))
+    each = sets.select("id", "nth", "comp", F.size("s").alias("n"), F.explode("s").alias("t"))
     rare = each.groupBy("t").agg(F.count("*").alias("df"))
-    order = each.join(rare, "t").groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    order = each.join(rare, "t").groupBy("id", "nth").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     few = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
     prefix = order.select("id", "comp", "n", few.alias("few"), F.posexplode(F.slice("o", F.lit(1), most.cast("int"))).alias("i", "e")).where("e.df > 1").select("id", "comp", "n", "few", (F.col("i") + 1).alias("i"), "e.t")
@@ -156,8 +168,9 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
     """(doc_id, n_shingles, class_id, component_id, kept), a row for each row of `documents` (doc_id, text).
 
     Null, empty and word-free texts have n_shingles 0, are linked with nothing and kept. A null doc_id is never linked:
-    its class_id and component_id are null and it is kept. Rows that repeat a doc_id are of one document: they share what
-    the text gives and the component of the least id. Other columns are ignored. An empty table gives an empty one.
+    its class_id and component_id are null and it is kept. Rows that repeat a doc_id are judged each by its own text: with
+    equal texts they share all, with different ones each has its own class; where such a row's id is its class's least one,
+    it also stands for the links of the id's other texts. Other columns are ignored. An empty table gives an empty one.
     """
     docs = texts(documents)
     sig = staged(docs.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
@@ -170,13 +183,13 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
     leads = members.join(shared, "id").groupBy("key").agg(F.min(F.struct(-F.col("shared"), "id"))["id"].alias("lead"))
     pairs = members.join(leads, "key").where("id <> lead").select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
     pairs = staged(pairs, "pairs")
-    links = staged(_verified(pairs, _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, words), percent), "links")
+    links = staged(_verified(pairs, _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), classes, docs, words), percent), "links")
     found = components(links)
 
     placed = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
     rest = staged(placed.join(split, "key", "left_semi").select("id", "comp").distinct(), "open")
-    sets = _sets_of(rest.select("id"), docs, words)
+    sets = _sets_of(rest.select("id").distinct(), classes, docs, words).withColumn("nth", F.xxhash64("s"))
     more = staged(_across(sets.join(rest, "id"), percent).join(pairs, ["u", "v"], "left_anti"), "pairs")
     if not more.isEmpty():
         found = components(links.unionByName(_verified(more, sets, percent)))

@@ -71,6 +71,27 @@ def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_texts_that_share_an_id_keep_their_links(spark):
+    rng = random.Random(6)
+    one, two = (" ".join(words(rng, 40)) for _ in range(2))
+    rows = [(7, one, "", 0), (7, two, "", 0), (9, two + " more", "", 0), (11, one + " more", "", 0), (12, "nothing like it at all", "", 0)]
+    for order in (rows, rows[::-1]):
+        got = near_duplicates(spark.createDataFrame(order, SCHEMA)).collect()
+        assert {r.doc_id: r.component_id for r in got} == {7: 7, 9: 7, 11: 7, 12: 12}
+
+
+TWIN = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))  # words that polynomial hashes modulo 2^64 can't tell apart
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    other = TWIN.translate(str.maketrans("ab", "ba"))
+    rest = "one two three four five six seven"
+    got = near_duplicates(spark.createDataFrame([(1, f"{TWIN} {rest}", "", 0), (2, f"{other} {rest}", "", 0), (3, f"x {TWIN} y {other} z", "", 0)], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3}
+    texts = {1: f"{TWIN} " * 30 + rest * 9, 2: f"{TWIN} " * 30 + f"{other} " * 30}
+    assert left_by_code(spark, texts) == left_by_rule(texts)
+
+
 def test_superminhash_is_a_permutation_sketch():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -125,6 +146,15 @@ def test_repeated_passages_go_from_later_documents(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_texts_that_share_an_id_are_cut_each_by_itself(spark):
+    rng = random.Random(16)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(4, a, "", 0), (4, b, "", 0), (4, a, "", 0), (6, f"x {b} y", "", 0), (8, f"{c} {a}", "", 0)]
+    for order in (rows, rows[::-1]):
+        got = dedup_lines(spark.createDataFrame(order, SCHEMA)).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted([(4, a), (4, b), (4, a), (6, "x y"), (8, c)])
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_repeated_rows_do_not_count_against_each_other(spark, n):
     text = "One line of words that goes on. " * 20
