@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import page_ref, squeezed
 from ..functions.values import DEFAULT_RISK, DEFAULT_RISK_TEXT, GUIDANCE, RISKS
 
-SIZE, OVERLAP, LEAST, FEW_WORDS = 1000, 150, 50, 20
+PAGE, SIZE, OVERLAP, LEAST, FEW_WORDS = 2000, 1000, 150, 50, 20
 REPORT_PAGES, CALL_PAGES, MOST_RISKS, MOST_GUIDANCE = 60, 40, 6, 60
 
 
+def page_array(text: Column, size: int = PAGE) -> Column:
+    """array<struct(page_number, text)>: a text without pages of its own in windows of `size` characters; one page at least."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
+    return F.transform(starts, lambda at: F.struct((at / size + 1).cast("int").alias("page_number"), F.substring(text, at + 1, F.lit(size)).alias("text")))
+
+
 def page_stats(pages: DataFrame, few_words: int = FEW_WORDS) -> DataFrame:
     """Adds the squeezed text, word_count and is_scanned to pages (document_id, page_number, text)."""
     text = squeezed(F.col("text"))

@@ -103,4 +103,4 @@ def query(sql: str | None = None, money: str = "") -> Callable:
     return add
 
 
-from . import filings, graphs, reports, statements, streams  # noqa: E402, F401  register the queries
+from . import filings, graphs, reports, statements, streams, tables  # noqa: E402, F401  register the queries

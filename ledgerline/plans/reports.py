@@ -45,9 +45,9 @@ def dedup_hash(d: Domain) -> DataFrame:
     return M.first_of_hash(d.reports()).select("id", "first_id", (F.col("id") == F.col("first_id")).alias("is_first"))
 
 
-@query("""select i.id, case when k = 2 or i.id <> f then 'reuse' when k = 1 then 'reprocess' else 'new' end action
+@query("""select i.id, case when k = 3 or i.id <> f then 'reuse' when k = 2 then 'busy' when k = 1 then 'reprocess' else 'new' end action
 from (select *, min(id) over (partition by file_hash) f from reports where id % 10 >= 7 or id % 10 = 0) i
-left join (select file_hash, max(case when status = 'processed' then 2 else 1 end) k from reports where id % 10 < 7 group by 1) s on s.file_hash = i.file_hash""")
+left join (select file_hash, max(case status when 'processed' then 3 when 'failed' then 1 else 2 end) k from reports where id % 10 < 7 group by 1) s on s.file_hash = i.file_hash""")
 def intake_plan(d: Domain) -> DataFrame:
     r = d.reports()
     return M.plan_intake(r.where("id % 10 >= 7 or id % 10 = 0"), r.where("id % 10 < 7")).select("id", "action")

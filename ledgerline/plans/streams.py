@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.values import RISKS
 from ..sources.domain import Domain
 from ..sources.scratch import shared_path
 from ..streaming.intake import run_intake
-from .catalog import query
+from .catalog import query, quoted
+
+
+def _taken_in(d: Domain) -> dict[str, DataFrame]:
+    """The stream reads the folder, and of its files those of `documents`, be it one file or a folder of parts."""
+    return run_intake(d.spark, d.folder, d.table("documents").schema, shared_path(d.spark, "intake"), "documents.parquet")
 
 
 @query("select file_hash, any_value(strlen(text))::bigint n_bytes from reports group by 1")
 def stream_intake(d: Domain) -> DataFrame:
-    """The stream reads the folder, and of its files those of `documents`, be it one file or a folder of parts."""
-    documents = d.table("documents")
-    stored = run_intake(d.spark, d.folder, documents.schema, shared_path(d.spark, "intake"), "documents.parquet")
-    return stored.select("file_hash", "n_bytes")
+    return _taken_in(d)["stored"].select("file_hash", "n_bytes")
+
+
+_HIT = " + ".join(f"bool_or(regexp_matches(low, {quoted(p)}))::int" for _, p in RISKS)
+
+
+@query(rf""", firsts as (select min(doc_id) id, trim(regexp_replace(any_value(coalesce(text, '')), '\s+', ' ', 'g')) t from documents group by sha256(coalesce(text, ''))),
+raw as (select id, (off // 2000 + 1)::int page_number, substr(t, off + 1, 2000) as text from (select *, unnest(range(0, greatest(length(t), 1), 2000)) off from firsts)),
+cuts as (select id, count(*) n from (select id, trim(substr(text, off + 1, 1000)) c from (select *, unnest(range(0, length(text), 850)) off from raw where page_number <= 60)) where length(c) >= 50 group by 1),
+found as (select id, {_HIT} k from (select *, lower(text) low from raw) where not (contains(low, 'table of contents') or contains(low, 'index') and length(text) < 300) group by 1)
+select id document_id, coalesce(n, 0)::bigint n_chunks, least(6, greatest(1, coalesce(k, 0)))::bigint n_risks,
+  coalesce(n, 0) || ' chunks, 0 metrics, ' || least(6, greatest(1, coalesce(k, 0))) || ' risks' message from firsts left join cuts using (id) left join found using (id)""")
+def stream_tables(d: Domain) -> DataFrame:
+    """What the stream stored of each document: chunks, risks and the last log row."""
+    t = _taken_in(d)
+    count = lambda name, out: t[name].groupBy("document_id").agg(F.count("*").alias(out))
+    logs = t["logs"].where("stage = 'graph_ingestion' and status = 'success'").select("document_id", "message")
+    out = t["stored"].select(F.col("doc_id").alias("document_id")).join(count("chunks", "n_chunks"), "document_id", "left").join(count("risks", "n_risks"), "document_id", "left")
+    return out.fillna(0).join(logs, "document_id", "left")

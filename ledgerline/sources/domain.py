@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import squeezed
 from ..functions.values import SEEDS
+from ..operators.text import page_array
 from .scratch import staged
 
-PAGE = 2000
 MONEY = "decimal(20,4)"
 
 
@@ -71,7 +71,7 @@ class Domain:
     def page_arrays(self) -> DataFrame:
         """(document_id, company_id, pages array<struct(page_number, text)>): each report's text in pages, one row a report."""
         d = self._mine(self.table("documents"), F.col("doc_id") % 100).select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 100).alias("company_id"), seeded(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("t"))
-        pages = F.transform(F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(PAGE)), lambda at: F.struct((at / PAGE + 1).cast("int").alias("page_number"), F.substring(F.col("t"), at + 1, F.lit(PAGE)).alias("text")))
+        pages = page_array(F.col("t"))
         return d.select("document_id", "company_id", pages.alias("pages"))
 
     def pages(self) -> DataFrame:

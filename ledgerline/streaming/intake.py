@@ -1,7 +1,7 @@
-"""Continuous intake of filings: each content once for ever, with its pages and risks counted.
+"""Continuous intake of filings: each content once for ever, with its chunks, risks, status and log rows.
 
-Uniqueness has no time limit, so there is no watermark: the stored table is the state, and each batch anti-joins it.
-A batch writes under its own number, so that a batch run again replaces its rows.
+Uniqueness has no time limit, so there is no watermark: the stored table is the state, and each batch anti-joins the part
+of it that has the batch's hash prefixes. A batch writes under its own number, so a batch run again replaces its rows.
 """
 
 from __future__ import annotations
@@ -10,33 +10,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STORED = "doc_id long, file_hash string, n_bytes long, arrived long"
+from ..functions.scalars import squeezed
+from ..operators.maintain import audit_rows
+from ..operators.text import chunks, page_array, tag_risks, with_default_risk
+from ..sources.scratch import staged
 
+TABLES = {
+    "stored": "doc_id long, file_hash string, n_bytes long, status string, arrived long, h string",
+    "chunks": "document_id long, company_id long, chunk_index int, page_start int, page_end int, content string, arrived long",
+    "risks": "document_id long, risk string, description string, page_number int, n int, arrived long",
+    "logs": "document_id long, stage string, status string, message string, arrived long",
+}
 
-def new_contents(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Of a batch (doc_id, text), the least doc_id of each content that isn't stored."""
-    rows = batch.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("file_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    first = rows.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"))
-    return first.join(stored.select("file_hash"), "file_hash", "left_anti").select("doc_id", "file_hash", "n_bytes")
 
+def new_contents(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Of a batch (doc_id, text), the least doc_id of each content that isn't stored, with its text; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    rows = batch.where("doc_id is not null").select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("file_hash"))
+    keys = rows.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id")).withColumn("h", F.left("file_hash", F.lit(2)))
+    if stored is not None:
+        keys = keys.join(stored.select("h", "file_hash"), ["h", "file_hash"], "left_anti")
+    out = rows.join(keys, ["doc_id", "file_hash"]).dropDuplicates(["file_hash"])
+    return out.select("doc_id", "file_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.lit("processed").alias("status"), "h", "text")
 
-def run_intake(spark: SparkSession, source: str, schema: T.StructType, folder: str, files: str = "*", files_per_batch: int = 64) -> DataFrame:
-    """Take in all files of the folder `source` (or of its folder named `files`) that haven't been, batch by batch, and give the stored table.
 
-    Checkpoint and table live under `folder`, so a later call goes on where this one ended.
+def _there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def run_intake(spark: SparkSession, source: str, schema: T.StructType, folder: str, files: str = "*", files_per_batch: int = 64) -> dict[str, DataFrame]:
+    """Take in all files of the folder `source` (or of its folder named `files`) that haven't been, batch by batch, and give the tables.
+
+    Checkpoint and tables live under `folder`, so a later call goes on where this one ended.
     """
-    table = f"{folder}/stored"
 
     def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        session.createDataFrame([], STORED.replace(", arrived long", "")).limit(0).write.mode("append").parquet(f"{table}/arrived=-1")
-        stored = session.read.schema(STORED).parquet(table).where(F.col("arrived") != number)
-        new_contents(batch, stored).write.mode("overwrite").parquet(f"{table}/arrived={number}")
+        stored = session.read.schema(TABLES["stored"]).parquet(f"{folder}/stored").where(F.col("arrived") != number) if _there(session, f"{folder}/stored") else None
+        new = staged(new_contents(batch, stored), "arrived")
+        pages = new.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 100).alias("company_id"), page_array(squeezed(F.col("text"))).alias("pages"))
+        put = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/arrived={number}")
+        put(chunks(pages), "chunks")
+        found = tag_risks(pages.select("document_id", F.inline("pages")))
+        put(with_default_risk(found, pages.select("document_id", F.concat(F.lit("T"), "company_id").alias("ticker"))), "risks")
+        made = session.read.schema(TABLES["chunks"]).parquet(f"{folder}/chunks/arrived={number}").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+        risks = session.read.schema(TABLES["risks"]).parquet(f"{folder}/risks/arrived={number}").groupBy("document_id").agg(F.count("*").alias("n_risks"))
+        counts = made.join(risks, "document_id", "full").fillna(0).withColumn("n_metrics", F.lit(0).cast("long"))
+        named = new.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), "doc_id").alias("file_name"), "file_hash", "status")
+        put(audit_rows(named, counts), "logs")
+        put(new.drop("text"), "stored", "h")  # last, so that what is stored is complete
 
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{source}/{files}")
     whole = files != "*" and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     stream = reader.parquet(f"{source}/{files}") if whole else reader.option("pathGlobFilter", files).parquet(source)
-    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(STORED).parquet(table)
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    there = {name: _there(spark, f"{folder}/{name}") for name in TABLES}
+    return {name: spark.read.schema(kind).parquet(f"{folder}/{name}") if there[name] else spark.createDataFrame([], kind) for name, kind in TABLES.items()}

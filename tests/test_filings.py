@@ -87,6 +87,6 @@ def test_a_second_intake_of_the_same_files_adds_nothing(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "state")
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "doc_id long, text string")
     rows.repartition(1).write.parquet(source)
-    assert {r.doc_id for r in run_intake(spark, source, rows.schema, folder).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in run_intake(spark, source, rows.schema, folder)["stored"].collect()} == {1, 3, 4}
     spark.createDataFrame([(9, "b"), (10, "c")], rows.schema).repartition(1).write.mode("append").parquet(source)
-    assert {r.doc_id for r in run_intake(spark, source, rows.schema, folder).collect()} == {1, 3, 4, 10}
+    assert {r.doc_id for r in run_intake(spark, source, rows.schema, folder)["stored"].collect()} == {1, 3, 4, 10}
