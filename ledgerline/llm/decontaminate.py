@@ -89,7 +89,9 @@ def _placed(wanted, sizes: list[int], size: int) -> Callable:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of `documents` (doc_id, text).
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, uid), a row for each row of `documents` (doc_id, text).
+
+    uid is a hash of doc_id and text.
 
     `benchmark` has item_id and text. Texts without words, null ones too, have no windows and no hits. Items with a null
     item_id make hits but aren't counted or listed; repeated items count once. Rows that repeat a doc_id are judged by
@@ -108,9 +110,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     rarest = known.groupBy("window").agg(F.min("n").alias("n"), F.min(F.struct("in_corpus", "gram", "offset")).alias("r"), complete.alias("complete"))
     prefix = staged(rarest.where("complete").select("window", "n", "r.gram", "r.offset"), "prefix")
 
+    every.unpersist()
     wanted = spark.sparkContext.broadcast(bitmap(prefix, "gram"))
     placed = staged(docs.mapInArrow(_placed(wanted, sizes, window), "doc_id long, uid long, n_words long, places array<struct<gram: long, at: int, first: long, words: string>>"), "places")
 
+    wanted.unpersist()
     spots = placed.where("places is not null").select("uid", F.explode("places").alias("p")).select("uid", "p.*").distinct()
     start = F.col("at") - F.col("offset")
     same = F.array_join(F.slice(F.split("words", " "), start + 1, F.col("n")), " ") == F.col("window")
@@ -129,5 +133,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     n_hit, listed = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "uid",
     )

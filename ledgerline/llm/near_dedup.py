@@ -94,11 +94,12 @@ def _signatures(n: int, bands: int, rows: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("uid"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
                         pa.array([key[where[i]] if i in where else None for i in range(len(sets))], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    ["doc_id", "uid", "n_shingles", "digest", "bands"],
                 )
 
     return run
@@ -165,15 +166,17 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept), a row for each row of `documents` (doc_id, text).
+    """(doc_id, n_shingles, class_id, component_id, kept, uid), a row for each row of `documents` (doc_id, text).
+
+    uid is a hash of doc_id and text.
 
     Null, empty and word-free texts have n_shingles 0, are linked with nothing and kept. A null doc_id is never linked:
     its class_id and component_id are null and it is kept. Rows that repeat a doc_id are judged each by its own text: with
     equal texts they share all, with different ones each has its own class; where such a row's id is its class's least one,
     it also stands for the links of the id's other texts. Other columns are ignored. An empty table gives an empty one.
     """
-    docs = texts(documents)
-    sig = staged(docs.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    docs = texts(documents).withColumn("uid", F.xxhash64("doc_id", "text"))
+    sig = staged(docs.mapInArrow(_signatures(words, bands, rows), "doc_id long, uid long, n_shingles long, digest binary, bands array<long>"), "signatures")
     linked = sig.where("digest is not null and doc_id is not null")
     classes = staged(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     keys = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
@@ -195,6 +198,6 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
         found = components(links.unionByName(_verified(more, sets, percent)))
 
     roots = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "rep").alias("root"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
+    out = sig.select("doc_id", "uid", "n_shingles", "digest").join(roots, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"), "uid")
