@@ -45,7 +45,7 @@ def graph_files(d: Domain) -> DataFrame:
     folder = shared_path(d.spark, "graph")
     sinks.save_graph(*graph_tables(d), folder)
     nodes, edges = sinks.load_graph(d.spark, folder)
-    whole = F.when(F.rlike("v", F.lit(r"^-?\d+\.\d+$")), F.col("v").cast("decimal(20,4)").cast("string")).otherwise(F.col("v"))  # numbers with all four decimals
+    whole = F.when(F.rlike("v", F.lit(r"^-?\d+\.\d+(E-?\d+)?$")), F.col("v").cast("decimal(20,4)").cast("string")).otherwise(F.col("v"))  # numbers with all four decimals
     of = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "id", F.explode(F.from_json("properties", "map<string,string>")).alias("k", "v")).withColumn("v", whole)
     return of(nodes, "node").unionByName(of(edges, "edge"))
 
