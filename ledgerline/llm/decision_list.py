@@ -26,7 +26,6 @@ FEATURES = {
     "calls_per_word": "n_calls / greatest(n_words, 1)",
 }
 _BLANK = r"[\x20\x09-\x0D]+"
-_INDEX = (1 << 28) - 1
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
@@ -46,12 +45,10 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit("[A-Z]")).alias("n_upper"), F.regexp_count("text", F.lit("!")).alias("n_calls"),
         F.expr("case when size(w) < 4 then cast(array() as array<bigint>) else transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) end").alias("h"),
     )
-    packed = F.expr(f"case when size(array_distinct(h)) = size(h) then cast(array() as array<bigint>) else sort_array(transform(h, (x, i) -> (x & {~_INDEX}) | i)) end")
+    packed = F.expr("case when size(array_distinct(h)) = size(h) then cast(array() as array<struct<x: bigint, i: int>>) else sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', i))) end")
     docs = docs.withColumn("p", packed)
-    at = f"cast(p[k] & {_INDEX} as int)"
-    like = "((p[k] ^ p[k {0} 1]) <= {1} and (p[k] ^ p[k {0} 1]) >= 0 and h[{2}] = h[cast(p[k {0} 1] & {1} as int)])"
-    twice = f"(k > 0 and {like.format('-', _INDEX, at)}) or (k < size(p) - 1 and {like.format('+', _INDEX, at)})"
-    docs = docs.withColumn("d", F.expr(f"case when size(p) = 0 then cast(array() as array<int>) else sort_array(transform(filter(sequence(0, size(p) - 1), k -> {twice}), k -> {at})) end"))
+    twice = "(k > 0 and p[k].x = p[k - 1].x) or (k < size(p) - 1 and p[k].x = p[k + 1].x)"
+    docs = docs.withColumn("d", F.expr(f"case when size(p) = 0 then cast(array() as array<int>) else sort_array(transform(filter(sequence(0, size(p) - 1), k -> {twice}), k -> p[k].i)) end"))
     repeated = F.expr("aggregate(d, named_struct('last', -3, 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + least(3, x - a.last)), a -> a.n)")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_calls"]
     return docs.withColumn("n_repeat_words", repeated).select("doc_id", *(F.col(c).cast("long").alias(c) for c in names))

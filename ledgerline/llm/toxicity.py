@@ -257,3 +257,14 @@ def score(documents: DataFrame, model: Model, neighbours: int = NEIGHBOURS, evid
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's numbers of examples and terms
     kind = "doc_id long, text string, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
     return texts(documents).mapInArrow(_scored(shared, neighbours, evidence), kind)
+
+
+def reliability(scored: DataFrame, labels: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n, mean_score, toxic_share) over labelled rows that fit() leaves out: how far scores are the share of toxic texts.
+
+    `scored` has doc_id and score, `labels` doc_id and toxic; nulls are left out. A bin without rows has none here.
+    """
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    known = labels.where(held & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    rows = scored.select("doc_id", "score").join(known, "doc_id")
+    return rows.groupBy(F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("toxic").alias("toxic_share")).orderBy("bin")

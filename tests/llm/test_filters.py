@@ -1,17 +1,18 @@
 """Contamination, quality and toxicity: SQL, brute force and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import Row
 
 from ledgerline.llm.decision_list import quality, text_statistics
 from ledgerline.llm.decontaminate import contamination
-from ledgerline.llm.toxicity import _index, fit, score
+from ledgerline.llm.toxicity import _index, fit, reliability, score
 
 from ..oracle import check
 
@@ -169,3 +170,87 @@ def test_all_terms_of_both_classes_count(spark):
     new = [text("wicht"), text("knilch"), rows[used[2]][0], *(text() for _ in range(50))]
     got = [r.score >= 0.7 for r in sorted(score(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(new)], DOCS), model).collect(), key=lambda r: r.doc_id)]
     assert got[:3] == [True] * 3 and not any(got[3:])
+
+
+def plain_terms(text):
+    words = [w.encode() for w in WORD.findall(lower(text))]
+    return Counter([("w", w) for w in words] + [(n, w[:n]) for w in words if len(w) >= 7 for n in (4, 5)])
+
+
+def plain_scores(rows, labels, texts, k=15):
+    """Every text against every example: all terms, cosines of all pairs, and the votes of the nearest."""
+    known = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    examples = {i: plain_terms(t) for i, t in rows if i in known}
+    n, n_toxic = len(examples), sum(known[i] for i in examples)
+    df, p = Counter(), Counter()
+    for i, terms in examples.items():
+        df.update(terms.keys())
+        p.update(terms.keys() if known[i] else ())
+    rate = n_toxic / n
+    weight = {t: (math.log((1 + n) / (1 + df[t])) + 1) * (0.1 + ((p[t] - df[t] * rate) / math.sqrt(df[t] * rate * (1 - rate) + 1) * (2 * p[t] / df[t] - 1)) ** 2) for t in df}
+
+    def unit(terms):
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in terms.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if v else {}
+
+    units = {i: unit(terms) for i, terms in examples.items()}
+    total = Counter(known.values())
+    share = {y: total[y] / max(1, sum(known[i] == y for i in examples)) for y in (0, 1)}
+    prior = total[1] / sum(total.values())
+    out = {}
+    for i, t in texts:
+        v = unit(plain_terms(t))
+        near = sorted(((sum(x * e.get(t, 0) for t, x in v.items()), known[j]) for j, e in units.items()), reverse=True)[:k]
+        votes = [(share[y] / max(share.values()) / (1.05 - min(c, 1)) * c**3, y) for c, y in near if c > 0]
+        out[i] = (sum(w * y for w, y in votes) + 0.05 * prior) / (sum(w for w, _ in votes) + 0.05) if votes else None
+    return out
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(21)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 10))) for _ in range(200)]
+    rude = ["grobian", "schurke", "lumpenhund"]
+    rows = [(i, " ".join([*(rng.choice(plain) for _ in range(25)), *([rng.choice(rude)] if i % 4 == 0 else [])])) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 400)]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], DOCS)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = score(docs, fit(docs, known))
+    got, want = {r.doc_id: r.score for r in scored.collect()}, plain_scores(rows, labels, rows)
+    ties = [i for i in got if abs(got[i] - want[i]) > 1e-4]
+    assert len(ties) <= 4  # examples as near as the last of the nearest ones may stand in for each other
+    table = reliability(scored, known).collect()
+    assert sum(r.n for r in table) == sum(zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in rows)
+    assert table[0].toxic_share < 0.1 and table[-1].toxic_share > 0.9
+
+
+def plain_rules(rows, bad, precision=0.9):
+    """Sequential covering by exhaustive search over one condition: is there a threshold that marks bad rows alone?"""
+    out = []
+    for k in range(len(rows[0])):
+        for cut in sorted({r[k] for r in rows}):
+            for above in (False, True):
+                covered = [b for r, b in zip(rows, bad) if (r[k] > cut) == above]
+                if len(covered) >= 8 and sum(covered) >= precision * len(covered):
+                    out.append((sum(covered), k, cut, above))
+    return max(out, default=None)
+
+
+def test_verdict_covers_what_an_exhaustive_search_covers(spark):
+    rng = random.Random(30)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() + ("#" if i % 4 == 0 and rng.random() < 0.4 else "") for _ in range(70)) for i in range(800)]
+    bad = [int(i % 4 == 0) for i in range(800)]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.kept for r in quality(docs, spark.createDataFrame([(i, 1 - b) for i, b in enumerate(bad)], "doc_id long, quality int")).collect()}
+    best = plain_rules([(t.count("#") / 70, len(t) / 70, sum(c.isupper() for c in t)) for t in texts], bad)
+    assert best[1] == 0 and sum(not got[i] and bad[i] for i in got) >= 0.97 * best[0]
+    assert sum(not got[i] and not bad[i] for i in got) <= 0.03 * len(got)
+
+
+def test_statistics_of_odd_rows(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(30_000))
+    rows = [(None, "a b c a b c"), (1, long), (1, long), (1, "x"), (2, None)]
+    got = text_statistics(spark.createDataFrame([(*r, "q", "q", "q") for r in rows], DOCS)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted((str(i), *stats(t)) for i, t in rows)
+    assert text_statistics(spark.createDataFrame([], DOCS)).count() == 0

@@ -11,8 +11,10 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from ledgerline.llm.inputs import pieces, tokenizer
+from ledgerline.llm import packing
 from ledgerline.llm.packing import best_fit, pack
 from ledgerline.llm.shared import fresh_path
+from ledgerline.llm.span_cache import text_encoder
 from ledgerline.llm.token_files import decode, encode, read_token_files, write_token_files
 from ledgerline.llm.viterbi_counts import Counter, token_counts, unigram_vocabulary
 
@@ -33,8 +35,8 @@ def library(name):
     return found
 
 
-def crc(ids):
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
+def crc(ids, kind="<u4"):
+    return zlib.crc32(np.array(ids, kind).tobytes())
 
 
 @settings(max_examples=60, deadline=None)
@@ -59,6 +61,64 @@ def test_files_give_back_what_the_library_encodes(spark):
     assert read_token_files(spark, empty, vocabulary).count() == 0
 
 
+def test_starts_hold_over_many_partitions(spark):
+    """24 ranges, none of them put together again, and ids that a task meets out of order."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "it's"]) for _ in range(rng.randrange(40)))) for i in rng.sample(range(5000), 900)]
+    texts += [(None, "x"), (77_000, None), (77_000, "one"), (77_000, "two words"), (77_000, "one")]
+    json, vocabulary = tokenizer("byte_bpe_50k.json")
+    tok = library("byte_bpe_50k.json")
+    with_ids = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in texts]
+    want, start = [], 0
+    for i, ids in sorted(with_ids, key=lambda x: (x[0] is not None, x[0], len(x[1]), crc(np.array(x[1], "<u2"), "<u2"))):
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    for coalesce, size in (("false", "64m"), ("true", "1k")):
+        old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes")}
+        try:
+            for k, v in zip(old, ("24", coalesce, size)):
+                spark.conf.set(k, v)
+            folder = fresh_path(spark, "t")
+            write_token_files(frame(spark, texts).repartition(24), folder, json, 0, vocabulary)
+            got = read_token_files(spark, folder, vocabulary, with_ids=False).collect()
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        assert sorted([tuple(r) for r in got], key=lambda r: r[1]) == want
+
+
+TWIN = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+OTHER = TWIN.translate(str.maketrans("ab", "ba"))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([TWIN, OTHER, " " + TWIN, "it's", " <|endoftext|>", "\n\n", " \x01 ", "é ", "日本", "word", " word", "  "]), max_size=12))
+def test_spans_are_told_apart_by_their_bytes(parts):
+    text = "".join(parts)
+    for name, spans in (("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "words")):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, at = text_encoder(tokenizer(name)[0], spans)(data, np.array([0, len(data)]), 7)
+        assert ids.tolist() == [*library(name).encode(text, add_special_tokens=False).ids, 7]
+
+
+def test_counts_of_words_that_weak_hashes_confuse(spark):
+    vocabulary = unigram_vocabulary(["▁", "a", "b", "ab", "abba", "baab" * 2])
+    tok = unigram(vocabulary)
+    got = {r.doc_id: r.n_tokens for r in token_counts(frame(spark, [(1, TWIN), (2, OTHER), (3, f"{TWIN} {OTHER}")]), vocabulary).collect()}
+    assert got == {1: len(tok.encode(TWIN).ids), 2: len(tok.encode(OTHER).ids), 3: len(tok.encode(f"{TWIN} {OTHER}").ids)}
+
+
+def test_a_length_of_many_parts_is_packed_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    got = pack(frame(spark, [(i % 90, "same words here") for i in range(200)] + [(500 + i, "word " * i) for i in range(60)]).repartition(8), tokenizer("word_bpe_49k.json")[0], 1, capacity=32).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    at = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 32
+
+
 def test_pieces_are_whole_and_sequences_gapless(spark):
     got = pack(frame(spark), tokenizer("word_bpe_49k.json")[0], 1, capacity=64).collect()
     tok, want = library("word_bpe_49k.json"), []
