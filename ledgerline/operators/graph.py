@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
-    """Of nodes (id, seq, ...) with the same id the last one written."""
+    """Of nodes (id, seq, ...) with the same id the last one written; of those with one seq the largest by its columns."""
     rest = [c for c in nodes.columns if c not in ("id", "seq")]
-    return nodes.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("n")).select("id", "n.*")
+    return nodes.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("seq", *rest)).alias("n")).select("id", "n.*")
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def first_edges(edges: DataFrame) -> DataFrame:
-    """Adds id source_label_target and keeps the first edge (by seq) of each."""
+    """Adds id source_label_target and keeps the first edge (by seq, then the least by its columns) of each."""
     edges = edges.withColumn("id", F.concat_ws("_", "source", "label", "target"))
     rest = [c for c in edges.columns if c not in ("id", "seq")]
-    return edges.groupBy("id").agg(F.min_by(F.struct(*rest), "seq").alias("e")).select("id", "e.*")
+    return edges.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("seq", *rest)).alias("e")).select("id", "e.*")
 
 
 def members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,11 +47,22 @@ def relations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(back).join(names, "other").select("node", "direction", "label", "other", "other_label")
 
 
+#: Questions that may be compared with all companies at once; larger batches are cut up.
+MOST_OPEN = 10_000
+
+
+def _bounded(questions: DataFrame) -> DataFrame:
+    """A batch of open questions, to be broadcast; one of more than MOST_OPEN is refused, so that callers cut theirs up."""
+    n = questions.limit(MOST_OPEN + 1).count()
+    if n > MOST_OPEN:
+        raise ValueError(f"more than {MOST_OPEN} open questions in a batch")
+    return F.broadcast(questions)
+
+
 def find_companies(asked: DataFrame, companies: DataFrame) -> DataFrame:
     """(q, id): ticker first, then node id, comp_{q}, name, then names that hold q or lie in it; the least id of the best rule.
 
-    The equalities are equi-joins; only questions that these leave open meet all names, with the questions broadcast,
-    which the caller bounds.
+    The equalities are equi-joins; only questions that these leave open, MOST_OPEN at most, meet all names.
     """
     c = companies.select("id", F.upper("ticker").alias("t"), F.lower("name").alias("n"), F.concat(F.lit("comp_"), "id").alias("node"))
     q = asked.select("q", F.upper(F.trim("q")).alias("u"), F.lower(F.trim("q")).alias("l"), F.concat(F.lit("comp_"), "q").alias("k"))
@@ -59,19 +70,25 @@ def find_companies(asked: DataFrame, companies: DataFrame) -> DataFrame:
     hits = [q.join(c, F.col(a) == F.col(b)).select("q", F.lit(i).alias("rule"), "id") for i, (a, b) in enumerate(rules)]
     exact = hits[0].unionByName(hits[1]).unionByName(hits[2]).unionByName(hits[3])
     left = q.join(exact.select("q").distinct(), "q", "left_anti")
-    loose = c.join(F.broadcast(left), F.contains("n", "l") | F.contains("l", "n")).select("q", F.lit(4).alias("rule"), "id")
+    loose = c.join(_bounded(left), F.contains("n", "l") | F.contains("l", "n")).select("q", F.lit(4).alias("rule"), "id")
     return exact.unionByName(loose).groupBy("q").agg(F.min(F.struct("rule", "id"))["id"].alias("id"))
 
 
 def resolve_targets(questions: DataFrame, companies: DataFrame) -> DataFrame:
-    """(qid, company_id): the given company if it exists; else those whose ticker, or a name's word of over 3 letters, is in the question; else all."""
+    """(qid, company_id): the given company if it exists; else those whose ticker, or a name's word of over 3 letters, is in the question; else all.
+
+    A ticker or word may begin and end anywhere in a question, so these are looked for in MOST_OPEN questions at most at
+    once; for questions that name nothing the rule itself gives every company.
+    """
     c = companies.select(F.col("id").alias("cid"), F.lower("ticker").alias("t"), F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) > 3).alias("words"))
     given = questions.join(companies.select(F.col("id").alias("company_id")), "company_id").select("qid", "company_id")
     open_ = questions.join(given, "qid", "left_anti").select("qid", F.lower("question").alias("l"))
     named = F.contains("l", "t") | F.exists("words", lambda w: F.contains("l", w))
-    text = c.join(F.broadcast(open_), named).select("qid", F.col("cid").alias("company_id"))
+    text = c.join(_bounded(open_), named).select("qid", F.col("cid").alias("company_id"))
     rest = open_.join(text.select("qid").distinct(), "qid", "left_anti")
-    every = c.join(F.broadcast(rest.select("qid")), F.lit(True)).select("qid", F.col("cid").alias("company_id"))
+    # The rule itself asks for all companies; the ids of the questions ride along as one array of MOST_OPEN at most.
+    ids = rest.agg(F.collect_list("qid").alias("qids"))
+    every = c.select("cid").join(F.broadcast(ids), F.lit(True)).select(F.explode("qids").alias("qid"), F.col("cid").alias("company_id"))
     return given.unionByName(text).unionByName(every)
 
 

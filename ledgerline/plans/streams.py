@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import RISKS
 from ..sources.domain import Domain
 from ..sources.scratch import shared_path
+from ..streaming.graph import run_graph
 from ..streaming.intake import run_intake
 from .catalog import query, quoted
 
@@ -38,3 +39,25 @@ def stream_tables(d: Domain) -> DataFrame:
     logs = t["logs"].where("stage = 'graph_ingestion' and status = 'success'").select("document_id", "message")
     out = t["stored"].select(F.col("doc_id").alias("document_id")).join(count("chunks", "n_chunks"), "document_id", "left").join(count("risks", "n_risks"), "document_id", "left")
     return out.fillna(0).join(logs, "document_id", "left")
+
+
+@query("""select 'comp_' || id id, 'company' as type, upper(ticker) label from companies union all
+select 'fin_' || company_id || '_' || period, 'metric', period from fin where company_id in (select id from companies) union all
+select 'comp_' || company_id || '_REPORTED_FINANCIALS_fin_' || company_id || '_' || period, 'edge', 'REPORTED_FINANCIALS' from fin where company_id in (select id from companies)""")
+def graph_stream(d: Domain) -> DataFrame:
+    """A graph grown by a stream of companies with their periods, in four files; metrics have the fallback id company_period."""
+    source, folder = shared_path(d.spark, "changed"), shared_path(d.spark, "graph_stream")
+    periods = d.financial().groupBy("company_id").agg(F.collect_list("period").alias("periods"))
+    changed = d.companies().join(periods, F.col("id") == F.col("company_id"), "left").select("id", F.upper("ticker").alias("ticker"), "periods")
+    changed.repartition(4, "id").write.parquet(source)
+
+    def derive(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        company = F.concat(F.lit("comp_"), "id")
+        metric = batch.select("id", company.alias("source"), F.explode("periods").alias("period")).withColumn("fin", F.concat(F.lit("fin_"), "id", F.lit("_"), "period"))
+        node = lambda rows, ident, label, kind, seq: rows.select(ident.alias("id"), label.alias("label"), F.lit(kind).alias("type"), F.lit("").alias("color"), F.lit(0).alias("size"), F.col("id").cast("long").alias("company_id"), F.lit("{}").alias("properties"), F.lit(seq).alias("seq"))
+        nodes = node(batch, company, F.col("ticker"), "company", 0).unionByName(node(metric, F.col("fin"), F.col("period"), "metric", 1))
+        edges = metric.select("source", F.col("fin").alias("target"), F.lit("REPORTED_FINANCIALS").alias("label"), F.col("id").cast("long").alias("company_id"), F.lit("{}").alias("properties"), F.lit(2).alias("seq"))
+        return nodes, edges
+
+    nodes, edges = run_graph(d.spark, source, changed.schema, folder, derive, files_per_batch=2)
+    return nodes.select("id", "type", "label").unionByName(edges.select("id", F.lit("edge").alias("type"), "label"))

@@ -9,6 +9,7 @@ from ledgerline.operators import graph as G
 from ledgerline.operators import maintain as M
 from ledgerline.operators import statements as P
 from ledgerline.operators import text as T
+from ledgerline.sources import sinks
 
 
 def test_chunks_overlap_within_pages_and_are_numbered_densely(spark):
@@ -66,11 +67,68 @@ def test_money_and_percent_forms(spark):
 
 
 def test_upsert_keeps_what_is_not_given(spark):
-    stored = spark.createDataFrame([(1, "Acme", "ACM", "Steel", "{}")], "id long, name string, ticker string, sector string, ratios_json string")
-    incoming = spark.createDataFrame([("acm", "x", "", '{"a": "1"}', 7), (None, "ACME", "Tin", None, 8), ("NEW", "Newco", "Oil", None, 9)], "ticker string, name string, sector string, ratios_json string, new_id long")
-    assert [r.match_id for r in M.match_companies(incoming, stored).orderBy("new_id").collect()] == [1, 1, None]
-    got = {(r.id, r.sector, r.ratios_json) for r in M.upsert_companies(stored, incoming.where("new_id <> 8")).collect()}
-    assert got == {(1, "Steel", '{"a": "1"}'), (9, "Oil", None)}
+    stored = spark.createDataFrame([(1, "Acme", "ACM", "Steel", "{}", 5)], "id long, name string, ticker string, sector string, ratios_json string, nation int")
+    kind = "ticker string, name string, sector string, ratios_json string, new_id long"
+    incoming = spark.createDataFrame([("acm", "x", "", '{"a": "1"}', 7), (None, "ACME", "Tin", None, 8), ("NEW", "Newco", "Oil", None, 9), ("new", "Other", None, "{}", 10), (None, "newco", "Gas", None, 11)], kind)
+    assert [r.match_id for r in M.match_companies(incoming, stored).orderBy("new_id").collect()] == [1, 1, None, None, None]
+    got = {tuple(r) for r in M.upsert_companies(stored, incoming).collect()}
+    assert got == {(1, "Acme", "ACM", "Tin", '{"a": "1"}', 5), (9, "Newco", "NEW", "Gas", "{}", None)}
+    assert {tuple(r) for r in M.upsert_companies(stored, incoming.limit(0)).collect()} == {(1, "Acme", "ACM", "Steel", "{}", 5)}
+
+
+def test_statuses_keep_their_times(spark):
+    docs = spark.createDataFrame([(1, "processed", "a"), (2, "extracting", None), (3, "pending", None), (4, None, "d")], "id long, status string, processed_at string")
+    changes = spark.createDataFrame([(2, "storing", "t1"), (2, "processed", "t2"), (3, "storing", "t1"), (9, "failed", "t1")], "id long, new_status string, at string")
+    assert sorted(map(tuple, M.set_status(docs, changes).collect()), key=str) == [(1, "processed", "a"), (2, "processed", "t2"), (3, "storing", None), (4, None, "d")]
+
+
+def test_intake_of_twins_and_rows_without_a_hash(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b"), (6, "c"), (7, "d")], "id long, file_hash string")
+    stored = spark.createDataFrame([("b", "failed"), ("c", "extracting"), ("d", "processed"), ("d", "failed"), (None, "processed")], "file_hash string, status string")
+    assert {r.id: r.first_id for r in M.first_of_hash(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
+    assert {r.id: r.action for r in M.plan_intake(rows, stored).collect()} == {1: "new", 2: "reuse", 3: "new", 4: "new", 5: "reprocess", 6: "busy", 7: "reuse"}
+
+
+def test_links_in_any_quotes(spark):
+    html = """<a href="one">1</a><a class=x href='two' title='T'>2</a><a title="q" href=three>3</a><a data-href="no">4</a>"""
+    got = spark.createDataFrame([(html,)], "html string").select(F.inline(P.anchors(F.col("html")))).collect()
+    assert [(r.href, r.title) for r in got] == [("one", ""), ("two", "T"), ("three", "q"), ("", "")]
+
+
+def test_graphs_and_csv_from_files(spark, tmp_path):
+    nodes = spark.createDataFrame([("comp_1", "A", "company", "c", 1, 1, '{"name":"é \\"x\\""}'), ("fin_1", "F", "metric", "c", 2, 1, None)], sinks.NODE)
+    edges = spark.createDataFrame([("x", "comp_1", "fin_1", "REPORTED_FINANCIALS", 1, "{}"), ("y", "comp_1", "gone", "EVIDENCES", 1, "{}")], sinks.EDGE)
+    for _ in range(2):  # saving again replaces the files
+        sinks.save_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = sinks.load_graph(spark, str(tmp_path / "g"))
+    assert sorted(map(tuple, n.select(*nodes.columns).collect())) == sorted(map(tuple, nodes.collect()))
+    assert [r.id for r in e.collect()] == ["comp_1_REPORTED_FINANCIALS_fin_1"]
+    summary = spark.read.json(str(tmp_path / "g/summary")).first()
+    assert (summary.version, summary.summary.total_nodes, summary.summary.total_edges) == ("2.0", 2, 2)
+    rows = spark.createDataFrame([("T1", "FY1", 'a"b,c'), ("T2", "FY2", None)], "ticker string, period string, currency string")
+    sinks.write_csv(rows, str(tmp_path / "c"), ["period", "currency"])
+    assert {tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).select("ticker", "period").collect()} == {("T1", "FY1"), ("T2", "FY2")}
+    sinks.write_csv(rows.limit(0), str(tmp_path / "n"), ["period", "currency"])
+    (file,) = (tmp_path / "n").glob("*.csv")
+    assert file.read_text() == "period,currency\n"
+
+
+def test_partitions_are_replaced_and_batches_added(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, part int, v string")
+    sinks.append(rows((1, 0, "a"), (2, 1, "a")), table, "part")
+    sinks.append(rows((3, 1, "a")), table, "part")
+    sinks.append(rows().limit(0), table, "part")
+    sinks.replace(rows((4, 1, "b")), table, "part")
+    assert {tuple(r) for r in spark.read.parquet(table).select("id", "part", "v").collect()} == {(1, 0, "a"), (4, 1, "b")}
+
+
+def test_caps_can_be_left_out(spark):
+    pages = [Row(page_number=i, text=f"Page {i} speaks of litigation, forex, logistics and of much else besides, at some length.") for i in range(1, 90)]
+    rows = spark.createDataFrame([(1, 1, pages)], "document_id long, company_id long, pages array<struct<page_number: int, text: string>>")
+    assert T.chunks(rows).count() == 60 and T.chunks(rows, most_pages=None).count() == 89
+    each = rows.select("document_id", F.inline("pages"))
+    assert T.tag_risks(each, most=2).count() == 2 and T.tag_risks(each, most=None).count() == 3
 
 
 def test_subgraph_is_the_induced_neighbourhood(spark):
@@ -90,3 +148,5 @@ def test_a_second_intake_of_the_same_files_adds_nothing(spark, tmp_path):
     assert {r.doc_id for r in run_intake(spark, source, rows.schema, folder)["stored"].collect()} == {1, 3, 4}
     spark.createDataFrame([(9, "b"), (10, "c")], rows.schema).repartition(1).write.mode("append").parquet(source)
     assert {r.doc_id for r in run_intake(spark, source, rows.schema, folder)["stored"].collect()} == {1, 3, 4, 10}
+    tables = run_intake(spark, source, rows.schema, folder)
+    assert tables["risks"].count() == 4 and {r.document_id for r in tables["logs"].where("stage = 'graph_ingestion'").collect()} == {1, 3, 4, 10}
