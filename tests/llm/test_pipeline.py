@@ -87,3 +87,27 @@ def test_toxic_stage_against_the_labels(spark):
         left = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, folder).select("doc_id").collect()}
         assert sum(y == 1 and i not in left for i, y in held.items()) >= least
         assert sum(y == 0 and i not in left for i, y in held.items()) <= clean_gone
+
+
+def test_stages_with_odd_rows_and_none(spark):
+    """Null ids and texts, repeated rows, ids with several texts, columns that clash, and no rows at all."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, uid string, id string, blocks string"
+    item = table(spark, FOLDER, "benchmark").first().text
+    one, two = " ".join(f"one{i}" for i in range(80)), " ".join(f"two{i}" for i in range(80))
+    rows = [(None, one), (None, None), (1, one), (1, one), (2, two), (2, "short"), (3, f"{one} more"), (4, item), (4, "clean words only"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "u", "i", "b") for i, t in rows], kind)
+    want = {
+        "toxicity": rows,
+        "line_dedup": [(i, "more" if i == 3 else t) for i, t in rows],
+        "near_dedup": [r for r in rows if r[0] != 3],
+        "decontamination": [r for r in rows if r != (4, item)],
+    }
+    key = lambda r: (str(r[0]), str(r[1]))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, FOLDER)
+        if name == "packing":
+            assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i, _ in rows)
+        else:
+            assert got.columns == corpus_pipeline.COLUMNS
+            assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(want[name], key=key)
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
