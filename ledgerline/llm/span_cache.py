@@ -20,6 +20,9 @@ from .arrays import NOT_SPACE, SPACE, Words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
 _SEPARATOR, _AT_ONCE = "\x01", 256
+_ASCII = np.arange(256) < 128
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 #: Bounds of a cache: spans, bytes of spans, values. Longer spans than LONGEST are encoded whenever they occur.
 MOST_SPANS, MOST_BYTES, MOST_VALUES, LONGEST = 1_000_000, 24 << 20, 8_000_000, 256
@@ -81,9 +84,13 @@ class SpanCache:
 
 
 def leading_space_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
-    """Spans that cover whole texts, cut where white space follows another ASCII byte: (spans, first span of each text)."""
+    """Spans that cover whole texts: (spans, first span of each text).
+
+    They are cut where white space follows another ASCII byte, and where another ASCII byte follows an ASCII letter: the
+    byte-level patterns keep letters by themselves, but for an apostrophe's suffix, which ends with its letters too.
+    """
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = SPACE[data[1:]] & (NOT_SPACE & (np.arange(256) < 128))[data[:-1]]
+    cut[1:-1] = SPACE[data[1:]] & (NOT_SPACE & _ASCII)[data[:-1]] | (_ASCII & ~_LETTER)[data[1:]] & _LETTER[data[:-1]]
     cut[offsets] = True
     at = np.flatnonzero(cut)
     return _binary(data, at), np.searchsorted(at, offsets)
@@ -128,6 +135,8 @@ class TextEncoder:
             vocabulary = self.tokenizer.get_vocab()
             self.width = np.zeros(1 + max(vocabulary.values()), np.int64)  # bytes of each id: a character of its name stands for one
             self.width[list(vocabulary.values())] = [len(name) for name in vocabulary]
+            self.merged = self.tokenizer.model.tokenize  # of what the pattern leaves whole, with Ġ for a space
+            self.plain = all([t.id for t in self.merged("Ġ" + w)] == self._ids(" " + w).tolist() for w in ("a", "word", "Zqxj", "internationalisation"))
         else:
             alone, between = self._ids(_SEPARATOR), self._ids(f"a {_SEPARATOR} a")
             self.separator = int(alone[0]) if len(alone) == 1 and (between == [*self._ids("a"), *alone, *self._ids("a")]).all() else None
@@ -139,6 +148,11 @@ class TextEncoder:
     def _led(self, spans: list[bytes]) -> list[np.ndarray]:
         """Spans from white space to another ASCII byte make up texts like those that they were cut from, many to a call; the ids' bytes tell them apart."""
         joined = lambda s: s and SPACE[s[0]] and s[-1] < 128 and not SPACE[s[-1]]
+        word = [self.plain and s[:1] == b" " and s[1:].isalpha() for s in spans]  # a space and ASCII letters: one piece of the pattern
+        ids = iter(self._cut_up([s for s, w in zip(spans, word) if not w], joined))
+        return [np.array([t.id for t in self.merged("Ġ" + s[1:].decode())], np.uint32) if w else next(ids) for s, w in zip(spans, word)]
+
+    def _cut_up(self, spans: list[bytes], joined: Callable) -> list[np.ndarray]:
         return self._many(spans, joined, "", lambda ids, part: np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(s) for s in part[:-1]]), "right"), 0)
 
     def _separate(self, spans: list[bytes]) -> list[np.ndarray]:
@@ -157,9 +171,9 @@ class TextEncoder:
             at = cuts(ids, [spans[i] for i in part]).tolist()
             for i, a, b in zip(part, [0, *(x + skip for x in at)], [*at, len(ids)], strict=True):
                 out[i] = ids[a:b]
-        for i, s in enumerate(spans):
-            if out[i] is None:
-                out[i] = self._ids(s.decode())
+        alone = [i for i, ids in enumerate(out) if ids is None]
+        for i, found in zip(alone, self.tokenizer.encode_batch_fast([spans[i].decode() for i in alone], add_special_tokens=False)):
+            out[i] = np.array(found.ids, np.uint32)
         return out
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
