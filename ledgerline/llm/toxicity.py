@@ -27,6 +27,7 @@ from .shared import texts
 EXAMPLES, TERMS = 2000, 1 << 20
 HEADS, LONG = (4, 5), 7  # bytes of a word's beginning that are terms too, of words of at least LONG bytes
 NEIGHBOURS, BLOCK = 15, 64
+_POSTING = np.dtype([("place", "<i4"), ("value", "<f4")])
 
 
 def term_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -87,41 +88,72 @@ class Model:
         norm = np.sqrt(np.bincount(text, value**2, len(batch)))
         return text, at, value / norm[text]
 
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Of each posting, the example's place among all."""
+        return np.repeat(self.block, np.diff(self.start)).astype(np.int64) * BLOCK + self.doc
+
+    @cached_property
+    def posting(self) -> np.ndarray:
+        """(place, value) of each posting side by side in 8 bytes."""
+        out = np.empty(len(self.value), _POSTING)
+        out["place"], out["value"] = self.place, self.value
+        return out.view(np.int64)
+
     def nearest(self, at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k examples nearest to a unit vector, best first, ties by place; only cosines over 0."""
-        own, entry = _ranges(self.first[at], self.first[at + 1])
+        """(places, cosines) of the k examples nearest to a unit vector, best first, ties by place; only cosines over 0.
+
+        The two blocks with the largest bounds are opened first, then those whose bound reaches the k-th best so far. Where
+        bounds are even, or most blocks' reach it, all postings of the terms are read, which lie together.
+        """
+        first, last = self.first[at], self.first[at + 1]
+        own, entry = _ranges(first, last)
         block = self.block[entry]
         bound = np.bincount(block, value[own] * self.best[entry], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        order = np.argsort(-bound, kind="stable")[: int(np.count_nonzero(bound > 0))]
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        opened = 0
-        while opened < len(order):
+        if len(order) and 2 * bound[order[len(order) // 2]] < bound[order[0]]:
+            places, scores = _top(self._open(order[:2], own, entry, block, value), places, scores, k)
             least = scores[-1] - 1e-6 if len(scores) == k else 0.0
-            some = order[opened : 2 if not opened else None]
-            some = some[bound[some] >= least]
-            if not len(some):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[some] = True
-            pick = np.flatnonzero(wanted[block])
-            of, posting = _ranges(self.start[entry[pick]], self.start[entry[pick] + 1])
-            place = block[pick][of].astype(np.int64) * BLOCK + self.doc[posting]
-            cosine = np.bincount(place, value[own[pick]][of] * self.value[posting])
-            hit = np.flatnonzero(cosine)
-            if len(hit) > k:
-                hit = hit[cosine[hit] >= np.partition(cosine[hit], -k)[-k] - 1e-8]
-            places, scores = np.concatenate([places, hit]), np.concatenate([scores, cosine[hit]])
-            best = np.lexsort((places, -np.round(scores, 9)))[:k]
-            places, scores = places[best], scores[best]
-            opened = 2 if not opened else len(order)
-        return places, scores
+            order = order[2:][bound[order[2:]] >= least]
+            if 2 * len(order) <= self.blocks:
+                return _top(self._open(order, own, entry, block, value), places, scores, k) if len(order) else (places, scores)
+        return _top(self._all(first, last, value), places[:0], scores[:0], k) if len(order) else (places, scores)
+
+    def _all(self, first: np.ndarray, last: np.ndarray, value: np.ndarray, few: int = 32) -> np.ndarray:
+        """Cosines of all examples, by place; the many terms with few postings are gathered, the others' postings sliced."""
+        start, end = self.start[first], self.start[last]
+        small = np.flatnonzero(end - start <= few)
+        large = np.flatnonzero(end - start > few)
+        own, at = _ranges(start[small], end[small])
+        parts = [self.posting[at], *(self.posting[a:b] for a, b in zip(start[large].tolist(), end[large].tolist()))]
+        found = np.concatenate(parts).view(_POSTING)
+        weight = np.concatenate([value[small][own], np.repeat(value[large], end[large] - start[large])])
+        return np.bincount(found["place"], weight * found["value"])
+
+    def _open(self, blocks: np.ndarray, own: np.ndarray, entry: np.ndarray, block: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in some blocks, by place."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        pick = np.flatnonzero(wanted[block])
+        of, posting = _ranges(self.start[entry[pick]], self.start[entry[pick] + 1])
+        return np.bincount(self.place[posting], value[own[pick]][of] * self.value[posting])
 
     def score(self, places: np.ndarray, cosines: np.ndarray) -> float:
         vote = self.weight[places] / (1.05 - np.minimum(cosines, 1.0)) * cosines**3
         return float((vote @ self.toxic[places] + 0.05 * self.prior) / (vote.sum() + 0.05))
 
 
+def _top(cosine: np.ndarray, places: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of cosines by place and of (places, scores), best first, ties by place; only cosines over 0."""
+    hit = np.flatnonzero(cosine)
+    if len(hit) > k:
+        hit = hit[cosine[hit] >= np.partition(cosine[hit], -k)[-k] - 1e-8]
+    places, scores = np.concatenate([places, hit]), np.concatenate([scores, cosine[hit]])
+    best = np.lexsort((places, -np.round(scores, 9)))[:k]
+    return places[best], scores[best]
+
+
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of the range, value) of all values in the ranges start[i]:end[i]."""
     size = (end - start).astype(np.int64)
