@@ -20,11 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, ODD, Words, mix, slices, span_hashes, text_buffer
-from .shared import bitmap, in_bitmap, screened, staged, texts
+from .shared import bitmap, in_bitmap, passing, screened, staged, texts
 
 ANCHOR, LEAST = 12, 50
 _BLOCKS = "array<struct<from: int, to: int>>"
@@ -137,11 +138,25 @@ def _wanted_windows(wanted) -> Callable:
     return run
 
 
-def _open_windows(shared, n: int, least: int) -> Callable:
-    """(doc_id, uid, windows): windows that lie in no block and whose anchor may be shared."""
+def _sharing(shared) -> Callable:
+    """uid of the rows one of whose anchors may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("anchors")
+            cut = column.offsets.to_numpy()
+            hits = np.concatenate([[0], np.cumsum(in_bitmap(shared.value, column.values.to_numpy()[cut[0] : cut[-1]]))])[cut - cut[0]]
+            yield pa.RecordBatch.from_arrays([batch.column("uid").filter(pa.array(np.diff(hits) > 0))], ["uid"])
+
+    return run
+
+
+def _open_windows(shared, tests: tuple, n: int, least: int) -> Callable:
+    """(doc_id, uid, windows): windows that lie in no block and whose anchor may be shared, of rows that pass the tests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            whole = whole.filter(pa.array(passing(whole, tests)))
             for batch in slices(whole, "text"):
                 t = Texts(batch.column("text"), n, least)
                 free = t.inside & in_bitmap(shared.value, t.anchor.view(np.int64))
@@ -322,12 +337,13 @@ def _pairs(windows: DataFrame) -> DataFrame:
     return out
 
 
-def _blocks(pairs: DataFrame, known: DataFrame, n: int, least: int) -> DataFrame:
-    """(doc_id, uid, blocks): what aligns in each pair. Partners are all texts with their id."""
+def _blocks(pairs: DataFrame, known: DataFrame, repeated: Broadcast, n: int, least: int) -> DataFrame:
+    """(doc_id, uid, blocks): what aligns in each pair. Partners are all texts with their id; `repeated` tells rows that may occur twice."""
     sc = pairs.sparkSession.sparkContext
     some = sc.broadcast(bitmap(pairs.select(F.explode(F.array("doc_id", "doc_id2")).alias("doc_id")).distinct(), "doc_id"))
     # One row of each text, in a table of its own: a document that is many others' partner is a hot key, which joins of tables split.
-    rows = staged(screened(known, some, "doc_id").dropDuplicates(["doc_id", "uid"]), "texts")
+    twice = screened(known, (some, "doc_id", True), (repeated, "uid", True)).dropDuplicates(["doc_id", "uid"])
+    rows = staged(screened(known, (some, "doc_id", True), (repeated, "uid", False)).unionByName(twice), "texts")
     some.unpersist()
     partner = rows.select(F.col("doc_id").alias("doc_id2"), F.col("text").alias("text2"))
     both = pairs.join(rows, ["doc_id", "uid"]).join(partner, "doc_id2").select("doc_id", "uid", "text", "text2")
@@ -353,26 +369,28 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
     copies = staged(same.join(_several(same, "digest"), "digest").where("doc_id2 < doc_id").select("doc_id", "uid", whole.alias("blocks")).distinct(), "copies")
     pairs = staged(_pairs(found).join(copies, ["doc_id", "uid"], "left_anti"), "pairs")
-    blocks = copies.unionByName(_blocks(pairs, known, anchor_words, least_words))
+    repeated = sc.broadcast(bitmap(found.groupBy("doc_id", "uid").agg(F.count("*").alias("n")).where("n > 1"), "uid"))
+    blocks = copies.unionByName(_blocks(pairs, known, repeated, anchor_words, least_words))
 
     # The earliest document that has a window never has it in a block, so the windows outside of blocks are enough.
     shared = sc.broadcast(bitmap(_several(found.select("doc_id", F.explode("anchors").alias("anchor")), "anchor"), "anchor"))
     gathered = lambda rows: rows.groupBy("doc_id", "uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     first = staged(gathered(blocks), "blocks")
     in_blocks = sc.broadcast(bitmap(first, "uid"))
-    open_windows, row = _open_windows(shared, anchor_words, least_words), "doc_id long, uid long, windows array<long>"
-    some = screened(known, in_blocks, "uid").join(first, ["doc_id", "uid"], "left").mapInArrow(open_windows, row)
-    others = screened(known, in_blocks, "uid", inside=False).mapInArrow(open_windows, row)
+    sharing = sc.broadcast(bitmap(found.select("uid", "anchors").mapInArrow(_sharing(shared), "uid long"), "uid"))
+    open_windows, row = lambda *tests: _open_windows(shared, tests, anchor_words, least_words), "doc_id long, uid long, windows array<long>"
+    some = screened(known, (in_blocks, "uid", True), (sharing, "uid", True)).join(first, ["doc_id", "uid"], "left").mapInArrow(open_windows(), row)
+    others = known.mapInArrow(open_windows((in_blocks, "uid", False), (sharing, "uid", True)), row)
     rest = staged(some.unionByName(others).where(F.size("windows") > 0), "rest")
-    shared.unpersist()
-    in_blocks.unpersist()
+    for bits in (shared, sharing, in_blocks):
+        bits.unpersist()
     more = _pairs(rest)
     if not more.isEmpty():
-        first = staged(gathered(first.unionByName(_blocks(more, known, anchor_words, least_words))), "blocks")
+        first = staged(gathered(first.unionByName(_blocks(more, known, repeated, anchor_words, least_words))), "blocks")
 
     with_blocks = sc.broadcast(bitmap(first, "uid"))
-    touched = screened(docs, with_blocks, "uid").join(first, ["doc_id", "uid"], "left").select("doc_id", "uid", "text", "blocks")
-    others = screened(docs, with_blocks, "uid", inside=False)
+    touched = screened(docs, (with_blocks, "uid", True)).join(first, ["doc_id", "uid"], "left").select("doc_id", "uid", "text", "blocks")
+    others = screened(docs, (with_blocks, "uid", False))
     zero = F.lit(0).cast("long")
     cut = touched.mapInArrow(_cut(least_words), "doc_id long, uid long, text string, removed_words long, removed_blocks long")
     return cut.unionByName(others.withColumns({"removed_words": zero, "removed_blocks": zero}))

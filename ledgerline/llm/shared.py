@@ -79,11 +79,21 @@ def in_bitmap(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def screened(df: DataFrame, bits: Broadcast, key: str, inside: bool = True) -> DataFrame:
-    """Rows whose key (a long; null as 0) may be in the broadcast bitmap, or the others."""
+def screened(df: DataFrame, *tests: tuple[Broadcast, str, bool]) -> DataFrame:
+    """Rows that pass each test (broadcast bitmap, key, inside): whether the key, a long with null as 0, may be in the bitmap.
+
+    All tests are one pass, as each Python stage of a task has a worker of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(key).fill_null(0).to_numpy()) == inside))
+            yield batch.filter(pa.array(passing(batch, tests)))
 
     return df.mapInArrow(run, df.schema)
+
+
+def passing(batch: pa.RecordBatch, tests: tuple[tuple[Broadcast, str, bool], ...]) -> np.ndarray:
+    out = np.ones(len(batch), bool)
+    for bits, key, inside in tests:
+        out &= in_bitmap(bits.value, batch.column(key).fill_null(0).to_numpy()) == inside
+    return out

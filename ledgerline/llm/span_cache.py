@@ -3,7 +3,8 @@
 A tokenizer that never lets a token cross certain byte boundaries gives for a whole text just what it gives for the
 spans between them, one after another. Invented and natural prose repeat their words, so most spans are looked up.
 Spans are told apart by their bytes: Arrow numbers the distinct ones of a batch, and a dictionary knows those of earlier
-batches. A cache is emptied when it reaches its bound, which costs time but no result.
+batches. A cache that reaches its bound keeps what the batch at hand has met again; a worker's memory stays bounded, and
+what is forgotten costs time but no result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 #: Bounds of a cache: spans, bytes of spans, values. Longer spans than LONGEST are encoded whenever they occur.
-MOST_SPANS, MOST_BYTES, MOST_VALUES, LONGEST = 1_000_000, 24 << 20, 8_000_000, 256
+MOST_SPANS, MOST_BYTES, MOST_VALUES, LONGEST = 500_000, 16 << 20, 4_000_000, 256
 
 
 class SpanCache:
@@ -60,7 +61,10 @@ class SpanCache:
         numbered = spans.dictionary_encode()
         distinct = _bytes(numbered.dictionary)
         if len(self.known) + len(distinct) > MOST_SPANS or self.n_bytes > MOST_BYTES or self.n_values > MOST_VALUES:
+            again = [(s, self.known[s]) for s in distinct if s in self.known]
+            kept = [self.values[self.first[i] : self.first[i + 1]].copy() for _, i in again]
             self.clear()
+            self._add([s for s, _ in again], kept)
         number = np.array([self.known.get(s, -1) for s in distinct], np.int64)
         new = np.flatnonzero(number < 0)
         extra: list[np.ndarray] = []

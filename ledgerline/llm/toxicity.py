@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -265,9 +266,9 @@ def _scored(shared, k: int, evidence: int) -> Callable:
                 text, at, value = model.vectors(batch)
                 edges = np.flatnonzero(np.append(True, text[1:] != text[:-1])).tolist() if len(text) else []
                 for a, b in zip(edges, [*edges[1:], len(text)]):
-                    key = at[a:b].tobytes() + value[a:b].round(9).tobytes()
+                    key = blake2b(at[a:b].tobytes() + value[a:b].round(9).tobytes(), digest_size=16).digest()
                     if key not in known:
-                        if len(known) > 50_000:
+                        if len(known) > 4096:
                             known.clear()
                         places, cosines = model.nearest(at[a:b], value[a:b], k)
                         near = [{"doc_id": int(model.example[p]), "cosine": float(c), "toxic": int(model.toxic[p])} for p, c in zip(places[:evidence], cosines)]
