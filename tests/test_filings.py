@@ -9,7 +9,7 @@ from ledgerline.operators import graph as G
 from ledgerline.operators import maintain as M
 from ledgerline.operators import statements as P
 from ledgerline.operators import text as T
-from ledgerline.sources import sinks
+from ledgerline.sources import sinks, stored
 
 
 def test_chunks_overlap_within_pages_and_are_numbered_densely(spark):
@@ -123,6 +123,20 @@ def test_partitions_are_replaced_and_batches_added(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(table).select("id", "part", "v").collect()} == {(1, 0, "a"), (4, 1, "b")}
 
 
+def test_tables_of_a_relational_store(spark):
+    """Read in ranges of the key, from an in-memory store; rows without a key aren't lost."""
+    url = "jdbc:derby:memory:filings;create=true"
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(1, 101)] + [(None, "none")], "id long, name string")
+    stored.append_table(rows, url, "companies")
+    stored.append_table(rows.limit(0), url, "companies")
+    got = stored.read_table(spark, url, "companies", rows=30)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r[0] or 0, r[1]) for r in got.collect()) == sorted((r[0] or 0, r[1]) for r in rows.collect())
+    assert [tuple(r) for r in stored.lookup(got, "id", [7, 500]).collect()] == [(7, "n7")]
+    stored.append_table(rows.limit(0), url, "nothing")
+    assert stored.read_table(spark, url, "nothing").count() == 0
+
+
 def test_caps_can_be_left_out(spark):
     pages = [Row(page_number=i, text=f"Page {i} speaks of litigation, forex, logistics and of much else besides, at some length.") for i in range(1, 90)]
     rows = spark.createDataFrame([(1, 1, pages)], "document_id long, company_id long, pages array<struct<page_number: int, text: string>>")
