@@ -379,6 +379,17 @@ def citations(d: Domain) -> DataFrame:
     return rows.select("qid", "section", "source", "page", F.when(F.col("section") == 3, F.concat(F.left("line", F.lit(100)), F.lit("..."))).alias("excerpt"))
 
 
+@query(f""", {CONTEXT_CTES} select qid, ticker company, 'Risk' as type, risk category, 'Latest' period, file_name source, 'Page ' || page_number page, null::varchar excerpt from tg t join rk r on r.company_id = t.company_id
+union all select qid, ticker, 'Management Guidance', category, period, file_name, page, left(statement, 100) || '...' from top_gd""")
+def citation_details(d: Domain) -> DataFrame:
+    """A citation for each risk and each of a question's first eight statements, with an excerpt of the statement itself."""
+    facts = graph_facts(d)
+    row = lambda rows, kind, period, page, excerpt: rows.select("qid", F.col("ticker").alias("company"), F.lit(kind).alias("type"), "category", period.alias("period"), F.col("source_doc").alias("source"), page.alias("page"), excerpt.cast("string").alias("excerpt"))
+    said = G.capped(facts["guidance"].withColumnRenamed("nth", "own"), "qid", 8, "company_id", "own")
+    risks = row(facts["risk"], "Risk", F.lit("Latest"), F.concat(F.lit("Page "), "page_number"), F.lit(None))
+    return risks.unionByName(row(said, "Management Guidance", F.col("period"), F.col("page"), F.concat(F.left("statement", F.lit(100)), F.lit("..."))))
+
+
 @query(f", {CONTEXT_CTES} select qid, tag, count(*) n from ctx group by 1, 2")
 def context_tags(d: Domain) -> DataFrame:
     return context_rows(d).groupBy("qid", "tag").agg(F.count("*").alias("n"))
