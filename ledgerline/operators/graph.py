@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import COLORS, SIZES
+from .lookup import held_in
+
+
+def node_rows(rows: DataFrame, prefix: str, key: Column, label: Column, kind: str, seq: Column, properties: list, company: str = "company_id", color: Column | None = None) -> DataFrame:
+    """Nodes of one kind, with their properties as JSON; seq orders the writes of an id."""
+    color = F.lit(COLORS[kind]) if color is None else color
+    return rows.select(
+        F.concat(F.lit(prefix), key).alias("id"), label.alias("label"), F.lit(kind).alias("type"), color.alias("color"), F.lit(SIZES[kind]).alias("size"),
+        F.col(company).cast("long").alias("company_id"), F.to_json(F.struct(*properties)).alias("properties"), seq.alias("seq"),
+    )
+
+
+def edge_rows(rows: DataFrame, source: Column, target: Column, label: Column, seq: Column, *properties) -> DataFrame:
+    """Edges of one relation, with their properties as JSON."""
+    held = F.to_json(F.struct(*properties)) if properties else F.lit("{}")
+    return rows.select(source.alias("source"), target.alias("target"), label.alias("label"), F.col("company_id").cast("long").alias("company_id"), held.alias("properties"), seq.alias("seq"))
+
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
     """Of nodes (id, seq, ...) with the same id the last one written; of those with one seq the largest by its columns."""
@@ -39,56 +57,75 @@ def subgraph_edges(edges: DataFrame, inside: DataFrame) -> DataFrame:
     return edges.join(a, "source").join(b, (F.col("company") == F.col("c")) & (F.col("target") == F.col("t"))).drop("c", "t")
 
 
-def relations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, direction, label, other, other_label) of each node's outgoing and incoming edges."""
-    names = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"))
-    out = edges.select(F.col("source").alias("node"), F.lit("→").alias("direction"), "label", F.col("target").alias("other"))
-    back = edges.select(F.col("target").alias("node"), F.lit("←").alias("direction"), "label", F.col("source").alias("other"))
-    return out.unionByName(back).join(names, "other").select("node", "direction", "label", "other", "other_label")
+def company_subgraphs(by_source: DataFrame, by_target: DataFrame) -> DataFrame:
+    """(company, edge columns): what subgraph_edges gives, from edges with source_type, kept in buckets of source and of target.
 
+    A company's own edges are all in its neighbourhood, so only edges of other nodes are tested. These meet the company edges
+    to their source bucket by bucket; only the matches are shuffled, to be looked up among the company's targets. No join has
+    a company alone as its key, so one with many edges is no hot key.
+    """
+    columns = by_source.columns
+    out = by_target.where("source_type = 'company'").select(F.col("source").alias("company"), F.col("target").alias("node")).distinct()
+    own = by_source.where("source_type = 'company'").withColumn("company", F.col("source"))
+    near = by_source.where("source_type <> 'company'").join(out, F.col("source") == F.col("node")).drop("node")
+    ends = out.withColumnRenamed("company", "c")
+    inside = near.where("target <> company").join(ends, (F.col("target") == F.col("node")) & (F.col("company") == F.col("c")), "left_semi")
+    return own.unionByName(inside).unionByName(near.where("target = company")).select("company", *columns)
 
-#: Questions that may be compared with all companies at once; larger batches are cut up.
-MOST_OPEN = 10_000
 
+def relations(edges: DataFrame, nodes: DataFrame, by_target: DataFrame | None = None) -> DataFrame:
+    """(node, direction, label, other, other_label) of each node's outgoing and incoming edges.
 
-def _bounded(questions: DataFrame) -> DataFrame:
-    """A batch of open questions, to be broadcast; one of more than MOST_OPEN is refused, so that callers cut theirs up."""
-    n = questions.limit(MOST_OPEN + 1).count()
-    if n > MOST_OPEN:
-        raise ValueError(f"more than {MOST_OPEN} open questions in a batch")
-    return F.broadcast(questions)
+    With the same edges kept by_target, and `edges` and `nodes` kept by source and id, nothing is shuffled.
+    """
+    names = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"))
+    out = (edges if by_target is None else by_target).select(F.col("source").alias("node"), F.lit("→").alias("direction"), "label", F.col("target").alias("other"))
+    back = edges.select(F.col("target").alias("node"), F.lit("←").alias("direction"), "label", F.col("source").alias("other"))
+    both = out.join(names, "other").unionByName(back.join(names, "other"))
+    return both.select("node", "direction", "label", "other", "other_label")
 
 
 def find_companies(asked: DataFrame, companies: DataFrame) -> DataFrame:
     """(q, id): ticker first, then node id, comp_{q}, name, then names that hold q or lie in it; the least id of the best rule.
 
-    The equalities are equi-joins; only questions that these leave open, MOST_OPEN at most, meet all names.
+    All rules are equi-joins, the last one on a rare piece of the text that must be held; a batch may have any number of questions.
     """
     c = companies.select("id", F.upper("ticker").alias("t"), F.lower("name").alias("n"), F.concat(F.lit("comp_"), "id").alias("node"))
-    q = asked.select("q", F.upper(F.trim("q")).alias("u"), F.lower(F.trim("q")).alias("l"), F.concat(F.lit("comp_"), "q").alias("k"))
+    q = asked.select("q").distinct().select("q", F.upper(F.trim("q")).alias("u"), F.lower(F.trim("q")).alias("l"), F.concat(F.lit("comp_"), "q").alias("k"))
     rules = [("u", "t"), ("q", "node"), ("k", "node"), ("l", "n")]
     hits = [q.join(c, F.col(a) == F.col(b)).select("q", F.lit(i).alias("rule"), "id") for i, (a, b) in enumerate(rules)]
     exact = hits[0].unionByName(hits[1]).unionByName(hits[2]).unionByName(hits[3])
-    left = q.join(exact.select("q").distinct(), "q", "left_anti")
-    loose = c.join(_bounded(left), F.contains("n", "l") | F.contains("l", "n")).select("q", F.lit(4).alias("rule"), "id")
+    left = q.join(exact.select("q").distinct(), "q", "left_anti").select("q", "l")
+    names = c.where("n is not null").groupBy("n").agg(F.min("id").alias("id"))
+    texts = left.select("l").distinct()
+    within = held_in(texts.select(F.col("l").alias("needle")), names.select(F.col("n").alias("hay"))).select(F.col("needle").alias("l"), F.col("hay").alias("n"))
+    around = held_in(names.select(F.col("n").alias("needle")), texts.select(F.col("l").alias("hay"))).select(F.col("hay").alias("l"), F.col("needle").alias("n"))
+    best = within.unionByName(around).join(names, "n").groupBy("l").agg(F.min("id").alias("id"))
+    loose = left.join(best, "l").select("q", F.lit(4).alias("rule"), "id")
     return exact.unionByName(loose).groupBy("q").agg(F.min(F.struct("rule", "id"))["id"].alias("id"))
 
 
+#: Questions that name nothing travel to the companies in arrays of about so many.
+BLOCK = 10_000
+
+
 def resolve_targets(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(qid, company_id): the given company if it exists; else those whose ticker, or a name's word of over 3 letters, is in the question; else all.
 
-    A ticker or word may begin and end anywhere in a question, so these are looked for in MOST_OPEN questions at most at
-    once; for questions that name nothing the rule itself gives every company.
+    A ticker or word may begin and end anywhere in a question; it meets the questions that hold its rarest piece. For
+    questions that name nothing the rule itself gives every company: they go along in blocks.
     """
     c = companies.select(F.col("id").alias("cid"), F.lower("ticker").alias("t"), F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) > 3).alias("words"))
     given = questions.join(companies.select(F.col("id").alias("company_id")), "company_id").select("qid", "company_id")
     open_ = questions.join(given, "qid", "left_anti").select("qid", F.lower("question").alias("l"))
-    named = F.contains("l", "t") | F.exists("words", lambda w: F.contains("l", w))
-    text = c.join(_bounded(open_), named).select("qid", F.col("cid").alias("company_id"))
-    rest = open_.join(text.select("qid").distinct(), "qid", "left_anti")
-    # The rule itself asks for all companies; the ids of the questions ride along as one array of MOST_OPEN at most.
-    ids = rest.agg(F.collect_list("qid").alias("qids"))
-    every = c.select("cid").join(F.broadcast(ids), F.lit(True)).select(F.explode("qids").alias("qid"), F.col("cid").alias("company_id"))
+    said = c.select("cid", F.explode(F.array_distinct(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array("t")))).alias("needle")).where("needle is not null")
+    met = held_in(said.select("needle").distinct(), open_.select(F.col("l").alias("hay")).distinct())
+    text = met.join(said, "needle").join(open_, F.col("hay") == F.col("l")).select("qid", F.col("cid").alias("company_id")).distinct()
+    rest = open_.join(text.select("qid").distinct(), "qid", "left_anti").select("qid")
+    blocks = rest.agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))  # one row
+    held = rest.join(F.broadcast(blocks)).groupBy(F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("qid").alias("qids"))
+    dealt = c.select("cid").join(F.broadcast(blocks)).select("cid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    every = dealt.join(held, "block").select(F.explode("qids").alias("qid"), F.col("cid").alias("company_id"))
     return given.unionByName(text).unionByName(every)
 
 

@@ -22,10 +22,14 @@ def plain(cell: Column) -> Column:
 
 
 def _rows(tables: DataFrame, key: str, html: str, *more: str) -> DataFrame:
-    """(key, more..., row_pos, row_title, td) of each body row of more than one cell."""
-    rows = tables.select(key, *more, F.posexplode(inner(F.col(html), "tr")).alias("row_pos", "r"))
-    rows = rows.withColumn("td", inner(F.col("r"), "td")).where(F.size("td") > 1)
-    return rows.withColumn("row_title", F.trim(F.lower(F.regexp_replace(plain(F.col("td")[0]), r"\+", "")))).drop("r")
+    """(key, more..., row_pos, row_title, td) of each row.
+
+    Arrays of regex matches are exploded with the outer form, here and below, and the null row is dropped after: the plain form
+    has Spark filter by the array's size first, which matches everything twice.
+    """
+    rows = tables.select(key, *more, F.posexplode_outer(inner(F.col(html), "tr")).alias("row_pos", "r"))
+    rows = rows.withColumn("td", inner(F.col("r"), "td"))
+    return rows.withColumn("row_title", F.trim(F.lower(F.regexp_replace(plain(F.get("td", F.lit(0))), r"\+", "")))).drop("r")
 
 
 def _value(cell: Column) -> Column:
@@ -34,7 +38,7 @@ def _value(cell: Column) -> Column:
 
 def cells(tables: DataFrame, key: str = "company_id", html: str = "html") -> DataFrame:
     """(key, row_pos, row_title, col_index, value) of each body cell after a row's title; rows of one cell are left out."""
-    rows = _rows(tables, key, html).select(key, "row_pos", "row_title", F.posexplode("td").alias("col_index", "c")).where("col_index > 0")
+    rows = _rows(tables, key, html).select(key, "row_pos", "row_title", F.posexplode_outer("td").alias("col_index", "c")).where("col_index > 0")
     return rows.select(key, "row_pos", "row_title", "col_index", _value(F.col("c")).alias("value"))
 
 
@@ -47,7 +51,7 @@ def _last_heads(html: Column, most: int = 4, skip: tuple[str, ...] = ("TTM",)) -
 
 def periods(tables: DataFrame, key: str = "company_id", html: str = "html", **kept) -> DataFrame:
     """(key, col_index, period) of the last `most` header cells, in a row's array, without a shuffle."""
-    return tables.select(key, F.inline(_last_heads(F.col(html), **kept)))
+    return tables.select(key, F.inline_outer(_last_heads(F.col(html), **kept))).where("col_index is not null")
 
 
 def items(tables: DataFrame, key: str = "company_id", html: str = "html", **kept) -> DataFrame:
@@ -56,7 +60,7 @@ def items(tables: DataFrame, key: str = "company_id", html: str = "html", **kept
     Cells meet their periods in the page's own row, by place, and only cells of kept periods and named rows are cleaned.
     """
     rows = _rows(tables.select(key, html, _last_heads(F.col(html), **kept).alias("heads")), key, html, "heads")
-    rows = rows.select(key, "row_pos", "row_title", "td", F.inline("heads")).where((F.col("col_index") > 0) & (F.col("col_index") < F.size("td")))
+    rows = rows.select(key, "row_pos", "row_title", "td", F.inline_outer("heads")).where((F.col("col_index") > 0) & (F.col("col_index") < F.size("td")))
     values = rows.select(key, "row_pos", "row_title", "col_index", "period", number(_value(F.get("td", F.col("col_index")))).alias("v"))
     picks = [F.min_by("v", F.when(F.contains("row_title", F.lit(name)), F.col("row_pos"))).alias(out) for name, out in ITEMS.items()]
     return values.groupBy(key, "col_index", "period").agg(*picks)
@@ -98,7 +102,7 @@ def section(html: Column, ident: str) -> Column:
 
 def report_links(pages: DataFrame, words: tuple[str, ...] = ("annual", "bseplus", "corpfiling")) -> DataFrame:
     """(company_id, pos, href, title): links to .pdf with a keyword in text or target, the first for each target."""
-    links = pages.select("company_id", F.posexplode(anchors(F.col("html"))).alias("pos", "a")).select("company_id", "pos", "a.*")
+    links = pages.select("company_id", F.posexplode_outer(anchors(F.col("html"))).alias("pos", "a")).where("pos is not null").select("company_id", "pos", "a.*")
     both = F.lower(F.concat_ws(" ", "text", "href"))
     named = F.lit(False)
     for w in words:
@@ -110,7 +114,7 @@ def report_links(pages: DataFrame, words: tuple[str, ...] = ("annual", "bseplus"
 
 def transcript_links(pages: DataFrame) -> DataFrame:
     """(company_id, pos, href, period): of each list item the first link called a transcript that isn't audio or video."""
-    li = pages.select("company_id", F.posexplode(inner(F.col("html"), "li")).alias("pos", "li"))
+    li = pages.select("company_id", F.posexplode_outer(inner(F.col("html"), "li")).alias("pos", "li")).where("pos is not null")
 
     def wanted(a: Column) -> Column:
         name = F.lower(F.concat_ws(" ", a["text"], a["title"]))

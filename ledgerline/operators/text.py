@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,40 @@ def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least
         return F.transform(starts, lambda at: F.struct(p["page_number"].alias("page"), F.trim(F.substring(p["text"], at + 1, F.lit(size))).alias("content")))
 
     kept = F.filter(F.flatten(F.transform(F.filter("pages", lambda p: F.lit(True) if most_pages is None else p["page_number"] <= most_pages), of_page)), lambda c: F.length(c["content"]) >= least)
-    out = documents.select("document_id", "company_id", F.posexplode(kept).alias("chunk_index", "c"))
+    out = documents.select("document_id", "company_id", F.posexplode_outer(kept).alias("chunk_index", "c")).where("chunk_index is not null")  # the plain form would build `kept` twice, once to filter by its size
     return out.select("document_id", "company_id", "chunk_index", F.col("c.page").alias("page_start"), F.col("c.page").alias("page_end"), "c.content")
 
 
+def required_literals(pattern: str) -> list[str] | None:
+    """For each alternative of a pattern like (a\\s+b|c), the longest literal that it can't match without; None for other patterns."""
+    inner = pattern[1:-1] if pattern.startswith("(") and pattern.endswith(")") else pattern
+    parts = [alternative.split(r"\s+") for alternative in inner.split("|")]
+    if any(re.search(r"[^\w /&,'-]", piece) for pieces in parts for piece in pieces) or not all(max(pieces, key=len) for pieces in parts):
+        return None
+    return list(dict.fromkeys(max(pieces, key=len) for pieces in parts))
+
+
+def guarded(text: Column, pattern: str, found: Column, missing: Column) -> Column:
+    """`found`, evaluated only where the text holds a literal that the pattern needs; else `missing`."""
+    needed = required_literals(pattern)
+    if needed is None:
+        return found
+    held = F.contains(text, F.lit(needed[0]))
+    for literal in needed[1:]:
+        held = held | F.contains(text, F.lit(literal))
+    return F.when(held, found).otherwise(missing)
+
+
 def tag_risks(pages: DataFrame, most: int | None = MOST_RISKS, categories: list[tuple[str, str]] = RISKS) -> DataFrame:
     """(document_id, risk, description, page_number): each category's first page, at most `most` (None: all) per document by page and category.
 
-    Contents pages, and index pages under 300 characters, are skipped. Each pattern runs once over a page; the snippet
-    around a match is cut only where there is one. Only snippets are shuffled, not pages. A null text has no risks.
+    Contents pages, and index pages under 300 characters, are skipped. A pattern runs, once, over the pages that hold one of
+    its literals; the snippet around a match is cut only where there is one. Only snippets are shuffled, not pages. A null
+    text has no risks.
     """
     pages = pages.select("document_id", "page_number", "text", F.lower("text").alias("low"))
     pages = pages.where(~(F.contains("low", F.lit("table of contents")) | (F.contains("low", F.lit("index")) & (F.length("text") < 300))))
-    places = pages.select("document_id", "page_number", "text", "low", F.posexplode(F.array(*(F.regexp_instr("low", F.lit(p)) for _, p in categories))).alias("k", "at")).where("at > 0")
+    places = pages.select("document_id", "page_number", "text", "low", F.posexplode(F.array(*(guarded(F.col("low"), p, F.regexp_instr("low", F.lit(p)), F.lit(0)) for _, p in categories))).alias("k", "at")).where("at > 0")
     found = F.coalesce(*(F.when(F.col("k") == i, F.regexp_extract("low", p, 1)) for i, (_, p) in enumerate(categories)))
     risk = F.get(F.array(*(F.lit(title) for title, _ in categories)), F.col("k"))
     begin = F.greatest(F.col("at") - 51, F.lit(0))
@@ -80,14 +103,14 @@ def sentences(chunk_rows: DataFrame) -> DataFrame:
     """Sentences of 50 to 400 characters of chunks of 80 or more: adds pos and statement."""
     rows = chunk_rows.where(F.length("content") >= 80)
     rest = [c for c in rows.columns if c != "content"]
-    rows = rows.select(*rest, F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("pos", "s")).withColumn("statement", F.trim("s"))
+    rows = rows.select(*rest, F.posexplode_outer(F.split("content", r"(?<=[.!?])\s+")).alias("pos", "s")).withColumn("statement", F.trim("s"))
     return rows.where(F.length("statement").between(50, 400)).drop("s")
 
 
 def classify_guidance(rows: DataFrame, categories: list[tuple[str, str]] = GUIDANCE) -> DataFrame:
     """Adds the first category whose pattern the statement has, and drops the others."""
     low = F.lower("statement")
-    category = F.coalesce(*(F.when(F.rlike(low, F.lit(p)), F.lit(t)) for t, p in categories))
+    category = F.coalesce(*(F.when(guarded(low, p, F.rlike(low, F.lit(p)), F.lit(False)), F.lit(t)) for t, p in categories))
     return rows.withColumn("category", category).where("category is not null")
 
 

@@ -14,25 +14,24 @@ from ..sources.domain import Domain
 from .catalog import long_money, pct, query, quoted, short_money
 from .filings import GUIDANCE_CTES, RISK_CTES, guidance_table, risk_table
 
-def base_tables(d: Domain) -> dict[str, DataFrame]:
-    """Documents, financial rows, risks and guidance, each computed once: all nodes, edges and facts come from these."""
-    return {
-        "document": d.once("documents", d.documents), "metric": d.once("financial", d.financial),
-        "risk": d.once("risks", lambda: risk_table(d)), "guidance": d.once("guidance", lambda: guidance_table(d)),
-    }
+KINDS = ("company", "document", "metric", "risk", "guidance")
+
+
+def base_tables(d: Domain, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFrame]:
+    """Documents, financial rows, risks and guidance, those of the given kinds, each computed once, side by side: all nodes, edges and facts come from these."""
+    builds = {"document": ("documents", d.documents), "metric": ("financial", d.financial), "risk": ("risks", lambda: risk_table(d)), "guidance": ("guidance", lambda: guidance_table(d))}
+    wanted = {k: builds[k] for k in builds if k in kinds}
+    made = d.once_each(dict(wanted.values())) if wanted else {}
+    return {k: made[name] for k, (name, _) in wanted.items()}
 
 
 def _node(rows: DataFrame, prefix: str, key, label, kind: str, seq: int, props: list, company="company_id", color=None) -> DataFrame:
-    color = F.lit(COLORS[kind]) if color is None else color
-    return rows.select(
-        F.concat(F.lit(prefix), key).alias("id"), label.alias("label"), F.lit(kind).alias("type"), color.alias("color"), F.lit(SIZES[kind]).alias("size"),
-        F.col(company).cast("long").alias("company_id"), F.to_json(F.struct(*props)).alias("properties"), F.lit(seq).alias("seq"),
-    )
+    return G.node_rows(rows, prefix, key, label, kind, F.lit(seq), props, company, color)
 
 
-def graph_node_rows(d: Domain) -> DataFrame:
-    """Nodes of companies, documents, metrics, risks and guidance with their properties as JSON: five projections, one union."""
-    t = base_tables(d)
+def graph_node_rows(d: Domain, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Nodes of companies, documents, metrics, risks and guidance with their properties as JSON: a projection a kind, one union."""
+    t = base_tables(d, kinds)
     call = S.is_concall(F.col("document_type"), F.col("file_name"))
     rev, c = S.money_short(F.col("revenue"), F.col("currency")), F.col("company_id")
     name = lambda old, new: F.col(old).alias(new)
@@ -44,45 +43,53 @@ def graph_node_rows(d: Domain) -> DataFrame:
     ]
     risk = [name("id", "risk_id"), c, name("risk", "category"), "description", "page_number", name("file_name", "source_doc")]
     said = ["category", "period", "statement", name("file_name", "source_doc"), "page"]
-    parts = [
-        _node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, company, "id"),
-        _node(t["document"], "doc_", F.col("id"), F.concat(F.when(call, "Concall ").otherwise("Report "), "report_period"), "document", 1, document, color=F.when(call, COLORS["guidance"]).otherwise(COLORS["document"])),
-        _node(t["metric"], "fin_", F.col("id"), F.concat("period", F.lit(": "), rev), "metric", 2, metric),
-        _node(t["risk"], "risk_", F.col("id"), S.risk_label(F.col("risk"), F.col("page_number")), "risk", 3, risk),
-        _node(t["guidance"], "guidance_", F.col("guidance_id"), F.concat(F.lit("💡 "), "category", F.lit(" ("), "period", F.lit(")")), "guidance", 4, said),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    parts = {
+        "company": lambda: _node(d.companies(), "comp_", F.col("id"), F.upper("ticker"), "company", 0, company, "id"),
+        "document": lambda: _node(t["document"], "doc_", F.col("id"), F.concat(F.when(call, "Concall ").otherwise("Report "), "report_period"), "document", 1, document, color=F.when(call, COLORS["guidance"]).otherwise(COLORS["document"])),
+        "metric": lambda: _node(t["metric"], "fin_", F.col("id"), F.concat("period", F.lit(": "), rev), "metric", 2, metric),
+        "risk": lambda: _node(t["risk"], "risk_", F.col("id"), S.risk_label(F.col("risk"), F.col("page_number")), "risk", 3, risk),
+        "guidance": lambda: _node(t["guidance"], "guidance_", F.col("guidance_id"), F.concat(F.lit("💡 "), "category", F.lit(" ("), "period", F.lit(")")), "guidance", 4, said),
+    }
+    return reduce(DataFrame.unionByName, [parts[k]() for k in KINDS if k in kinds])
 
 
 def _edge(rows: DataFrame, source, target, label, seq: int, *props) -> DataFrame:
-    properties = F.to_json(F.struct(*props)) if props else F.lit("{}")
-    return rows.select(source.alias("source"), target.alias("target"), label.alias("label"), F.col("company_id").cast("long").alias("company_id"), properties.alias("properties"), F.lit(seq).alias("seq"))
+    return G.edge_rows(rows, source, target, label, F.lit(seq), *props)
 
 
-def graph_edge_rows(d: Domain) -> DataFrame:
-    """Edges of eight relations; those of companies have properties."""
-    t = base_tables(d)
+def graph_edge_rows(d: Domain, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Edges of eight relations between nodes of the given kinds, companies among them; those of companies have properties."""
+    t = base_tables(d, kinds)
     at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
-    docs, fin, risks, said = t["document"], t["metric"], t["risk"], t["guidance"]
     call = S.is_concall(F.col("document_type"), F.col("file_name"))
-    told = fin.where("document_id is not null")
     rev = S.money_short(F.col("revenue"), F.col("currency"))
-    parts = [
-        _edge(docs, at("comp_", "company_id"), at("doc_", "id"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), 0, F.col("report_period").alias("period")),
-        _edge(fin, at("comp_", "company_id"), at("fin_", "id"), F.lit("REPORTED_FINANCIALS"), 1, "period", rev.alias("revenue")),
-        _edge(told, at("doc_", "document_id"), at("fin_", "id"), F.lit("EVIDENCES"), 2),
-        _edge(risks, at("comp_", "company_id"), at("risk_", "id"), F.lit("HAS_RISK"), 3, F.col("risk").alias("category"), F.col("page_number").alias("page")),
-        _edge(risks, at("doc_", "document_id"), at("risk_", "id"), at("CITES_P", "page_number"), 4),
-        _edge(said, at("comp_", "company_id"), at("guidance_", "guidance_id"), F.lit("MENTIONS_GUIDANCE"), 5, "category", "period"),
-        _edge(said, at("doc_", "document_id"), at("guidance_", "guidance_id"), at("CITES_", "page"), 6),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    parts = {
+        ("document",): lambda: _edge(t["document"], at("comp_", "company_id"), at("doc_", "id"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), 0, F.col("report_period").alias("period")),
+        ("metric",): lambda: _edge(t["metric"], at("comp_", "company_id"), at("fin_", "id"), F.lit("REPORTED_FINANCIALS"), 1, "period", rev.alias("revenue")),
+        ("document", "metric"): lambda: _edge(t["metric"].where("document_id is not null"), at("doc_", "document_id"), at("fin_", "id"), F.lit("EVIDENCES"), 2),
+        ("risk",): lambda: _edge(t["risk"], at("comp_", "company_id"), at("risk_", "id"), F.lit("HAS_RISK"), 3, F.col("risk").alias("category"), F.col("page_number").alias("page")),
+        ("document", "risk"): lambda: _edge(t["risk"], at("doc_", "document_id"), at("risk_", "id"), at("CITES_P", "page_number"), 4),
+        ("guidance",): lambda: _edge(t["guidance"], at("comp_", "company_id"), at("guidance_", "guidance_id"), F.lit("MENTIONS_GUIDANCE"), 5, "category", "period"),
+        ("document", "guidance"): lambda: _edge(t["guidance"], at("doc_", "document_id"), at("guidance_", "guidance_id"), at("CITES_", "page"), 6),
+    }
+    return reduce(DataFrame.unionByName, [make() for ends, make in parts.items() if set(ends) <= set(kinds)])
+
+
+def graph_tables(d: Domain, kinds: tuple[str, ...] = KINDS) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the given kinds, each built once and kept as a table: nodes in buckets of their id, edges of their source.
+
+    Edges have source_type, the type of the node that they leave.
+    """
+    name = "_".join(("nodes", *kinds))
+    nodes = d.once_by(name, "id", lambda: G.upsert_nodes(graph_node_rows(d, kinds)))
+    left = nodes.select(F.col("id").alias("source"), F.col("type").alias("source_type"))
+    return nodes, d.once_by(f"edges_of_{name}", "source", lambda: G.first_edges(G.valid_edges(graph_edge_rows(d, kinds), nodes)).join(left, "source"))
 
 
-def graph_tables(d: Domain) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, each built once and kept as a table."""
-    nodes = d.once("nodes", lambda: G.upsert_nodes(graph_node_rows(d)))
-    return nodes, d.once("edges", lambda: G.first_edges(G.valid_edges(graph_edge_rows(d), nodes)))
+def edges_by_target(d: Domain, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The same edges in buckets of their target, without properties."""
+    edges = graph_tables(d, kinds)[1]
+    return d.once_by("_".join(("edges_by_target", *kinds)), "target", lambda: edges.drop("properties"))
 
 
 _CALL = "(document_type = 'concall_transcript' or contains(lower(file_name), 'concall'))"
@@ -130,7 +137,7 @@ def edges_dedup(d: Domain) -> DataFrame:
     """All edges are written twice; the first write stays and dangling ones go."""
     edges = graph_edge_rows(d).withColumn("written", F.lit("first"))
     again = edges.withColumn("written", F.lit("second")).withColumn("seq", F.col("seq") + 100)
-    both = G.first_edges(G.valid_edges(edges.unionByName(again), graph_tables(d)[0]))
+    both = G.first_edges(G.valid_edges(edges.unionByName(again), G.upsert_nodes(graph_node_rows(d).select("id", "type", "seq"))))
     return both.select("id", "source", "target", "label", "written")
 
 
@@ -141,28 +148,32 @@ def edges_valid(d: Domain) -> DataFrame:
 
 @query(f", {GRAPH_CTES} select source, e.label relation, target, n.label, n.type from edge_rows e join node_rows n on n.id = target where source like 'comp_%' and e.label in ('HAS_RISK', 'REPORTED_FINANCIALS')")
 def connected_nodes(d: Domain) -> DataFrame:
-    nodes, edges = graph_tables(d)
+    """Targets by two relations: only companies, metrics and risks are built. The nodes stay where they are kept."""
+    nodes, edges = graph_tables(d, ("company", "metric", "risk"))
     out = edges.where(F.startswith("source", F.lit("comp_")) & F.col("label").isin("HAS_RISK", "REPORTED_FINANCIALS")).select("source", F.col("label").alias("relation"), "target")
     return out.join(nodes.select(F.col("id").alias("target"), "label", "type"), "target").select("source", "relation", "target", "label", "type")
 
 
 @query(f", {GRAPH_CTES} select a.company, e.id edge_id from edge_rows e join inside a on a.node = source join inside b on b.node = target and b.company = a.company")
 def company_subgraph(d: Domain) -> DataFrame:
-    nodes, edges = graph_tables(d)
-    return G.subgraph_edges(edges, G.members(edges, nodes)).select("company", F.col("id").alias("edge_id"))
+    edges = graph_tables(d)[1].select("id", "source", "target", "source_type")
+    return G.company_subgraphs(edges, edges_by_target(d)).select("company", F.col("id").alias("edge_id"))
 
 
 @query(f", {GRAPH_CTES} select type, count(*) n from node_rows group by 1 union all select 'edge', count(*) from edge_rows")
 def graph_summary(d: Domain) -> DataFrame:
-    nodes, edges = graph_tables(d)
+    """Counted from the keys of nodes and edges alone: no node or edge is written."""
+    nodes = G.upsert_nodes(graph_node_rows(d).select("id", "type", "seq"))
+    edges = G.valid_edges(graph_edge_rows(d).select("source", "label", "target"), nodes).distinct()
     return nodes.groupBy("type").agg(F.count("*").alias("n")).unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edge").alias("type"), "n"))
 
 
 @query(f""", {GRAPH_CTES} select company, count(*) n_nodes, count(*) filter (type = 'metric') metrics, count(*) filter (type = 'risk') risks, count(*) filter (type = 'guidance') guidance,
   count(*) filter (label like 'Report %') annual_reports, count(*) filter (label like 'Concall %') concalls from inside join node_rows on id = node group by 1""")
 def subgraph_summary(d: Domain) -> DataFrame:
-    nodes, edges = graph_tables(d)
-    rows = G.members(edges, nodes).join(nodes.select(F.col("id").alias("node"), "type", "label"), "node")
+    nodes = graph_tables(d)[0].select(F.col("id").alias("node"), "type", "label")
+    out = edges_by_target(d).where("source_type = 'company'").select(F.col("source").alias("company"), F.col("target").alias("node")).distinct()
+    rows = out.join(nodes, "node").unionByName(nodes.where("type = 'company'").withColumn("company", F.col("node"))).dropDuplicates(["company", "node"])
     of = lambda t: F.count_if(F.col("type") == t)
     return rows.groupBy("company").agg(
         F.count("*").alias("n_nodes"), of("metric").alias("metrics"), of("risk").alias("risks"), of("guidance").alias("guidance"),
@@ -176,7 +187,7 @@ _RELATIONS = "rel as (select source node, '→' direction, e.label, target other
 @query(f", {GRAPH_CTES}, {_RELATIONS} select node, count(*) n_relations, count(*) filter (direction = '→') n_out from rel group by 1")
 def node_relations(d: Domain) -> DataFrame:
     nodes, edges = graph_tables(d)
-    return G.relations(edges, nodes).groupBy("node").agg(F.count("*").alias("n_relations"), F.count_if(F.col("direction") == "→").alias("n_out"))
+    return G.relations(edges, nodes, edges_by_target(d)).groupBy("node").agg(F.count("*").alias("n_relations"), F.count_if(F.col("direction") == "→").alias("n_out"))
 
 
 @query(f", {GRAPH_CTES}, {_RELATIONS} select node, direction, label, other, other_label from rel union all select id, '=', 'type', type, label from node_rows")

@@ -112,7 +112,7 @@ def ratios_extract(d: Domain) -> DataFrame:
     """Names and values of the ratio list; of a repeated name the last value counts."""
     ul = P.section(F.col("html"), "top-ratios")
     pick = lambda k: F.regexp_extract_all(ul, F.lit(rf'(?is)class="{k}"[^>]*>(.*?)</span>'), 1)
-    rows = company_pages(d).select("company_id", F.posexplode(F.arrays_zip(pick("name").alias("n"), pick("value").alias("v"))).alias("pos", "z"))
+    rows = company_pages(d).select("company_id", F.posexplode_outer(F.arrays_zip(pick("name").alias("n"), pick("value").alias("v"))).alias("pos", "z")).where("pos is not null")
     return rows.groupBy("company_id", P.plain(F.col("z.n")).alias("ratio")).agg(F.max_by(P.plain(F.col("z.v")), "pos").alias("value"))
 
 

@@ -43,7 +43,8 @@ _PROPERTIES = " union all ".join([*(_each("'" + i, t, v, "node") for i, t, v in
 def graph_files(d: Domain) -> DataFrame:
     """The properties of all nodes and edges, after the graph was saved as JSON lines and loaded from the files."""
     folder = shared_path(d.spark, "graph")
-    sinks.save_graph(*graph_tables(d), folder)
+    nodes, edges = graph_tables(d)
+    sinks.save_graph(nodes, edges.drop("source_type"), folder)
     nodes, edges = sinks.load_graph(d.spark, folder)
     whole = F.when(F.rlike("v", F.lit(r"^-?\d+\.\d+(E-?\d+)?$")), F.col("v").cast("decimal(20,4)").cast("string")).otherwise(F.col("v"))  # numbers with all four decimals
     of = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "id", F.explode(F.from_json("properties", "map<string,string>")).alias("k", "v")).withColumn("v", whole)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import squeezed
 from ..functions.values import SEEDS
 from ..operators.text import page_array
-from .scratch import staged
+from .scratch import bucketed, spread, staged
 
 MONEY = "decimal(20,4)"
 
@@ -44,6 +45,17 @@ class Domain:
             self._once[name] = staged(build(), name)
         return self._once[name]
 
+    def once_each(self, builds: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+        """Several tables that don't depend on each other, computed once; Spark runs their jobs side by side."""
+        with ThreadPoolExecutor(len(builds)) as pool:
+            return dict(zip(builds, pool.map(lambda name: self.once(name, builds[name]), builds)))
+
+    def once_by(self, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What `build` gives, computed once and kept in buckets of `key`."""
+        if name not in self._once:
+            self._once[name] = bucketed(build(), name, key)
+        return self._once[name]
+
     def _mine(self, rows: DataFrame, company: Column) -> DataFrame:
         return rows if self._only is None else rows.join(self._only.select(F.col("id").alias("_only")), company == F.col("_only"), "left_semi")
 
@@ -70,12 +82,13 @@ class Domain:
 
     def page_arrays(self) -> DataFrame:
         """(document_id, company_id, pages array<struct(page_number, text)>): each report's text in pages, one row a report."""
-        d = self._mine(self.table("documents"), F.col("doc_id") % 100).select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 100).alias("company_id"), seeded(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("t"))
+        own = self._mine(self.table("documents").select("doc_id", "text"), F.col("doc_id") % 100)
+        d = spread(own).select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 100).alias("company_id"), seeded(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("t"))
         pages = page_array(F.col("t"))
         return d.select("document_id", "company_id", pages.alias("pages"))
 
     def pages(self) -> DataFrame:
-        return self.page_arrays().select("document_id", "company_id", F.inline("pages"))
+        return self.page_arrays().select("document_id", "company_id", F.inline_outer("pages"))  # each has a page
 
     def call_chunks(self) -> DataFrame:
         """(id, document_id, company_id, chunk_index, page_start, page_end, content): a chunk for each turn of a transcript."""

@@ -34,3 +34,19 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = shared_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, what: str, key: str, buckets: int | None = None) -> DataFrame:
+    """df written once to the shared folder in buckets of `key`, one file each, sorted by it (by default as many as a shuffle has
+    partitions): joins and groupings by the key read it without an exchange."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, name = shared_path(spark, what), f"{what}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, key).write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to all cores if the scan has fewer tasks than there are cores, as with one file of one row group; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -4,52 +4,111 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import first_edges, upsert_nodes, valid_edges
+from ..functions import scalars as S
+from ..functions.values import COLORS
+from ..operators.graph import edge_rows, node_rows, valid_edges
 from ..sources.sinks import EDGE, NODE
+from .deltas import Deltas
 
-PARTS = 16  # folders of ids in each batch, so that readers of some ids can leave the others out
+#: A changed company with what is known of it; all but its name may be missing.
+CHANGE = (
+    "id long, name string, ticker string, website string, "
+    "documents array<struct<id: long, file_name: string, document_type: string, report_period: string, file_hash: string, status: string>>, "
+    "financial_data array<struct<id: long, period: string, revenue: decimal(20,4), revenue_growth: decimal(10,4), net_profit: decimal(20,4), operating_margin: decimal(10,4), eps: decimal(10,4), currency: string>>, "
+    "risks array<struct<id: long, risk: string, description: string, page_number: int, source_doc: string>>"
+)
 
 
-def _part(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+def company_changes(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of changed companies (CHANGE): companies, their documents, metrics and risks, and the edges to these.
 
+    What has no id gets one of its company's: company_file, company_period or company_ and a risk's first six letters. Of
+    entries of a list with one id the later one's node and the first one's edge count.
+    """
+    text = lambda c, default: F.coalesce(c, F.lit(default))
+    name = lambda c, n: c.alias(n)
+    cid = F.coalesce(F.col("id"), F.lit(999).cast("long"))
+    own = batch.withColumn("company_id", cid).withColumn("ticker", S.ticker_or_name(F.col("ticker"), F.col("name")))
+    of = lambda column: own.select("company_id", F.posexplode_outer(column).alias("pos", "x")).where("x is not null").select("company_id", F.col("pos").cast("long").alias("seq"), "x.*")
+    ident = lambda *rest: F.coalesce(F.col("id").cast("string"), F.concat(F.col("company_id"), F.lit("_"), *rest))
+    source = F.concat(F.lit("comp_"), "company_id")
+
+    docs = of("documents").withColumn("key", ident(text(F.col("file_name"), "doc"))).withColumn("period", text(F.nullif("report_period", F.lit("")), "Latest"))
+    call = S.is_concall(F.col("document_type"), F.col("file_name"))
+    fin = of("financial_data").withColumn("period", text(F.col("period"), "Latest")).withColumn("currency", text(F.col("currency"), "USD"))
+    fin = fin.withColumn("key", ident(F.col("period"))).withColumn("shown", S.money_short(F.col("revenue"), F.col("currency")))
+    risks = of("risks").withColumn("risk", text(F.col("risk"), "Risk Factor")).withColumn("page", F.coalesce("page_number", F.lit(1)))
+    risks = risks.withColumn("key", ident(F.left("risk", F.lit(6))))
+
+    document = [name(F.col("key"), "document_id"), "company_id", name(text(F.col("file_name"), "report.pdf"), "file_name"), name(text(F.col("document_type"), "annual_report"), "document_type"), "period", name(text(F.col("file_hash"), ""), "file_hash"), name(text(F.col("status"), "processed"), "status")]
+    metric = [
+        name(F.col("key"), "metric_id"), "company_id", "period", "revenue", name(F.col("shown"), "revenue_formatted"), "revenue_growth", name(S.percent(F.col("revenue_growth"), "+"), "revenue_growth_pct"),
+        "net_profit", "operating_margin", name(S.percent(F.col("operating_margin")), "operating_margin_pct"), "eps", "currency",
+    ]
+    risk = [name(F.col("key"), "risk_id"), "company_id", name(F.col("risk"), "category"), name(text(F.col("description"), ""), "description"), name(F.col("page"), "page_number"), name(text(F.col("source_doc"), "Filing.pdf"), "source_doc")]
+    color = F.when(call, COLORS["guidance"]).otherwise(COLORS["document"])
+    nodes = node_rows(own, "comp_", F.col("company_id"), F.col("ticker"), "company", F.lit(0), ["company_id", "name", "ticker", name(text(F.col("website"), ""), "website")])
+    nodes = nodes.unionByName(node_rows(docs, "doc_", F.col("key"), F.concat(F.when(call, "Concall ").otherwise("Report "), "period"), "document", F.col("seq"), document, color=color))
+    nodes = nodes.unionByName(node_rows(fin, "fin_", F.col("key"), F.concat("period", F.lit(": "), "shown"), "metric", F.col("seq"), metric))
+    nodes = nodes.unionByName(node_rows(risks, "risk_", F.col("key"), S.risk_label(F.col("risk"), F.col("page")), "risk", F.col("seq"), risk))
+    to = lambda prefix: F.concat(F.lit(prefix), "key")
+    edges = edge_rows(docs, source, to("doc_"), F.when(call, "CONCALL_FILED").otherwise("ANNUAL_FILING"), F.col("seq"), "period")
+    edges = edges.unionByName(edge_rows(fin, source, to("fin_"), F.lit("REPORTED_FINANCIALS"), F.col("seq"), "period"))
+    edges = edges.unionByName(edge_rows(risks, source, to("risk_"), F.lit("HAS_RISK"), F.col("seq"), name(F.col("risk"), "category"), "page"))
+    return nodes.withColumn("seq", F.col("seq").cast("long")), edges.withColumn("seq", F.col("seq").cast("long"))
+
+
+def _kept(rows: DataFrame, pick: Callable[[Column, Column], Column]) -> DataFrame:
+    """A row of each id, picked by (batch, seq), then by its columns."""
+    rest = [c for c in rows.columns if c != "id"]
+    order = ["batch", "seq", *(c for c in rest if c not in ("batch", "seq"))]
+    return rows.groupBy("id").agg(pick(F.struct(*rest), F.struct(*order)).alias("r")).select("id", "r.*")
+
+
+class GraphTable:
+    """Nodes and edges under a folder, as tables of deltas. The last write of a node and the first of an edge count."""
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 16, most: int = 8):
+        self.nodes = Deltas(spark, f"{folder}/nodes", f"{NODE}, seq long", F.col("id"), parts, lambda rows: _kept(rows, F.max_by), most)
+        self.edges = Deltas(spark, f"{folder}/edges", f"{EDGE}, seq long", F.col("id"), parts, lambda rows: _kept(rows, F.min_by), most)
+
+    def append(self, nodes: DataFrame, edges: DataFrame, number: int) -> None:
+        columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
+        self.nodes.append(nodes.select(*columns(NODE), F.col("seq").cast("long").alias("seq")), number)
+        keyed = edges.withColumn("id", F.concat_ws("_", "source", "label", "target"))
+        self.edges.append(keyed.select(*columns(EDGE), F.col("seq").cast("long").alias("seq")), number)
 
-def _current(spark: SparkSession, folder: str, name: str, kind: str) -> DataFrame:
-    """Rows of the batches before, with the batch that wrote each."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    kind += ", seq long, part int, batch long"
-    return spark.read.schema(kind).parquet(f"{folder}/{name}") if there else spark.createDataFrame([], kind)
+    def compact(self) -> None:
+        self.nodes.compact()
+        self.edges.compact()
 
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) as of the last batch; edges stay hidden while an end is missing, and come up with it."""
+        nodes = self.nodes.read().drop("batch", "seq")
+        return nodes, valid_edges(self.edges.read().drop("batch", "seq"), nodes)
 
-def graph_table(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) as of the last batch: the last write of each node, the first of each edge, and no edge without its ends."""
-    nodes = upsert_nodes(_current(spark, folder, "nodes", NODE).drop("part", "batch"))
-    edges = _current(spark, folder, "edges", EDGE).drop("part", "batch", "id")
-    return nodes, first_edges(valid_edges(edges, nodes))
+    def read_nodes(self, ids: DataFrame) -> DataFrame:
+        """The nodes of some ids (id): only their parts are opened."""
+        wanted = ids.select("id").distinct()
+        return self.nodes.read(self.nodes.parts_of(wanted)).drop("batch", "seq").join(wanted, "id", "left_semi")
 
 
-def run_graph(spark: SparkSession, source: str, schema: T.StructType, folder: str, derive: Callable[[DataFrame], tuple[DataFrame, DataFrame]], files_per_batch: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Merge all new files of `source` into the graph under `folder`; derive(batch) gives the batch's nodes and edges with seq.
-
-    A batch appends what it has under its own number, so one that runs again replaces its rows; the rules apply on
-    reading, in the order of batch and seq.
-    """
+def run_graph(
+    spark: SparkSession, source: str, schema: T.StructType, folder: str, derive: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = company_changes, files_per_batch: int = 64, parts: int = 16, most: int = 8
+) -> tuple[DataFrame, DataFrame]:
+    """Merge all new files of `source` into the graph under `folder`; derive(batch) gives the batch's nodes and edges with seq."""
+    table = GraphTable(spark, folder, parts, most)
 
     def take(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        nodes, edges = derive(batch)
-        order = (F.lit(number).cast("long") * 1_000_000 + F.col("seq")).alias("seq")
-        keyed = edges.withColumn("id", F.concat_ws("_", "source", "label", "target"))
-        for name, rows in (("nodes", nodes), ("edges", keyed)):
-            own = rows.select(*(c for c in rows.columns if c != "seq"), order).withColumn("part", _part("id"))
-            own.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}/batch={number}")
+        GraphTable(batch.sparkSession, folder, parts, most).append(*derive(batch), number)
         batch.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    return graph_table(spark, folder)
+    table.compact()
+    return table.read()
