@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import COLORS, SIZES
+from ..sources.scratch import staged
 from .lookup import held_in
 
 
@@ -73,6 +74,22 @@ def company_subgraphs(by_source: DataFrame, by_target: DataFrame) -> DataFrame:
     return own.unionByName(inside).unionByName(near.where("target = company")).select("company", *columns)
 
 
+def properties(nodes: DataFrame) -> DataFrame:
+    """(node, key, kind, value) of every property that a node's JSON holds, whatever its kind: variants, exploded, with their type.
+
+    A number's value has no trailing zeros; an object's or array's is its JSON. Nodes without properties, or with broken JSON,
+    have no rows.
+    """
+    spark = nodes.sparkSession
+    held = nodes.select(F.col("id").alias("node"), F.try_parse_json("properties").alias("held")).where("schema_of_variant(held) like 'OBJECT%'")
+    rows = held.lateralJoin(spark.tvf.variant_explode(F.col("held").outer()))
+    kind = F.regexp_replace(F.schema_of_variant("value"), r"[(<].*$", "")
+    kind = F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "number").otherwise(F.lower(kind))
+    number = F.regexp_replace(F.try_variant_get("value", "$", "decimal(38,10)").cast("string"), r"\.?0+$", "")
+    text = F.when(kind == "number", F.coalesce(F.nullif(number, F.lit("")), F.lit("0"))).otherwise(F.try_variant_get("value", "$", "string"))
+    return rows.select("node", "key", kind.alias("kind"), text.alias("value"))
+
+
 def relations(edges: DataFrame, nodes: DataFrame, by_target: DataFrame | None = None) -> DataFrame:
     """(node, direction, label, other, other_label) of each node's outgoing and incoming edges.
 
@@ -90,19 +107,20 @@ def find_companies(asked: DataFrame, companies: DataFrame) -> DataFrame:
 
     All rules are equi-joins, the last one on a rare piece of the text that must be held; a batch may have any number of questions.
     """
-    c = companies.select("id", F.upper("ticker").alias("t"), F.lower("name").alias("n"), F.concat(F.lit("comp_"), "id").alias("node"))
-    q = asked.select("q").distinct().select("q", F.upper(F.trim("q")).alias("u"), F.lower(F.trim("q")).alias("l"), F.concat(F.lit("comp_"), "q").alias("k"))
-    rules = [("u", "t"), ("q", "node"), ("k", "node"), ("l", "n")]
-    hits = [q.join(c, F.col(a) == F.col(b)).select("q", F.lit(i).alias("rule"), "id") for i, (a, b) in enumerate(rules)]
-    exact = hits[0].unionByName(hits[1]).unionByName(hits[2]).unionByName(hits[3])
-    left = q.join(exact.select("q").distinct(), "q", "left_anti").select("q", "l")
-    names = c.where("n is not null").groupBy("n").agg(F.min("id").alias("id"))
+    keyed = lambda *keys: F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), k.alias("key")) for i, k in enumerate(keys)))).alias("k")
+    node = F.concat(F.lit("comp_"), "id")
+    c = companies.select("id", keyed(F.upper("ticker"), node, node, F.lower("name"))).select("id", "k.*")
+    q = asked.where("q is not null").select("q").distinct()
+    trimmed = F.trim("q")
+    wanted = q.select("q", keyed(F.upper(trimmed), F.col("q"), F.concat(F.lit("comp_"), "q"), F.lower(trimmed))).select("q", "k.*")
+    exact = staged(wanted.join(c, ["rule", "key"]).groupBy("q").agg(F.min(F.struct("rule", "id"))["id"].alias("id")), "exact")
+    left = staged(q.join(exact.select("q"), "q", "left_anti").select("q", F.lower(F.trim("q")).alias("l")), "open")
+    names = companies.select("id", F.lower("name").alias("n")).where("n is not null").groupBy("n").agg(F.min("id").alias("id"))
     texts = left.select("l").distinct()
     within = held_in(texts.select(F.col("l").alias("needle")), names.select(F.col("n").alias("hay"))).select(F.col("needle").alias("l"), F.col("hay").alias("n"))
     around = held_in(names.select(F.col("n").alias("needle")), texts.select(F.col("l").alias("hay"))).select(F.col("hay").alias("l"), F.col("needle").alias("n"))
     best = within.unionByName(around).join(names, "n").groupBy("l").agg(F.min("id").alias("id"))
-    loose = left.join(best, "l").select("q", F.lit(4).alias("rule"), "id")
-    return exact.unionByName(loose).groupBy("q").agg(F.min(F.struct("rule", "id"))["id"].alias("id"))
+    return exact.unionByName(left.join(best, "l").select("q", "id"))
 
 
 #: Questions that name nothing travel to the companies in arrays of about so many.
@@ -117,10 +135,10 @@ def resolve_targets(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """
     c = companies.select(F.col("id").alias("cid"), F.lower("ticker").alias("t"), F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) > 3).alias("words"))
     given = questions.join(companies.select(F.col("id").alias("company_id")), "company_id").select("qid", "company_id")
-    open_ = questions.join(given, "qid", "left_anti").select("qid", F.lower("question").alias("l"))
+    open_ = staged(questions.join(given, "qid", "left_anti").select("qid", F.lower("question").alias("l")), "open")
     said = c.select("cid", F.explode(F.array_distinct(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array("t")))).alias("needle")).where("needle is not null")
     met = held_in(said.select("needle").distinct(), open_.select(F.col("l").alias("hay")).distinct())
-    text = met.join(said, "needle").join(open_, F.col("hay") == F.col("l")).select("qid", F.col("cid").alias("company_id")).distinct()
+    text = staged(met.join(said, "needle").join(open_, F.col("hay") == F.col("l")).select("qid", F.col("cid").alias("company_id")).distinct(), "named")
     rest = open_.join(text.select("qid").distinct(), "qid", "left_anti").select("qid")
     blocks = rest.agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))  # one row
     held = rest.join(F.broadcast(blocks)).groupBy(F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("qid").alias("qids"))
@@ -129,6 +147,32 @@ def resolve_targets(questions: DataFrame, companies: DataFrame) -> DataFrame:
     return given.unionByName(text).unionByName(every)
 
 
+#: What a company's edges of each relation lead to.
+LEADS_TO = {"REPORTED_FINANCIALS": "metric", "HAS_RISK": "risk", "MENTIONS_GUIDANCE": "guidance", "ANNUAL_FILING": "document", "CONCALL_FILED": "document"}
+
+
+def covered(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, kind): the kinds of facts that the graph has for each question of asked (qid, company_id), by its companies' edges."""
+    kind = F.coalesce(*(F.when(F.col("label") == label, kind) for label, kind in LEADS_TO.items()))
+    held = edges.select("source", kind.alias("kind")).where("kind is not null").distinct()
+    start = asked.select("qid", F.concat(F.lit("comp_"), "company_id").alias("source"))
+    return start.join(held, "source").select("qid", "kind").distinct()
+
+
+def fallback(asked: DataFrame, edges: DataFrame, tables: dict[str, DataFrame], together: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Rows of the relational tables (with company_id) for each kind that the graph lacks for a question; each also has its qid.
+
+    With `together`, a question falls back only if the graph has none of these kinds for it, and then with every table. A kind
+    is lacking for a question, not for one of its companies. Questions without companies, and empty tables, give nothing.
+    """
+    met = covered(asked, edges)
+    out = {}
+    for kind, rows in tables.items():
+        answered = met.where(F.col("kind").isin(*(together or (kind,)))).select("qid").distinct()
+        out[kind] = asked.select("qid", "company_id").distinct().join(answered, "qid", "left_anti").join(rows, "company_id")
+    return out
+
+
 def capped(rows: DataFrame, key: str, most: int, *order) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("nth", nth).where(F.col("nth") <= most)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.values import COLORS, INTENTS, SIZES
 from ..operators import graph as G
+from ..operators.changes import BASELINE_IDS, CHANGE, absent, add_baseline
 from ..sources.domain import Domain
 from .catalog import long_money, pct, query, quoted, short_money
 from .filings import GUIDANCE_CTES, RISK_CTES, guidance_table, risk_table
@@ -238,14 +239,37 @@ def graph_increment(d: Domain) -> DataFrame:
 @query("""select 'stored' origin, ticker from companies where id % 2 = 0 union all
 select 'baseline', ticker from companies where id % 2 = 1""")
 def baseline_graph(d: Domain) -> DataFrame:
-    """Baseline companies join the graph only if the cascading lookup doesn't find them among the stored ones."""
+    """Baseline companies join the stored ones only if the cascading lookup doesn't find them among these."""
     stored = d.companies().where("id % 2 = 0")
-    baseline = d.companies().select((F.col("id") + 1000000000).alias("id"), "ticker")
-    known = stored.select(F.upper("ticker").alias("ticker"))
-    added = baseline.join(known, "ticker", "left_anti")
+    baseline = d.companies().select((F.col("id") + BASELINE_IDS).alias("id"), "ticker")
+    added = absent(baseline, stored)
     return stored.select(F.lit("stored").alias("origin"), "ticker").unionByName(added.select(F.lit("baseline").alias("origin"), "ticker"))
 
 
+@query(f""", kept as (select * from companies where id % 2 = 0),
+offered as (select id, case id % 4 when 0 then lower(ticker) when 1 then lower(name) when 2 then right(name, 6) else 'B' || id end q from companies where id % 7 = 0),
+found as (select q from offered, kept k where upper(trim(q)) = upper(ticker) or q = 'comp_' || k.id or q = k.id::varchar or lower(trim(q)) = lower(name) or contains(lower(name), lower(trim(q))) or contains(lower(trim(q)), lower(name))),
+added as (select id + {BASELINE_IDS} id, q from offered where q not in (select q from found))
+select 'comp_' || id id, 'company' as type, upper(ticker) label from kept
+union all select 'fin_' || id, 'metric', period || ': ' || {short_money('revenue')} from fin where company_id in (select id from kept)
+union all select 'comp_' || company_id || '_REPORTED_FINANCIALS_fin_' || id, 'edge', 'REPORTED_FINANCIALS' from fin where company_id in (select id from kept)
+union all select 'comp_' || id, 'company', upper(q) from added
+union all select 'fin_' || id || '_FY2024', 'metric', 'FY2024: ₹1.0Cr' from added union all select 'comp_' || id || '_REPORTED_FINANCIALS_fin_' || id || '_FY2024', 'edge', 'REPORTED_FINANCIALS' from added""")
+def baseline_in_graph(d: Domain) -> DataFrame:
+    """A graph of stored companies and metrics, and baseline companies that it lacks by ticker, name or a part of a name, with a metric each."""
+    stored = d.companies().where("id % 2 = 0")
+    own = Domain(d.spark, d.folder, only=stored.select("id"))
+    nodes, edges = graph_tables(own, ("company", "metric"))
+    nodes = nodes.where("type <> 'company' or company_id % 2 = 0")
+    i = F.col("id")
+    q = F.when(i % 4 == 0, F.lower("ticker")).when(i % 4 == 1, F.lower("name")).when(i % 4 == 2, F.right("name", F.lit(6))).otherwise(F.concat(F.lit("B"), "id"))
+    metric = "array(named_struct('id', cast(null as long), 'period', 'FY2024', 'revenue', cast(10000000 as decimal(20,4)), 'revenue_growth', cast(null as decimal(10,4)), 'net_profit', cast(null as decimal(20,4)), 'operating_margin', cast(null as decimal(10,4)), 'eps', cast(null as decimal(10,4)), 'currency', 'INR'))"
+    offered = d.companies().where("id % 7 = 0").select("id", "name", q.alias("ticker"), F.expr(metric).alias("financial_data"))
+    empty = d.spark.createDataFrame([], CHANGE)
+    nodes, edges = add_baseline(nodes, edges, stored, empty.unionByName(offered, allowMissingColumns=True))
+    return nodes.select("id", "type", "label").unionByName(edges.select("id", F.lit("edge").alias("type"), "label"))
+
+
 _ASKED = ["t12", "comp_77", "31", "customer#000000005", "000000140", "zzz"]
 
 
@@ -330,10 +354,26 @@ def question_facts(d: Domain) -> DataFrame:
 select qid, f.company_id, period from targets t join fin f on f.company_id = t.company_id where qid not in (select qid from met)""")
 def question_facts_fallback(d: Domain) -> DataFrame:
     """Questions for which a graph of the even companies has no metric or guidance take the tables' rows."""
-    targets = question_targets(d).select("qid", "company_id")
-    seen = d.financial().select("company_id").unionByName(guidance_table(d).select("company_id")).where("company_id % 2 = 0").distinct()
-    met = targets.join(seen, "company_id", "left_semi").select("qid").distinct()
-    return targets.join(met, "qid", "left_anti").join(d.financial(), "company_id").select("qid", "company_id", "period")
+    edges = graph_tables(_even(d), ("company", "metric", "guidance"))[1]
+    asked = question_targets(d).select("qid", "company_id")
+    return G.fallback(asked, edges, {"metric": d.financial()}, ("metric", "guidance"))["metric"].select("qid", "company_id", "period")
+
+
+def _even(d: Domain) -> Domain:
+    return Domain(d.spark, d.folder, only=d.companies().where("id % 2 = 0").select("id"))
+
+
+@query(f""", {RISK_CTES}, {_QUESTIONS}, rk as (select a.document_id * 10 + n id, p.company_id from all_risks a join reports p on p.id = a.document_id),
+has as (select qid from targets where company_id % 2 = 0 and company_id in (select company_id from fin)), has_filing as (select qid from targets where company_id % 2 = 0 and company_id in (select company_id from docs))
+select qid, 'metric' kind, f.id fact from targets t join fin f on f.company_id = t.company_id where qid not in (select qid from has)
+union all select qid, 'document', x.id from targets t join docs x on x.company_id = t.company_id where qid not in (select qid from has_filing)
+union all select qid, 'risk', r.id from targets t join rk r on r.company_id = t.company_id""")
+def fallback_by_kind(d: Domain) -> DataFrame:
+    """A graph of the even companies, built without risks, is asked; for each question just the kinds that it lacks come from the tables."""
+    edges = graph_tables(_even(d), ("company", "document", "metric"))[1]
+    asked = question_targets(d).select("qid", "company_id")
+    found = G.fallback(asked, edges, {"metric": d.financial(), "document": d.documents(), "risk": risk_table(d)})
+    return reduce(DataFrame.unionByName, [rows.select("qid", F.lit(kind).alias("kind"), F.col("id").alias("fact")) for kind, rows in found.items()])
 
 
 def context_rows(d: Domain) -> DataFrame:

@@ -10,7 +10,9 @@ from ..sources.domain import Domain
 from ..sources.scratch import shared_path
 from ..streaming.graph import run_graph
 from ..streaming.intake import run_intake
-from .catalog import query, quoted
+from .catalog import query, quoted, short_money
+from .filings import RISK_CTES
+from .graphs import base_tables
 
 
 def _taken_in(d: Domain) -> dict[str, DataFrame]:
@@ -61,3 +63,35 @@ def graph_stream(d: Domain) -> DataFrame:
 
     nodes, edges = run_graph(d.spark, source, changed.schema, folder, derive, files_per_batch=2)
     return nodes.select("id", "type", "label").unionByName(edges.select("id", F.lit("edge").alias("type"), "label"))
+
+
+_KEYED = "company_id || '_' || period"
+
+
+@query(f""", {RISK_CTES}, rk as (select p.company_id, risk, min(page_number) page_number from all_risks a join reports p on p.id = a.document_id where p.company_id in (select id from companies) group by 1, 2),
+call as (select *, document_type = 'concall_transcript' or contains(lower(file_name), 'concall') c from docs where company_id in (select id from companies)), f as (from fin where company_id in (select id from companies))
+select 'comp_' || id id, 'company' as type, upper(ticker) label from companies
+union all select 'doc_' || id, 'document', case when c then 'Concall ' else 'Report ' end || report_period from call
+union all select 'fin_' || {_KEYED}, 'metric', period || ': ' || {short_money('revenue')} from f
+union all select distinct 'risk_' || company_id || '_' || left(risk, 6), 'risk', '⚠️ ' || case when length(risk) > 16 then left(risk, 16) || '..' else risk end || ' (p.' || page_number || ')' from rk
+union all select 'comp_' || company_id || '_' || case when c then 'CONCALL_FILED' else 'ANNUAL_FILING' end || '_doc_' || id, 'edge', case when c then 'CONCALL_FILED' else 'ANNUAL_FILING' end from call
+union all select 'comp_' || company_id || '_REPORTED_FINANCIALS_fin_' || {_KEYED}, 'edge', 'REPORTED_FINANCIALS' from f
+union all select distinct 'comp_' || company_id || '_HAS_RISK_risk_' || company_id || '_' || left(risk, 6), 'edge', 'HAS_RISK' from rk""")
+def graph_deltas(d: Domain) -> DataFrame:
+    """A graph grown by a stream of companies with their documents, metrics and risks in ten batches, folded on the way.
+
+    Metrics and risks come without ids. Of a company's risks of one category the first page is sent.
+    """
+    source, folder = shared_path(d.spark, "changed"), shared_path(d.spark, "graph_deltas")
+    t = base_tables(d, ("document", "metric", "risk"))
+    no_id = F.lit(None).cast("long").alias("id")
+    none = lambda kind: F.lit(None).cast(kind)
+    gather = lambda rows, name, *columns: rows.groupBy(F.col("company_id").alias("id")).agg(F.collect_list(F.struct(*columns)).alias(name))
+    docs = gather(t["document"], "documents", "id", "file_name", "document_type", "report_period", "file_hash", "status")
+    metrics = gather(t["metric"], "financial_data", no_id, "period", "revenue", "revenue_growth", "net_profit", "operating_margin", none("decimal(10,4)").alias("eps"), "currency")
+    first = t["risk"].groupBy("company_id", "risk").agg(F.min("page_number").cast("int").alias("page_number"))
+    risks = gather(first, "risks", no_id, "risk", none("string").alias("description"), "page_number", none("string").alias("source_doc"))
+    changed = d.companies().select("id", "name", "ticker", "website").join(docs, "id", "left").join(metrics, "id", "left").join(risks, "id", "left")
+    changed.repartition(10, "id").write.parquet(source)
+    nodes, edges = run_graph(d.spark, source, changed.schema, folder, files_per_batch=1)
+    return nodes.select("id", "type", "label").unionByName(edges.select("id", F.lit("edge").alias("type"), "label"))

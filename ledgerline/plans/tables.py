@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import maintain as M
 from ..operators import text as T
 from ..sources import sinks
@@ -51,6 +52,16 @@ def graph_files(d: Domain) -> DataFrame:
     return of(nodes, "node").unionByName(of(edges, "edge"))
 
 
+_NUMBERS = ["company_id", "document_id", "metric_id", "risk_id", "revenue", "revenue_growth", "net_profit", "operating_margin", "page_number"]
+
+
+@query(rf""", {GRAPH_CTES}, props as ({_PROPERTIES}) select id node, k as key, case when k in ({", ".join(f"'{k}'" for k in _NUMBERS)}) then 'number' when k = 'ratios' then 'object' else 'string' end kind,
+  case when k in ({", ".join(f"'{k}'" for k in _NUMBERS)}) then case when contains(v, '.') then regexp_replace(v, '\.?0+$', '') else v end else v end as value from props where v is not null and kind = 'node'""")
+def node_properties(d: Domain) -> DataFrame:
+    """Every stored property of every node, with its kind, as an inspector lists them."""
+    return G.properties(graph_tables(d)[0])
+
+
 _METRICS = """f9 as (select f.*, (f.net_profit / 1000)::decimal(10,4) eps, last_value(nullif(f.net_profit, 0) ignore nulls) over (partition by f.company_id order by period rows between unbounded preceding and 1 preceding) p0 from fin f)"""
 
 
