@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 BLOCK = 1000
 
 
@@ -57,7 +59,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     `sets` (id, s) has sets of distinct longs, none empty. An id may have several: any two that fit link their ids. Pairs of
     which an end has no set are left out; empty tables give an empty one.
     """
-    degrees = pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    degrees = staged(pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "degrees")  # a plain table, so that joins with it can be split
     both = pairs.join(degrees.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(degrees.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
     of_u = F.expr("nu > nv or nu = nv and u < v")
     dealt = both.select(F.when(of_u, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(of_u, F.col("v")).otherwise(F.col("u")).alias("member"), F.ceil(F.greatest("nu", "nv") / BLOCK).cast("int").alias("blocks"))
