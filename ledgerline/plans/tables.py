@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import dossiers as D
 from ..operators import graph as G
 from ..operators import maintain as M
 from ..operators import text as T
 from ..sources import sinks
 from ..sources.domain import Domain
 from ..sources.scratch import shared_path
+from ..sources.versions import DerivedTables
 from .catalog import pct, query, short_money
 from .filings import RISK_CTES, risk_table
 from .graphs import GRAPH_CTES, base_tables, graph_tables
@@ -146,3 +150,59 @@ def audit_log(d: Domain) -> DataFrame:
     table = shared_path(d.spark, "logs")
     sinks.append(M.audit_rows(d.reports(), counts), table, "stage")
     return d.spark.read.parquet(table).select("document_id", "stage", "status", "message")
+
+
+_DOSSIERS = f"""{RISK_CTES}, rk as (select a.*, a.document_id * 10 + a.n id, p.company_id, p.file_name from all_risks a join reports p on p.id = a.document_id),
+lf as (select company_id, max(period) latest, arg_max(currency, period) cur from fin group by 1)"""
+
+
+@query(f""", {_DOSSIERS} select company_id, 'metrics' list, (row_number() over (partition by company_id order by period, id) - 1)::int pos, period || '=' || revenue::varchar entry from fin where company_id in (select id from companies)
+union all select company_id, 'risks', (row_number() over (partition by company_id order by page_number, id) - 1)::int, 'p' || page_number || ' ' || risk || ' in ' || file_name from rk where company_id in (select id from companies)
+union all select company_id, 'documents', (row_number() over (partition by company_id order by id) - 1)::int, id || ' ' || status from docs where company_id in (select id from companies)
+union all select id, 'card', 0, coalesce(f.cur, 'USD') || ' ' || coalesce(f.latest, 'Latest') from companies left join (select company_id, max(period) latest, arg_min(currency, period) cur from fin group by 1) f on f.company_id = id""")
+def dossier_nested(d: Domain) -> DataFrame:
+    """Nested dossiers, their arrays taken apart in order."""
+    t = base_tables(d, ("document", "metric", "risk"))
+    rows = d.once("dossiers", lambda: D.nested(d.companies(), t["metric"], t["risk"], t["document"]))
+    part = lambda name, entry: rows.select(F.col("id").alias("company_id"), F.lit(name).alias("list"), F.posexplode(name).alias("pos", "x")).select("company_id", "list", "pos", entry.alias("entry"))
+    out = part("metrics", F.concat("x.period", F.lit("="), F.col("x.revenue").cast("string")))
+    out = out.unionByName(part("risks", F.concat(F.lit("p"), "x.page_number", F.lit(" "), "x.risk", F.lit(" in "), "x.source_doc")))
+    out = out.unionByName(part("documents", F.concat("x.id", F.lit(" "), "x.status")))
+    return out.unionByName(rows.select(F.col("id").alias("company_id"), F.lit("card").alias("list"), F.lit(0).alias("pos"), F.concat("currency", F.lit(" "), "latest_period").alias("entry")))
+
+
+@query(f""", {_DOSSIERS} select id company_id, 'overview' sheet, name || '|' || coalesce(sector, 'N/A') || '|' || coalesce(x.n, 0) || '|' || coalesce(y.n, 0) || '|' || coalesce(cur, 'USD') || '|' || coalesce(latest, 'N/A') entry from companies
+  left join (select company_id, count(*) n from docs group by 1) x on x.company_id = id left join (select company_id, count(*) n from rk group by 1) y on y.company_id = id left join lf on lf.company_id = id
+union all select company_id, 'metrics', period || '|' || revenue || '|' || currency from fin
+union all select company_id, 'risks', id || '|' || risk || '|' || coalesce(latest, 'Latest') from rk left join lf using (company_id)
+union all select company_id, 'registry', id || '|' || upper(status) || '|' || left(file_hash, 16) || '...' from docs
+union all select company_id, 'content', document_id || '|' || length(case when length(t) > 32000 then left(t, 32000) || '... [TRUNCATED]' else t end) from filed""")
+def dossier_sheets(d: Domain) -> DataFrame:
+    """The five tables of all dossiers, written in folders of company groups and read from the files."""
+    folder, t = shared_path(d.spark, "dossiers"), base_tables(d, ("document", "metric", "risk"))
+    text = d.page_arrays().select("company_id", "document_id", F.array_join(F.transform("pages", lambda p: p["text"]), "").alias("text"))
+    D.write_sheets(D.sheets(d.companies(), t["metric"], t["risk"], t["document"], text), folder)
+    line = {"overview": ["name", "sector", "n_documents", "n_risks", "currency", "latest_period"], "metrics": ["period", "revenue", "currency"], "risks": ["risk_id", "risk", "period"], "registry": ["document_id", "status", "hash"], "content": ["document_id", F.length("text")]}
+    read = lambda name: d.spark.read.parquet(f"{folder}/{name}").select("company_id", F.lit(name).alias("sheet"), F.concat_ws("|", *line[name]).alias("entry"))
+    return reduce(DataFrame.unionByName, map(read, line))
+
+
+@query(f""", {RISK_CTES}, every as (
+  select document_id, 'chunks' as name from chunk_rows union all select document_id, 'risks' from all_risks union all select document_id, 'metrics' from fin where document_id is not null
+  union all select id, 'status' from reports union all select id, 'logs' from reports union all select id, 'logs' from reports where status = 'processed')
+select document_id, name, count(*) n, case when document_id % 10 = 3 then 2 else 1 end made from every group by 1, 2""")
+def reprocess_together(d: Domain) -> DataFrame:
+    """Chunks, risks, metrics, logs and status of every tenth document are derived again and replaced in one step."""
+    t, docs = base_tables(d, ("metric", "risk")), d.reports()
+    cut = d.once("chunks", lambda: T.chunks(d.page_arrays()).select("document_id", "chunk_index"))
+    count = lambda rows, name: rows.groupBy("document_id").agg(F.count("*").alias(name))
+    fin = t["metric"].where("document_id is not null")
+    counts = count(cut, "n_chunks").join(count(t["risk"], "n_risks"), "document_id", "full").join(count(fin, "n_metrics"), "document_id", "full")
+    made = {"chunks": (cut, "chunk_index"), "risks": (t["risk"], "risk"), "metrics": (fin, "period"), "status": (docs.withColumnRenamed("id", "document_id"), "status"), "logs": (M.audit_rows(docs, counts), "stage")}
+    rows = lambda n: {name: x.select("document_id", F.col(v).cast("string").alias("value"), F.lit(n).alias("made")) for name, (x, v) in made.items()}
+    tables = DerivedTables(d.spark, shared_path(d.spark, "derived"), dict.fromkeys(made, "document_id long, value string, made int"))
+    ids = docs.select(F.col("id").alias("document_id"))
+    tables.replace(ids, rows(1))
+    tables.replace(ids.where("document_id % 10 = 3"), rows(2))
+    seen = [tables.read(name).groupBy("document_id").agg(F.count("*").alias("n"), F.max("made").alias("made")).withColumn("name", F.lit(name)) for name in made]
+    return reduce(DataFrame.unionByName, seen).select("document_id", "name", "n", "made")

@@ -13,13 +13,14 @@ already, changes nothing.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.pointer import Pointer
+
 MOST = 8
 
 
@@ -31,19 +32,13 @@ class Deltas:
         self.schema, self.fold = f"{schema}, batch long", fold or (lambda rows: rows)
         self.part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._pointer = Pointer(spark, f"{folder}/current")
         self._path, self._fs = path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # what is there
 
     def _current(self) -> dict:
-        at = self._path(f"{self.folder}/current")
-        if not self._fs.exists(at):
-            return {"base": None, "recent": None, "upto": -1}
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return self._pointer.read({"base": None, "recent": None, "upto": -1})
 
     def _complete(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.folder}/{name}/_SUCCESS"))
@@ -113,15 +108,6 @@ class Deltas:
         name = f"{'base' if whole else 'recent'}-{upto}"
         gone = (old if whole else [n for n in [now["recent"]] if n]) + [f"delta-{n}" for n in deltas]
         self._write(self.fold(self._read(old[:1] * whole * bool(now["base"]) + young, None).drop("part")), name)
-        self._switch({"base": name if whole else now["base"], "recent": None if whole else name, "upto": upto})
+        self._pointer.switch({"base": name if whole else now["base"], "recent": None if whole else name, "upto": upto})
         for n in gone:
             self._fs.delete(self._path(f"{self.folder}/{n}"), True)
-
-    def _switch(self, now: dict) -> None:
-        new, at = self._path(f"{self.folder}/current.new"), self._path(f"{self.folder}/current")
-        stream = self._fs.create(new, True)
-        stream.write(bytearray(json.dumps(now).encode()))
-        stream.close()
-        if not self._fs.rename(new, at):  # file systems that don't replace a file by renaming
-            self._fs.delete(at, False)
-            self._fs.rename(new, at)

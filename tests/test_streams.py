@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import dossiers as D
 from ledgerline.operators.graph import first_edges, upsert_nodes, valid_edges
+from ledgerline.sources.pointer import Pointer
+from ledgerline.sources.versions import DerivedTables
 from ledgerline.streaming import graph as SG
 from ledgerline.streaming import intake as SI
 from ledgerline.streaming.deltas import Deltas
@@ -39,7 +42,7 @@ def test_a_fold_that_breaks_off_leaves_the_table(spark, tmp_path, monkeypatch):
     for number in range(3):
         table.append(spark.createDataFrame([(number, number), (9, number)], "id long, v int"), number)
     with monkeypatch.context() as m:
-        m.setattr(Deltas, "_switch", lambda *_: 1 / 0)  # the new folder is there, but doesn't count yet
+        m.setattr(Pointer, "switch", lambda *_: 1 / 0)  # the new folder is there, but doesn't count yet
         with pytest.raises(ZeroDivisionError):
             table.compact()
     want = {0: 0, 1: 1, 2: 2, 9: 2}
@@ -119,3 +122,47 @@ def test_intake_reads_only_its_parts_and_keeps_failures(spark, tmp_path):
     spark.createDataFrame([(400, "bad\x00file"), (401, "Text number 7 speaks of litigation at length, as such texts do.")], kind).repartition(1).write.mode("append").parquet(source)
     again = SI.run_intake(spark, source, spark.createDataFrame([], kind).schema, folder)
     assert again["stored"].count() == 301 and [r.doc_id for r in again["stored"].where("status = 'failed'").collect()] == [400]
+
+
+def test_derived_tables_are_replaced_together(spark, tmp_path, monkeypatch):
+    kinds = {"chunks": "document_id long, content string", "risks": "document_id long, risk string", "status": "document_id long, status string"}
+    t = DerivedTables(spark, str(tmp_path / "d"), kinds, 4)
+    frame = lambda name, rows: spark.createDataFrame(rows, kinds[name])
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "document_id long")
+    assert t.read("chunks").count() == 0
+    t.replace(ids(*range(30)), {n: frame(n, [(i, f"{n} one") for i in range(30)] * (2 if n == "chunks" else 1)) for n in kinds})
+    now = lambda: {n: sorted(tuple(r) for r in t.read(n).collect()) for n in kinds}
+    before = now()
+    new = {n: frame(n, [(3, f"{n} two"), (4, f"{n} two"), (25, "not asked for")]) for n in ("chunks", "status")}
+    write = DerivedTables._write
+    with monkeypatch.context() as m:
+        m.setattr(DerivedTables, "_write", lambda self, rows, name, version: 1 / 0 if name == "risks" else write(self, rows, name, version))
+        with pytest.raises(ZeroDivisionError):
+            t.replace(ids(3, 4), new)
+    assert now() == before  # chunks were written, but no reader sees them
+    t.replace(ids(3, 4), new)
+    after = now()
+    assert after["chunks"] == sorted([(i, "chunks one") for i in range(30) if i not in (3, 4)] * 2 + [(3, "chunks two"), (4, "chunks two")])
+    assert {i for i, _ in after["risks"]} == set(range(30)) - {3, 4} and dict(after["status"])[25] == "status one"
+    t.clean()
+    assert now() == after
+    t.replace(ids(), {})
+    assert now() == after
+
+
+def test_nested_dossiers_and_their_folders(spark, tmp_path):
+    companies = spark.createDataFrame([(1, "A", "TA", None), (2, "B", "TB", "Oil")], "id long, name string, ticker string, sector string")
+    metrics = spark.createDataFrame([(12, 1, "FY2", 5.0, None, None, None, None, "INR"), (11, 1, "FY1", 4.0, None, None, None, None, "EUR")], "id long, company_id long, period string, revenue double, revenue_growth double, net_profit double, operating_profit double, operating_margin double, currency string")
+    risks = spark.createDataFrame([(21, 1, "r9", "d", 9, "f"), (22, 1, "r2", "d", 2, "f")], "id long, company_id long, risk string, description string, page_number int, file_name string")
+    docs = spark.createDataFrame([(31, 1, "b.pdf", None, None, "failed", "0123456789abcdefg"), (30, 1, "a.pdf", "x", "FY1", "processed", None)], "id long, company_id long, file_name string, document_type string, report_period string, status string, file_hash string")
+    one, two = D.nested(companies, metrics, risks, docs).orderBy("id").collect()
+    assert [tuple(m) for m in one.metrics] == [("FY1", 4.0, None, None, None, "EUR"), ("FY2", 5.0, None, None, None, "INR")]
+    assert [r.risk for r in one.risks] == ["r2", "r9"] and [d.id for d in one.documents] == [30, 31] and (one.currency, one.latest_period) == ("EUR", "FY2")
+    assert (two.metrics, two.risks, two.documents, two.currency, two.latest_period) == ([], [], [], "USD", "Latest")
+    content = spark.createDataFrame([(1, 30, "x" * 40_000)], "company_id long, document_id long, text string")
+    tables = D.sheets(companies, metrics, risks, docs, content)
+    D.write_sheets(tables, str(tmp_path / "d"), 4)
+    for name, rows in tables.items():
+        back = spark.read.parquet(str(tmp_path / "d" / name))
+        assert sorted(map(str, back.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+        assert D.company_sheet(back, 1, 4).count() == rows.where("company_id = 1").count() > 0
