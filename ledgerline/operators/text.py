@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import page_ref, squeezed
+from ..functions.scalars import is_concall, page_ref, squeezed
 from ..functions.values import DEFAULT_RISK, DEFAULT_RISK_TEXT, GUIDANCE, RISKS
 
 PAGE, SIZE, OVERLAP, LEAST, FEW_WORDS = 2000, 1000, 150, 50, 20
@@ -20,6 +20,16 @@ def page_array(text: Column, size: int = PAGE) -> Column:
     return F.transform(starts, lambda at: F.struct((at / size + 1).cast("int").alias("page_number"), F.substring(text, at + 1, F.lit(size)).alias("text")))
 
 
+def page_cap(document_type: Column, file_name: Column) -> Column:
+    """How many pages of a document are read: CALL_PAGES of a call, REPORT_PAGES of any other."""
+    return F.when(is_concall(document_type, file_name), CALL_PAGES).otherwise(REPORT_PAGES)
+
+
+def capped_pages(documents: DataFrame, cap: Column) -> DataFrame:
+    """documents with their first `cap` pages only, before any page is taken apart."""
+    return documents.withColumn("pages", F.slice("pages", F.lit(1), cap))
+
+
 def page_stats(pages: DataFrame, few_words: int = FEW_WORDS) -> DataFrame:
     """Adds the squeezed text, word_count and is_scanned to pages (document_id, page_number, text)."""
     text = squeezed(F.col("text"))
@@ -31,8 +41,9 @@ def totals(stats: DataFrame) -> DataFrame:
     return stats.groupBy("document_id").agg(F.count("*").alias("total_pages"), F.sum("word_count").alias("total_words"), F.count_if("is_scanned").alias("scanned_pages"))
 
 
-def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, most_pages: int | None = REPORT_PAGES) -> DataFrame:
-    """Overlapping windows of each page of documents (document_id, company_id, pages), of the first most_pages (None: all).
+def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, most_pages: int | Column | None = REPORT_PAGES) -> DataFrame:
+    """Overlapping windows of each page of documents (document_id, company_id, pages), of the first most_pages (None: all; a column,
+    such as page_cap gives: each document's own).
 
     A row's pages stay in the row, so nothing is shuffled.
     """

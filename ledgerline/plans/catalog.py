@@ -78,7 +78,7 @@ grown as (
 fin as (
   select g.company_id * 10000 + y id, g.company_id, d.document_id, 'FY' || y period, revenue, net_profit, (2 * net_profit)::decimal(20,4) operating_profit,
     round((revenue - before)::double / before::double, 4)::decimal(10,4) revenue_growth, round((2 * net_profit)::double / nullif(revenue, 0)::double, 4)::decimal(10,4) operating_margin,
-    case when g.company_id % 2 = 0 then 'INR' else 'USD' end currency
+    case when g.company_id % 2 = 0 then 'INR' else 'USD' end currency, (net_profit / 1000)::decimal(10,4) eps
   from grown g left join (select company_id, min(id) document_id from reports group by 1) d on d.company_id = g.company_id and g.company_id < 100),
 logs as (
   select event_id id, event_id % (select count(*) from documents) document_id, event_type stage,

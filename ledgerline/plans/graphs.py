@@ -12,7 +12,7 @@ from ..functions.values import COLORS, INTENTS, SIZES
 from ..operators import graph as G
 from ..operators.changes import BASELINE_IDS, CHANGE, absent, add_baseline
 from ..sources.domain import Domain
-from .catalog import long_money, pct, query, quoted, short_money
+from .catalog import fixed, long_money, minus, pct, query, quoted, short_money
 from .filings import GUIDANCE_CTES, RISK_CTES, guidance_table, risk_table
 
 KINDS = ("company", "document", "metric", "risk", "guidance")
@@ -40,7 +40,7 @@ def graph_node_rows(d: Domain, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     document = [name("id", "document_id"), c, "file_name", "document_type", name("report_period", "period"), "file_hash", "status"]
     metric = [
         name("id", "metric_id"), c, "period", "revenue", rev.alias("revenue_formatted"), "revenue_growth", S.percent(F.col("revenue_growth"), "+").alias("revenue_growth_pct"),
-        "net_profit", "operating_margin", S.percent(F.col("operating_margin")).alias("operating_margin_pct"), "currency",
+        "net_profit", "operating_margin", S.percent(F.col("operating_margin")).alias("operating_margin_pct"), "eps", "currency",
     ]
     risk = [name("id", "risk_id"), c, name("risk", "category"), "description", "page_number", name("file_name", "source_doc")]
     said = ["category", "period", "statement", name("file_name", "source_doc"), "page"]
@@ -317,7 +317,7 @@ def graph_of_targets(d: Domain) -> tuple[DataFrame, DataFrame]:
 
 
 _FACTS = {
-    "metric": "metric_id long, period string, revenue decimal(20,4), revenue_growth decimal(10,4), net_profit decimal(20,4), operating_margin decimal(10,4), currency string",
+    "metric": "metric_id long, period string, revenue decimal(20,4), revenue_growth decimal(10,4), net_profit decimal(20,4), operating_margin decimal(10,4), eps decimal(10,4), currency string",
     "risk": "risk_id long, category string, description string, page_number int, source_doc string",
     "guidance": "category string, period string, statement string, source_doc string, page string",
     "document": "document_id long, file_name string, document_type string, period string",
@@ -456,15 +456,18 @@ def prompt_rows(d: Domain) -> DataFrame:
     return both.select("qid", F.concat(F.lit(a), "context", F.lit(b), "question", F.lit(c)).alias("prompt"))
 
 
-def answer_rows(d: Domain) -> DataFrame:
+def answer_rows(d: Domain, with_eps: bool = False) -> DataFrame:
     """(qid, section, o1, o2, line): figures of the latest period, at most four risks and four statements, or a summary, as the question's words select."""
     asks = {k: reduce(lambda a, b: a | b, (F.contains(F.lower("question"), F.lit(w)) for w in words)) for k, words in INTENTS.items()}
     q = d.questions().select("qid", *(e.alias(k) for k, e in asks.items()))
     t, facts = question_targets(d).join(q, "qid"), graph_facts(d)
     of = lambda kind, wanted: facts[kind].join(q.where(wanted).select("qid"), "qid", "left_semi")
-    last = of("metric", F.col("performance")).groupBy("qid", "company_id", "name", "ticker").agg(F.max_by(F.struct("period", "revenue", "net_profit", "revenue_growth", "operating_margin", "currency"), "period").alias("m")).select("qid", "company_id", "name", "ticker", "m.*")
+    last = of("metric", F.col("performance")).groupBy("qid", "company_id", "name", "ticker").agg(F.max_by(F.struct("period", "revenue", "net_profit", "revenue_growth", "operating_margin", "eps", "currency"), "period").alias("m")).select("qid", "company_id", "name", "ticker", "m.*")
     text, cur = F.concat, F.col("currency")
     figures = text(F.lit("• "), "name", F.lit(" ("), "ticker", F.lit(") for "), "period", F.lit(": Revenue "), S.money_long(F.col("revenue"), cur), F.lit(" (Growth "), S.percent(F.col("revenue_growth"), "+"), F.lit("), Net Profit "), S.money_long(F.col("net_profit"), cur), F.lit(", Margin "), S.percent(F.col("operating_margin")))
+    if with_eps:
+        eps = text(F.when(cur == "INR", "₹").otherwise("$"), S.sign(F.col("eps")), S.scaled(F.col("eps"), 0, 2, True))
+        figures = text(figures, F.lit(", EPS "), F.coalesce(eps, F.lit("N/A")))
     row = lambda rows, k, o1, line: rows.select("qid", F.lit(k).alias("section"), o1.cast("long").alias("o1"), line.alias("line"))
     perf = row(last, 0, F.col("company_id"), figures)
     risks = G.capped(of("risk", F.col("risk")), "qid", 4, "page_number", "risk_id")
@@ -497,3 +500,17 @@ def answer_sections(d: Domain) -> DataFrame:
 @query(f", {ANSWER_CTES} select qid, string_agg(line, chr(10) order by section, o1) || chr(10) || '> All facts come from the graph.' answer from answer group by 1")
 def answer_text(d: Domain) -> DataFrame:
     return _joined(answer_rows(d), ["section", "o1"], "line", "answer").withColumn("answer", F.concat("answer", F.lit("\n> All facts come from the graph.")))
+
+
+_HEADS = ["### Figures of the latest period", "### Disclosed risks and their pages", "### Management guidance", "### Companies"]
+
+
+@query(f""", {ANSWER_CTES}, per_share as (select company_id, case when arg_max(currency, period) = 'INR' then '₹' else '$' end || {minus("arg_max(eps, period)")} || {fixed("arg_max(eps, period)", 0, 2, True)} eps from fin group by 1),
+told as (select a.qid, section, o1, line || case when section = 0 then ', EPS ' || coalesce(eps, 'N/A') else '' end line from answer a left join per_share e on section = 0 and e.company_id = o1
+  union all select distinct qid, section, -1, [{', '.join(map(quoted, _HEADS))}][section + 1] from answer)
+select qid, string_agg(line, chr(10) order by section, o1) report from told group by 1""")
+def answer_report(d: Domain) -> DataFrame:
+    """Answers with earnings per share and a head for each section."""
+    rows = d.once("answer_rows", lambda: answer_rows(d, with_eps=True))
+    heads = rows.select("qid", "section").distinct().select("qid", "section", F.lit(-1).cast("long").alias("o1"), F.get(F.array(*map(F.lit, _HEADS)), F.col("section")).alias("line"))
+    return _joined(rows.unionByName(heads), ["section", "o1"], "line", "report")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..functions.values import RISKS
 from ..operators import maintain as M
 from ..operators import text as T
 from ..sources.domain import Domain
-from .catalog import query
+from .catalog import query, quoted
 from .filings import RISK_CTES, risk_table
 
 
@@ -192,3 +194,47 @@ def logs_orphaned(d: Domain) -> DataFrame:
 @query("select document_id, stage, status, count(*) n, max(started_at) last_at from logs group by 1, 2, 3")
 def audit_history(d: Domain) -> DataFrame:
     return d.logs().groupBy("document_id", "stage", "status").agg(F.count("*").alias("n"), F.max("started_at").alias("last_at"))
+
+
+@query(f""", caps as (select id, company_id, case when contains(lower(file_name), 'concall') then 40 else 60 end cap from reports),
+read_pages as (select p.* from page_rows p join caps on id = document_id where page_number <= cap),
+cut as (select document_id, count(*) n from (select document_id, trim(substr(text, off + 1, 1000)) c from (select *, unnest(range(0, length(text), 850)) off from read_pages)) where length(c) >= 50 group by 1),
+low as (select document_id, lower(text) low, text from read_pages), risky as (select document_id, {" + ".join(f"bool_or(regexp_matches(low, {quoted(p)}))::int" for _, p in RISKS)} k from low
+  where not (contains(low, 'table of contents') or contains(low, 'index') and length(text) < 300) group by 1),
+n as (select document_id, count(*) n from read_pages group by 1)
+select id document_id, n.n n_pages, coalesce(cut.n, 0)::bigint n_chunks, least(6, coalesce(k, 0))::bigint n_risks from caps join n on n.document_id = id left join cut on cut.document_id = id left join risky on risky.document_id = id""")
+def capped_documents(d: Domain) -> DataFrame:
+    """Pages, chunks and risks of each document within its class's cap: 40 pages of calls, 60 of others."""
+    docs = d.reports().select(F.col("id").alias("document_id"), T.page_cap(F.col("document_type"), F.col("file_name")).alias("cap"))
+    pages = d.once("capped", lambda: T.capped_pages(d.page_arrays().join(docs, "document_id"), F.col("cap")))
+    count = lambda rows, name: rows.groupBy("document_id").agg(F.count("*").alias(name))
+    cut, risks = count(T.chunks(pages, most_pages=F.col("cap")), "n_chunks"), count(T.tag_risks(pages.select("document_id", F.inline_outer("pages"))), "n_risks")
+    out = pages.select("document_id", F.size("pages").cast("long").alias("n_pages"))
+    return out.join(cut, "document_id", "left").join(risks, "document_id", "left").fillna(0)
+
+
+@query(f""", {RISK_CTES}, m as (select company_id, count(*) n from fin group by 1), r as (select company_id, count(*) n from all_risks join reports on id = document_id group by 1), c as (select company_id, count(*) n from chunk_rows group by 1),
+k as (select company_id, count(*) n, count(*) filter (document_type = 'concall_transcript' or contains(lower(file_name), 'concall')) calls from docs group by 1)
+select id company_id, coalesce(k.n, 0)::bigint n_documents, coalesce(calls, 0)::bigint n_concalls, coalesce(m.n, 0)::bigint n_metrics, coalesce(r.n, 0)::bigint n_risks, coalesce(c.n, 0)::bigint n_chunks
+from companies left join k on k.company_id = id left join m on m.company_id = id left join r on r.company_id = id left join c on c.company_id = id""")
+def ingest_by_company(d: Domain) -> DataFrame:
+    """What each company's intake made: documents, calls among them, metrics, risks and chunks."""
+    count = lambda rows, name: rows.groupBy("company_id").agg(F.count("*").alias(name))
+    docs = d.documents().groupBy("company_id").agg(F.count("*").alias("n_documents"), F.count_if(S.is_concall(F.col("document_type"), F.col("file_name"))).alias("n_concalls"))
+    out = d.companies().select(F.col("id").alias("company_id"))
+    for part in (docs, count(d.financial(), "n_metrics"), count(risk_table(d), "n_risks"), count(T.chunks(d.page_arrays()), "n_chunks")):
+        out = out.join(part, "company_id", "left")
+    return out.fillna(0)
+
+
+@query("""select document_id, id, row_number() over (partition by document_id order by started_at, id)::int nth from logs""")
+def logs_in_order(d: Domain) -> DataFrame:
+    """Each document's log rows by their start."""
+    return M.ranked(d.logs(), "document_id", "started_at", "id").select("document_id", "id", "nth")
+
+
+@query("""select r.id, company_id, row_number() over (partition by company_id order by t desc nulls last, r.id desc)::int nth from reports r left join (select document_id, min(started_at) t from logs group by 1) x on x.document_id = r.id""")
+def documents_by_download(d: Domain) -> DataFrame:
+    """Documents of each company by the time that their first log row gives for their download, latest first."""
+    first = d.logs().groupBy(F.col("document_id").alias("id")).agg(F.min("started_at").alias("downloaded_at"))
+    return M.ranked(d.reports().join(first, "id", "left"), "company_id", F.desc_nulls_last("downloaded_at"), F.desc("id")).select("id", "company_id", "nth")

@@ -24,7 +24,7 @@ _NODE_VALUES = {
     "document": ("doc_' || id", "docs", {"document_id": "id", "company_id": "company_id", "file_name": "file_name", "document_type": "document_type", "period": "report_period", "file_hash": "file_hash", "status": "status"}),
     "metric": (
         "fin_' || id", "fin", {"metric_id": "id", "company_id": "company_id", "period": "period", "revenue": "revenue", "revenue_formatted": short_money("revenue"), "revenue_growth": "revenue_growth",
-        "revenue_growth_pct": pct("revenue_growth", "+"), "net_profit": "net_profit", "operating_margin": "operating_margin", "operating_margin_pct": pct("operating_margin"), "currency": "currency"}),
+        "revenue_growth_pct": pct("revenue_growth", "+"), "net_profit": "net_profit", "operating_margin": "operating_margin", "operating_margin_pct": pct("operating_margin"), "eps": "eps", "currency": "currency"}),
     "risk": ("risk_' || id", "rk", {"risk_id": "id", "company_id": "company_id", "category": "risk", "description": "description", "page_number": "page_number", "source_doc": "file_name"}),
     "guidance": ("guidance_' || guidance_id", "gd", {"category": "category", "period": "period", "statement": "statement", "source_doc": "file_name", "page": "page"}),
 }
@@ -56,7 +56,7 @@ def graph_files(d: Domain) -> DataFrame:
     return of(nodes, "node").unionByName(of(edges, "edge"))
 
 
-_NUMBERS = ["company_id", "document_id", "metric_id", "risk_id", "revenue", "revenue_growth", "net_profit", "operating_margin", "page_number"]
+_NUMBERS = ["company_id", "document_id", "metric_id", "risk_id", "revenue", "revenue_growth", "net_profit", "operating_margin", "eps", "page_number"]
 
 
 @query(rf""", {GRAPH_CTES}, props as ({_PROPERTIES}) select id node, k as key, case when k in ({", ".join(f"'{k}'" for k in _NUMBERS)}) then 'number' when k = 'ratios' then 'object' else 'string' end kind,
@@ -66,7 +66,7 @@ def node_properties(d: Domain) -> DataFrame:
     return G.properties(graph_tables(d)[0])
 
 
-_METRICS = """f9 as (select f.*, (f.net_profit / 1000)::decimal(10,4) eps, last_value(nullif(f.net_profit, 0) ignore nulls) over (partition by f.company_id order by period rows between unbounded preceding and 1 preceding) p0 from fin f)"""
+_METRICS = """f9 as (select f.*, last_value(nullif(f.net_profit, 0) ignore nulls) over (partition by f.company_id order by period rows between unbounded preceding and 1 preceding) p0 from fin f)"""
 
 
 @query(f""", {_METRICS} select 'T' || company_id ticker, period, revenue::varchar revenue, revenue_growth::varchar revenue_growth, net_profit::varchar net_profit,
@@ -75,7 +75,7 @@ def csv_files(d: Domain) -> DataFrame:
     """The nine metric columns written as a folder of CSV for each ticker, and read back as text."""
     before = F.last(F.nullif("net_profit", F.lit(0).cast("decimal(20,4)")), ignorenulls=True).over(Window.partitionBy("company_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1))
     growth = F.when(before > 0, F.round((F.col("net_profit") - before).cast("double") / before.cast("double"), 4)).cast("decimal(10,4)")
-    rows = d.financial().withColumn("profit_growth", growth).withColumn("eps", (F.col("net_profit") / 1000).cast("decimal(10,4)"))
+    rows = d.financial().withColumn("profit_growth", growth)
     # All companies of one of 16 groups share a folder here, as a test table has thousands of companies with a few rows each.
     folder, group = shared_path(d.spark, "csv"), F.concat(F.lit("g"), F.col("company_id") % 16)
     named = rows.withColumn("line_ticker", F.concat(F.lit("T"), "company_id")).withColumn("ticker", group)

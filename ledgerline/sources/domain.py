@@ -114,7 +114,7 @@ class Domain:
         margin = F.round((2 * F.col("net_profit")).cast("double") / F.nullif("revenue", F.lit(0).cast(MONEY)).cast("double"), 4).cast("decimal(10,4)")
         y = y.withColumn("revenue_growth", growth).withColumn("operating_margin", margin)
         out = y.join(first, (F.col("company_id") == F.col("c")) & (F.col("company_id") < 100), "left")
-        return out.select((F.col("company_id") * 10000 + F.col("year")).alias("id"), "company_id", "document_id", F.concat(F.lit("FY"), "year").alias("period"), "revenue", "net_profit", (2 * F.col("net_profit")).cast(MONEY).alias("operating_profit"), "revenue_growth", "operating_margin", F.when(F.col("company_id") % 2 == 0, "INR").otherwise("USD").alias("currency"))
+        return out.select((F.col("company_id") * 10000 + F.col("year")).alias("id"), "company_id", "document_id", F.concat(F.lit("FY"), "year").alias("period"), "revenue", "net_profit", (2 * F.col("net_profit")).cast(MONEY).alias("operating_profit"), "revenue_growth", "operating_margin", F.when(F.col("company_id") % 2 == 0, "INR").otherwise("USD").alias("currency"), (F.col("net_profit") / 1000).cast("decimal(10,4)").alias("eps"))
 
     def logs(self) -> DataFrame:
         n = self.table("documents").agg(F.count("*").alias("n"))
