@@ -8,10 +8,11 @@ prefix shingles under length and positional bounds; group pairs are expanded to
 Any one order keeps all links, so the order may be by counts over those sets that can have a partner at all. Which sets can is
 found beforehand: of a linked set's first shingles by hash, a share must be among the first ones of some other set too.
 
-For components not every pair must be checked: members are held against their group's first, and a shingle's groups against
-its most shared one; then, while a shingle's largest component stands beside many others, each of these against a member of it
-drawn by hash, another one for each of its shingles. Only pairs that are then in different components go through the exact join.
-A shingle's largest component isn't paired with itself there, so a shingle that most sets have costs its other components only.
+For components not every pair must be checked: members are held against their group's first, a shingle's groups against its most
+shared one, and some of a frequent shingle's members against one of them drawn by hash, another one for each shingle, since near
+copies of one text needn't all be like their group's first or the most shared one. Only pairs that are then in different components go through the exact
+join. A shingle's largest component isn't paired with itself there, so a shingle that most sets have costs its other components
+only.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .set_pairs import linked
 from .shared import bitmap, in_bitmap, staged, texts
 
 WORDS, PERCENT = 5, 80
-#: Rounds of drawn leads at most, and how many comparisons a posting may cost the exact join before another round is worth it.
-ROUNDS, FEW = 2, 4
+#: Shingles of more sets than MANY have a drawn lead; one in DRAWN of these sets, by hash, is held against it.
+MANY, DRAWN = 16, 3
 #: Shingles that the first look takes beyond the prefix, as a share of the set: more prune better and cost more.
 BEYOND = 0.1
 
@@ -138,8 +139,8 @@ def _postings(groups: DataFrame) -> DataFrame:
 
 
 def _leads(members: DataFrame, percent: int) -> DataFrame:
-    """(u, v): each member with its group's first, and each group's first with the first of the most shared group of each of its
-    shingles: as many pairs as there are rows."""
+    """(u, v): each member with its group's first and, for some of its frequent shingles, with a drawn one of the shingle's members;
+    each group's first with that of the most shared group of each of its shingles. The pairs grow with the postings."""
     groups = staged(members.groupBy("g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("few").alias("few"), F.first("prefix").alias("prefix")), "groups")
     inside = members.join(groups.select("g", F.col("id").alias("lead")), "g").where("id <> lead").select("id", "lead")
     posted = _postings(groups).select("t", "id", "n")
@@ -147,34 +148,21 @@ def _leads(members: DataFrame, percent: int) -> DataFrame:
     posted = staged(posted.join(held, "t"), "postings")
     weight = posted.groupBy("id").agg(F.sum("k").alias("w"))
     leads = posted.join(weight, "id").groupBy("t").agg(F.min(F.struct(-F.col("w"), "id", "n")).alias("m")).select("t", F.col("m.id").alias("lead"), F.col("m.n").alias("m"))
-    between = posted.join(leads, "t").where(f"id <> lead and 100 * least(n, m) >= {percent} * greatest(n, m)").select("id", "lead")
+    fits = f"id <> lead and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    between = posted.join(leads, "t").where(fits).select("id", "lead")
+    each = _postings(members).select("t", "id", "n")
+    drawn = each.groupBy("t").agg(F.count("*").alias("k"), F.max(F.struct(F.xxhash64("id", "t").alias("h"), "id", "n")).alias("m")).where(F.col("k") > MANY)
+    drawn = staged(drawn.select("t", F.col("m.id").alias("lead"), F.col("m.n").alias("m")), "drawn")
+    some = each.where(F.pmod(F.xxhash64("t", "id"), F.lit(DRAWN)) == 0).join(drawn, "t").where(fits).select("id", "lead")
+    between = between.unionByName(some)
     return staged(inside.unionByName(between).select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct(), "leads")
 
 
-def _open_postings(members: DataFrame) -> DataFrame:
-    """Postings of members (with comp), one a group and component, of the shingles that several components have; `main` is the
-    largest of these."""
-    parts = members.groupBy("g", "comp").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "lone", "few", "prefix")))
-    parts = staged(_postings(parts), "all-postings")
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of members (with comp) of different components that may be linked; none that is gets lost."""
+    parts = _postings(members.select("g", "comp", "n", "lone", "few", "prefix").dropDuplicates(["g", "comp"]))
     counts = parts.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"))
-    return staged(parts.join(staged(counts.where("comps > 1").drop("comps"), "open"), "t"), "postings")
-
-
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    out = members.join(found, F.col("id") == F.col("node"), "left")
-    return staged(out.select("id", "g", "n", "lone", "few", "prefix", F.coalesce("root", "id").alias("comp")), "placed")
-
-
-def _drawn(parts: DataFrame, nth: int, percent: int) -> DataFrame:
-    """(u, v): each open posting outside its shingle's main component with one member of that component, drawn by hash: other ones
-    for other shingles and rounds."""
-    leads = parts.where("comp = main").groupBy("t").agg(F.max(F.struct(F.xxhash64("id", "t", F.lit(nth)).alias("h"), "id", "n")).alias("m")).select("t", F.col("m.id").alias("lead"), F.col("m.n").alias("m"))
-    pairs = parts.where("comp <> main").join(staged(leads, "drawn"), "t").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    return pairs.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
-
-
-def _candidates(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of members (with comp and open postings) of different components that may be linked; none that is gets lost."""
+    parts = staged(parts.join(counts.where("comps > 1").drop("comps"), "t"), "postings")
     a, b = parts.where("comp <> main").alias("a"), parts.alias("b")
     once = F.expr("b.comp = b.main or a.comp < b.comp")  # of two that are both beside the main component
     small_a = F.expr("a.n < b.n or a.n = b.n and a.g <= b.g")
@@ -194,7 +182,7 @@ def jaccard_links(documents: DataFrame, words: int = WORDS, percent: int = PERCE
     docs, _, classes = _sized(documents, words)
     sets = _sets(docs, classes, words, percent)
     members = _grouped(sets, percent).withColumn("comp", F.col("id"))
-    return linked(staged(_candidates(members, _open_postings(members), percent), "pairs"), sets, percent)
+    return linked(staged(_candidates(members, percent), "pairs"), sets, percent)
 
 
 def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -207,25 +195,11 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     docs, sizes, classes = _sized(documents, words)
     sets = _sets(docs, classes, words, percent)
     members = _grouped(sets, percent)
-    tried = _leads(members, percent)
-    links = staged(linked(tried, sets, percent), "links")
+    leads = _leads(members, percent)
+    links = staged(linked(leads, sets, percent), "links")
     found = components(links)
-    placed = _placed(members, found)
-    parts = _open_postings(placed)
-    for nth in range(ROUNDS):
-        each = parts.groupBy("t").agg(F.count("*").alias("k"), F.count_if(F.col("comp") != F.col("main")).alias("m"))
-        rows, met = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("m")), F.lit(0))).first()
-        if met <= FEW * rows:
-            break
-        pairs = staged(_drawn(parts, nth, percent).join(tried, ["u", "v"], "left_anti"), "drawn-pairs")
-        more = staged(linked(pairs, sets, percent), "links")
-        if more.isEmpty():
-            break
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
-        found = components(links)
-        placed = _placed(members, found)
-        parts = _open_postings(placed)
-    more = staged(_candidates(placed, parts, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+    placed = staged(members.join(found, F.col("id") == F.col("node"), "left").select("id", "g", "n", "lone", "few", "prefix", F.coalesce("root", "id").alias("comp")), "placed")
+    more = staged(_candidates(placed, percent).join(leads, ["u", "v"], "left_anti"), "pairs")
     if not more.isEmpty():
         found = components(links.unionByName(linked(more, sets, percent)))
 
