@@ -14,13 +14,17 @@ class Pointer:
         self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def read(self, default: dict) -> dict:
-        if not self._fs.exists(self._at):
-            return default
-        stream = self._fs.open(self._at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        """What was switched to last. A switch that broke off after the old file was deleted counts; one whose file isn't whole doesn't."""
+        for at in (self._at, self._new):
+            if self._fs.exists(at):
+                stream = self._fs.open(at)
+                try:
+                    return json.loads(bytes(stream.readAllBytes()).decode())
+                except json.JSONDecodeError:
+                    pass
+                finally:
+                    stream.close()
+        return default
 
     def switch(self, now: dict) -> None:
         stream = self._fs.create(self._new, True)
