@@ -2,17 +2,20 @@
 
 Each text node belongs to a root-to-leaf tag path. Per path, text length and punctuation per node are aggregated; both
 ratios are smoothed over neighbouring nodes, weighted by how much of their paths they share, and fused; nodes whose path is
-over a share of the page's deviation are content. The article is the smallest container with most of the content and the
-headline. In it stay the blocks with content, headings, and short blocks beside content; branches go that are built like a
-list of comments. HTML's own words for page furniture (nav, footer, aside, role) count, and class names that say nothing else
-where other text is left; pages whose names say nothing are read by their paths alone. Paths, elements and blocks are
-numbered, so time grows with the page, not with its depth.
+over a share of the page's deviation are content. The article is the least element around the headline and the paths that hold
+the bulk of the content, by the sums of their nodes. In it stay the blocks of paths that pass, headings, and short blocks in a
+box with content; a box of its own kind whose paths don't pass by themselves goes, and so do branches built like a list of
+comments. Paths alone tell adverts and menus from the article, whatever they are called. HTML's own words for page furniture
+(nav, footer, aside, role) count too, and names of prose that reads like an article's (comments, notices). An `article`
+element decides where a page has less than LITTLE content, too little for ratios to compare.
+Paths, elements and blocks are numbered, so time grows with the page, not with its depth.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from statistics import pstdev
@@ -37,13 +40,12 @@ FLOW = INLINE | HEADINGS | LISTS | frozenset("p li dt dd td th caption blockquot
 PARTS = frozenset("article main section figure details html body".split())  # boxes that are no furniture by themselves
 FURNITURE_TAGS = frozenset("head nav footer aside form header button menu dialog".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-# Words of class names and ids: furniture, and words that may stand beside those.
-FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer masthead menu modal nav navbar navigation newsletter notice "
-    "pager pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
-)
+# Words of class names and ids: prose beside the article, which ratios can't tell from it, and words that may stand beside those.
+FURNITURE_WORDS = frozenset("comment comments consent cookie cookies disclaimer newsletter notice related replies reply respond".split())
 LAYOUT_WORDS = frozenset("area article bar block box container content inner item items left link links list main outer page post reader right section site slot thread top user wrap wrapper".split())
 
+LITTLE = 1000  # characters
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(" + RAW + r")\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
@@ -173,8 +175,8 @@ class Page:
         return depth[a] / most
 
 
-def content_paths(page: Page, radius: int = 2, share: float = 0.5) -> dict[int, float]:
-    """Weight of each tag path that passes the threshold."""
+def content_paths(page: Page, radius: int = 2, share: float = 0.5, sums: bool = False) -> dict[int, float]:
+    """Weight of each tag path that passes the threshold; of a path's text and punctuation per node, or as sums of all its nodes."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     paths = []
     for text, e in zip(page.text, page.element):
@@ -184,7 +186,7 @@ def content_paths(page: Page, radius: int = 2, share: float = 0.5) -> dict[int,
             length[p] += len(text)
             marks[p] += len(_PUNCTUATION.findall(text))
             count[p] += 1
-    ratio = {p: (length[p] / count[p], (1 + marks[p]) / count[p]) for p in count}
+    ratio = {p: (length[p], 1 + marks[p]) if sums else (length[p] / count[p], (1 + marks[p]) / count[p]) for p in count}
     near: dict[tuple[int, int], float] = {}
     best: dict[int, float] = {}
     for i, p in enumerate(paths):
@@ -209,7 +211,8 @@ class Article:
     def __init__(self, page: Page, paths: dict[int, float]):
         n = len(page.tag)
         self.page, self.mass, self.own = page, [0] * n, [0] * n  # characters of content in an element, and with it as their box
-        self.content = set()  # blocks
+        self.firm, self.core = [0] * n, [0] * n  # those of own, and mass, on paths that pass without neighbours, by nodes and by sums
+        alone, bulk = content_paths(page, radius=0, share=1.0), content_paths(page, radius=0, share=1.0, sums=True)
         self.label: list[int | None] = [None] * n  # 1 if an element's first block is a short one without a sentence and no heading, else 0
         self.blocks = [0] * n
         seen = -1
@@ -220,7 +223,8 @@ class Article:
             if page.path[e] in paths:
                 self.mass[e] += len(text)
                 self.own[page.box[e]] += len(text)
-                self.content.add(block)
+                self.firm[page.box[e]] += len(text) if page.path[e] in alone else 0
+                self.core[e] += len(text) if page.path[e] in bulk else 0
             if block != seen:
                 self.blocks[e] += 1
                 seen = block
@@ -230,6 +234,7 @@ class Article:
         for e in range(n - 1, 0, -1):  # children come after their parents
             up = page.parent[e]
             self.mass[up] += self.mass[e]
+            self.core[up] += self.core[e]
             self.blocks[up] += self.blocks[e]
             if self.label[e] is not None and (self.label[up] is None or first[e] > up):
                 self.label[up], first[up] = self.label[e], first[e]
@@ -239,23 +244,30 @@ class Article:
                 self.children[page.parent[e]].append(e)
 
     def root(self) -> int:
-        """From the page down, the branch with most of the content, as long as no content or headline would be left behind."""
+        """The least element around the headline and all but a thirtieth of what the heaviest paths hold.
+
+        With little content it is the innermost article with a headline, or without one.
+        """
         page, at = self.page, 0
         heads = [e for e in range(1, len(page.tag)) if page.tag[e] == "h1" and not page.bad[e]]
-        marked = [e for e in range(1, len(page.tag)) if page.tag[e] in ("article", "main") and 2 * self.mass[e] >= self.mass[0]]
-        if marked:
-            articles = [e for e in marked if page.tag[e] == "article"]
-            return (articles or marked)[-1]
-        while not self.own[at]:
-            down = max(self.children[at], key=lambda e: self.mass[e])
-            inside = any(down <= h <= page.end[down] for h in heads)
-            outside = any(at <= h <= page.end[at] for h in heads) and not inside
-            alike = sum(self.mass[e] for e in self.children[at] if page.path[e] == page.path[down] or page.tag[e] in PARTS or page.tag[e] in FLOW)
-            if page.tag[down] in FLOW or at and page.tag[at] != "body" and outside or not inside and (3 * self.mass[down] < 2 * self.mass[at] or alike > self.mass[down] and page.tag[at] not in ("html", "body")):
+        if self.mass[0] < LITTLE:
+            marked = [e for e in range(1, len(page.tag)) if page.tag[e] in ("article", "main") and self.blocks[e] and not page.bad[e]]
+            headed = [e for e in marked if self._between(heads, e)]
+            if marked:
+                return (headed or marked)[-1]
+        while not self.own[at] and self.children[at]:
+            down = max(self.children[at], key=lambda e: self.core[e])
+            outside = self._between(heads, at) and not self._between(heads, down)
+            if page.tag[down] in FLOW or 30 * self.core[down] < 29 * self.core[at] or at and page.tag[at] != "body" and outside:
                 break
             at = down
         return at
 
+    def _between(self, heads: list[int], e: int) -> bool:
+        """Whether one of the elements, in page order, lies in e."""
+        at = bisect_left(heads, e)
+        return at < len(heads) and heads[at] <= self.page.end[e]
+
     def comments(self, e: int) -> bool:
         """A branch all of whose content lies in parts of one kind that begin with a name or date, not with a heading."""
         page = self.page
@@ -267,10 +279,13 @@ class Article:
         return len(most) > 1 and 10 * sum(self.mass[c] for c in most) >= 9 * self.mass[e]
 
     def kept(self) -> list[int]:
-        """Blocks of the article, in order, as the numbers of their text nodes' blocks."""
+        """Blocks of the article, in order, as the numbers of their text nodes' blocks.
+
+        A box of its own kind (an advert between paragraphs) stays only if a path in it passes by its own ratios.
+        """
         page, root = self.page, self.root()
         gone = [False] * len(page.tag)
-        boxes = {page.path[e] for e in range(root, page.end[root] + 1) if self.own[e]}
+        boxes = {page.path[e] for e in range(root, page.end[root] + 1) if self.firm[e]}
         for e in range(root + 1, page.end[root] + 1):
             own = 2 * self.mass[e] < self.mass[root] and page.tag[e] not in FLOW | PARTS and self.comments(e)
             gone[e] = page.bad[e] or gone[page.parent[e]] or own
@@ -278,8 +293,8 @@ class Article:
         for text, e, block in zip(page.text, page.element, page.block):
             if root <= e <= page.end[root] and not gone[e] and not page.bad[e] and text.strip():
                 box = page.box[e]
-                beside = box <= root or self.own[box] or page.tag[box] in PARTS or page.path[box] in boxes
-                out[block] = out.get(block, False) or block in self.content or page.head[e] or bool(beside)
+                beside = box <= root or page.tag[box] in PARTS or page.path[box] in boxes
+                out[block] = out.get(block, False) or page.head[e] or beside
         return [b for b, keep in out.items() if keep]
 
 

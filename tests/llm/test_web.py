@@ -7,6 +7,7 @@ import random
 import statistics
 import time
 import zipfile
+from html.parser import HTMLParser
 
 from ledgerline.llm.html_paths import Page, content_paths, extract_text, main_text
 from ledgerline.llm.shared import fresh_path
@@ -128,6 +129,59 @@ def test_opaque_class_names():
         assert main_text(page) == "\n".join(story)
 
 
+def test_opaque_boxes_between_paragraphs():
+    """Adverts and notices in boxes of their own inside the article go by their own ratios; parts with the article's prose stay."""
+    story = ["Headline", *_say("story", 8)]
+    advert, notice = '<div class="z1"><p>Buy now! Save big!</p></div>', '<div class="z2"><span>Site news, all day.</span></div>'
+    quote = '<div class="z3"><p>Sentence of a part, in a box, with words, commas, and more words.</p></div>'
+    for box, stays in ((advert, False), (notice, False), (quote, True)):
+        want = [*story[:5], *(["Sentence of a part, in a box, with words, commas, and more words."] if stays else []), *story[5:]]
+        inner = f"<h1>Headline</h1>{_p(story[1:5])}{box}{_p(story[5:])}"
+        for page in (f"<body><article>{inner}</article></body>", f'<body><div class="z0">{inner}</div><div class="z9"><span>(c) all</span></div></body>'):
+            assert main_text(page).split("\n") == want
+
+
+class _Plain(HTMLParser):
+    """The blocks of a page's article element, by the standard library's parser and no ratios."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("b", "i", "a", "em", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag not in ("b", "i", "a", "em", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_query_finds_the_articles_of_the_whole_table_by_its_ratios(spark, monkeypatch):
+    from ledgerline.llm import html_paths
+    from ledgerline.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(folder + "/pages.parquet").select("page_id", "html").collect()}
+    got = {r.page_id: r.text for r in QUERIES["op5_html_text"](spark, folder).collect()}
+    assert got.keys() == pages.keys()
+    for i, page in pages.items():
+        plain = _Plain()
+        plain.feed(page)
+        plain.close()
+        assert got[i] == "\n".join(line for line in (" ".join(b.split()) for b in plain.blocks) if line)
+    monkeypatch.setattr(html_paths, "content_paths", lambda page, **_: {page.path[e]: 1.0 for t, e in zip(page.text, page.element) if t.strip() and not page.bad[e]})
+    assert sum(main_text(p) != got[i] for i, p in pages.items()) > 0.1 * len(pages)
+
+
 def test_names_of_furniture_and_of_content():
     body = _p(_say("story", 5))
     assert main_text(f'<main><h1>H</h1>{body}<div class="related-work">{_p(_say("others", 2))}</div><div class="related-links">{_p(_say("links", 2))}</div></main>').split("\n") == ["H", *_say("story", 5), *_say("others", 2)]
