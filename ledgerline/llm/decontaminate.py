@@ -91,7 +91,7 @@ def _placed(wanted, sizes: list[int], size: int) -> Callable:
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, uid), a row for each row of `documents` (doc_id, text).
 
-    uid is a hash of doc_id and text.
+    uid is a hash of doc_id and text; rows are told apart by doc_id and uid together.
 
     `benchmark` has item_id and text. Texts without words, null ones too, have no windows and no hits. Items with a null
     item_id make hits but aren't counted or listed; repeated items count once. Rows that repeat a doc_id are judged by
@@ -115,21 +115,23 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     placed = staged(docs.mapInArrow(_placed(wanted, sizes, window), "doc_id long, uid long, n_words long, places array<struct<gram: long, at: int, first: long, words: string>>"), "places")
 
     wanted.unpersist()
-    spots = placed.where("places is not null").select("uid", F.explode("places").alias("p")).select("uid", "p.*").distinct()
+    spots = placed.where("places is not null").select("doc_id", "uid", F.explode("places").alias("p")).select("doc_id", "uid", "p.*").distinct()
     start = F.col("at") - F.col("offset")
     same = F.array_join(F.slice(F.split("words", " "), start + 1, F.col("n")), " ") == F.col("window")
     found = spots.join(prefix, "gram").where(start >= 0).where(same)
-    found = staged(found.select("uid", (F.col("first") + start).alias("start"), "n", "window").distinct(), "found")
+    found = staged(found.select("doc_id", "uid", (F.col("first") + start).alias("start"), "n", "window").distinct(), "found")
 
-    spans = found.groupBy("uid", "start").agg((F.col("start") + F.max("n")).alias("end"))
-    before = Window.partitionBy("uid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.groupBy("doc_id", "uid", "start").agg((F.col("start") + F.max("n")).alias("end"))
+    before = Window.partitionBy("doc_id", "uid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
-    hits = spans.select("uid", fresh.alias("fresh")).groupBy("uid").agg(F.sum("fresh").alias("n_hit"))
-    items = found.select("uid", "window").distinct().join(windows.select("item_id", "window").where("item_id is not null").distinct(), "window")
-    items = items.select("uid", F.col("item_id").cast("string").alias("item")).distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    of = hits.join(items, "uid", "left")
-
-    out = placed.select("doc_id", "uid", "n_words").join(of, "uid", "left")
+    hits = spans.select("doc_id", "uid", fresh.alias("fresh")).groupBy("doc_id", "uid").agg(F.sum("fresh").alias("n_hit"))
+    items = found.select("doc_id", "uid", "window").distinct().join(windows.select("item_id", "window").where("item_id is not null").distinct(), "window")
+    items = items.select("doc_id", "uid", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+    out = placed.select("doc_id", "uid", "n_words")
+    for part in (hits, items):
+        part = part.withColumnsRenamed({"doc_id": "of_doc", "uid": "of_uid"})
+        out = out.join(part, out["doc_id"].eqNullSafe(part["of_doc"]) & (out["uid"] == part["of_uid"]), "left").drop("of_doc", "of_uid")
     n_hit, listed = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
