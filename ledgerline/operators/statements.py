@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import number
+from ..functions.scalars import number, ratio
 
 ITEMS = {"sales": "revenue", "net profit": "net_profit", "operating profit": "operating_profit", "opm": "opm", "eps": "eps"}
 UNIT = 10_000_000
@@ -69,7 +69,7 @@ def items(tables: DataFrame, key: str = "company_id", html: str = "html", **kept
 def measures(rows: DataFrame) -> DataFrame:
     """Money in units instead of crores, and the operating margin: OPM / 100, else profit over revenue."""
     unit = lambda c: (F.col(c) * UNIT).cast(MONEY).alias(c)
-    own = F.round(F.try_divide(F.col("operating_profit").cast("double"), F.nullif(F.col("revenue"), F.lit(0).cast(MONEY)).cast("double")), 4).cast("decimal(10,4)")
+    own = ratio(F.col("operating_profit"), F.nullif(F.col("revenue"), F.lit(0).cast(MONEY)))
     margin = F.coalesce((F.col("opm") / 100).cast("decimal(10,4)"), own).alias("operating_margin")
     return rows.select(*[c for c in rows.columns if c not in ITEMS.values()], unit("revenue"), unit("net_profit"), unit("operating_profit"), margin, F.col("eps").cast("decimal(10,4)").alias("eps"))
 
@@ -79,7 +79,7 @@ def growth(rows: DataFrame, key: str = "company_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("col_index").rowsBetween(Window.unboundedPreceding, -1)
     for name, c in (("revenue_growth", "revenue"), ("profit_growth", "net_profit")):
         before = F.last(F.nullif(F.col(c), F.lit(0).cast(MONEY)), ignorenulls=True).over(w)
-        rows = rows.withColumn(name, F.when(before > 0, F.round((F.col(c) - before).cast("double") / before.cast("double"), 4)).cast("decimal(10,4)"))
+        rows = rows.withColumn(name, F.when(before > 0, ratio(F.col(c) - before, before)))
     return rows
 
 

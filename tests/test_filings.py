@@ -66,6 +66,25 @@ def test_money_and_percent_forms(spark):
     assert got[2].d == "+5.0%" and got[3].d == "N/A"
 
 
+def test_quotients_round_as_doubles(spark, tmp_path):
+    """The SQL divides doubles: a decimal half whose double lies below it goes down."""
+    from ledgerline.plans.catalog import ORACLES, QUERIES
+
+    from .oracle import check
+
+    values = [("12951.55", 1000, "12.9515"), ("-16894.85", 1000, "-16.8948"), ("10000.45", 1000, "10.0005"), ("0.00", 3, "0.0000"), (None, 3, None), ("1.00", 3, "0.3333")]
+    rows = spark.createDataFrame([(v, n) for v, n, _ in values], "v string, n int").select(S.ratio(F.col("v").cast("decimal(20,4)"), F.col("n")).alias("q"))
+    assert [None if r.q is None else str(r.q) for r in rows.collect()] == [q for _, _, q in values]
+    for name in ("documents", "conversations", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.createDataFrame([(i, 10 + i // 2, f"{1995 + i}-05-05", 123468.15) for i in range(6)], "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double")
+    orders.withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(0, 129515.50, 0.1), (1, 168948.50, 0.1), (2, 1005.00, 1.0), (3, 1015.00, 1.0), (4, 1145.00, 1.0), (5, 8015.00, 1.0)]  # profits whose thousandth is a half
+    spark.createDataFrame(lines, "l_orderkey long, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("csv_files", "node_properties", "table_unpivot"):
+        check(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
+
+
 def test_upsert_keeps_what_is_not_given(spark):
     stored = spark.createDataFrame([(1, "Acme", "ACM", "Steel", "{}", 5)], "id long, name string, ticker string, sector string, ratios_json string, nation int")
     kind = "ticker string, name string, sector string, ratios_json string, new_id long"
