@@ -183,3 +183,35 @@ def test_a_second_intake_of_the_same_files_adds_nothing(spark, tmp_path):
     assert {r.doc_id for r in run_intake(spark, source, rows.schema, folder)["stored"].collect()} == {1, 3, 4, 10}
     tables = run_intake(spark, source, rows.schema, folder)
     assert tables["risks"].count() == 4 and {r.document_id for r in tables["logs"].where("stage = 'graph_ingestion'").collect()} == {1, 3, 4, 10}
+
+
+def test_plain_edges_are_the_first_valid_ones(spark):
+    nodes = spark.createDataFrame([("comp_1", "A", "company", 0), ("comp_1", "B", "company", 1), ("doc_1", "D", "document", 0)], "id string, label string, type string, seq int")
+    edges = spark.createDataFrame([("comp_1", "doc_1", "FILED", 0), ("comp_1", "doc_1", "FILED", 5), ("comp_1", "gone", "FILED", 0), ("gone", "doc_1", "FILED", 0), ("doc_1", "comp_1", "OF", 0), (None, "doc_1", "FILED", 0)], "source string, target string, label string, seq int")
+    last = G.upsert_nodes(nodes)
+    got = G.named_edges(edges, last)
+    want = G.first_edges(G.valid_edges(edges, last)).drop("id", "seq")
+    assert sorted(map(tuple, got.select("source", "target", "label").collect())) == sorted(map(tuple, want.select("source", "target", "label").collect())) == [("comp_1", "doc_1", "FILED"), ("doc_1", "comp_1", "OF")]
+    assert {(r.source_label, r.target_label, r.target_type) for r in got.collect()} == {("B", "D", "document"), ("D", "B", "company")}
+    assert sorted(map(tuple, G.named_relations(got).collect())) == sorted(map(tuple, G.relations(got.select("source", "target", "label"), last).collect()))
+
+
+def test_summaries_write_no_properties(spark):
+    from ledgerline.plans import graphs
+    from ledgerline.sources.domain import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    graphs.subgraph_summary(d)
+    kept = [x.columns for name, x in d._once.items() if name.startswith(("nodes", "edges", "plain"))]
+    assert kept and not any("properties" in columns for columns in kept)
+
+
+def test_lines_of_some_companies_only_are_summed(spark):
+    from ledgerline.sources.domain import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    ids = spark.createDataFrame([(4,), (7,)], "id long")
+    some = d.of(ids).yearly()
+    assert {tuple(r) for r in some.collect()} == {tuple(r) for r in d.yearly().where("company_id in (4, 7)").collect()}
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert any("LeftSemi" in line and "l_orderkey" in line for line in plan.splitlines())
