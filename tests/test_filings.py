@@ -197,7 +197,7 @@ def test_plain_edges_are_the_first_valid_ones(spark):
 
 
 def test_summaries_write_no_properties(spark):
-    from ledgerline.plans import graphs
+    from ledgerline.plans import catalog, graphs  # noqa: F401  the catalog registers first
     from ledgerline.sources.domain import Domain
 
     d = Domain(spark, "/root/testdata/sf0.001")
@@ -215,3 +215,10 @@ def test_lines_of_some_companies_only_are_summed(spark):
     assert {tuple(r) for r in some.collect()} == {tuple(r) for r in d.yearly().where("company_id in (4, 7)").collect()}
     plan = some._jdf.queryExecution().optimizedPlan().toString()
     assert any("LeftSemi" in line and "l_orderkey" in line for line in plan.splitlines())
+
+
+def test_nodes_of_named_edges_are_never_broadcast(spark):
+    nodes = spark.createDataFrame([("comp_1", "A", "company"), ("doc_1", "D", "document")], "id string, label string, type string")
+    edges = spark.createDataFrame([("comp_1", "doc_1", "FILED")], "source string, target string, label string")
+    rows = G.named_edges(edges, nodes)
+    assert rows.count() == 1 and "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
