@@ -14,10 +14,10 @@ from ..sources.sinks import EDGE, NODE
 from .deltas import Deltas
 
 def _kept(rows: DataFrame, pick: Callable[[Column, Column], Column]) -> DataFrame:
-    """A row of each id, picked by (batch, seq), then by its columns."""
+    """A row of each id, picked by (batch, seq), then by its columns. Rows are dealt by id before they are compared, as upsert_nodes does: few ids repeat."""
     rest = [c for c in rows.columns if c != "id"]
     order = ["batch", "seq", *(c for c in rest if c not in ("batch", "seq"))]
-    return rows.groupBy("id").agg(pick(F.struct(*rest), F.struct(*order)).alias("r")).select("id", "r.*")
+    return rows.repartition("id").groupBy("id").agg(pick(F.struct(*rest), F.struct(*order)).alias("r")).select("id", "r.*")
 
 
 class GraphTable:
