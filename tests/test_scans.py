@@ -62,3 +62,18 @@ def test_a_lone_delta_without_a_fold_is_not_written_again(spark, tmp_path):
         table.compact()
         assert max(table.files().values()) <= 2
     assert len(ids()) == 21 + 90 and len(set(ids())) == 111
+
+
+def test_a_batch_of_the_graph_stream_has_a_file_for_each_core(spark, monkeypatch):
+    from ledgerline.plans import streams
+
+    seen = {}
+
+    def run(session, source, schema, folder, files_per_batch=64, **_):
+        seen["files"], seen["batch"] = len(session.read.parquet(source).inputFiles()), files_per_batch
+        nodes = session.createDataFrame([], "id string, type string, label string")
+        return nodes, nodes
+
+    monkeypatch.setattr(streams, "run_graph", run)
+    streams.graph_deltas(Domain(spark, SMALL))
+    assert seen["batch"] == 4 and 10 < seen["files"] <= 40
