@@ -28,6 +28,7 @@ from .arrays import NOT_SPACE, ODD, Words, mix, slices, span_hashes, text_buffer
 from .shared import bitmap, in_bitmap, passing, screened, staged, texts
 
 ANCHOR, LEAST = 12, 50
+SLICE = 1 << 18  # bytes of text that are hashed at once: what that takes stays in a core's cache
 _BLOCKS = "array<struct<from: int, to: int>>"
 _SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
@@ -41,26 +42,29 @@ def _over(x: np.ndarray, n: int, what: np.ufunc) -> np.ndarray:
     return what(x[: len(x) - (n - k)], x[n - k :])
 
 
-def _levels(words: np.ndarray, most: int) -> list[np.ndarray]:
-    """Hashes of all runs of 1, 2, 4, ... up to `most` words, each mixed from the two halves."""
-    out, size = [words], 1
-    while 2 * size <= most and len(out[-1]) > size:
-        out.append(mix(out[-1][:-size] * ODD[2] + out[-1][size:]))
-        size *= 2
-    return out
+_STEP = int(ODD[2])
+_BACK = pow(_STEP, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers 0 to n - 1 (at least) of an odd number and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(2 * n, base, np.uint64)), dtype=np.uint64) for base in (_STEP, _BACK)]
+    return _powers
+
 
+def _sums(words: np.ndarray) -> np.ndarray:
+    """Sums of the words' hashes, each times a power that its place gives."""
+    return np.append(np.uint64(0), np.cumsum(words * _powers_to(len(words))[0][: len(words)], dtype=np.uint64))
 
-def _runs(levels: list[np.ndarray], n: int) -> np.ndarray:
-    """Hashes of all runs of n words, put together from those of powers of two."""
-    total = len(levels[0]) - n + 1
+
+def _runs(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words: differences of sums, moved back to the run's beginning, so that equal runs are equal everywhere."""
+    total = len(sums) - n
     if total <= 0:
         return np.zeros(0, np.uint64)
-    at, out = 0, np.full(total, n, np.uint64)
-    for k, level in enumerate(levels):
-        if n >> k & 1:
-            out = mix(out * ODD[3] + level[at : at + total])
-            at += 1 << k
-    return out
+    return mix((sums[n:] - sums[:-n]) * _powers_to(total)[1][:total] + np.uint64(n))
 
 
 class Texts:
@@ -75,8 +79,8 @@ class Texts:
         words = Words(self.data, self.offsets, NOT_SPACE)
         self.start, self.end, self.first, self.n, self.least = words.start, words.end, words.first, n, least
         self.word = span_hashes(self.data, words.start, words.end)
-        levels = _levels(self.word, least)
-        self.runs, self.window = _runs(levels, n), _runs(levels, least)
+        sums = _sums(self.word)
+        self.runs, self.window = _runs(sums, n), _runs(sums, least)
         self.anchor = _over(self.runs, least - n + 1, np.minimum) if len(self.window) else self.window
         self.inside = np.arange(len(self.window)) + least <= np.repeat(self.first[1:], np.diff(self.first))[: len(self.window)]
 
@@ -92,9 +96,9 @@ class Texts:
         """The texts that words are in."""
         return np.searchsorted(self.first, words, "right") - 1
 
-    def split(self, a: int, b: int) -> list[bytes]:
-        """Words a to b, b not included."""
-        return self.data[self.start[a] : self.end[b - 1]].tobytes().split()
+    def raw(self, a: int, b: int) -> bytes:
+        """The bytes of words a to b, b not included, and of what lies between them."""
+        return self.data[self.start[a] : self.end[b - 1]].tobytes()
 
 
 def _lists(text: np.ndarray, key: np.ndarray, rows: int) -> pa.ListArray:
@@ -110,7 +114,7 @@ def _anchored(n: int, least: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 t = Texts(batch.column("text"), n, least)
                 at = t.anchors()
                 begin = at[at < len(t.inside)]
@@ -157,7 +161,7 @@ def _open_windows(shared, tests: tuple, n: int, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = whole.filter(pa.array(passing(whole, tests)))
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 t = Texts(batch.column("text"), n, least)
                 free = t.inside & in_bitmap(shared.value, t.anchor.view(np.int64))
                 if "blocks" in batch.schema.names:
@@ -254,7 +258,8 @@ def aligned_blocks(later: Texts, anchors: np.ndarray, i: int, earlier: Texts, ot
     free = np.ones(max(0, end - first - least + 1), bool)
 
     def add(a: int, b: int, c: int) -> None:
-        found = _equal_parts(later.split(first + a, first + b), earlier.split(other.a + c, other.a + c + b - a), least)
+        own, theirs = later.raw(first + a, first + b), earlier.raw(other.a + c, other.a + c + b - a)
+        found = [(0, b - a)] if own == theirs and b - a >= least else _equal_parts(own.split(), theirs.split(), least)
         for x, y in found:
             out.append((a + x, a + y))
             free[a + x : a + y - least + 1] = False
@@ -342,8 +347,10 @@ def _blocks(pairs: DataFrame, known: DataFrame, repeated: Broadcast, n: int, lea
     sc = pairs.sparkSession.sparkContext
     some = sc.broadcast(bitmap(pairs.select(F.explode(F.array("doc_id", "doc_id2")).alias("doc_id")).distinct(), "doc_id"))
     # One row of each text, in a table of its own: a document that is many others' partner is a hot key, which joins of tables split.
-    twice = screened(known, (some, "doc_id", True), (repeated, "uid", True)).dropDuplicates(["doc_id", "uid"])
-    rows = staged(screened(known, (some, "doc_id", True), (repeated, "uid", False)).unionByName(twice), "texts")
+    rows = screened(known, (some, "doc_id", True), (repeated, "uid", False))
+    if repeated.value.any():  # else no second pass over the texts
+        rows = rows.unionByName(screened(known, (some, "doc_id", True), (repeated, "uid", True)).dropDuplicates(["doc_id", "uid"]))
+    rows = staged(rows, "texts")
     some.unpersist()
     partner = rows.select(F.col("doc_id").alias("doc_id2"), F.col("text").alias("text2"))
     both = pairs.join(rows, ["doc_id", "uid"]).join(partner, "doc_id2").select("doc_id", "uid", "text", "text2")

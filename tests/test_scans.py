@@ -77,3 +77,18 @@ def test_a_batch_of_the_graph_stream_has_a_file_for_each_core(spark, monkeypatch
     monkeypatch.setattr(streams, "run_graph", run)
     streams.graph_deltas(Domain(spark, SMALL))
     assert seen["batch"] == 4 and 10 < seen["files"] <= 40
+
+
+def test_runs_hash_alike_wherever_they_are():
+    import numpy as np
+
+    from ledgerline.llm import line_dedup as L
+
+    words = np.random.default_rng(5).integers(0, 2**63, 400, dtype=np.uint64)
+    words[300:360] = words[10:70]
+    for n in (12, 50):
+        runs = L._runs(L._sums(words), n)
+        assert (runs[300 : 361 - n] == runs[10 : 71 - n]).all() and len(runs) == 401 - n
+        assert len(np.unique(runs)) == 401 - n - (61 - n)
+        swapped = words[:n][::-1].copy()
+        assert L._runs(L._sums(swapped), n)[0] != runs[0] and len(L._runs(L._sums(words[: n - 1]), n)) == 0
