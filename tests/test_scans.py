@@ -92,3 +92,26 @@ def test_runs_hash_alike_wherever_they_are():
         assert len(np.unique(runs)) == 401 - n - (61 - n)
         swapped = words[:n][::-1].copy()
         assert L._runs(L._sums(swapped), n)[0] != runs[0] and len(L._runs(L._sums(words[: n - 1]), n)) == 0
+
+
+def test_a_bitmap_takes_as_many_jobs_for_many_shuffle_partitions_as_for_few(spark):
+    import numpy as np
+
+    from ledgerline.llm.shared import bitmap, in_bitmap
+
+    jobs, settings = {}, {"spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    keys = spark.range(0, 3_000_000, 1000).select(F.when(F.col("id") > 0, F.col("id") * 1_000_003).alias("key"))
+    try:
+        for n in ("4", "40"):
+            for k, v in (settings | {"spark.sql.shuffle.partitions": n}).items():
+                spark.conf.set(k, v)
+            spark.sparkContext.setJobGroup(f"bitmap {n}", "")
+            bits = bitmap(keys, "key")
+            jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bitmap {n}"))
+            assert in_bitmap(bits, np.arange(1000, 3_000_000, 1000) * 1_000_003).all() and np.unpackbits(bits).sum() <= 2999
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs["4"] == jobs["40"] <= 3
