@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import released, staged
 
 _PAIR = "u long, v long"
 
@@ -65,7 +65,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     while True:
-        local = staged(edges.mapInPandas(_unite, _PAIR), "forest")  # read four times below
+        local = staged(edges.mapInPandas(released(_unite), _PAIR), "forest")  # read four times below
         edges = staged(_star(_star(local, large=True), large=False), "components")
         open_ends = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         chained = edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u"))

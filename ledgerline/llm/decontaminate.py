@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, LOWER, Words, grams, slices, span_hashes, text_buffer
-from .shared import bitmap, in_bitmap, staged, texts
+from .shared import bitmap, in_bitmap, released, staged, texts
 
 WINDOW, GRAM = 13, 3
 _PLACES = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("first", pa.int64()), ("words", pa.string())]))
@@ -99,12 +99,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     docs = texts(documents).withColumn("uid", F.xxhash64("doc_id", "text"))
     spark = documents.sparkSession
-    windows = staged(texts(benchmark, "item_id").mapInArrow(_windows(window, gram), "item_id long, window string, n int, g int, grams array<long>"), "windows")
+    windows = staged(texts(benchmark, "item_id").mapInArrow(released(_windows(window, gram)), "item_id long, window string, n int, g int, grams array<long>"), "windows")
     sizes = sorted(r.g for r in windows.select("g").distinct().collect()) or [gram]  # at most `gram` values
 
     each = windows.select("window", "n", F.posexplode("grams").alias("offset", "gram")).distinct()
     every = spark.sparkContext.broadcast(bitmap(each, "gram"))
-    counts = docs.select("text").mapInArrow(_counted(every, sizes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("in_corpus"))
+    counts = docs.select("text").mapInArrow(released(_counted(every, sizes)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("in_corpus"))
     known = each.join(counts, "gram")  # a window with a shingle that the corpus lacks can't occur ...
     complete = F.count("*") == F.min("n") - F.min(F.least("n", F.lit(gram))) + 1  # ... and is dropped here
     rarest = known.groupBy("window").agg(F.min("n").alias("n"), F.min(F.struct("in_corpus", "gram", "offset")).alias("r"), complete.alias("complete"))
@@ -112,7 +112,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     every.unpersist()
     wanted = spark.sparkContext.broadcast(bitmap(prefix, "gram"))
-    placed = staged(docs.mapInArrow(_placed(wanted, sizes, window), "doc_id long, uid long, n_words long, places array<struct<gram: long, at: int, first: long, words: string>>"), "places")
+    placed = staged(docs.mapInArrow(released(_placed(wanted, sizes, window)), "doc_id long, uid long, n_words long, places array<struct<gram: long, at: int, first: long, words: string>>"), "places")
 
     wanted.unpersist()
     spots = placed.where("places is not null").select("doc_id", "uid", F.explode("places").alias("p")).select("doc_id", "uid", "p.*").distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, ODD, Words, mix, slices, span_hashes, text_buffer
-from .shared import bitmap, in_bitmap, passing, screened, staged, texts
+from .shared import bitmap, in_bitmap, passing, released, screened, staged, texts
 
 ANCHOR, LEAST = 12, 50
 SLICE = 1 << 18  # bytes of text that are hashed at once: what that takes stays in a core's cache
@@ -336,7 +336,7 @@ def _pairs(windows: DataFrame) -> DataFrame:
     sc = windows.sparkSession.sparkContext
     first = _several(windows.select("doc_id", F.explode("windows").alias("window")), "window")
     wanted = sc.broadcast(bitmap(first, "window"))
-    again = windows.mapInArrow(_wanted_windows(wanted), "window long, doc_id long, uid long")
+    again = windows.mapInArrow(released(_wanted_windows(wanted)), "window long, doc_id long, uid long")
     out = staged(again.join(first, "window").where("doc_id2 < doc_id").select("doc_id", "uid", "doc_id2").distinct(), "pairs")
     wanted.unpersist()
     return out
@@ -354,7 +354,7 @@ def _blocks(pairs: DataFrame, known: DataFrame, repeated: Broadcast, n: int, lea
     some.unpersist()
     partner = rows.select(F.col("doc_id").alias("doc_id2"), F.col("text").alias("text2"))
     both = pairs.join(rows, ["doc_id", "uid"]).join(partner, "doc_id2").select("doc_id", "uid", "text", "text2")
-    found = both.mapInArrow(_aligned(n, least), f"doc_id long, uid long, blocks {_BLOCKS}")
+    found = both.mapInArrow(released(_aligned(n, least)), f"doc_id long, uid long, blocks {_BLOCKS}")
     return staged(found.where(F.size("blocks") > 0), "blocks")
 
 
@@ -370,7 +370,7 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     sc = documents.sparkSession.sparkContext
     known = docs.where("doc_id is not null and text is not null")
     kind = "doc_id long, uid long, n_words long, digest binary, anchors array<long>, windows array<long>"
-    found = staged(known.mapInArrow(_anchored(anchor_words, least_words), kind), "anchors")
+    found = staged(known.mapInArrow(released(_anchored(anchor_words, least_words)), kind), "anchors")
 
     same = found.where(F.col("n_words") >= least_words).select("doc_id", "uid", "n_words", "digest")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
@@ -384,8 +384,8 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     gathered = lambda rows: rows.groupBy("doc_id", "uid").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     first = staged(gathered(blocks), "blocks")
     in_blocks = sc.broadcast(bitmap(first, "uid"))
-    sharing = sc.broadcast(bitmap(found.select("uid", "anchors").mapInArrow(_sharing(shared), "uid long"), "uid"))
-    open_windows, row = lambda *tests: _open_windows(shared, tests, anchor_words, least_words), "doc_id long, uid long, windows array<long>"
+    sharing = sc.broadcast(bitmap(found.select("uid", "anchors").mapInArrow(released(_sharing(shared)), "uid long"), "uid"))
+    open_windows, row = lambda *tests: released(_open_windows(shared, tests, anchor_words, least_words)), "doc_id long, uid long, windows array<long>"
     some = screened(known, (in_blocks, "uid", True), (sharing, "uid", True)).join(first, ["doc_id", "uid"], "left").mapInArrow(open_windows(), row)
     others = known.mapInArrow(open_windows((in_blocks, "uid", False), (sharing, "uid", True)), row)
     rest = staged(some.unionByName(others).where(F.size("windows") > 0), "rest")
@@ -399,5 +399,5 @@ def dedup_lines(documents: DataFrame, anchor_words: int = ANCHOR, least_words: i
     touched = screened(docs, (with_blocks, "uid", True)).join(first, ["doc_id", "uid"], "left").select("doc_id", "uid", "text", "blocks")
     others = screened(docs, (with_blocks, "uid", False))
     zero = F.lit(0).cast("long")
-    cut = touched.mapInArrow(_cut(least_words), "doc_id long, uid long, text string, removed_words long, removed_blocks long")
+    cut = touched.mapInArrow(released(_cut(least_words)), "doc_id long, uid long, text string, removed_words long, removed_blocks long")
     return cut.unionByName(others.withColumns({"removed_words": zero, "removed_blocks": zero}))

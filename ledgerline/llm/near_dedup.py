@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, ODD, STEP, Words, grams, mix, slices, span_hashes, text_buffer
 from .components import components
-from .shared import bitmap, in_bitmap, staged, texts
+from .shared import bitmap, in_bitmap, released, staged, texts
 
 WORDS, BANDS, ROWS = 5, 32, 4
+SLICE = 1 << 18  # bytes of text whose signatures are made at once: each shingle takes 2 bytes for each slot meanwhile
 _TO_UNIT = 2.0**-53
 
 
@@ -85,7 +86,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 def _signatures(n: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 sets = shingle_sets(batch, n)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sig = superminhash([sets[i] for i in some], bands * rows).view(np.uint64).reshape(len(some), bands, rows)
@@ -129,7 +130,7 @@ def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> Dat
     """
     sc = docs.sparkSession.sparkContext
     wanted = sc.broadcast(bitmap(ids, "id"))
-    sets = docs.mapInArrow(_sets(n, wanted), "id long, digest binary, s array<long>")
+    sets = docs.mapInArrow(released(_sets(n, wanted)), "id long, digest binary, s array<long>")
     own = classes.select(F.col("rep").alias("id"), "digest").join(ids, "id", "left_semi")
     out = staged(sets.join(own, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).drop("digest"), "sets")
     wanted.unpersist()
@@ -176,7 +177,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
     it also stands for the links of the id's other texts. Other columns are ignored. An empty table gives an empty one.
     """
     docs = texts(documents).withColumn("uid", F.xxhash64("doc_id", "text"))
-    sig = staged(docs.mapInArrow(_signatures(words, bands, rows), "doc_id long, uid long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    sig = staged(docs.mapInArrow(released(_signatures(words, bands, rows)), "doc_id long, uid long, n_shingles long, digest binary, bands array<long>"), "signatures")
     linked = sig.where("digest is not null and doc_id is not null")
     classes = staged(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     keys = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import slices, text_buffer
-from .shared import staged, texts
-from .span_cache import text_encoder
+from .shared import released, staged, texts
+from .span_cache import shared_encoder
 
 CAPACITY = 4096
 #: Rows of one length that are ranked together; a length with more is dealt into parts, so that none is one task's.
@@ -106,9 +106,9 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
 
 def _pieces(json, spans: str, end_id: int, capacity: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(json.value, spans)
+        encoder = shared_encoder(json, spans)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 ids, at = encoder(*text_buffer(batch.column("text")), end_id)
                 n = -(-np.diff(at) // capacity)
                 row = np.repeat(np.arange(len(batch)), n)
@@ -139,7 +139,7 @@ def pack(documents: DataFrame, tokenizer_json: str, end_id: int, capacity: int =
     docs = texts(documents)
     json = spark.sparkContext.broadcast(tokenizer_json)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = staged(docs.mapInArrow(_pieces(json, spans, end_id, capacity, with_ids), kind), "pieces")
+    pieces = staged(docs.mapInArrow(released(_pieces(json, spans, end_id, capacity, with_ids)), kind), "pieces")
 
     histogram = dict(pieces.groupBy("length").count().collect())  # at most `capacity` rows
     plan = spark.createDataFrame(best_fit(histogram, capacity), "plan_length long, rank_from long, rank_to long, per_bin long, first_sequence long, offset long")

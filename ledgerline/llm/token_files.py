@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import slices, text_buffer
-from .shared import file_system, staged, texts
-from .span_cache import text_encoder
+from .shared import file_system, released, staged, texts
+from .span_cache import shared_encoder
 
 #: More ids than this many bytes a range would hold mean more ranges than spark.sql.shuffle.partitions.
 FILE_BYTES = 256 << 20
@@ -53,7 +53,7 @@ def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def _tokenised(json, spans: str, end_id: int, width: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(json.value, spans)
+        encoder = shared_encoder(json, spans)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 ids, at = encoder(*text_buffer(batch.column("text")), end_id)
@@ -134,7 +134,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, en
     docs = texts(documents)
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     json = spark.sparkContext.broadcast(tokenizer_json)
-    tokens = staged(docs.mapInArrow(_tokenised(json, spans, end_id, width), "doc_id long, n_tokens long, crc long, ids binary"), "token-ids")
+    tokens = staged(docs.mapInArrow(released(_tokenised(json, spans, end_id, width)), "doc_id long, n_tokens long, crc long, ids binary"), "token-ids")
 
     counts = tokens.select("ids").mapInArrow(_counted(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.write.parquet(f"{folder}/counts")

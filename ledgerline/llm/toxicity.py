@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, LOWER, ODD, Words, mix, slices, span_hashes, text_buffer
-from .shared import texts
+from .shared import released, texts
 
 #: Bounds of the fit: labelled examples of each class, and terms. 2 x 2000 texts of usual length have about 220,000 terms, so
 #: the second one only holds if examples are very long; then the terms with the largest weights stay.
@@ -196,7 +196,7 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * examples ids
     rows = texts(documents).join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
-    rows = rows.mapInArrow(_counted, "doc_id long, toxic int, terms array<long>, counts array<int>").toArrow().combine_chunks()  # of at most 2 * examples texts
+    rows = rows.mapInArrow(released(_counted), "doc_id long, toxic int, terms array<long>, counts array<int>").toArrow().combine_chunks()  # of at most 2 * examples texts
     ids, label = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy()
     order = np.argsort(ids)
     size = pc.list_value_length(rows["terms"]).to_numpy()
@@ -289,7 +289,7 @@ def score(documents: DataFrame, model: Model, neighbours: int = NEIGHBOURS, evid
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's numbers of examples and terms
     kind = "doc_id long, text string, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
-    return texts(documents).mapInArrow(_scored(shared, neighbours, evidence), kind)
+    return texts(documents).mapInArrow(released(_scored(shared, neighbours, evidence)), kind)
 
 
 def reliability(scored: DataFrame, labels: DataFrame, bins: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -173,3 +174,25 @@ def test_counts_of_texts(spark):
     got = token_counts(frame(spark), vocabulary).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_tokens) for r in got) == sorted((str(i), len((t or "").replace(" ", "_").replace("　", "_").split()), len(tok.encode(t or "").ids)) for i, t in TEXTS)
     assert token_counts(frame(spark, []), vocabulary).count() == 0
+
+
+def test_workers_give_back_what_packing_took(spark):
+    """Spark keeps workers for later tasks: what the encoder and freed arrays hold must not stay in them."""
+    docs = spark.range(8, numPartitions=4).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 150000), x -> concat('w', (x * 7919 + id * 104729) % 400009))) text")
+    pack(docs, tokenizer("word_bpe_49k.json")[0], 1).count()
+    other = spark.sparkContext.broadcast(0)  # the next task has other broadcasts
+
+    def held(batches):
+        import gc
+        from pathlib import Path
+
+        from ledgerline.llm import span_cache
+
+        for batch in batches:
+            gc.collect()
+            mb = sum(int(x.split()[1]) for x in Path("/proc/self/smaps_rollup").read_text().splitlines() if x.startswith("Private_Dirty")) >> 10
+            yield pa.RecordBatch.from_arrays([pa.array([mb]), pa.array([other.value + len(span_cache._ENCODERS)])], ["mb", "encoders"])
+
+    found = spark.range(4, numPartitions=4).mapInArrow(held, "mb long, encoders long").collect()
+    assert all(r.encoders == 0 for r in found)
+    assert max(r.mb for r in found) < 200
