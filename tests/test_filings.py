@@ -132,6 +132,21 @@ def test_graphs_and_csv_from_files(spark, tmp_path):
     assert file.read_text() == "period,currency\n"
 
 
+def test_each_ticker_has_a_csv_file_of_its_own(spark, tmp_path):
+    from ledgerline.plans import catalog, tables  # noqa: F401  the catalog registers first
+    from ledgerline.sources.domain import Domain
+
+    back = tables.csv_files(Domain(spark, "/root/testdata/sf0.001"))
+    folders = sorted(file.split("/")[-2] for file in back.inputFiles())
+    assert folders == sorted(f"ticker={r.ticker}" for r in back.select("ticker").distinct().collect()) and len(folders) > 16
+    lines = [("007", "FY1", "USD"), ("A/B", "FY1", "INR"), ("007", "FY2", None), ("A/B", "FY2", "a,b")]
+    rows = spark.createDataFrame(lines, "ticker string, period string, currency string").repartition(4)
+    sinks.write_csv(rows, str(tmp_path), ["period", "currency"])
+    files = list(tmp_path.glob("ticker=*/*.csv"))
+    assert len(files) == 2 and all(f.read_text().startswith("period,currency\n") for f in files)
+    assert sorted(map(tuple, sinks.read_csv(spark, str(tmp_path), ["period", "currency"]).collect()), key=str) == sorted(lines, key=str)
+
+
 def test_partitions_are_replaced_and_batches_added(spark, tmp_path):
     table = str(tmp_path / "t")
     rows = lambda *x: spark.createDataFrame(list(x), "id long, part int, v string")
