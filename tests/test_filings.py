@@ -221,6 +221,19 @@ def test_summaries_write_no_properties(spark):
     assert kept and not any("properties" in columns for columns in kept)
 
 
+def test_the_inspector_lists_all_stored_properties(spark):
+    from ledgerline.plans import catalog, graphs  # noqa: F401  the catalog registers first
+    from ledgerline.sources.domain import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    lines = graphs.node_inspect(d).where("direction = '='")
+    kept = graphs.kept_nodes(d)
+    stored = kept.select("id", F.explode(F.map_keys(F.from_json("properties", "map<string,string>"))).alias("key")).unionByName(kept.select("id", F.lit("type").alias("key")))
+    assert sorted(map(tuple, lines.select("node", "label").collect())) == sorted(map(tuple, stored.collect()))
+    assert {r.label: r.other for r in lines.where("node = 'comp_1'").collect()}["name"] == "Customer#000000001"
+    assert {r.other_label for r in lines.where("node = 'comp_1'").collect()} == {"T1"}
+
+
 def test_lines_of_some_companies_only_are_summed(spark):
     from ledgerline.sources.domain import Domain
 
